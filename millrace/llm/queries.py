@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import bpe, mixing, simhash, substring, tokenbin
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,7 +19,66 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = tokenbin.write(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return tokenbin.read(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decoded="decoded", keep_text=False)
+    digits = F.array_join(F.col("token_ids").cast("array<string>"), " ")
+    return coded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(digits, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring.dedup(docs).select("doc_id", "removed", "removed_words", "kept_text")
+
+
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planned = mixing.plan(_table(spark, sf_dir, "documents"))
+    taken = F.col("size") * F.size("positions")
+    return planned.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.element_at("positions", F.when(F.size("positions") > 0, 1)).alias("first_position"))
+
+
+OP9_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS key
+  FROM documents),
+sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 AS turn
+  FROM sized GROUP BY source),
+weighed AS (
+  SELECT *, ([5.0, 2.0, 1.0])[turn + 1]::DOUBLE AS weight, source_size * 2.0::DOUBLE AS most FROM sources),
+filled AS (
+  SELECT *, ((sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE - coalesce(sum(most) OVER w, 0.0::DOUBLE))
+            / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0.0::DOUBLE)) AS level
+  FROM weighed WINDOW w AS (ORDER BY most / weight, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+aimed AS (
+  SELECT source, source_size, turn, least(max(level) OVER () * weight, most) AS target FROM filled),
+begun AS (
+  SELECT s.doc_id, s.size, a.source_size, a.turn, a.target,
+         coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+           + s.size / 2.0::DOUBLE AS middle
+  FROM sized s JOIN aimed a ON s.source IS NOT DISTINCT FROM a.source),
+curve AS (
+  SELECT *, middle / target AS due,
+         ([1.5, 1.0, 0.5])[turn + 1]::DOUBLE AS w0, ([-1.0, 0.0, 1.0])[turn + 1]::DOUBLE AS slope FROM begun)
+SELECT doc_id, size, source_size, target,
+       CASE WHEN size = 0 THEN 0 ELSE size * ((middle <= target)::BIGINT + (middle + source_size <= target)::BIGINT) END AS taken,
+       CASE WHEN size > 0 AND middle <= target THEN 2.0::DOUBLE * due / (w0 + sqrt(greatest(0.0::DOUBLE, w0 * w0 + 2.0::DOUBLE * slope * due))) END AS first_position
+FROM curve
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_token_id_files": op2_token_id_files,
+    "op6_byte_bpe": op6_byte_bpe,
+    "op8_substring_dedup": op8_substring_dedup,
+    "op9_mix_sources": op9_mix_sources,
+}
+ORACLE: dict[str, str] = {
+    "op9_mix_sources": OP9_SQL,
 }
-ORACLE: dict[str, str] = {}

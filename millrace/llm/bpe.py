@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
-Each merge rank has a bucket of positions in the linked list of parts; a bitmap
-tells which buckets hold any, coarser bitmaps tell which words of the one below
-do, and find-first-set from the top gives the next rank. An entry whose pair
+Each merge rank has a bucket of positions in the linked list of parts, least
+position first. A bitmap tells which buckets hold any, one above it which of its
+words do, and find-first-set in both gives the next rank. An entry whose pair
 has changed since is stale and skipped. A pre-token of n bytes costs O(n log n)
 whatever its length.
 """
@@ -20,90 +20,103 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .chunks import Recent, encode_text
-
-
-class RankQueue:
-    """Positions by merge rank, least rank first and leftmost first within a rank."""
-
-    def __init__(self, ranks: int) -> None:
-        self.levels: list[list[int]] = []
-        n = max(1, ranks)
-        while not self.levels or n > 1:
-            n = (n + 63) // 64
-            self.levels.append([0] * n)
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        for words in self.levels:
-            at, bit = rank >> 6, 1 << (rank & 63)
-            held = words[at]
-            words[at] = held | bit
-            if held:
-                return
-            rank = at
-
-    def pop(self) -> tuple[int, int] | None:
-        """The next (rank, position), or None if there is none."""
-        if not self.buckets:
-            return None
-        rank = 0
-        for words in reversed(self.levels):
-            word = words[rank]
-            rank = rank << 6 | (word & -word).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            at = rank
-            for words in self.levels:
-                words[at >> 6] &= ~(1 << (at & 63))
-                at >>= 6
-                if words[at]:
-                    break
-        return rank, position
-
-
-def merge(piece: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[int]:
-    """Ids of one pre-token. Raises KeyError if a single byte has no rank."""
-    whole = ranks.get(piece)
-    if whole is not None:
-        return [whole]
+from .chunks import LONGEST_KEPT, Recent, encode_text
+
+
+#: Ranks to a word of the lower bitmap; Python's integers make words this wide as quick as narrow ones.
+_BITS = 8
+_MASK = (1 << _BITS) - 1
+
+
+def pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:
+    """Rank of each pair of tokens that joins to a token, under ``left << 32 | right``."""
+    out = {}
+    for token, rank in ranks.items():
+        for i in range(1, len(token)):
+            left = ranks.get(token[:i])
+            if left is not None and (right := ranks.get(token[i:])) is not None:
+                out[left << 32 | right] = rank
+    return out
+
+
+def merge(piece: bytes, single: list[int], twos: list[int], pairs: dict[int, int], words: list[int]) -> list[int]:
+    """Ids of one pre-token from the ids of its bytes. ``twos``: ranks of byte pairs,
+    -1 for none; ``words``: the lower bitmap, all zero before and after.
+
+    A bucket of one position is that position, a larger one a heap.
+    """
     n = len(piece)
+    ids = [single[b] for b in piece]
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    pair = [-1] * n
-    for i in range(n - 1):
-        r = ranks.get(piece[i : i + 2])
-        if r is not None:
-            pair[i] = r
-            queue.push(r, i)
-    while (found := queue.pop()) is not None:
-        rank, i = found
-        if pair[i] != rank:
-            continue
+    pair = [twos[a << 8 | b] for a, b in zip(piece, piece[1:])]
+    pair.append(-1)
+    buckets: dict[int, int | list[int]] = {}
+    top = 0
+    rank_of = pairs.get
+
+    def add(r: int, i: int) -> None:
+        held = buckets[r]
+        if held.__class__ is int:
+            buckets[r] = [held, i] if held < i else [i, held]
+        else:
+            heappush(held, i)
+
+    for i, r in enumerate(pair):
+        if r >= 0:
+            if r in buckets:
+                add(r, i)
+            else:
+                buckets[r] = i
+                at = r >> _BITS
+                words[at] |= 1 << (r & _MASK)
+                top |= 1 << at
+    while top:
+        at = (top & -top).bit_length() - 1
+        word = words[at]
+        low = word & -word
+        r = at << _BITS | low.bit_length() - 1
+        i = buckets.pop(r)
+        if i.__class__ is int:
+            words[at] = word = word ^ low
+            if not word:
+                top &= top - 1
+        else:
+            held, i = i, heappop(i)
+            buckets[r] = held if len(held) > 1 else held[0]
+        if pair[i] != r:
+            continue  # stale: another merge took a part of this pair
         j = after[i]
         k = after[j]
-        after[i], pair[j], pair[i] = k, -1, -1
+        ids[i] = r
+        after[i] = k
+        pair[j] = -1
         if k < n:
             before[k] = i
-            r = ranks.get(piece[i : after[k]])
-            if r is not None:
-                pair[i] = r
-                queue.push(r, i)
+            pair[i] = new = rank_of(r << 32 | ids[k], -1)
+            if new >= 0:
+                if new in buckets:
+                    add(new, i)
+                else:
+                    buckets[new] = i
+                    at = new >> _BITS
+                    words[at] |= 1 << (new & _MASK)
+                    top |= 1 << at
+        else:
+            pair[i] = -1
         p = before[i]
         if p >= 0:
-            r = ranks.get(piece[p:k])
-            pair[p] = -1 if r is None else r
-            if r is not None:
-                queue.push(r, p)
+            pair[p] = new = rank_of(ids[p] << 32 | r, -1)
+            if new >= 0:
+                if new in buckets:
+                    add(new, p)
+                else:
+                    buckets[new] = p
+                    at = new >> _BITS
+                    words[at] |= 1 << (new & _MASK)
+                    top |= 1 << at
     out, i = [], 0
     while i < n:
-        out.append(ranks[piece[i : after[i]]])
+        out.append(ids[i])
         i = after[i]
     return out
 
@@ -118,23 +131,25 @@ class Codec:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
         size = 1 + max(self.ranks.values(), default=-1)
         self.tokens: dict[int, bytes] = {r: b for b, r in self.ranks.items()}
-        self.queue = RankQueue(size)
+        self.pairs = pair_ranks(self.ranks)
+        self.single = [self.ranks[bytes((b,))] for b in range(256)]
+        self.twos = [self.ranks.get(bytes(divmod(x, 256)), -1) for x in range(1 << 16)]
+        self.words = [0] * ((size >> _BITS) + 1)
         self.findall = regex.compile(pattern).findall
-        self.pieces = Recent(self._piece)
-        self.chunks = Recent(self._chunk)
+        self.recent = Recent(self._piece, self._text)
 
     def _piece(self, piece: str) -> bytes:
-        return array("i", merge(piece.encode(), self.ranks, self.queue)).tobytes()
-
-    def _start(self, text: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.findall(text)))
+        data = piece.encode()
+        whole = self.ranks.get(data)
+        return array("i", [whole] if whole is not None else merge(data, self.single, self.twos, self.pairs, self.words)).tobytes()
 
-    def _chunk(self, chunk: str) -> bytes:
-        return self._start(" " + chunk)
+    def _text(self, text: str) -> bytes:
+        recent = self.recent
+        return b"".join([recent.spaced(p[1:]) if p[0] == " " and 1 < len(p) <= LONGEST_KEPT else recent.short(p) for p in self.findall(text)])
 
     def encode(self, text: str | None) -> bytes:
         """The ids as 32-bit integers in this machine's byte order."""
-        return encode_text(text or "", self._start, self.chunks)
+        return encode_text(text or "", self.recent)
 
     def decode(self, ids: list[int]) -> bytes | None:
         """The bytes; None if an id is not of the vocabulary."""

@@ -132,6 +132,16 @@ class Reader:
             at = until
 
 
+def _shown_bytes() -> dict[int, str]:
+    """How byte-level models write bytes: printable Latin-1 as itself, the others in order from U+0100."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = (b for b in range(256) if b not in plain)
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(others)}
+
+
+_SHOWN = _shown_bytes()
+
+
 class _Encoder:
     """A tokenizer of the tokenizers library. Where it is plain byte-level BPE,
     encodings of frequent chunks are kept; else whole texts are encoded."""
@@ -145,13 +155,17 @@ class _Encoder:
             spec = json.load(f)
         before = spec.get("pre_tokenizer") or {}
         self.local = spec.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
-        self.chunks = Recent(lambda chunk: self._ids(" " + chunk))
+        self.recent = Recent(self._ids, self._ids)
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of one pre-token, from the library's model without its splitting."""
+        return array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_SHOWN))]).tobytes()
 
     def _ids(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(encode_text(text, self._ids, self.chunks) if self.local else self._ids(text), np.uint32)
+        return np.frombuffer(encode_text(text, self.recent) if self.local else self._ids(text), np.uint32)
 
 
 @lru_cache(maxsize=4)

@@ -155,7 +155,7 @@ class _Encoder:
             spec = json.load(f)
         before = spec.get("pre_tokenizer") or {}
         self.local = spec.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
-        self.recent = Recent(self._ids, self._ids)
+        self.model, self.recent = self.tokenizer.model, Recent(self._piece if self.local else self._ids, self._ids)
 
     def _piece(self, piece: str) -> bytes:
         """Ids of one pre-token, from the library's model without its splitting."""

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, simhash, substring, tokenbin
+from . import bpe, mixing, simhash, substring, tokenbin, tokencounts, topk, toxicity, vectorgraph, warc
+from .storage import scratch_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +25,35 @@ def op2_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.read(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, chain, keep_text=False)
+    return scored.select("doc_id", "p_quality", "p_toxic", (F.col("p_toxic") >= toxicity.REJECT_FROM).alias("rejected"))
+
+
+def op4_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, files = warc.archive(_table(spark, sf_dir, "pages"))
+    records = warc.read_records(warc.read_index(files), keep_payload=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    counts = tokencounts.TokenCounts(spark, scratch_path(spark, "token-counts"))
+    words = tokencounts.matches("text", mixing.WORD)
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    load = tokencounts.counted(docs, words, "words-1").union(tokencounts.counted(docs, size, "bytes-1"))
+    counts.commit("load", load)
+    counts.commit("load", load)  # once more: nothing counts twice
+    split = tokencounts.matches("text", r"[^\x20\x09-\x0D']+")
+    counts.commit("recount-fr", tokencounts.counted(docs.where("lang = 'fr'"), split, "words-1"))
+    named = docs.select("doc_id", F.sha2("text", 256).alias("sha")).where("sha IS NOT NULL")
+    first = named.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    counts.commit("drop-copies", deletes=named.join(first, "sha").where("doc_id > first").select("doc_id"))
+    return counts.totals()
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decoded="decoded", keep_text=False)
@@ -31,6 +61,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(digits, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring.dedup(docs).select("doc_id", "removed", "removed_words", "kept_text")
@@ -42,6 +76,45 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.element_at("positions", F.when(F.size("positions") > 0, 1)).alias("first_position"))
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorgraph.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+OP4_SQL = """
+WITH hashed AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+firsts AS (SELECT hex, max(page_id) AS first FROM hashed GROUP BY hex)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         (((('0x' || substr(hex, ((i // 4) * 5 + 1)::INTEGER, 5))::INTEGER >> (15 - 5 * (i % 4))::INTEGER) & 31) + 1)::INTEGER, 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM hashed JOIN firsts USING (hex)
+"""
+
+OP5_SQL = r"""
+WITH kept AS (
+  SELECT * FROM documents d
+  WHERE text IS NULL OR doc_id IN (SELECT min(doc_id) FROM documents WHERE text IS NOT NULL GROUP BY text)),
+counted AS (
+  SELECT source, lang, 'words-1' AS version,
+         coalesce(len(regexp_extract_all(text, CASE WHEN lang = 'fr' THEN '[^\x20\x09-\x0D'']+' ELSE '[^\x20\x09-\x0D]+' END)), 0) AS n FROM kept
+  UNION ALL
+  SELECT source, lang, 'bytes-1', coalesce(octet_length(encode(text)), 0) FROM kept)
+SELECT source, lang, version, count(*)::BIGINT AS docs, sum(n)::BIGINT AS tokens FROM counted GROUP BY ALL
+"""
+
+OP7_SQL = """
+WITH ints AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256.0::DOUBLE * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM ints q JOIN ints c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
 OP9_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -73,12 +146,7 @@ FROM curve
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_simhash_near_dedup": op1_simhash_near_dedup,
-    "op2_token_id_files": op2_token_id_files,
-    "op6_byte_bpe": op6_byte_bpe,
-    "op8_substring_dedup": op8_substring_dedup,
-    "op9_mix_sources": op9_mix_sources,
-}
-ORACLE: dict[str, str] = {
-    "op9_mix_sources": OP9_SQL,
+    f.__name__: f
+    for f in (op1_simhash_near_dedup, op2_token_id_files, op3_toxicity, op4_warc_archive, op5_token_counts, op6_byte_bpe, op7_exact_top_k, op8_substring_dedup, op9_mix_sources, op10_embedding_near_dedup)
 }
+ORACLE: dict[str, str] = {"op4_warc_archive": OP4_SQL, "op5_token_counts": OP5_SQL, "op7_exact_top_k": OP7_SQL, "op9_mix_sources": OP9_SQL}

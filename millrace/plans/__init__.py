@@ -1,10 +1,6 @@
-"""Registry of queries: each plan module adds its own to ``QUERIES`` and ``ORACLE``."""
+"""Plans over the given tables: each registers its queries and their SQL."""
 
-from __future__ import annotations
+from . import answering, chunking, files, graphs, operations, retrieval, symbols
+from .registry import ORACLE, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES", "answering", "chunking", "files", "graphs", "operations", "retrieval", "symbols"]

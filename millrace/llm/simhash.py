@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .storage import settle
-from .words import shingle_blocks
+from .words import shingle_blocks, word_blocks
 
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _BYTE_AT = np.arange(8, dtype=np.int64) * 256
@@ -98,3 +98,159 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = 2, se
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: Wide fingerprints: INDEX_SEGMENTS segments of 32 bits over word pairs find candidates, VERIFY_BITS over shingles judge them.
+INDEX_SEGMENTS, VERIFY_BITS = 8, 512
+#: Slack of the verdict, in standard deviations of the distance that the similarity leads one to expect.
+SLACK = 1.3
+#: Buckets of up to this many fingerprints are joined pair by pair, larger ones in blocks.
+SMALL_BUCKET, BLOCK_ROWS = 16, 512
+_SALTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
+_TURNS = _SALTS * np.arange(1, len(_SALTS) + 1, dtype=np.uint64)
+
+
+def most_bits(similarity: float, bits: int = VERIFY_BITS, slack: float = SLACK) -> int:
+    """The Hamming distance up to which fingerprints of ``bits`` bits count as
+    having at least the given Jaccard similarity: that of the angle between two
+    sets of equal size, and ``slack`` standard deviations."""
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(bits * share + slack * np.sqrt(bits * share * (1 - share)))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the different runs of ``size`` word hashes (all words, if fewer)."""
+    size = max(1, min(size, len(words)))
+    total = np.zeros(max(0, len(words) - size + 1), np.uint64)
+    for j in range(size):
+        total += words[j : len(words) - size + 1 + j] * (_SALTS[j % len(_SALTS)] + np.uint64(2 * (j // len(_SALTS))))
+    return np.unique(_mixed(total))
+
+
+def wide_fingerprint(text: str | None, shingle: int = 5, index_longs: int = INDEX_SEGMENTS // 2, verify_longs: int = VERIFY_BITS // 64) -> list[int]:
+    """``index_longs`` integers over pairs of words, then ``verify_longs`` over shingles."""
+    from xxhash import xxh64_intdigest
+
+    hashes = [xxh64_intdigest(w) for block in word_blocks(text) for w in block]
+    words = np.array(hashes, np.uint64)
+    out = []
+    for size, longs in ((2, index_longs), (shingle, verify_longs)):
+        features = _shingle_hashes(words, size)
+        for i in range(longs):
+            out.append(majority(bit_counts(_mixed(features + _TURNS[i % len(_TURNS)])), len(features)))
+    return out
+
+
+def _wide(docs: DataFrame, shingle: int) -> DataFrame:
+    names = [f"i{k}" for k in range(INDEX_SEGMENTS // 2)] + [f"s{k}" for k in range(VERIFY_BITS // 64)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.array([wide_fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.int64).reshape(-1, len(names))
+            yield pa.record_batch([batch.column(0), *(pa.array(fps[:, k]) for k in range(len(names)))], names=["doc_id", *names])
+
+    return docs.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+
+
+def _span(ids: np.ndarray, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A star of each connected group of the links (u, v) between places of ``ids``."""
+    label = np.arange(len(ids))
+    while True:
+        new = label.copy()
+        np.minimum.at(new, u, label[v])
+        np.minimum.at(new, v, label[u])
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    linked = np.flatnonzero(label != np.arange(len(ids)))
+    return ids[label[linked]], ids[linked]
+
+
+def _block_links(found: DataFrame, most: int) -> DataFrame:
+    """Links within large buckets: each is cut into blocks of bounded size, blocks
+    meet in pairs, and each meeting returns a star of every group it links."""
+    verify = [f"s{k}" for k in range(VERIFY_BITS // 64)]
+    parts = F.ceil(F.col("n") / BLOCK_ROWS)
+    placed = found.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")))
+
+    def pack(table: pa.Table) -> pa.Table:
+        bits = np.stack([table.column(c).to_numpy() for c in verify], axis=1)
+        row = {"point": table.column("point")[0].as_py(), "part": table.column("part")[0].as_py(), "parts": table.column("parts")[0].as_py(), "ids": table.column("cls").to_numpy().tobytes(), "bits": bits.tobytes()}
+        return pa.Table.from_pylist([row], schema=pa.schema([("point", pa.int64()), ("part", pa.int64()), ("parts", pa.int64()), ("ids", pa.binary()), ("bits", pa.binary())]))
+
+    blocks = settle(placed.select("point", "part", "parts", "cls", *verify).groupBy("point", "part").applyInArrow(pack, "point long, part long, parts long, ids binary, bits binary"), "fingerprint-blocks")
+    right = blocks.select("point", F.col("part").alias("other"), F.col("ids").alias("r_ids"), F.col("bits").alias("r_bits"))
+    met = blocks.select("point", "part", "ids", "bits", F.explode(F.sequence("part", F.col("parts") - 1)).alias("other")).join(right, ["point", "other"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.select(["ids", "bits", "r_ids", "r_bits"]).to_pylist():
+                a, b = (np.frombuffer(row[c], np.int64) for c in ("ids", "r_ids"))
+                x, y = (np.frombuffer(row[c], np.uint64).reshape(-1, len(verify)) for c in ("bits", "r_bits"))
+                apart = np.zeros((len(a), len(b)), np.int64)
+                for k in range(len(verify)):
+                    apart += np.bitwise_count(x[:, k, None] ^ y[None, :, k])
+                u, v = np.nonzero((apart <= most) & (a[:, None] != b[None, :]))
+                ids, place = np.unique(np.concatenate((a, b)), return_inverse=True)
+                c, d = _span(ids, place[u], place[len(a) + v])
+                if len(c):
+                    yield pa.record_batch([pa.array(c), pa.array(d)], names=["a", "b"])
+
+    return met.mapInArrow(compare, "a long, b long")
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, component_id), one row for each row of ``docs``: groups whose members
+    are linked by sets of ``shingle``-word shingles of about ``similarity`` or more.
+
+    A distance that far would need balls too large to enumerate, so the index is
+    over pairs of words, of which similar texts share still more. Where such texts
+    differ by a few words, one of its eight segments differs by two bits or fewer
+    almost surely; each fingerprint enumerates the ball of radius one around each
+    segment, what meets in a point is a candidate, and the complete distance of
+    the shingle fingerprints decides. Equal fingerprints are made one first.
+    Null and empty texts are alike; nulls and repeats of doc_id as in
+    ``near_duplicates``. An empty table gives no row.
+    """
+    most = most_bits(similarity)
+    index, verify = [f"i{k}" for k in range(INDEX_SEGMENTS // 2)], [f"s{k}" for k in range(VERIFY_BITS // 64)]
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    fps = settle(_wide(rows, shingle), "wide-fingerprints")
+    classes = fps.groupBy(*index, *verify).agg(F.min("doc_id").alias("first"))
+    classes = settle(classes.withColumn("cls", F.monotonically_increasing_id()), "fingerprint-classes")
+    half = (1 << 32) - 1
+    points = []
+    for s in range(INDEX_SEGMENTS):
+        value = F.shiftrightunsigned(F.col(index[s // 2]), 32) if s % 2 else F.col(index[s // 2]).bitwiseAND(F.lit(half).cast("long"))
+        own = value.bitwiseOR(F.lit(s << 32).cast("long"))
+        points.append(F.transform(F.sequence(F.lit(-1), F.lit(31)), lambda p, own=own: F.when(p < 0, own).otherwise(own.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(p, F.lit(0)))))))
+    probes = classes.select("cls", F.explode(F.concat(*points)).alias("point"))
+    shared = probes.groupBy("point").agg(F.count("*").alias("n")).where("n > 1")
+    members = settle(probes.join(shared, "point"), "bucket-members")
+    small = members.where(F.col("n") <= SMALL_BUCKET)
+    pairs = small.select("point", F.col("cls").alias("a")).join(small.select("point", F.col("cls").alias("b")), "point").where("a < b").select("a", "b").distinct()
+    left = classes.select(F.col("cls").alias("a"), *[F.col(c).alias("a" + c) for c in verify])
+    right = classes.select(F.col("cls").alias("b"), *[F.col(c).alias("b" + c) for c in verify])
+    apart = sum((F.bit_count(F.col("a" + c).bitwiseXOR(F.col("b" + c))) for c in verify), F.lit(0))
+    near = pairs.join(left, "a").join(right, "b").where(apart <= most).select("a", "b")
+    large = members.where(F.col("n") > SMALL_BUCKET).join(classes.select("cls", *verify), "cls")
+    joined = components(settle(near.union(_block_links(large, most)).distinct(), "near-links"))
+    rooted = classes.join(joined, classes.cls == joined.node, "left").select(*index, *verify, "first", F.coalesce("component", "cls").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = rooted.join(least, "root").select(*index, *verify, "component_id")
+    return fps.join(named, index + verify).select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one document of each group of similar ones: that of the smallest
+    doc_id, with every row that bears it. Rows without doc_id all stay."""
+    groups = similar_documents(docs, shingle, similarity, doc_id, text)
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col(f"`{doc_id}`") == F.col("_gone"), "left_anti")

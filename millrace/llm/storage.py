@@ -1,8 +1,4 @@
-"""Shared scratch space: tables that cut lineage, and binary files that tasks write.
-
-Everything goes below ``spark.checkpoint.dir`` (the folder a cluster shares);
-the warehouse is used only where that setting is absent, as in bare tests.
-"""
+"""Binary files that tasks write to and read from the shared folder."""
 
 from __future__ import annotations
 
@@ -10,24 +6,9 @@ import os
 import uuid
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path in the folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
+from ..sources.scratch import scratch_path, settle
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as a shared Parquet table and return the table: later
-    steps neither recompute it nor depend on any executor's memory or disk."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["filesystem", "new_file_name", "scratch_path", "settle"]
 
 
 def filesystem(uri: str):

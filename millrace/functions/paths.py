@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -101,10 +103,9 @@ def in_ignored_directory(path: Column) -> Column:
 
 
 def any_of(text: Column, marks: list[str], how: str = "contains") -> Column:
-    out = F.lit(False)
-    for m in marks:
-        out = out | getattr(text, how)(m)
-    return out
+    """Whether the text contains, starts with or ends with one of the marks."""
+    one = "(?:" + "|".join(re.escape(m) for m in marks) + ")"
+    return text.rlike({"contains": one, "startswith": "^" + one, "endswith": one + r"\z"}[how])
 
 
 def exclusion_reason(path: Column, size: Column, ignored: Column | None = None, most: int = MAX_FILE_BYTES) -> Column:

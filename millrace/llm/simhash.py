@@ -100,8 +100,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = 2, se
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Wide fingerprints: INDEX_SEGMENTS segments of 32 bits over word pairs find candidates, VERIFY_BITS over shingles judge them.
-INDEX_SEGMENTS, VERIFY_BITS = 8, 512
+#: Wide fingerprints: INDEX_SEGMENTS segments of 32 bits over single words find candidates, VERIFY_BITS over shingles judge them.
+INDEX_SEGMENTS, VERIFY_BITS = 4, 512
+#: The index leaves out words of fewer bytes, which all texts of a language share, where at least FEW longer ones are left.
+LONG_WORD, FEW = 5, 8
 #: Slack of the verdict, in standard deviations of the distance that the similarity leads one to expect.
 SLACK = 1.3
 #: Buckets of up to this many fingerprints are joined pair by pair, larger ones in blocks.
@@ -134,14 +136,19 @@ def _shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
 
 
 def wide_fingerprint(text: str | None, shingle: int = 5, index_longs: int = INDEX_SEGMENTS // 2, verify_longs: int = VERIFY_BITS // 64) -> list[int]:
-    """``index_longs`` integers over pairs of words, then ``verify_longs`` over shingles."""
+    """``index_longs`` integers over single words, then ``verify_longs`` over shingles."""
     from xxhash import xxh64_intdigest
 
-    hashes = [xxh64_intdigest(w) for block in word_blocks(text) for w in block]
+    hashes, long = [], []
+    for block in word_blocks(text):
+        hashes += map(xxh64_intdigest, block)
+        long += [len(w) >= LONG_WORD for w in block]
     words = np.array(hashes, np.uint64)
+    named = _shingle_hashes(words[np.array(long, bool)], 1)
+    if len(named) < FEW:
+        named = _shingle_hashes(words, 1)
     out = []
-    for size, longs in ((2, index_longs), (shingle, verify_longs)):
-        features = _shingle_hashes(words, size)
+    for features, longs in ((named, index_longs), (_shingle_hashes(words, shingle), verify_longs)):
         for i in range(longs):
             out.append(majority(bit_counts(_mixed(features + _TURNS[i % len(_TURNS)])), len(features)))
     return out
@@ -206,13 +213,21 @@ def _block_links(found: DataFrame, most: int) -> DataFrame:
     return met.mapInArrow(compare, "a long, b long")
 
 
+def _segment_ball(long, segment: int):
+    """Array of the points within one bit of a 32-bit segment, marked with its number."""
+    value = F.shiftrightunsigned(long, 32) if segment % 2 else long.bitwiseAND(F.lit((1 << 32) - 1).cast("long"))
+    own = value.bitwiseOR(F.lit(segment << 32).cast("long"))
+    flips = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda bit: own.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit)))
+    return F.concat(F.array(own), flips)
+
+
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, component_id), one row for each row of ``docs``: groups whose members
     are linked by sets of ``shingle``-word shingles of about ``similarity`` or more.
 
     A distance that far would need balls too large to enumerate, so the index is
-    over pairs of words, of which similar texts share still more. Where such texts
-    differ by a few words, one of its eight segments differs by two bits or fewer
+    over single words, of which similar texts share still more. Where such texts
+    differ by a few words, one of its four segments differs by two bits or fewer
     almost surely; each fingerprint enumerates the ball of radius one around each
     segment, what meets in a point is a candidate, and the complete distance of
     the shingle fingerprints decides. Equal fingerprints are made one first.
@@ -225,13 +240,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     fps = settle(_wide(rows, shingle), "wide-fingerprints")
     classes = fps.groupBy(*index, *verify).agg(F.min("doc_id").alias("first"))
     classes = settle(classes.withColumn("cls", F.monotonically_increasing_id()), "fingerprint-classes")
-    half = (1 << 32) - 1
-    points = []
-    for s in range(INDEX_SEGMENTS):
-        value = F.shiftrightunsigned(F.col(index[s // 2]), 32) if s % 2 else F.col(index[s // 2]).bitwiseAND(F.lit(half).cast("long"))
-        own = value.bitwiseOR(F.lit(s << 32).cast("long"))
-        points.append(F.transform(F.sequence(F.lit(-1), F.lit(31)), lambda p, own=own: F.when(p < 0, own).otherwise(own.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(p, F.lit(0)))))))
-    probes = classes.select("cls", F.explode(F.concat(*points)).alias("point"))
+    probes = classes.select("cls", F.explode(F.concat(*[_segment_ball(F.col(index[k // 2]), k) for k in range(INDEX_SEGMENTS)])).alias("point"))
     shared = probes.groupBy("point").agg(F.count("*").alias("n")).where("n > 1")
     members = settle(probes.join(shared, "point"), "bucket-members")
     small = members.where(F.col("n") <= SMALL_BUCKET)

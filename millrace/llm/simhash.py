@@ -240,9 +240,11 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     fps = settle(_wide(rows, shingle), "wide-fingerprints")
     classes = fps.groupBy(*index, *verify).agg(F.min("doc_id").alias("first"))
     classes = settle(classes.withColumn("cls", F.monotonically_increasing_id()), "fingerprint-classes")
-    probes = classes.select("cls", F.explode(F.concat(*[_segment_ball(F.col(index[k // 2]), k) for k in range(INDEX_SEGMENTS)])).alias("point"))
-    shared = probes.groupBy("point").agg(F.count("*").alias("n")).where("n > 1")
-    members = settle(probes.join(shared, "point"), "bucket-members")
+    spread = classes.select("cls", *index).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    probes = spread.select("cls", F.explode(F.concat(*[_segment_ball(F.col(index[k // 2]), k) for k in range(INDEX_SEGMENTS)])).alias("point"))
+    # Nearly all points are met once, so a map-side count would only hold them in memory. A point
+    # has one row at most for each fingerprint, of the 132 that each writes.
+    members = settle(probes.withColumn("n", F.count("*").over(Window.partitionBy("point"))).where("n > 1"), "bucket-members")
     small = members.where(F.col("n") <= SMALL_BUCKET)
     pairs = small.select("point", F.col("cls").alias("a")).join(small.select("point", F.col("cls").alias("b")), "point").where("a < b").select("a", "b").distinct()
     left = classes.select(F.col("cls").alias("a"), *[F.col(c).alias("a" + c) for c in verify])

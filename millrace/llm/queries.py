@@ -29,7 +29,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     chain = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs, chain, keep_text=False)
-    return scored.select("doc_id", "p_quality", "p_toxic", (F.col("p_toxic") >= toxicity.REJECT_FROM).alias("rejected"))
+    return scored.select("doc_id", "p_quality", "p_toxic", (F.col("p_toxic") >= chain.thresholds["toxic"]).alias("rejected"))
 
 
 def op4_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,16 +23,18 @@ from pyspark.sql import types as T
 from .storage import settle
 
 #: Bounds of the fit: labelled rows (those of least id hash) and words (most frequent first).
-SAMPLE_ROWS, VOCABULARY, MIN_DOCS = 10_000, 20_000, 5
+SAMPLE_ROWS, VOCABULARY, MIN_DOCS = 10_000, 30_000, 5
 FOLDS = 3
-#: Documents of this toxic probability or more are rejected.
-REJECT_FROM = 0.5
+#: Weight of the Gaussian prior against one row.
+PRIOR = 10.0
+#: Beginnings of words of these lengths are features as well: they tell forms and compounds of a word.
+BEGINNINGS = (4, 5)
 _WORD = re.compile(r"\w+")
 _SEGMENT = 4 << 20
 
 
 def word_set(text: str | None) -> set[str]:
-    """The different lower-case words of a whole text."""
+    """The different lower-case words of a whole text, and the beginnings of the longer ones."""
     text, found, at = text or "", set(), 0
     while at < len(text):
         end = len(text)
@@ -41,9 +43,25 @@ def word_set(text: str | None) -> set[str]:
             end = cut if cut > 0 else end
         found.update(_WORD.findall(text[at:end].lower()))
         at = end
+    for n in BEGINNINGS:
+        found |= {"^" + w[:n] for w in found if len(w) > n and w[0] != "^"}
     return found
 
 
+def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
+    """The probability from which to say yes: that of the best F1 on out-of-fold
+    predictions, half-way to the next lower one; one half where one class is missing."""
+    if not len(y) or y.min() == y.max():
+        return 0.5
+    order = np.argsort(-p, kind="stable")
+    p, y = p[order], y[order]
+    hits = np.cumsum(y)
+    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
+    f1[:-1][p[:-1] == p[1:]] = 0  # equal probabilities stand or fall together
+    i = int(f1.argmax())
+    return float((p[i] + (p[i + 1] if i + 1 < len(p) else 0.0)) / 2)
+
+
 @dataclass
 class Logistic:
     """Weights of words, of earlier probabilities (as log-odds) and a constant."""
@@ -68,8 +86,8 @@ def probability(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_logistic(held: list[np.ndarray], before: np.ndarray, y: np.ndarray, words: int, rounds: int = 120, l2: float = 1e-4) -> Logistic:
-    """Ridge logistic regression by full-batch Adam. Rows of one class only give
+def fit_logistic(held: list[np.ndarray], before: np.ndarray, y: np.ndarray, words: int, rounds: int = 250) -> Logistic:
+    """Logistic regression with a Gaussian prior, by full-batch Adam with falling steps. Rows of one class only give
     a constant: zero if none is positive, else the smoothed share."""
     n, k = len(y), before.shape[1]
     if not n or y.min() == y.max():
@@ -84,19 +102,20 @@ def fit_logistic(held: list[np.ndarray], before: np.ndarray, y: np.ndarray, word
         z = np.bincount(rows, theta[at], minlength=n) + before @ theta[words : words + k] + theta[-1]
         error = (probability(z) - y) / n
         g = np.concatenate((np.bincount(at, error[rows], minlength=words), before.T @ error, [error.sum()]))
-        g[:-1] += l2 * theta[:-1]
+        g[:-1] += theta[:-1] * PRIOR / n
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        theta -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        theta -= 0.1 * min(1.0, 2 - 2 * t / (rounds + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return Logistic(theta[:words], theta[words : words + k], float(theta[-1]))
 
 
 @dataclass
 class Chain:
-    """Fitted chain: the vocabulary and one model a category, in order."""
+    """Fitted chain: the vocabulary, and one model and one threshold a category, in order."""
 
     categories: list[str]
     vocabulary: dict[str, int]
     models: list[Logistic] = field(default_factory=list)
+    thresholds: dict[str, float] = field(default_factory=dict)
 
     def places(self, text: str | None) -> np.ndarray:
         get = self.vocabulary.get
@@ -140,25 +159,25 @@ def fit(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("qual
             found = [[i for w in ws if (i := get(w)) is not None] for ws in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(pa.int32())), *batch.columns[2:]], names=["id", "places", *(f"y{i}" for i in range(len(categories)))])
 
-    held_rows = sample.mapInArrow(places, "id long, places array<int>, " + ", ".join(f"y{i} int" for i in range(len(categories)))).orderBy("id").collect()
-    held = [np.array(r.places, np.int64) for r in held_rows]
-    fold = np.arange(len(held)) % folds
+    placed = sample.mapInArrow(places, "id long, places array<int>, " + ", ".join(f"y{i} int" for i in range(len(categories)))).orderBy("id").toArrow().combine_chunks()
+    lists = placed.column("places").combine_chunks()
+    held = np.split(lists.flatten().to_numpy(), lists.offsets.to_numpy()[1:-1] - lists.offsets.to_numpy()[0]) if placed.num_rows else []
+    fold = np.random.default_rng(0).permutation(len(held)) % folds  # ids may be periodic
     before = np.zeros((len(held), 0))
     for i in range(len(categories)):
-        y = np.array([np.nan if r[f"y{i}"] is None else float(r[f"y{i}"] > 0) for r in held_rows])
+        y = np.array([np.nan if v is None else float(v > 0) for v in placed.column(f"y{i}").to_pylist()])
         given = ~np.isnan(y)
 
         def fit_on(mask: np.ndarray) -> Logistic:
             return fit_logistic([held[j] for j in np.flatnonzero(mask)], before[mask], y[mask], len(known))
 
-        if i + 1 < len(categories):
-            out_of_fold = np.zeros(len(held))
-            for f in range(folds):
-                model, rest = fit_on(given & (fold != f)), fold == f
-                out_of_fold[rest] = probability(model.odds([held[j] for j in np.flatnonzero(rest)], before[rest]))
+        out_of_fold = np.zeros(len(held))
+        for f in range(folds):
+            model, rest = fit_on(given & (fold != f)), fold == f
+            out_of_fold[rest] = probability(model.odds([held[j] for j in np.flatnonzero(rest)], before[rest]))
+        chain.thresholds[categories[i]] = best_threshold(out_of_fold[given], y[given])
         chain.models.append(fit_on(given))
-        if i + 1 < len(categories):
-            before = np.column_stack((before, log_odds(out_of_fold)))
+        before = np.column_stack((before, log_odds(out_of_fold)))
     return chain
 
 

@@ -28,6 +28,10 @@ _BITS = 8
 _MASK = (1 << _BITS) - 1
 
 
+#: Encodings of chunks that a worker keeps, and rows that it encodes at a time.
+KEPT, ROWS = 250_000, 512
+
+
 def pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:
     """Rank of each pair of tokens that joins to a token, under ``left << 32 | right``."""
     out = {}
@@ -136,7 +140,7 @@ class Codec:
         self.twos = [self.ranks.get(bytes(divmod(x, 256)), -1) for x in range(1 << 16)]
         self.words = [0] * ((size >> _BITS) + 1)
         self.findall = regex.compile(pattern).findall
-        self.recent = Recent(self._piece, self._text)
+        self.recent = Recent(self._piece, self._text, KEPT)
 
     def _piece(self, piece: str) -> bytes:
         data = piece.encode()
@@ -191,12 +195,13 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks_path, pattern)
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             encoded = [c.encode(t.as_py()) for t in batch.column(text)]
             columns = [batch.column(k) for k in kept] + [_id_lists(encoded)]
             if decoded:
                 columns.append(pa.array([c.decode(np.frombuffer(x, np.int32).tolist()) for x in encoded], pa.binary()))
             yield pa.record_batch(columns, names=kept + [f.name for f in new])
+        c.recent.old = {}
 
     return docs.mapInArrow(run, schema)
 

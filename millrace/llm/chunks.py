@@ -44,7 +44,10 @@ class Recent(dict):
                     return self[lines[1]] + self.short("\n") + self.short(lines[2]) + (self.short(lines[3]) if lines[3] else b"")
                 value = self.text(" " + chunk)
             elif word[2]:
+                known = word[1] in self or word[1] in self.old
                 value = self[word[1]] + self.short(word[2])
+                if not known:  # a new word rarely comes back with the same marks
+                    return value
             else:
                 value = self.piece(" " + chunk)
         return self._keep(chunk, value)

@@ -12,6 +12,7 @@ keeps every connection without listing the pairs of a crowded group.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -100,16 +101,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = 2, se
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Wide fingerprints: INDEX_SEGMENTS segments of 32 bits over single words find candidates, VERIFY_BITS over shingles judge them.
-INDEX_SEGMENTS, VERIFY_BITS = 4, 512
-#: The index leaves out words of fewer bytes, which all texts of a language share, where at least FEW longer ones are left.
-LONG_WORD, FEW = 5, 8
-#: Slack of the verdict, in standard deviations of the distance that the similarity leads one to expect.
-SLACK = 1.3
-#: Buckets of up to this many fingerprints are joined pair by pair, larger ones in blocks.
-SMALL_BUCKET, BLOCK_ROWS = 16, 512
+#: Index: BANDS keys of BAND_ROWS least hashes each. Texts of Jaccard 0.8 share no key with chance (1 - 0.8 ** 6) ** 32, 6 in 100,000.
+BANDS, BAND_ROWS = 32, 6
+#: Fingerprints over shingles reject candidates before their sets are compared: above SLACK standard
+#: deviations of the distance that the similarity leads one to expect, and only from ENOUGH shingles on.
+VERIFY_BITS, SLACK, ENOUGH = 512, 5.0, 64
+#: Buckets of up to this many texts are joined pair by pair, larger ones in blocks of bounded rows and shingles.
+SMALL_BUCKET, BLOCK_ROWS, BLOCK_SHINGLES = 16, 512, 1 << 19
 _SALTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 _TURNS = _SALTS * np.arange(1, len(_SALTS) + 1, dtype=np.uint64)
+_VERIFY = [f"s{k}" for k in range(VERIFY_BITS // 64)]
 
 
 def most_bits(similarity: float, bits: int = VERIFY_BITS, slack: float = SLACK) -> int:
@@ -135,128 +136,163 @@ def _shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return np.unique(_mixed(total))
 
 
-def wide_fingerprint(text: str | None, shingle: int = 5, index_longs: int = INDEX_SEGMENTS // 2, verify_longs: int = VERIFY_BITS // 64) -> list[int]:
-    """``index_longs`` integers over single words, then ``verify_longs`` over shingles."""
+_MASKS, _FACTORS = (_mixed(np.arange(k, k + BANDS * BAND_ROWS, dtype=np.uint64)) for k in (1, 1 << 32))
+_FACTORS |= np.uint64(1)
+
+
+def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
+    """Sorted hashes of the different shingles of a text."""
     from xxhash import xxh64_intdigest
 
-    hashes, long = [], []
+    hashes: list[int] = []
     for block in word_blocks(text):
         hashes += map(xxh64_intdigest, block)
-        long += [len(w) >= LONG_WORD for w in block]
-    words = np.array(hashes, np.uint64)
-    named = _shingle_hashes(words[np.array(long, bool)], 1)
-    if len(named) < FEW:
-        named = _shingle_hashes(words, 1)
-    out = []
-    for features, longs in ((named, index_longs), (_shingle_hashes(words, shingle), verify_longs)):
-        for i in range(longs):
-            out.append(majority(bit_counts(_mixed(features + _TURNS[i % len(_TURNS)])), len(features)))
-    return out
+    return _shingle_hashes(np.array(hashes, np.uint64), shingle)
+
+
+def band_keys(features: np.ndarray) -> np.ndarray:
+    """One key a band: of the least values of the features under BAND_ROWS hashes."""
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(features), 512):
+        np.minimum(least, ((features[at : at + 512, None] ^ _MASKS) * _FACTORS).min(axis=0), out=least)
+    rows = _mixed(least).reshape(BANDS, BAND_ROWS) * _SALTS[:BAND_ROWS]
+    return _mixed(rows.sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+
+
+def wide_fingerprint(features: np.ndarray) -> list[int]:
+    """VERIFY_BITS bits over the features, as 64-bit integers."""
+    return [majority(bit_counts(_mixed(features + _TURNS[i])), len(features)) for i in range(len(_VERIFY))]
+
+
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether the Jaccard similarity of two sorted sets is at least ``similarity``."""
+    both = len(a) + len(b) - len(np.union1d(a, b))
+    return both >= similarity * (len(a) + len(b) - both) - 1e-9
 
 
 def _wide(docs: DataFrame, shingle: int) -> DataFrame:
-    names = [f"i{k}" for k in range(INDEX_SEGMENTS // 2)] + [f"s{k}" for k in range(VERIFY_BITS // 64)]
+    """(doc_id, d1, d2, size, bands, s0.., shingles): digest, size, index keys, fingerprint and hashes of each row's set."""
+    kinds = {"doc_id": pa.int64(), "d1": pa.int64(), "d2": pa.int64(), "size": pa.int64(), "bands": pa.list_(pa.int64()), **dict.fromkeys(_VERIFY, pa.int64()), "shingles": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([wide_fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.int64).reshape(-1, len(names))
-            yield pa.record_batch([batch.column(0), *(pa.array(fps[:, k]) for k in range(len(names)))], names=["doc_id", *names])
-
-    return docs.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
-
-
-def _span(ids: np.ndarray, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A star of each connected group of the links (u, v) between places of ``ids``."""
-    label = np.arange(len(ids))
-    while True:
-        new = label.copy()
-        np.minimum.at(new, u, label[v])
-        np.minimum.at(new, v, label[u])
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    linked = np.flatnonzero(label != np.arange(len(ids)))
-    return ids[label[linked]], ids[linked]
-
-
-def _block_links(found: DataFrame, most: int) -> DataFrame:
-    """Links within large buckets: each is cut into blocks of bounded size, blocks
-    meet in pairs, and each meeting returns a star of every group it links."""
-    verify = [f"s{k}" for k in range(VERIFY_BITS // 64)]
-    parts = F.ceil(F.col("n") / BLOCK_ROWS)
-    placed = found.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")))
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                rows = []
+                for t in part.column(1):
+                    features = shingle_set(t.as_py(), shingle)
+                    data = features.tobytes()
+                    digest = np.frombuffer(blake2b(data, digest_size=16).digest(), np.int64).tolist()
+                    rows.append((*digest, len(features), band_keys(features), *wide_fingerprint(features), data))
+                columns = zip(*rows) if rows else [[]] * (len(kinds) - 1)
+                yield pa.record_batch([part.column(0), *(pa.array(c, k) for c, k in zip(columns, list(kinds.values())[1:]))], names=list(kinds))
+
+    return docs.mapInArrow(run, "doc_id long, d1 long, d2 long, size long, bands array<long>, " + ", ".join(f"{n} long" for n in _VERIFY) + ", shingles binary")
+
+
+def _exact(pairs: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of the rows (a, b, a_set, b_set) whose sets are similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = zip(batch.column(2), batch.column(3))
+            ok = [alike(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), similarity) for x, y in sets]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return pairs.select("a", "b", "a_set", "b_set").mapInArrow(run, "a long, b long")
+
+
+def _block_links(found: DataFrame, similarity: float, most: int) -> DataFrame:
+    """Links between the labels of large buckets: (point, parts, cls, label, size, s0.., shingles)
+    is cut into blocks, blocks meet in pairs, and each meeting returns links that
+    connect all it can: nearest fingerprints first, sets compared where not yet connected."""
+    names = ["ids", "labels", "sizes", "bits", "sets"]
+    kinds = pa.schema([("point", pa.int64()), ("part", pa.int64()), ("parts", pa.int64()), *((c, pa.binary()) for c in names)])
 
     def pack(table: pa.Table) -> pa.Table:
-        bits = np.stack([table.column(c).to_numpy() for c in verify], axis=1)
-        row = {"point": table.column("point")[0].as_py(), "part": table.column("part")[0].as_py(), "parts": table.column("parts")[0].as_py(), "ids": table.column("cls").to_numpy().tobytes(), "bits": bits.tobytes()}
-        return pa.Table.from_pylist([row], schema=pa.schema([("point", pa.int64()), ("part", pa.int64()), ("parts", pa.int64()), ("ids", pa.binary()), ("bits", pa.binary())]))
+        bits = np.stack([table.column(c).to_numpy() for c in _VERIFY], axis=1)
+        row = {c: table.column(c)[0].as_py() for c in ("point", "part", "parts")}
+        row |= {k: table.column(c).to_numpy().tobytes() for k, c in (("ids", "cls"), ("labels", "label"), ("sizes", "size"))}
+        return pa.Table.from_pylist([row | {"bits": bits.tobytes(), "sets": b"".join(table.column("shingles").to_pylist())}], schema=kinds)
 
-    blocks = settle(placed.select("point", "part", "parts", "cls", *verify).groupBy("point", "part").applyInArrow(pack, "point long, part long, parts long, ids binary, bits binary"), "fingerprint-blocks")
-    right = blocks.select("point", F.col("part").alias("other"), F.col("ids").alias("r_ids"), F.col("bits").alias("r_bits"))
-    met = blocks.select("point", "part", "ids", "bits", F.explode(F.sequence("part", F.col("parts") - 1)).alias("other")).join(right, ["point", "other"])
+    placed = found.withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")))
+    blocks = settle(placed.groupBy("point", "part").applyInArrow(pack, "point long, part long, parts long, " + ", ".join(f"{c} binary" for c in names)), "shingle-blocks")
+    right = blocks.select("point", F.col("part").alias("other"), *[F.col(c).alias("r_" + c) for c in names])
+    met = blocks.select("point", *names, F.explode(F.sequence("part", F.col("parts") - 1)).alias("other")).join(right, ["point", "other"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.select(["ids", "bits", "r_ids", "r_bits"]).to_pylist():
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
                 a, b = (np.frombuffer(row[c], np.int64) for c in ("ids", "r_ids"))
-                x, y = (np.frombuffer(row[c], np.uint64).reshape(-1, len(verify)) for c in ("bits", "r_bits"))
+                n, m = (np.frombuffer(row[c], np.int64) for c in ("sizes", "r_sizes"))
+                x, y = (np.frombuffer(row[c], np.uint64).reshape(-1, len(_VERIFY)) for c in ("bits", "r_bits"))
+                s, t = (np.split(np.frombuffer(row[c], np.uint64), np.cumsum(k)[:-1]) for c, k in (("sets", n), ("r_sets", m)))
+                _, group = np.unique(np.concatenate([np.frombuffer(row[c], np.int64) for c in ("labels", "r_labels")]), return_inverse=True)
                 apart = np.zeros((len(a), len(b)), np.int64)
-                for k in range(len(verify)):
+                for k in range(len(_VERIFY)):
                     apart += np.bitwise_count(x[:, k, None] ^ y[None, :, k])
-                u, v = np.nonzero((apart <= most) & (a[:, None] != b[None, :]))
-                ids, place = np.unique(np.concatenate((a, b)), return_inverse=True)
-                c, d = _span(ids, place[u], place[len(a) + v])
-                if len(c):
-                    yield pa.record_batch([pa.array(c), pa.array(d)], names=["a", "b"])
-
-    return met.mapInArrow(compare, "a long, b long")
-
+                less, more = np.minimum(n[:, None], m[None, :]), np.maximum(n[:, None], m[None, :])
+                u, v = np.nonzero((group[: len(a), None] != group[None, len(a) :]) & (less >= similarity * more - 1e-9) & ((apart <= most) | (less < ENOUGH)))
+                order = np.argsort(apart[u, v], kind="stable")
+                links: tuple[list, list] = ([], [])
+                for i_, j in zip(u[order].tolist(), v[order].tolist()):
+                    if group[i_] != group[len(a) + j] and alike(s[i_], t[j], similarity):
+                        links[0].append(int(a[i_]))
+                        links[1].append(int(b[j]))
+                        group[group == group[len(a) + j]] = group[i_]
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in links], names=["a", "b"])
 
-def _segment_ball(long, segment: int):
-    """Array of the points within one bit of a 32-bit segment, marked with its number."""
-    value = F.shiftrightunsigned(long, 32) if segment % 2 else long.bitwiseAND(F.lit((1 << 32) - 1).cast("long"))
-    own = value.bitwiseOR(F.lit(segment << 32).cast("long"))
-    flips = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda bit: own.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit)))
-    return F.concat(F.array(own), flips)
+    return met.drop("point", "other").mapInArrow(compare, "a long, b long")
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, component_id), one row for each row of ``docs``: groups whose members
-    are linked by sets of ``shingle``-word shingles of about ``similarity`` or more.
-
-    A distance that far would need balls too large to enumerate, so the index is
-    over single words, of which similar texts share still more. Where such texts
-    differ by a few words, one of its four segments differs by two bits or fewer
-    almost surely; each fingerprint enumerates the ball of radius one around each
-    segment, what meets in a point is a candidate, and the complete distance of
-    the shingle fingerprints decides. Equal fingerprints are made one first.
+    are linked by sets of ``shingle``-word shingles of Jaccard ``similarity`` or more.
+
+    A distance that far is about a seventh of a SimHash's bits, too far for balls
+    or segments. The index is therefore over bands of least hashes of the
+    shingles, whose chance to miss a pair depends on its similarity alone and not
+    on the kind of edit. What meets in a band is a candidate; SimHash distances
+    far beyond the line reject, and the sets themselves decide. Equal sets are
+    made one first. Large buckets first meet their smallest member; those that
+    this does not connect are compared in blocks.
     Null and empty texts are alike; nulls and repeats of doc_id as in
     ``near_duplicates``. An empty table gives no row.
     """
     most = most_bits(similarity)
-    index, verify = [f"i{k}" for k in range(INDEX_SEGMENTS // 2)], [f"s{k}" for k in range(VERIFY_BITS // 64)]
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    fps = settle(_wide(rows, shingle), "wide-fingerprints")
-    classes = fps.groupBy(*index, *verify).agg(F.min("doc_id").alias("first"))
-    classes = settle(classes.withColumn("cls", F.monotonically_increasing_id()), "fingerprint-classes")
-    spread = classes.select("cls", *index).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    probes = spread.select("cls", F.explode(F.concat(*[_segment_ball(F.col(index[k // 2]), k) for k in range(INDEX_SEGMENTS)])).alias("point"))
+    fps = settle(_wide(rows, shingle).withColumn("uid", F.monotonically_increasing_id()), "wide-fingerprints")
+    classes = settle(fps.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.min("uid").alias("cls")), "shingle-classes")
+    spread = fps.select(F.col("uid").alias("cls"), "bands").join(classes.select("cls"), "cls").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # Nearly all points are met once, so a map-side count would only hold them in memory. A point
-    # has one row at most for each fingerprint, of the 132 that each writes.
-    members = settle(probes.withColumn("n", F.count("*").over(Window.partitionBy("point"))).where("n > 1"), "bucket-members")
-    small = members.where(F.col("n") <= SMALL_BUCKET)
-    pairs = small.select("point", F.col("cls").alias("a")).join(small.select("point", F.col("cls").alias("b")), "point").where("a < b").select("a", "b").distinct()
-    left = classes.select(F.col("cls").alias("a"), *[F.col(c).alias("a" + c) for c in verify])
-    right = classes.select(F.col("cls").alias("b"), *[F.col(c).alias("b" + c) for c in verify])
-    apart = sum((F.bit_count(F.col("a" + c).bitwiseXOR(F.col("b" + c))) for c in verify), F.lit(0))
-    near = pairs.join(left, "a").join(right, "b").where(apart <= most).select("a", "b")
-    large = members.where(F.col("n") > SMALL_BUCKET).join(classes.select("cls", *verify), "cls")
-    joined = components(settle(near.union(_block_links(large, most)).distinct(), "near-links"))
-    rooted = classes.join(joined, classes.cls == joined.node, "left").select(*index, *verify, "first", F.coalesce("component", "cls").alias("root"))
+    # has one row at most for each class, of the BANDS that each writes.
+    met = Window.partitionBy("point")
+    probes = spread.select("cls", F.explode("bands").alias("point")).withColumn("n", F.count("*").over(met)).withColumn("least", F.min("cls").over(met))
+    members = settle(probes.where("n > 1"), "bucket-members")
+    small, large = members.where(F.col("n") <= SMALL_BUCKET), members.where(F.col("n") > SMALL_BUCKET)
+    pairs = small.select("point", F.col("cls").alias("a")).join(small.select("point", F.col("cls").alias("b")), "point").where("a < b").select("a", "b")
+    pairs = pairs.union(large.where("cls <> least").select(F.col("least").alias("a"), F.col("cls").alias("b"))).distinct()
+    left, right = (fps.select(F.col("uid").alias(c), *[F.col(x).alias(c + x) for x in ["size", *_VERIFY]]) for c in "ab")
+    apart = sum((F.bit_count(F.col("a" + c).bitwiseXOR(F.col("b" + c))) for c in _VERIFY), F.lit(0))
+    less, more = F.least("asize", "bsize"), F.greatest("asize", "bsize")
+    maybe = settle(pairs.join(left, "a").join(right, "b").where((less >= similarity * more - 1e-9) & ((apart <= most) | (less < ENOUGH))).select("a", "b"), "maybe-links")
+    a_sets, b_sets = (fps.select(F.col("uid").alias(c), F.col("shingles").alias(c + "_set")) for c in "ab")
+    near = settle(_exact(maybe.join(a_sets, "a").join(b_sets, "b"), similarity), "near-links")
+    joined = components(near)
+    named = large.join(joined, large.cls == joined.node, "left").select("point", "cls", F.coalesce("component", "cls").alias("label"))
+    sized = named.join(fps.select(F.col("uid").alias("cls"), "size"), "cls")
+    parts = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_SHINGLES), F.lit(1))
+    apart_still = sized.groupBy("point").agg(parts.cast("long").alias("parts"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("point", "parts")
+    apart_still = settle(named.join(apart_still, "point"), "open-buckets")
+    if apart_still.take(1):
+        full = apart_still.join(fps.select(F.col("uid").alias("cls"), "size", *_VERIFY, "shingles"), "cls")
+        near = near.union(settle(_block_links(full, similarity, most), "block-links"))
+        joined = components(near.distinct())
+    rooted = classes.join(joined, classes.cls == joined.node, "left").select("d1", "d2", "first", F.coalesce("component", "cls").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select(*index, *verify, "component_id")
-    return fps.join(named, index + verify).select("doc_id", "component_id")
+    named = rooted.join(least, "root").select("d1", "d2", "component_id")
+    return fps.select("doc_id", "d1", "d2").join(named, ["d1", "d2"]).select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

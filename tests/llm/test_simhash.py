@@ -119,3 +119,52 @@ def test_keep_one_keeps_rows_and_columns(spark):
     assert kept.columns == ["doc_id", "text", "source", "fp", "component_id"]
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 1), (False, 3), (True, 0)]
     assert simhash.keep_one(spark.createDataFrame([], DOC)).count() == 0
+
+
+def test_similar_documents_whatever_the_edit(spark):
+    rng = random.Random(3)
+    rows, near, far = [], [], []
+    for i in range(150):
+        words = [f"w{rng.randrange(3000)}x" for _ in range(300)]
+        extra = [f"v{rng.randrange(3000)}x" for _ in range(300)]
+        n = rng.randint(30, 70)
+        edits = [words + extra[:n], words[: -n * 4 // 5], words[n:] + words[:n], words[:100] + extra[: n * 4 // 5] + words[100:], words + extra[: n + 40]]
+        rows.append((i, " ".join(words)))
+        for k, copy in enumerate(edits):
+            rows.append((1000 + 10 * i + k, " ".join(copy)))
+            (near if _jaccard(words, copy) >= 0.8 else far).append((i, 1000 + 10 * i + k))
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(near) > 500 and len(far) > 100
+    assert all(got[a] == got[b] for a, b in near)
+    assert [got[i] for i in range(150)] == list(range(150))
+
+
+def test_texts_below_the_line_are_left_alone(spark):
+    rng = random.Random(8)
+    rows, want = [], []
+    for i in range(120):
+        words, extra = ([f"{c}{i}x{k}" for k in range(304)] for c in "wv")
+        n = rng.choice((76, 80, 90, 100)) - (i % 2) * 20  # 300 shingles of 300 + n: 0.8 at 75
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words + extra[:n]))]
+        want.append(2 * i if 300 / (300 + n) >= 0.8 else 2 * i + 1)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[2 * i + 1] for i in range(120)] == want
+
+
+def test_large_buckets_equal_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 16)
+    rng = random.Random(6)
+    base = [f"w{k}" for k in range(200)]
+    texts = []
+    for _ in range(120):
+        copy = list(base)
+        for at in rng.sample(range(200), rng.randint(3, 6)):
+            copy[at] = f"v{rng.random()}"
+        texts.append(copy)
+    label = list(range(len(texts)))
+    for _ in range(8):
+        for i in range(len(texts)):
+            label[i] = min(label[j] for j in range(len(texts)) if i == j or _jaccard(texts[i], texts[j]) >= 0.8)
+            label[i] = label[label[i]]
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == label

@@ -10,6 +10,7 @@ offsets give any document without reading what stands before it.
 from __future__ import annotations
 
 import json
+import re
 import struct
 from array import array
 from collections.abc import Iterator
@@ -150,9 +151,12 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        # The library cuts added tokens out before it splits a text, with white space or at word ends
+        # only as each says. Texts that hold the string of one are left to it whole.
+        added = [t["content"] for t in spec.get("added_tokens") or [] if t["content"]]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         before = spec.get("pre_tokenizer") or {}
         self.local = spec.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
         self.model, self.recent = self.tokenizer.model, Recent(self._piece if self.local else self._ids, self._ids)
@@ -165,7 +169,8 @@ class _Encoder:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(encode_text(text, self.recent) if self.local else self._ids(text), np.uint32)
+        local = self.local and not (self.added and self.added.search(text))
+        return np.frombuffer(encode_text(text, self.recent) if local else self._ids(text), np.uint32)
 
 
 @lru_cache(maxsize=4)

@@ -62,3 +62,12 @@ def test_other_bit_widths_and_whole_text_tokenizers(spark):
     manifest = tokenbin.write(docs, path, end_id=None)
     got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in tokenbin.read(manifest).collect()}
     assert got == {1: Tokenizer.from_file(path).encode("Some Words  here", add_special_tokens=False).ids, 2: []}
+
+
+def test_added_tokens_in_a_text_are_those_of_the_library(spark):
+    tokenizer = Tokenizer.from_file(PATH)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n\ny's <|endoftext", "plain <| end |>", " <|endoftext|>  two " * 3000]
+    assert tokenizer.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    manifest = tokenbin.write(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PATH)
+    got = [np.frombuffer(r.ids, "<u4").tolist() for r in tokenbin.read(manifest).orderBy("doc_id").collect()]
+    assert got == [[*tokenizer.encode(t, add_special_tokens=False).ids, 0] for t in texts]

@@ -2,7 +2,9 @@
 
 A text is cut into units at line ends, at sentence ends and before a capitalised
 word that follows a lower-case one (so that a passage set into the middle of a
-line still begins a unit). Normalised units are hashed to 128 bits, digests are
+line still begins a unit), and within these at words that their neighbours alone
+choose (so that what stands before and after a passage does not move the cuts
+inside it). Normalised units are hashed to 128 bits, digests are
 grouped over all documents, and the occurrence in the smallest doc_id, the first
 one within it, is kept. Of the others, runs of neighbouring units that hold
 ``min_words`` words or more together are cut out; shorter repeats, such as a
@@ -13,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
@@ -26,10 +29,55 @@ from .storage import settle
 MIN_WORDS = 20
 #: Ends of units: line breaks; white space after a sentence end; white space between a lower-case letter (or comma) and a capital.
 _CUT = re.compile(r"\s*\n\s*|(?<=[.!?…])\s+|(?<=[^\W\d_A-Z])\s+(?=[A-ZÀ-ÖØ-Þ][^\W\d_A-Z])")
+#: A cut within a unit is the least of the word pairs up to NEAR words around it, with more than NEAR words of the unit before and after it.
+NEAR = 3
+_SPACES = np.array([chr(c).isspace() for c in range(0x3002)])
+_BASE, _LAST = 0x9E3779B97F4A7C15, np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hash's base and of its inverse, modulo 2 ** 64."""
+    return tuple(np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, b, np.uint64)))) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
 
 def unit_spans(text: str) -> list[tuple[int, int]]:
     """(start, end) of the units, without the white space between them."""
+    coarse = _coarse_spans(text)
+    if not coarse:
+        return coarse
+    lower = text.lower()
+    codes = np.frombuffer((lower if len(lower) == len(text) else text).encode("utf-32-le", "surrogatepass"), np.uint32)
+    edges = np.diff(np.concatenate(([True], _SPACES[np.minimum(codes, len(_SPACES) - 1)], [True])).astype(np.int8))
+    starts, ends = np.flatnonzero(edges < 0), np.flatnonzero(edges > 0)
+    if len(starts) <= 2 * NEAR + 1:
+        return coarse
+    up, down = _powers(max(1 << 16, 1 << len(codes).bit_length()))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mixed(codes.astype(np.uint64) + np.uint64(1)) * up[: len(codes)])))
+    words = (sums[ends] - sums[starts]) * down[starts]
+    unit = np.searchsorted(np.array([a for a, _ in coarse]), starts, side="right")
+    pairs = np.full(len(words) + 2 * NEAR, _LAST)
+    inner = np.flatnonzero(unit[1:] == unit[:-1]) + 1
+    pairs[inner + NEAR] = _mixed(_mixed(words[inner - 1]) * np.uint64(3) + words[inner])
+    at = inner[(inner > NEAR) & (inner < len(words) - NEAR)]
+    at = at[(unit[at - NEAR - 1] == unit[at]) & (unit[at + NEAR] == unit[at])]
+    for d in range(1, NEAR + 1):
+        at = at[(pairs[at + NEAR] < pairs[at + NEAR - d]) & (pairs[at + NEAR] <= pairs[at + NEAR + d])]
+    begins = np.concatenate((np.array([a for a, _ in coarse]), starts[at]))
+    closes = np.concatenate((np.array([b for _, b in coarse]), ends[at - 1]))
+    begins.sort()
+    closes.sort()
+    return list(zip(begins.tolist(), closes.tolist()))
+
+
+def _coarse_spans(text: str) -> list[tuple[int, int]]:
+    """The units before they are cut at words."""
     out, at = [], 0
     for m in _CUT.finditer(text):
         if m.start() > at:

@@ -67,3 +67,24 @@ def test_edge_cases(spark):
     got = sorted(((r.doc_id or 99, r.kept_text, len(r.removed)) for r in out.collect() if r.doc_id != 8), key=str)
     assert got == sorted([(1, None, 0), (2, "", 0), (3, long, 0), (3, long, 0), (4, "", 1), (99, "", 1), (6, " \n ", 0), (7, "Short. Short. Short.", 0)], key=str)
     assert substring.dedup(spark.createDataFrame([], DOC)).count() == 0
+
+
+def test_passages_at_any_word_of_a_line_are_cut(spark):
+    rng = random.Random(9)
+    prose = lambda n: [rng.choice("abcdefgh") + "".join(rng.choice("aeilnorst") for _ in range(rng.randint(1, 7))) for _ in range(n)]
+    rows, passages = [], []
+    for i in range(200):
+        passage = prose(rng.choice((55, 80, 120)))
+        passages.append(passage)
+        for k in range(2):
+            host, at = prose(200), rng.randint(5, 195)
+            rows.append((2 * i + k, " ".join([*host[:at], *passage, *host[at:]])))
+    got = {r.doc_id: r for r in substring.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    shares = []
+    for i, passage in enumerate(passages):
+        assert got[2 * i].removed == []
+        said, text = " ".join(passage), rows[2 * i + 1][1]
+        at = text.index(said)
+        assert all(at <= a and b <= at + len(said) for a, b in got[2 * i + 1].removed)
+        shares.append(got[2 * i + 1].removed_words / len(passage))
+    assert min(shares) > 0.5 and sum(shares) / len(shares) > 0.85

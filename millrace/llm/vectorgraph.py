@@ -4,9 +4,10 @@ Equal vectors are first made one. Each vector goes to the shards of its nearest
 centroids, so shards overlap; a shard too large is cut into parts of bounded
 size. A shard's graph keeps each vector's few nearest and, of further ones, those
 that no kept neighbour stands clearly closer to. Adjacency lists of all shards
-are united. In each shard, searches go greedily from the medoid, then spread
-through whatever lies within the range. What they find is verified in double
-precision, and recall is audited against a scan of all vectors.
+are united. In each shard, searches start from the medoid of every connected part
+of its graph and of its edges in range, go on greedily, then spread through whatever lies within the range.
+What they find is verified in double precision, and recall is audited against a
+scan of all vectors; where it stays too low, all blocks are compared whole.
 """
 
 from __future__ import annotations
@@ -94,17 +95,51 @@ def build(x: np.ndarray, degree: int = DEGREE, candidates: int = CANDIDATES, nea
     return np.split(dst, np.searchsorted(src, np.arange(1, n)))
 
 
-def search(x: np.ndarray, neighbours: np.ndarray, medoid: int, q: np.ndarray, least: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+def _medoids(x: np.ndarray, src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, sizes): the medoid of each connected part of the rows of ``x``."""
+    label = np.arange(len(x))
+    while True:
+        new = label.copy()
+        np.minimum.at(new, src, label[dst])
+        np.minimum.at(new, dst, label[src])
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    _, part, sizes = np.unique(label, return_inverse=True, return_counts=True)
+    middle = np.zeros((len(sizes), x.shape[1]))
+    np.add.at(middle, part, x)
+    order = np.lexsort((-np.einsum("ij,ij->i", x, middle[part]), part))
+    return order[np.cumsum(sizes) - sizes], sizes
+
+
+def entries(x: np.ndarray, neighbours: np.ndarray, least: float) -> np.ndarray:
+    """Where searches of a graph (rows of places, -1 for none) start: the medoid of
+    each connected part of it, and of each part of two rows or more that edges
+    within ``least`` cosine connect, as growth does not cross rows out of range."""
+    src, at = np.nonzero(neighbours >= 0)
+    dst = neighbours[src, at]
+    within = np.einsum("ij,ij->i", x[src], x[dst]) >= least
+    close, sizes = _medoids(x, src[within], dst[within])
+    return np.unique(np.concatenate((_medoids(x, src, dst)[0], close[sizes > 1])))
+
+
+def search(x: np.ndarray, neighbours: np.ndarray, starts: np.ndarray, q: np.ndarray, least: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
     """(query, row) places of rows found within ``least`` cosine: a greedy beam from
-    the medoid for all queries at once, then growth through rows in range."""
+    the nearest of ``starts`` for all queries at once, then growth through rows in
+    range. Every start in range is a find, however many there are."""
     n, b = len(x), len(q)
     seen = np.zeros((b, n), bool)
     ids = np.full((b, beam), -1, np.int64)
     sims = np.full((b, beam), -np.inf, np.float32)
     done = np.ones((b, beam), bool)
-    ids[:, 0], sims[:, 0], done[:, 0] = medoid, q @ x[medoid], False
-    seen[:, medoid] = True
-    hits = [np.stack((np.flatnonzero(sims[:, 0] >= least), np.full(int((sims[:, 0] >= least).sum()), medoid)))]
+    first = q @ x[starts].T
+    best = np.argpartition(-first, beam - 1, axis=1)[:, :beam] if len(starts) > beam else np.arange(len(starts))[None].repeat(b, 0)
+    width = best.shape[1]
+    ids[:, :width], sims[:, :width], done[:, :width] = starts[best], np.take_along_axis(first, best, axis=1), False
+    seen[:, starts] = True
+    who, at = np.nonzero(first >= least)
+    hits = [np.stack((who, starts[at]))]
     active = np.arange(b)
     while len(active):
         open_ = np.where(done[active], -np.inf, sims[active])
@@ -161,11 +196,12 @@ def _verified(a_ids, a, b_ids, b, who, at, threshold: float) -> Iterator[pa.Reco
             yield pa.record_batch([pa.array(a_ids[i][ok]), pa.array(b_ids[j][ok])], schema=_FOUND)
 
 
-def find_links(classes: DataFrame, dim: int, threshold: float = THRESHOLD, shard_rows: int = SHARD_ROWS, overlap: int = OVERLAP, beam: int = BEAM, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """(a, b), both directions: links found between the rows of ``classes`` (cls, v)."""
+def find_links(classes: DataFrame, dim: int, threshold: float = THRESHOLD, shard_rows: int = SHARD_ROWS, overlap: int = OVERLAP, beam: int = BEAM, fit_rows: int = FIT_ROWS, exact: bool = False) -> DataFrame:
+    """(a, b), both directions: links found between the rows of ``classes`` (cls, v).
+    ``exact`` makes one cluster of all and compares its parts whole."""
     spark = classes.sparkSession
     total = classes.count()
-    k = int(min(CENTROIDS, max(1, -(-total // shard_rows))))
+    k = 1 if exact else int(min(CENTROIDS, max(1, -(-total // shard_rows))))
     sample = classes.orderBy(F.xxhash64("cls"), "cls").limit(fit_rows).select("v").toArrow()
     middle = spark.sparkContext.broadcast(centroids(unit_rows(matrix(sample.column(0), dim)), min(k, max(1, sample.num_rows))) if sample.num_rows else np.zeros((1, dim)))
 
@@ -184,7 +220,7 @@ def find_links(classes: DataFrame, dim: int, threshold: float = THRESHOLD, shard
 
     def graph(table: pa.Table) -> pa.Table:
         ids = table.column("cls").to_numpy()
-        lists = build(unit_rows(matrix(table.column("v"), dim)).astype(np.float32))
+        lists = [np.empty(0, np.int64)] * len(ids) if exact else build(unit_rows(matrix(table.column("v"), dim)).astype(np.float32))
         offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
         values = pa.array(ids[np.concatenate(lists)] if lists else np.empty(0, np.int64))
         return pa.table({"cls": ids, "near": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)})
@@ -206,11 +242,11 @@ def find_links(classes: DataFrame, dim: int, threshold: float = THRESHOLD, shard
         grid = np.full((len(ids), max(1, int(counts.max(initial=0)))), -1, np.int32)
         grid[owner, np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)] = place
         unit = unit_rows(x)
-        medoid = int((unit @ unit.mean(axis=0)).argmax())
-        row = {"cluster": table.column("cluster")[0].as_py(), "part": table.column("part")[0].as_py(), "parts": table.column("parts")[0].as_py(), "ids": ids.tobytes(), "x": x.astype(np.float32).tobytes(), "width": grid.shape[1], "grid": grid.tobytes(), "medoid": medoid}
-        return pa.Table.from_pylist([row], schema=pa.schema([("cluster", pa.int32()), ("part", pa.int64()), ("parts", pa.int64()), ("ids", pa.binary()), ("x", pa.binary()), ("width", pa.int32()), ("grid", pa.binary()), ("medoid", pa.int32())]))
+        starts = np.empty(0, np.int64) if exact else entries(unit, grid, threshold)
+        row = {"cluster": table.column("cluster")[0].as_py(), "part": table.column("part")[0].as_py(), "parts": table.column("parts")[0].as_py(), "ids": ids.tobytes(), "x": x.astype(np.float32).tobytes(), "width": grid.shape[1], "grid": grid.tobytes(), "starts": starts.tobytes()}
+        return pa.Table.from_pylist([row], schema=pa.schema([("cluster", pa.int32()), ("part", pa.int64()), ("parts", pa.int64()), ("ids", pa.binary()), ("x", pa.binary()), ("width", pa.int32()), ("grid", pa.binary()), ("starts", pa.binary())]))
 
-    packed = members.join(united, "cls").groupBy("cluster", "part").applyInArrow(shard, "cluster int, part long, parts long, ids binary, x binary, width int, grid binary, medoid int")
+    packed = members.join(united, "cls").groupBy("cluster", "part").applyInArrow(shard, "cluster int, part long, parts long, ids binary, x binary, width int, grid binary, starts binary")
     packed = settle(packed, "shards")
     # Every part of a cluster asks every part of it: bounded blocks, dealt out by the part that is asked.
     asks = packed.select("cluster", F.col("ids").alias("q_ids"), F.col("x").alias("q_x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
@@ -223,7 +259,10 @@ def find_links(classes: DataFrame, dim: int, threshold: float = THRESHOLD, shard
                 grid = np.frombuffer(row["grid"], np.int32).reshape(len(ids), row["width"])
                 ux, uq = (unit_rows(y).astype(np.float32) for y in (x, q))
                 for a in range(0, len(q), 1024):
-                    who, at = search(ux, grid, row["medoid"], uq[a : a + 1024], threshold - 1e-5, beam)
+                    if exact:
+                        who, at = np.nonzero(uq[a : a + 1024] @ ux.T >= threshold - 1e-5)
+                    else:
+                        who, at = search(ux, grid, np.frombuffer(row["starts"], np.int64), uq[a : a + 1024], threshold - 1e-5, beam)
                     yield from _verified(q_ids[a : a + 1024], q[a : a + 1024], ids, x, who, at, threshold)
 
     found = asks.join(packed.drop("parts"), ["cluster", "part"]).mapInArrow(look, "a long, b long")
@@ -231,11 +270,11 @@ def find_links(classes: DataFrame, dim: int, threshold: float = THRESHOLD, shard
     return settle(found.distinct(), "vector-links")
 
 
-def audit(classes: DataFrame, links: DataFrame, dim: int, threshold: float = THRESHOLD, rows: int = AUDIT_ROWS) -> tuple[int, int]:
-    """(links found, links there) of ``rows`` vectors chosen by id hash, by a scan of all vectors."""
+def audit(classes: DataFrame, links: DataFrame, dim: int, threshold: float = THRESHOLD, rows: int = AUDIT_ROWS) -> float:
+    """Mean share of their links found of ``rows`` vectors chosen by id hash (those with links), by a scan of all vectors."""
     chosen = classes.orderBy(F.xxhash64("cls", F.lit(1)), "cls").limit(rows).select("cls", "v").toArrow()
     if not chosen.num_rows:
-        return 0, 0
+        return 1.0
     shared = classes.sparkSession.sparkContext.broadcast((chosen.column(0).to_numpy(), matrix(chosen.column(1), dim)))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,8 +285,8 @@ def audit(classes: DataFrame, links: DataFrame, dim: int, threshold: float = THR
             yield from _verified(ids, q, batch.column(0).to_numpy(), x, who, at, threshold)
 
     there = classes.select("cls", "v").mapInArrow(scan, "a long, b long")
-    counts = there.join(links.withColumn("hit", F.lit(1)), ["a", "b"], "left").agg(F.count("hit"), F.count("*")).first()
-    return counts[0], counts[1]
+    shares = there.join(links.withColumn("hit", F.lit(1)), ["a", "b"], "left").groupBy("a").agg((F.count("hit") / F.count("*")).alias("share"))
+    return shares.agg(F.coalesce(F.avg("share"), F.lit(1.0))).first()[0]
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: str = "vec_id", vector: str = "embedding", least_recall: float = AUDIT_RECALL, **options) -> DataFrame:
@@ -258,8 +297,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: st
     link are: vectors that are null, zero or hold a null or non-finite component,
     rows without vec_id (component_id null), and vectors of another dimension
     than the most common one (the smaller of equals). If the audit finds less
-    than ``least_recall`` of the links, the shards overlap more and the beam is
-    wider in a second and third build. An empty table gives no row.
+    than ``least_recall`` of a vector's links in the mean, the shards overlap more
+    and the beam is wider in a second and third build, and if that is not enough,
+    all blocks are compared whole. An empty table gives no row.
     """
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<float>").alias("v"))
     size = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
@@ -272,11 +312,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: st
     overlap, beam = options.pop("overlap", OVERLAP), options.pop("beam", BEAM)
     for _ in range(3):
         links = find_links(classes, dim, threshold, overlap=overlap, beam=beam, **options)
-        hit, there = audit(classes, links, dim, threshold)
-        if hit >= least_recall * there:
+        recall = audit(classes, links, dim, threshold)
+        if recall >= least_recall:
             break
         overlap, beam = 2 * overlap, 2 * beam
-    recall = hit / there if there else 1.0
+    else:
+        links = find_links(classes, dim, threshold, exact=True, **options)
+        recall = audit(classes, links, dim, threshold)
     copies = classes.select(F.col("cls").alias("b"), F.col("copies").alias("there"))
     counted = links.join(copies, "b").groupBy(F.col("a").alias("cls")).agg(F.sum("there").alias("others"))
     joined = components(links).withColumnRenamed("node", "cls")

@@ -63,3 +63,25 @@ def test_edge_cases(spark):
     assert run(spark, rows) == brute(rows)
     assert run(spark, []) == []
     assert run(spark, [(1, None)]) == [(1, 0, 1, True)]
+
+
+def groups_of_near_copies(groups, size, others, dim=64):
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(groups, dim))
+    x = np.concatenate((np.repeat(centres, size, axis=0) + rng.normal(size=(groups * size, dim)) * 0.05, rng.normal(size=(others, dim))))
+    return [(i, [float(np.float32(v)) for v in row]) for i, row in enumerate(x[rng.permutation(len(x))])]
+
+
+def test_several_groups_of_near_copies_in_one_shard(spark):
+    for groups, size, others in ((10, 100, 0), (10, 100, 100), (20, 60, 300)):
+        rows = groups_of_near_copies(groups, size, others)
+        x = vectorgraph.unit_rows(np.array([v for _, v in rows]))
+        want = ((x @ x.T) >= 0.9).sum(axis=1) - 1
+        got = run(spark, rows, least_recall=0.0)  # the first build
+        assert {i: n for i, n, _, _ in got} == dict(enumerate(want.tolist()))
+
+
+def test_audit_below_its_bound_ends_in_an_exact_search(spark, monkeypatch):
+    monkeypatch.setattr(vectorgraph, "search", lambda x, neighbours, starts, q, least, beam: (np.empty(0, int), np.empty(0, int)))
+    rows = clustered(3, 300)
+    assert run(spark, rows, shard_rows=100) == brute(rows)

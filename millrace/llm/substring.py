@@ -59,7 +59,7 @@ def unit_spans(text: str) -> list[tuple[int, int]]:
     if len(starts) <= 2 * NEAR + 1:
         return coarse
     up, down = _powers(max(1 << 16, 1 << len(codes).bit_length()))
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mixed(codes.astype(np.uint64) + np.uint64(1)) * up[: len(codes)])))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(codes * up[: len(codes)])))
     words = (sums[ends] - sums[starts]) * down[starts]
     unit = np.searchsorted(np.array([a for a, _ in coarse]), starts, side="right")
     pairs = np.full(len(words) + 2 * NEAR, _LAST)

@@ -1,12 +1,14 @@
 """SimHash near-dedup by multi-index hashing.
 
 A fingerprint has one bit for each bit position of the shingle hashes: set if
-it is set in over half of them. Search enumerates, in each segment of the
-fingerprint, the Hamming ball of radius one; two fingerprints at distance two
-or less always meet in such a point (at distance two the point between them),
-and whatever meets is checked by its complete distance. The bucket of a point
-holds at most 1 + 64 different fingerprints, so linking each to the smallest
-keeps every connection without listing the pairs of a crowded group.
+it is set in over half of them. Fingerprints are cut into segments, with one table
+of (segment, value). Two fingerprints at distance r or less are within r // m bits
+in one of the first r % m + 1 of m segments, or nearer in another; so the Hamming
+ball of that radius is enumerated in each segment, matches are fetched from the
+tables and their complete distances verified. A segment value of many fingerprints
+is not matched pair by pair: those that have or ask for it meet in whole
+fingerprints with one bit flipped, at most 65 of them in each, and linking each to
+the smallest keeps every connection.
 """
 
 from __future__ import annotations
@@ -16,11 +18,11 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .storage import settle
+from .storage import settle, unused_name
 from .words import shingle_blocks, word_blocks
 
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -63,25 +65,68 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, doc_id: str
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def ball_points(fp, segments: int = 2):
-    """Array column of the points within one bit of ``fp``, segment by segment."""
-    width = 64 // segments
-    flips = [F.transform(F.sequence(F.lit(s * width), F.lit(s * width + width - 1)), lambda i: fp.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int")))) for s in range(segments)]
-    return F.concat(F.array(fp), *flips)
+#: Fingerprints that share a segment value are matched pair by pair up to this number.
+CROWD = 64
 
 
-def links(fps: DataFrame, max_distance: int = 2, segments: int = 2) -> DataFrame:
-    """(a, b): links between different fingerprints, enough of them to connect
-    all that lie ``max_distance`` (at most 2) or fewer bits apart by steps."""
-    if not 0 < max_distance <= 2 or 64 % segments:
-        raise ValueError("max_distance is 1 or 2; segments divides 64")
-    probes = fps.select("fp").distinct().select("fp", F.explode(ball_points(F.col("fp"), segments)).alias("point"))
-    if max_distance == 1:  # only meetings in a fingerprint that exists
-        probes = probes.withColumn("near", F.min(F.when(F.col("fp") == F.col("point"), F.col("fp"))).over(Window.partitionBy("point")))
-    else:
-        probes = probes.withColumn("near", F.min("fp").over(Window.partitionBy("point")))
-    met = probes.where("near <> fp").select(F.col("near").alias("a"), F.col("fp").alias("b"))
-    return met.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_distance).distinct()
+def _flipped(value: Column, at: Column) -> Column:
+    return value.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), at))
+
+
+def _segment(fp: Column, s: int, width: int) -> Column:
+    return F.shiftrightunsigned(fp, s * width).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1).cast("long"))
+
+
+def _spot(s: int, value: Column) -> Column:
+    return F.struct(F.lit(s).alias("segment"), value.alias("value"))
+
+
+def _ball(s: int, value: Column, bits: int) -> Column:
+    """Array of the segment's value and, of those one bit off, those with a bit less: of
+    two values one bit apart one has the bit, and flipping it finds the other."""
+    if not bits:
+        return F.array(_spot(s, value))
+    held = F.filter(F.sequence(F.lit(0), F.lit(bits - 1)), lambda i: F.getbit(value, i) == 1)
+    return F.concat(F.array(_spot(s, value)), F.transform(held, lambda i: _spot(s, _flipped(value, i))))
+
+
+def meeting_links(fps: DataFrame, max_distance: int) -> DataFrame:
+    """(a, b): links by whole fingerprints with one bit flipped. Those two bits apart
+    share such a point, those one bit apart have each other's; a point has 65 at most."""
+    flips = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: _flipped(F.col("fp"), i))
+    points = fps.select("fp", F.explode(F.concat(F.array("fp"), flips)).alias("point"))
+    least = "fp" if max_distance == 2 else F.when(F.col("fp") == F.col("point"), F.col("fp"))
+    met = points.withColumn("near", F.min(least).over(Window.partitionBy("point"))).where("near <> fp")
+    return met.select(F.col("near").alias("a"), F.col("fp").alias("b")).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_distance)
+
+
+def links(fps: DataFrame, max_distance: int = 2, segments: int = 2, crowd: int = CROWD) -> DataFrame:
+    """(a, b): links between different fingerprints (column ``fp``, each once), enough of
+    them to connect all that lie ``max_distance`` (at most 2) or fewer bits apart by steps."""
+    if not 0 < max_distance <= 2 or segments < 1 or 64 % segments or max_distance // segments > 1:
+        raise ValueError("max_distance is 1 or 2; segments divides 64 and leaves a radius of 1 at most")
+    width, (radius, spare) = 64 // segments, divmod(max_distance, segments)
+    reach = [radius if s <= spare else radius - 1 for s in range(segments)]
+    fp = F.col("fp")
+    spots = [_spot(s, _segment(fp, s, width)) for s in range(segments) if reach[s] >= 0]
+    balls = [_ball(s, _segment(fp, s, width), width if reach[s] else 0) for s in range(segments) if reach[s] >= 0]
+    key = ["segment", "value"]
+    entries = fps.select("fp", F.explode(F.array(*spots)).alias("k")).select("fp", "k.*")
+    probes = fps.select("fp", F.explode(F.concat(*balls)).alias("k")).select("fp", "k.*")
+    crowded = settle(entries.groupBy(*key).count().where(F.col("count") > crowd).select(*key), "crowded-segments")
+    some = bool(crowded.take(1))
+    table = (entries.join(crowded, key, "left_anti") if some else entries).withColumnRenamed("fp", "other")
+    near = (fp != F.col("other")) & (F.bit_count(fp.bitwiseXOR(F.col("other"))) <= max_distance)
+    found = probes.join(table, key).where(near).select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b"))
+    if some:
+        busy = settle(entries.union(probes).join(crowded, key, "left_semi").select("fp").distinct(), "crowded-fingerprints")
+        found = found.union(meeting_links(_spread(busy, "fp"), max_distance))
+    return found.distinct()
+
+
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt to all partitions, as each row is about to become many."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = 2, segments: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -93,12 +138,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = 2, se
     its component only where all are null. An empty table gives no row.
     """
     fps = settle(fingerprints(docs, shingle, 42, doc_id, text), "fingerprints")
-    first = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    joined = components(links(fps, max_distance, segments))
-    rooted = first.join(joined, first.fp == joined.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    first = settle(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprint-classes")
+    linked = first.join(components(links(_spread(first.select("fp"), "fp"), max_distance, segments)), F.col("fp") == F.col("node")).select("fp", "first", "component")
+    named = first.join(_least(linked), "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    return fps.join(settle(named, "named-classes"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _least(linked: DataFrame, key: str = "fp") -> DataFrame:
+    """(key, component_id): the smallest ``first`` of each component. The aggregate is
+    written before it is joined, so that a join with a component of many rows can be split."""
+    least = settle(linked.groupBy("component").agg(F.min("first").alias("component_id")), "component-ids")
+    return linked.join(least, "component").select(key, "component_id")
 
 
 #: Index: BANDS keys of BAND_ROWS least hashes each. Texts of Jaccard 0.8 share no key with chance (1 - 0.8 ** 6) ** 32, 6 in 100,000.
@@ -264,7 +314,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     fps = settle(_wide(rows, shingle).withColumn("uid", F.monotonically_increasing_id()), "wide-fingerprints")
     classes = settle(fps.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.min("uid").alias("cls")), "shingle-classes")
-    spread = fps.select(F.col("uid").alias("cls"), "bands").join(classes.select("cls"), "cls").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spread = _spread(fps.select(F.col("uid").alias("cls"), "bands").join(classes.select("cls"), "cls"), "cls")
     # Nearly all points are met once, so a map-side count would only hold them in memory. A point
     # has one row at most for each class, of the BANDS that each writes.
     met = Window.partitionBy("point")
@@ -289,9 +339,9 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
         full = apart_still.join(fps.select(F.col("uid").alias("cls"), "size", *_VERIFY, "shingles"), "cls")
         near = near.union(settle(_block_links(full, similarity, most), "block-links"))
         joined = components(near.distinct())
-    rooted = classes.join(joined, classes.cls == joined.node, "left").select("d1", "d2", "first", F.coalesce("component", "cls").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("d1", "d2", "component_id")
+    linked = classes.join(joined, F.col("cls") == F.col("node")).select("cls", "first", "component")
+    named = classes.join(_least(linked, "cls"), "cls", "left").select("d1", "d2", F.coalesce("component_id", "first").alias("component_id"))
+    named = settle(named, "named-classes")
     return fps.select("doc_id", "d1", "d2").join(named, ["d1", "d2"]).select("doc_id", "component_id")
 
 
@@ -299,5 +349,6 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, doc_id:
     """``docs`` with one document of each group of similar ones: that of the smallest
     doc_id, with every row that bears it. Rows without doc_id all stay."""
     groups = similar_documents(docs, shingle, similarity, doc_id, text)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(f"`{doc_id}`") == F.col("_gone"), "left_anti")
+    name = unused_name(docs, "gone")
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col(f"`{doc_id}`") == F.col(name), "left_anti")

@@ -6,9 +6,11 @@ import os
 import uuid
 from urllib.parse import urlparse
 
+from pyspark.sql import DataFrame
+
 from ..sources.scratch import scratch_path, settle
 
-__all__ = ["filesystem", "new_file_name", "scratch_path", "settle"]
+__all__ = ["filesystem", "new_file_name", "scratch_path", "settle", "unused_name"]
 
 
 def filesystem(uri: str):
@@ -26,3 +28,11 @@ def new_file_name(kind: str) -> str:
     """A name no other task or attempt uses. Readers only open files that a
     settled manifest names, so files of failed attempts are never read."""
     return f"{kind}-{uuid.uuid4().hex}"
+
+
+def unused_name(df: DataFrame, name: str) -> str:
+    """``name``, after as many underscores as make it none of the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

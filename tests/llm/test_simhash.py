@@ -1,5 +1,6 @@
 import random
 
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -7,6 +8,7 @@ from millrace.llm import simhash
 from millrace.llm.queries import op1_simhash_near_dedup
 
 DOC = "doc_id long, text string, source string, fp string, component_id int"
+CLASHING = "doc_id long, text string, gone string, _gone string, cls long, node long, first string, uid string, `a.b` string"
 
 
 def brute_fingerprint(text, size=3):
@@ -43,7 +45,8 @@ def test_query_equals_brute_force(spark, sf):
     assert sorted((r.doc_id, r.fingerprint, r.component_id) for r in op1_simhash_near_dedup(spark, sf).collect()) == want
 
 
-def test_links_connect_all_within_two_bits(spark):
+@pytest.mark.parametrize("segments, crowd", [(2, 64), (2, 3), (4, 64), (4, 5)])
+def test_links_connect_all_within_two_bits(spark, segments, crowd):
     rng = random.Random(5)
     base = [rng.getrandbits(64) for _ in range(12)]
     fps = set(base)
@@ -57,7 +60,7 @@ def test_links_connect_all_within_two_bits(spark):
     signed = [(i, f - (1 << 64) if f >> 63 else f) for i, f in rows]
     from millrace.llm.graph import components
 
-    found = components(simhash.links(spark.createDataFrame(signed, "id long, fp long")))
+    found = components(simhash.links(spark.createDataFrame(signed, "id long, fp long"), 2, segments, crowd))
     root = {r.node: r.component for r in found.collect()}
     groups = {}
     for (i, s) in signed:
@@ -121,6 +124,24 @@ def test_keep_one_keeps_rows_and_columns(spark):
     assert simhash.keep_one(spark.createDataFrame([], DOC)).count() == 0
 
 
+def test_clashing_names(spark):
+    rows = [(i, t, "g", "h", 1, 2, "f", "u", "ab") for i, t in ((1, "a b c d e f g"), (2, "a b c d e f g"), (3, "others"))]
+    docs = spark.createDataFrame(rows, CLASHING)
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
+    assert sorted((r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()) == [(1, 1), (2, 1), (3, 3)]
+
+
+def test_links_within_one_bit(spark):
+    rng = random.Random(7)
+    fps = {rng.getrandbits(63) for _ in range(5)}
+    for f in list(fps):
+        fps |= {f ^ 1 << rng.randrange(63) for _ in range(20)}
+    for crowd in (64, 3):
+        got = {(r.a, r.b) for r in simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), 1, 2, crowd).collect()}
+        assert {frozenset(p) for p in got} == {frozenset((a, b)) for a in fps for b in fps if (a ^ b).bit_count() == 1}
+
+
 def test_similar_documents_whatever_the_edit(spark):
     rng = random.Random(3)
     rows, near, far = [], [], []

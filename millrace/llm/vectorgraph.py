@@ -1,13 +1,16 @@
 """Embedding near-dedup over a robust-pruned flat graph.
 
-Equal vectors are first made one. Each vector goes to the shards of its nearest
-centroids, so shards overlap; a shard too large is cut into parts of bounded
-size. A shard's graph keeps each vector's few nearest and, of further ones, those
-that no kept neighbour stands clearly closer to. Adjacency lists of all shards
-are united. In each shard, searches start from the medoid of every connected part
-of its graph and of its edges in range, go on greedily, then spread through whatever lies within the range.
-What they find is verified in double precision, and recall is audited against a
-scan of all vectors; where it stays too low, all blocks are compared whole.
+Equal vectors are first made one. Centroids, fitted level by level on bounded
+samples, deal each vector to the shards of its nearest few, so shards overlap and
+stay bounded. A shard's graph keeps each vector's few nearest and, of further ones,
+those that no kept neighbour stands clearly closer to; the adjacency lists of all
+shards are united. In each shard, searches start from the medoid of every connected
+part of the graph and of its edges in range, go on greedily, then spread through
+whatever lies in range. A search that reaches a vector of other shards goes on in
+those: they take in the vector that asks, and the united lists are searched again.
+Finds are verified in double precision and counted in the first shard that both
+ends share, so that no list of pairs is made. Recall is audited against a scan of
+all vectors; where it stays too low, all blocks are compared whole.
 """
 
 from __future__ import annotations
@@ -25,21 +28,23 @@ from .topk import finite
 
 THRESHOLD = 0.9
 SHARD_ROWS, OVERLAP = 2048, 3
-#: Vectors that centroids are fitted on at most, centroids at most, and queries of the audit.
-FIT_ROWS, CENTROIDS, AUDIT_ROWS, AUDIT_RECALL = 16_384, 1024, 256, 0.97
+#: Sample rows that the centroids of a cell are fitted on (about), cells that one is cut into at most, levels.
+FIT_ROWS, BRANCH, LEVELS = 16_384, 256, 4
+AUDIT_ROWS, AUDIT_RECALL = 256, 0.97
 NEAREST_KEPT, DEGREE, CANDIDATES, ALPHA, BEAM = 8, 20, 48, 1.2, 16
-_FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
+    """Rows of length one, of vectors of any finite length but zero."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0, keepdims=True))[1])
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def matrix(column: pa.Array, dim: int) -> np.ndarray:
-    """Rows of a list column as doubles."""
+def matrix(column: pa.Array) -> np.ndarray:
+    """Rows of a list column of equal lengths as doubles."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
 def centroids(x: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
@@ -185,108 +190,222 @@ def search(x: np.ndarray, neighbours: np.ndarray, starts: np.ndarray, q: np.ndar
     return found[0], found[1]
 
 
-def _verified(a_ids, a, b_ids, b, who, at, threshold: float) -> Iterator[pa.RecordBatch]:
-    """Found pairs whose cosine in double precision reaches the threshold."""
-    for s in range(0, len(who), 1 << 16):
-        i, j = who[s : s + (1 << 16)], at[s : s + (1 << 16)]
-        dots = np.einsum("ij,ij->i", a[i], b[j])
-        norms = np.linalg.norm(a, axis=1)[i] * np.linalg.norm(b, axis=1)[j]
-        ok = (dots / norms >= threshold) & (a_ids[i] != b_ids[j])
-        if ok.any():
-            yield pa.record_batch([pa.array(a_ids[i][ok]), pa.array(b_ids[j][ok])], schema=_FOUND)
-
-
-def find_links(classes: DataFrame, dim: int, threshold: float = THRESHOLD, shard_rows: int = SHARD_ROWS, overlap: int = OVERLAP, beam: int = BEAM, fit_rows: int = FIT_ROWS, exact: bool = False) -> DataFrame:
-    """(a, b), both directions: links found between the rows of ``classes`` (cls, v).
-    ``exact`` makes one cluster of all and compares its parts whole."""
-    spark = classes.sparkSession
-    total = classes.count()
-    k = 1 if exact else int(min(CENTROIDS, max(1, -(-total // shard_rows))))
-    sample = classes.orderBy(F.xxhash64("cls"), "cls").limit(fit_rows).select("v").toArrow()
-    middle = spark.sparkContext.broadcast(centroids(unit_rows(matrix(sample.column(0), dim)), min(k, max(1, sample.num_rows))) if sample.num_rows else np.zeros((1, dim)))
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = middle.value
-        o = min(overlap, len(c))
-        for batch in batches:
-            sims = unit_rows(matrix(batch.column(1), dim)) @ c.T
-            near = np.argpartition(-sims, o - 1, axis=1)[:, :o].ravel()
-            rows = pa.array(np.repeat(np.arange(batch.num_rows), o))
-            yield pa.record_batch([pa.array(near.astype(np.int32)), batch.column(0).take(rows), batch.column(1).take(rows)], names=["cluster", "cls", "v"])
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of ``n`` places the least one that it is connected to."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        np.minimum.at(new, b, label[a])
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
 
-    members = settle(classes.select("cls", "v").mapInArrow(assign, "cluster int, cls long, v array<float>"), "shard-members")
-    sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / shard_rows).alias("parts"))  # one row a centroid
-    members = members.join(F.broadcast(sizes), "cluster").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")))
 
-    def graph(table: pa.Table) -> pa.Table:
-        ids = table.column("cls").to_numpy()
-        lists = [np.empty(0, np.int64)] * len(ids) if exact else build(unit_rows(matrix(table.column("v"), dim)).astype(np.float32))
-        offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
-        values = pa.array(ids[np.concatenate(lists)] if lists else np.empty(0, np.int64))
-        return pa.table({"cls": ids, "near": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)})
-
-    lists = members.select("cluster", "part", "cls", "v").groupBy("cluster", "part").applyInArrow(graph, "cls long, near array<long>")
-    united = settle(lists.groupBy("cls").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "adjacency")
-
-    def shard(table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("cls").to_numpy())
-        table = table.take(pa.array(order))
-        ids, x = table.column("cls").to_numpy(), matrix(table.column("v"), dim)
+def _cut(members: DataFrame, level: int, threshold: float, shard_rows: int, overlap: int, fit_rows: int) -> DataFrame | None:
+    """``members`` (cell, cls, v) with each cell of over ``shard_rows`` dealt to smaller,
+    overlapping ones by centroids of a sample; None if there is none to deal. A cell
+    in which nearly all link with each other stays whole: links have to be counted there."""
+    large = settle(members.groupBy("cell").agg(F.count("*").alias("size")).where(F.col("size") > shard_rows), "large-cells")
+    if not large.take(1):
+        return None
+    span = 1 << 30
+    drawn = members.join(large, "cell").where(F.pmod(F.xxhash64("cls", F.lit(level)), F.lit(span)) < F.lit(float(fit_rows)) / F.col("size") * span)
+
+    def fit(table: pa.Table) -> pa.Table:
+        x = unit_rows(matrix(table.column("v").take(pa.array(np.argsort(table.column("cls").to_numpy())))))
+        cell, size = table.column("cell")[0].as_py(), table.column("size")[0].as_py()
+        mean = x.mean(axis=0)
+        dense = np.quantile(x @ (mean / max(np.linalg.norm(mean), 1e-300)), 0.1) >= np.sqrt((1 + threshold) / 2)
+        c = centroids(x, int(min(BRANCH, len(x), -(-size // shard_rows))))
+        rows = [] if dense or len(c) < 2 else [{"cell": cell, "parts": -(-size // fit_rows), "k": len(c), "middle": c.tobytes()}]
+        return pa.Table.from_pylist(rows, schema=pa.schema([("cell", pa.int64()), ("parts", pa.int64()), ("k", pa.int32()), ("middle", pa.binary())]))
+
+    centres = settle(drawn.groupBy("cell").applyInArrow(fit, "cell long, parts long, k int, middle binary"), "centroids")
+    dealt = members.join(centres.select("cell", "parts"), "cell").withColumn("part", F.pmod(F.xxhash64("cls", F.lit(-1)), F.col("parts"))).drop("parts")
+    spread = centres.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+
+    def assign(left: pa.Table, right: pa.Table) -> pa.Table:
+        kinds = pa.schema([("cell", pa.int64()), ("cls", pa.int64()), ("v", pa.list_(pa.float64()))])
+        if not left.num_rows:
+            return kinds.empty_table()
+        c = np.frombuffer(right.column("middle")[0].as_py(), np.float64).reshape(right.column("k")[0].as_py(), -1)
+        o = min(overlap if level == 0 else 2, len(c))
+        near = np.argpartition(-(unit_rows(matrix(left.column("v"))) @ c.T), o - 1, axis=1)[:, :o].ravel()
+        rows = pa.array(np.repeat(np.arange(left.num_rows), o))
+        cell = left.column("cell")[0].as_py() * (BRANCH + 1) + 1 + near.astype(np.int64)
+        return pa.table([pa.array(cell), left.column("cls").take(rows), left.column("v").take(rows)], schema=kinds)
+
+    new = dealt.groupBy("cell", "part").cogroup(spread.groupBy("cell", "part")).applyInArrow(assign, "cell long, cls long, v array<double>")
+    return settle(members.join(centres, "cell", "left_anti").union(new), "shard-members")
+
+
+def _parts(members: DataFrame, shard_rows: int) -> DataFrame:
+    """``members`` with ``parts``, the blocks that their cell is cut into, and ``part``."""
+    sizes = settle(members.groupBy("cell").agg(F.ceil(F.count("*") / shard_rows).alias("parts")), "cell-sizes")
+    return members.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")))
+
+
+def _blocks(members: DataFrame, nodes: DataFrame, shard_rows: int, threshold: float, exact: bool) -> DataFrame:
+    """One row a block of a cell: ids, vectors, the united adjacency between them, where
+    searches start, how many copies each has, and all cells of each."""
+
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.take(pa.array(np.argsort(table.column("cls").to_numpy())))
+        ids, x = table.column("cls").to_numpy(), matrix(table.column("v"))
         near = table.column("near").combine_chunks()
         owner = np.repeat(np.arange(len(ids)), np.diff(near.offsets.to_numpy()))
         target = near.flatten().to_numpy(zero_copy_only=False)
         place = np.searchsorted(ids, target)
-        here = (place < len(ids)) & (ids[np.minimum(place, len(ids) - 1)] == target)
+        here = ids[np.minimum(place, len(ids) - 1)] == target
         owner, place = owner[here], place[here]
         counts = np.bincount(owner, minlength=len(ids))
         grid = np.full((len(ids), max(1, int(counts.max(initial=0)))), -1, np.int32)
         grid[owner, np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)] = place
-        unit = unit_rows(x)
-        starts = np.empty(0, np.int64) if exact else entries(unit, grid, threshold)
-        row = {"cluster": table.column("cluster")[0].as_py(), "part": table.column("part")[0].as_py(), "parts": table.column("parts")[0].as_py(), "ids": ids.tobytes(), "x": x.astype(np.float32).tobytes(), "width": grid.shape[1], "grid": grid.tobytes(), "starts": starts.tobytes()}
-        return pa.Table.from_pylist([row], schema=pa.schema([("cluster", pa.int32()), ("part", pa.int64()), ("parts", pa.int64()), ("ids", pa.binary()), ("x", pa.binary()), ("width", pa.int32()), ("grid", pa.binary()), ("starts", pa.binary())]))
+        starts = np.empty(0, np.int64) if exact else entries(unit_rows(x), grid, threshold)
+        cells = table.column("cells").combine_chunks()
+        row = {c: table.column(c)[0].as_py() for c in ("cell", "part", "parts")}
+        row |= {"n": len(ids), "width": grid.shape[1], "ids": ids.tobytes(), "x": x.tobytes(), "grid": grid.tobytes(), "starts": starts.tobytes(), "copies": table.column("copies").to_numpy().tobytes()}
+        row |= {"cells": cells.flatten().to_numpy().tobytes(), "ends": cells.offsets.to_numpy().astype(np.int64).tobytes()}
+        return pa.Table.from_pylist([row], schema=pa.schema([("cell", pa.int64()), ("part", pa.int64()), ("parts", pa.int64()), ("n", pa.int32()), ("width", pa.int32()), *((c, pa.binary()) for c in binary)]))
+
+    binary = ("ids", "x", "grid", "starts", "copies", "cells", "ends")
+    rows = _parts(members.select("cell", "cls"), shard_rows).join(nodes, "cls").select("cell", "part", "parts", "cls", "v", "near", "copies", "cells")
+    return settle(rows.groupBy("cell", "part").applyInArrow(pack, "cell long, part long, parts long, n int, width int, " + ", ".join(f"{c} binary" for c in binary)), "shard-blocks")
+
+
+class _Shard:
+    """A block of ``_blocks``, opened."""
+
+    def __init__(self, row: dict, prefix: str = "") -> None:
+        n, get = row[prefix + "n"], lambda c, kind: np.frombuffer(row[prefix + c], kind)
+        self.ids, self.copies, self.starts = get("ids", np.int64), get("copies", np.int64), get("starts", np.int64)
+        self.unit = unit_rows(get("x", np.float64).reshape(n, -1))
+        self.small = self.unit.astype(np.float32)
+        self.grid = get("grid", np.int32).reshape(n, row[prefix + "width"])
+        self.cells, ends = get("cells", np.int64), get("ends", np.int64)
+        self.owner = np.repeat(np.arange(n), np.diff(ends))
+
+    def held(self, cells: np.ndarray) -> np.ndarray:
+        """Whether each row is also of each of ``cells`` (sorted)."""
+        out = np.zeros((len(self.ids), len(cells)), np.float32)
+        at = np.searchsorted(cells, self.cells)
+        ok = (at < len(cells)) & (cells[np.minimum(at, len(cells) - 1)] == self.cells) if len(cells) else np.zeros(len(at), bool)
+        out[self.owner[ok], at[ok]] = 1
+        return out
+
+
+def _looked(q: _Shard, x: _Shard, threshold: float, beam: int, exact: bool) -> np.ndarray:
+    """Which rows of two blocks link: finds of either side, verified in double precision."""
+    found = np.zeros((len(q.ids), len(x.ids)), bool)
+    for asks, held, out in ((q, x, found), (x, q, found.T)):
+        for a in range(0, len(asks.ids), 1024):
+            if exact:
+                who, at = np.nonzero(asks.small[a : a + 1024] @ held.small.T >= threshold - 1e-5)
+            else:
+                who, at = search(held.small, held.grid, held.starts, asks.small[a : a + 1024], threshold - 1e-5, beam)
+            for s in range(0, len(who), 1 << 16):
+                i, j = who[s : s + (1 << 16)] + a, at[s : s + (1 << 16)]
+                ok = (np.einsum("ij,ij->i", asks.unit[i], held.unit[j]) >= threshold) & (asks.ids[i] != held.ids[j])
+                out[i[ok], j[ok]] = True
+    return found
+
+
+def _meetings(blocks: DataFrame) -> DataFrame:
+    """Every two blocks of a cell, each with itself too, dealt out by the one that is asked."""
+    columns = [c for c in blocks.columns if c not in ("cell", "part", "parts")]
+    asks = blocks.select("cell", *[F.col(c).alias("q_" + c) for c in columns], (F.col("part")).alias("q_part"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("part"))
+    return asks.join(blocks.drop("parts"), ["cell", "part"])
+
+
+def find_links(classes: DataFrame, threshold: float = THRESHOLD, shard_rows: int = SHARD_ROWS, overlap: int = OVERLAP, beam: int = BEAM, fit_rows: int = FIT_ROWS, exact: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(cls, links) with the number of other rows of ``classes`` (cls, v, copies) that each links
+    with, copies counted, and edges (a, b) that connect all that links connect. ``exact`` makes
+    one cell of all vectors of a dimension and compares its blocks whole."""
+    members = settle(classes.select(F.size("v").cast("long").alias("cell"), "cls", "v"), "shard-members")
+    for level in range(0 if exact else LEVELS):
+        cut = _cut(members, level, threshold, shard_rows, overlap, fit_rows)
+        if cut is None:
+            break
+        members = cut
+
+    def graph(table: pa.Table) -> pa.Table:
+        ids = table.column("cls").to_numpy()
+        lists = [np.empty(0, np.int64)] * len(ids) if exact else build(unit_rows(matrix(table.column("v"))).astype(np.float32))
+        offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
+        values = pa.array(ids[np.concatenate(lists)] if lists else np.empty(0, np.int64))
+        return pa.table({"cls": ids, "near": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)})
+
+    lists = _parts(members, shard_rows).select("cell", "part", "cls", "v").groupBy("cell", "part").applyInArrow(graph, "cls long, near array<long>")
+    united = settle(lists.groupBy("cls").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "adjacency")
 
-    packed = members.join(united, "cls").groupBy("cluster", "part").applyInArrow(shard, "cluster int, part long, parts long, ids binary, x binary, width int, grid binary, starts binary")
-    packed = settle(packed, "shards")
-    # Every part of a cluster asks every part of it: bounded blocks, dealt out by the part that is asked.
-    asks = packed.select("cluster", F.col("ids").alias("q_ids"), F.col("x").alias("q_x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    def nodes(members: DataFrame) -> DataFrame:
+        cells = members.groupBy("cls").agg(F.sort_array(F.collect_set("cell")).alias("cells"))
+        return settle(classes.join(united, "cls").join(cells, "cls").select("cls", "v", "near", "copies", "cells"), "graph-nodes")
 
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def onward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                q, x = _Shard(row, "q_"), _Shard(row)
+                found = _looked(q, x, threshold, beam, exact).astype(np.float32)
+                cells = np.unique(np.concatenate((q.cells, x.cells)))
+                mine, theirs = q.held(cells), x.held(cells)
+                for one, there, other in ((q, mine, found @ theirs), (x, theirs, found.T @ mine)):
+                    i, c = np.nonzero((other > 0) & (there == 0))
+                    yield pa.record_batch([pa.array(cells[c]), pa.array(one.ids[i])], names=["cell", "cls"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ids, q_ids = (np.frombuffer(row[c], np.int64) for c in ("ids", "q_ids"))
-                x, q = (np.frombuffer(row[c], np.float32).reshape(-1, dim).astype(np.float64) for c in ("x", "q_x"))
-                grid = np.frombuffer(row["grid"], np.int32).reshape(len(ids), row["width"])
-                ux, uq = (unit_rows(y).astype(np.float32) for y in (x, q))
-                for a in range(0, len(q), 1024):
-                    if exact:
-                        who, at = np.nonzero(uq[a : a + 1024] @ ux.T >= threshold - 1e-5)
-                    else:
-                        who, at = search(ux, grid, np.frombuffer(row["starts"], np.int64), uq[a : a + 1024], threshold - 1e-5, beam)
-                    yield from _verified(q_ids[a : a + 1024], q[a : a + 1024], ids, x, who, at, threshold)
-
-    found = asks.join(packed.drop("parts"), ["cluster", "part"]).mapInArrow(look, "a long, b long")
-    found = found.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("l")).select("l.*")
-    return settle(found.distinct(), "vector-links")
-
-
-def audit(classes: DataFrame, links: DataFrame, dim: int, threshold: float = THRESHOLD, rows: int = AUDIT_ROWS) -> float:
+                q, x = _Shard(row, "q_"), _Shard(row)
+                found = _looked(q, x, threshold, beam, exact)
+                i, j = np.nonzero(found)
+                label = roots(len(q.ids) + len(x.ids), i, len(q.ids) + j)
+                ids = np.concatenate((q.ids, x.ids))
+                before = np.unique(np.concatenate((q.cells, x.cells)))
+                before = before[before < row["cell"]]  # links of an earlier cell that both are in count there
+                found &= q.held(before) @ x.held(before).T == 0
+                links = np.concatenate((found @ x.copies, (found.T @ q.copies) * (row["q_part"] != row["part"])))
+                some = (links > 0) | (label != np.arange(len(label)))
+                yield pa.record_batch([pa.array(y[some]) for y in (ids, links.astype(np.int64), ids[label])], names=["cls", "links", "root"])
+
+    table = nodes(members)
+    if not exact:
+        further = settle(_meetings(_blocks(members, table, shard_rows, threshold, exact)).mapInArrow(onward, "cell long, cls long").distinct(), "further-shards")
+        if further.take(1):
+            members = settle(members.select("cell", "cls").union(further), "shard-members")
+            table = nodes(members)
+    counted = settle(_meetings(_blocks(members, table, shard_rows, threshold, exact)).mapInArrow(count, "cls long, links long, root long"), "link-counts")
+    links = settle(counted.groupBy("cls").agg(F.sum("links").alias("links")), "vector-links")
+    return links, counted.where("cls <> root").select(F.col("cls").alias("a"), F.col("root").alias("b")).distinct()
+
+
+def audit(classes: DataFrame, links: DataFrame, threshold: float = THRESHOLD, rows: int = AUDIT_ROWS) -> float:
     """Mean share of their links found of ``rows`` vectors chosen by id hash (those with links), by a scan of all vectors."""
-    chosen = classes.orderBy(F.xxhash64("cls", F.lit(1)), "cls").limit(rows).select("cls", "v").toArrow()
-    if not chosen.num_rows:
+    chosen = classes.orderBy(F.xxhash64("cls", F.lit(1)), "cls").limit(rows).select("cls", "v").collect()
+    if not chosen:
         return 1.0
-    shared = classes.sparkSession.sparkContext.broadcast((chosen.column(0).to_numpy(), matrix(chosen.column(1), dim)))
+    shared = classes.sparkSession.sparkContext.broadcast([(r.cls, unit_rows(np.array([r.v]))[0]) for r in chosen])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = shared.value
+        by_size: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for c, v in shared.value:
+            by_size.setdefault(len(v), []).append((c, v))
         for batch in batches:
-            x = matrix(batch.column(1), dim)
-            who, at = np.nonzero(unit_rows(q) @ unit_rows(x).T >= threshold - 1e-9)
-            yield from _verified(ids, q, batch.column(0).to_numpy(), x, who, at, threshold)
+            sizes = np.diff(batch.column(1).offsets.to_numpy())
+            for size, asks in by_size.items():
+                part = batch.take(pa.array(np.flatnonzero(sizes == size)))
+                if not part.num_rows:
+                    continue
+                ids, q = np.array([c for c, _ in asks]), np.array([v for _, v in asks])
+                near = (q @ unit_rows(matrix(part.column(1))).T >= threshold) & (ids[:, None] != part.column(0).to_numpy())
+                there = near @ part.column(2).to_numpy()
+                yield pa.record_batch([pa.array(ids[there > 0]), pa.array(there[there > 0])], names=["cls", "there"])
 
-    there = classes.select("cls", "v").mapInArrow(scan, "a long, b long")
-    shares = there.join(links.withColumn("hit", F.lit(1)), ["a", "b"], "left").groupBy("a").agg((F.count("hit") / F.count("*")).alias("share"))
-    return shares.agg(F.coalesce(F.avg("share"), F.lit(1.0))).first()[0]
+    there = classes.select("cls", "v", "copies").mapInArrow(scan, "cls long, there long").groupBy("cls").agg(F.sum("there").alias("there"))
+    shares = there.join(links, "cls", "left").select((F.coalesce("links", F.lit(0)) / F.col("there")).alias("share"))
+    return shares.agg(F.coalesce(F.avg(F.least("share", F.lit(1.0))), F.lit(1.0))).first()[0]
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: str = "vec_id", vector: str = "embedding", least_recall: float = AUDIT_RECALL, **options) -> DataFrame:
@@ -295,36 +414,30 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: st
     ``n_links`` counts other rows whose cosine is at least ``threshold``, equal
     vectors included; ``component_id`` is the smallest vec_id reachable. With no
     link are: vectors that are null, zero or hold a null or non-finite component,
-    rows without vec_id (component_id null), and vectors of another dimension
-    than the most common one (the smaller of equals). If the audit finds less
-    than ``least_recall`` of a vector's links in the mean, the shards overlap more
-    and the beam is wider in a second and third build, and if that is not enough,
-    all blocks are compared whole. An empty table gives no row.
+    rows without vec_id (component_id null), and vectors of different dimensions
+    with each other. If the audit finds less than ``least_recall`` of a vector's
+    links in the mean, the shards overlap more and the beam is wider in a second
+    and third build, and if that is not enough, all blocks are compared whole. An
+    empty table gives no row.
     """
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<float>").alias("v"))
-    size = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    sound = finite(F.col("v")) & F.col("vec_id").isNotNull() & F.coalesce(size > 0, F.lit(False))
-    common = rows.where(sound).groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    dim = common.dim if common else 1
-    usable = sound & (F.size("v") == dim)
+    rows = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.col(f"`{vector}`").cast("array<double>").alias("v"))
+    usable = finite(F.col("v")) & F.col("vec_id").isNotNull() & F.exists("v", lambda x: x != 0)
     classes = rows.where(usable).groupBy("v").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
     classes = settle(classes.withColumn("cls", F.monotonically_increasing_id()), "vector-classes")
     overlap, beam = options.pop("overlap", OVERLAP), options.pop("beam", BEAM)
     for _ in range(3):
-        links = find_links(classes, dim, threshold, overlap=overlap, beam=beam, **options)
-        recall = audit(classes, links, dim, threshold)
+        links, edges = find_links(classes, threshold, overlap=overlap, beam=beam, **options)
+        recall = audit(classes, links, threshold)
         if recall >= least_recall:
             break
         overlap, beam = 2 * overlap, 2 * beam
     else:
-        links = find_links(classes, dim, threshold, exact=True, **options)
-        recall = audit(classes, links, dim, threshold)
-    copies = classes.select(F.col("cls").alias("b"), F.col("copies").alias("there"))
-    counted = links.join(copies, "b").groupBy(F.col("a").alias("cls")).agg(F.sum("there").alias("others"))
-    joined = components(links).withColumnRenamed("node", "cls")
-    least = joined.join(classes, "cls").groupBy("component").agg(F.min("first").alias("least"))
-    named = classes.join(counted, "cls", "left").join(joined, "cls", "left").join(least, "component", "left")
-    named = named.select(F.col("v").alias("same"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("least", "first").alias("least"))
+        links, edges = find_links(classes, threshold, exact=True, **options)
+        recall = audit(classes, links, threshold)
+    linked = components(edges).withColumnRenamed("node", "cls").join(classes.select("cls", "first"), "cls")
+    least = settle(linked.groupBy("component").agg(F.min("first").alias("least")), "component-ids")
+    named = classes.join(links, "cls", "left").join(linked.join(least, "component").select("cls", "least"), "cls", "left")
+    named = settle(named.select(F.col("v").alias("same"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("least", "first").alias("least")), "named-vectors")
     out = rows.withColumn("key", F.when(usable, F.col("v"))).join(named, F.col("key") == F.col("same"), "left")
     component = F.coalesce("least", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"), F.lit(recall).alias("audit_recall"))

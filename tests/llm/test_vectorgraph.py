@@ -5,23 +5,26 @@ from millrace.llm.queries import op10_embedding_near_dedup
 
 
 def brute(rows, threshold=0.9):
-    ok = [k for k, (i, v) in enumerate(rows) if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)]
-    dims = [len(rows[k][1]) for k in ok]
-    dim = max(sorted(set(dims)), key=dims.count) if dims else 0
-    ok = [k for k in ok if len(rows[k][1]) == dim]
-    x = np.array([rows[k][1] for k in ok], np.float32).astype(np.float64).reshape(len(ok), -1)
-    near = (x @ x.T) / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(x, axis=1)) >= threshold if ok else np.zeros((0, 0), bool)
-    label = [rows[k][0] for k in ok]
-    for _ in ok:
-        label = [min([label[a], *(label[b] for b in np.flatnonzero(near[a]))]) for a in range(len(ok))]
     out = {k: (i, 0, i, True) for k, (i, _) in enumerate(rows)}
-    for a, k in enumerate(ok):
-        out[k] = (rows[k][0], int(near[a].sum()) - 1, label[a], label[a] == rows[k][0])
+    sound = [k for k, (i, v) in enumerate(rows) if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    for dim in {len(rows[k][1]) for k in sound}:
+        ok = [k for k in sound if len(rows[k][1]) == dim]
+        x = np.array([rows[k][1] for k in ok])
+        x = x / np.abs(x).max(axis=1, keepdims=True)
+        near = (x @ x.T) / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(x, axis=1)) >= threshold
+        label = np.array([rows[k][0] for k in ok])
+        while True:
+            new = np.where(near, label[None, :], label[:, None]).min(axis=1)
+            if (new == label).all():
+                break
+            label = new
+        for a, k in enumerate(ok):
+            out[k] = (rows[k][0], int(near[a].sum()) - 1, int(label[a]), bool(label[a] == rows[k][0]))
     return sorted(out.values(), key=str)
 
 
 def run(spark, rows, **options):
-    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id long, embedding array<float>, cls int, component string")
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id long, embedding array<double>, cls int, component string")
     return sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in vectorgraph.near_duplicates(df, **options).collect()), key=str)
 
 
@@ -59,7 +62,7 @@ def test_query_equals_brute_force(spark, sf):
 
 
 def test_edge_cases(spark):
-    rows = [(1, None), (2, [0.0, 0.0]), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [1.0, 0.0]), (6, [2.0, 0.0]), (6, [2.0, 0.0]), (7, [1.0, 0.4843]), (8, [1.0, 2.0, 3.0]), (None, [1.0, 0.0]), (9, []), (10, [-1.0, 0.0])]
+    rows = [(1, None), (2, [0.0, 0.0]), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [1.0, 0.0]), (6, [2.0, 0.0]), (6, [2.0, 0.0]), (7, [1.0, 0.4843]), (8, [1.0, 2.0, 3.0]), (11, [1.0, 2.0, 3.1]), (12, [1e200, 1e190]), (13, [1e-300, 1e-301]), (14, [1.0, 1e-9]), (None, [1.0, 0.0]), (9, []), (10, [-1.0, 0.0])]
     assert run(spark, rows) == brute(rows)
     assert run(spark, []) == []
     assert run(spark, [(1, None)]) == [(1, 0, 1, True)]
@@ -85,3 +88,30 @@ def test_audit_below_its_bound_ends_in_an_exact_search(spark, monkeypatch):
     monkeypatch.setattr(vectorgraph, "search", lambda x, neighbours, starts, q, least, beam: (np.empty(0, int), np.empty(0, int)))
     rows = clustered(3, 300)
     assert run(spark, rows, shard_rows=100) == brute(rows)
+
+
+def test_doubles_are_compared_as_doubles(spark):
+    # cosines that differ from the threshold by less than single precision tells
+    angle = np.arccos(0.9)
+    rows = [(i, [float(np.cos(angle + d)), float(np.sin(angle + d))]) for i, d in enumerate((-1e-9, 1e-9, -1e-10, 1e-10))] + [(9, [1.0, 0.0])]
+    got = {i: n for i, n, _, _ in run(spark, rows)}
+    assert got[9] == 2 and brute(rows) == run(spark, rows)
+
+
+def test_default_shards_over_many_vectors(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(900, 32))
+    x = centres[rng.integers(0, 900, 6000)] + rng.normal(size=(6000, 32)) * rng.choice((0.1, 0.25, 0.35), (6000, 1))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got, want = {r[0]: r for r in run(spark, rows, least_recall=0.0)}, {r[0]: r for r in brute(rows)}
+    shares = [got[i][1] / want[i][1] for i in want if want[i][1]]
+    assert len(shares) > 1000 and np.mean(shares) >= 0.97 and max(shares) <= 1
+    assert sum(got[i][2] == want[i][2] for i in want) >= 0.97 * len(rows)
+
+
+def test_cells_are_cut_level_by_level(spark, monkeypatch):
+    monkeypatch.setattr(vectorgraph, "BRANCH", 4)
+    rows = clustered(5, 1500)
+    got, want = run(spark, rows, shard_rows=60, least_recall=0.0), brute(rows)
+    there = sum(r[1] for r in want)
+    assert 0.95 * there <= sum(r[1] for r in got) <= there

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 
 from ..sources.scratch import scratch_path, settle
 
-__all__ = ["filesystem", "new_file_name", "scratch_path", "settle", "unused_name"]
+__all__ = ["filesystem", "new_file_name", "numbered", "scratch_path", "settle", "unused_name"]
 
 
 def filesystem(uri: str):
@@ -36,3 +36,8 @@ def unused_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named by place, as names with dots cannot go to tasks."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])

@@ -4,8 +4,8 @@ Categories are predicted one after the other: each logistic model sees which
 words of a selected vocabulary a document holds, and the probabilities of the
 categories before it. While training, those probabilities are out-of-fold
 predictions, so that a later model does not lean on an earlier one's fit.
-The models are fitted on a bounded sample of labelled rows; every document is
-scored whole.
+The models are fitted on a bounded sample of labelled rows, each fold in a task of
+its own, to the optimum by Newton steps; every document is scored whole.
 """
 
 from __future__ import annotations
@@ -16,11 +16,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import settle
+from .storage import numbered, settle
 
 #: Bounds of the fit: labelled rows (those of least id hash) and words (most frequent first).
 SAMPLE_ROWS, VOCABULARY, MIN_DOCS = 10_000, 30_000, 5
@@ -86,25 +86,59 @@ def probability(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_logistic(held: list[np.ndarray], before: np.ndarray, y: np.ndarray, words: int, rounds: int = 250) -> Logistic:
-    """Logistic regression with a Gaussian prior, by full-batch Adam with falling steps. Rows of one class only give
-    a constant: zero if none is positive, else the smoothed share."""
+def fit_logistic(held: list[np.ndarray], before: np.ndarray, y: np.ndarray, words: int, rounds: int = 30) -> Logistic:
+    """Logistic regression with a Gaussian prior on all but the constant, by Newton steps
+    whose directions come from conjugate gradients. Rows of one class only give a
+    constant: zero if none is positive, else the smoothed share."""
     n, k = len(y), before.shape[1]
     if not n or y.min() == y.max():
         rate = (y.sum() + 1) / (n + 2) if n and y.max() else 1e-4
         return Logistic(np.zeros(words), np.zeros(k), float(log_odds(np.array([rate]))[0]))
-    rows = np.repeat(np.arange(n), [len(h) for h in held])
-    at = np.concatenate(held) if len(held) else np.empty(0, np.int64)
+    lengths = np.array([len(h) for h in held])
+    rows, at = np.repeat(np.arange(n), lengths), np.concatenate(held)
+    prior = np.full(words + k + 1, PRIOR)
+    prior[-1] = 0.0
+
+    def odds(t: np.ndarray) -> np.ndarray:
+        return np.bincount(rows, t[at], minlength=n) + before @ t[words : words + k] + t[-1]
+
+    def back(e: np.ndarray) -> np.ndarray:
+        return np.concatenate((np.bincount(at, e[rows], minlength=words), before.T @ e, [e.sum()]))
+
+    def loss(z: np.ndarray, t: np.ndarray) -> float:
+        return float(np.logaddexp(0, z).sum() - y @ z + (prior * t * t).sum() / 2)
+
     theta = np.zeros(words + k + 1)
     theta[-1] = log_odds(np.array([y.mean()]))[0]
-    m, v = np.zeros_like(theta), np.zeros_like(theta)
-    for t in range(1, rounds + 1):
-        z = np.bincount(rows, theta[at], minlength=n) + before @ theta[words : words + k] + theta[-1]
-        error = (probability(z) - y) / n
-        g = np.concatenate((np.bincount(at, error[rows], minlength=words), before.T @ error, [error.sum()]))
-        g[:-1] += theta[:-1] * PRIOR / n
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        theta -= 0.1 * min(1.0, 2 - 2 * t / (rounds + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    z = odds(theta)
+    start = None
+    for _ in range(rounds):
+        p = probability(z)
+        g = back(p - y) + prior * theta
+        size = float(np.sqrt(g @ g))
+        start = size if start is None else start
+        if size <= 1e-6 * max(1.0, start):
+            break
+        w = np.maximum(p * (1 - p), 1e-10)
+        scale = np.concatenate((np.bincount(at, w[rows], minlength=words), (before * before).T @ w, [w.sum()])) + prior
+        scale[scale <= 0] = 1.0
+        step, r = np.zeros_like(theta), -g
+        d = r / scale
+        old = r @ d
+        goal = size * min(0.1, np.sqrt(size / start))
+        for _ in range(50):
+            h = back(w * odds(d)) + prior * d
+            a = old / (d @ h)
+            step += a * d
+            r = r - a * h
+            if np.sqrt(r @ r) <= goal:
+                break
+            new = r @ (r / scale)
+            d, old = r / scale + (new / old) * d, new
+        turn, now, share = odds(step), loss(z, theta), 1.0
+        while loss(z + share * turn, theta + share * step) > now + 1e-4 * share * (g @ step) and share > 1e-6:
+            share /= 2
+        theta, z = theta + share * step, z + share * turn
     return Logistic(theta[:words], theta[words : words + k], float(theta[-1]))
 
 
@@ -134,49 +168,70 @@ def fit(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("qual
     """Fit the chain on at most ``rows`` labelled documents and ``vocabulary`` words.
 
     Labels of a repeated id are merged by their maximum; a null label leaves the
-    row out of that category's model. Without labelled rows every probability
-    is near zero.
+    row out of that category's model. Of rows that repeat an id one counts, that of
+    the least text hash. Without labelled rows every probability is near zero.
     """
-    marked = labels.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(*[F.max(F.col(c).cast("int")).alias(f"_y{i}") for i, c in enumerate(categories)])
-    chosen = marked.orderBy(F.xxhash64("_id"), "_id").limit(rows)
-    texts = docs.select(F.col(doc_id).alias("_doc"), F.col(text).cast("string").alias("_text")).join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))
+    spark, names = docs.sparkSession, [f"y{i}" for i in range(len(categories))]
+    marked = labels.where(F.col(f"`{doc_id}`").isNotNull()).groupBy(F.col(f"`{doc_id}`").alias("id")).agg(*[F.max(F.col(f"`{c}`").cast("int")).alias(y) for c, y in zip(categories, names)])
+    chosen = marked.orderBy(F.xxhash64("id"), "id").limit(rows)
+    said = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).join(F.broadcast(chosen.select("id")), "id")
+    texts = said.groupBy("id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = pa.array([sorted(word_set(t.as_py())) for t in batch.column(1)], pa.list_(pa.string()))
-            yield pa.record_batch([batch.column(0), sets, *batch.columns[2:]], names=["id", "words", *(f"y{i}" for i in range(len(categories)))])
+            yield pa.record_batch([batch.column(0), sets], names=["id", "words"])
 
-    sample = texts.select("_id", "_text", *[f"_y{i}" for i in range(len(categories))]).mapInArrow(words, "id long, words array<string>, " + ", ".join(f"y{i} int" for i in range(len(categories))))
-    sample = settle(sample, "labelled")
+    sample = settle(texts.mapInArrow(words, "id long, words array<string>"), "labelled")
     frequent = sample.select(F.explode("words").alias("word")).groupBy("word").count().where(F.col("count") >= min_docs).orderBy(F.desc("count"), "word").limit(vocabulary)
     known = {r.word: i for i, r in enumerate(frequent.collect())}
-    chain = Chain(list(categories), known)
-    shared = docs.sparkSession.sparkContext.broadcast(known)
+    shared = spark.sparkContext.broadcast(known)
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = shared.value.get
         for batch in batches:
             found = [[i for w in ws if (i := get(w)) is not None] for ws in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(pa.int32())), *batch.columns[2:]], names=["id", "places", *(f"y{i}" for i in range(len(categories)))])
+            yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["id", "places"])
 
-    placed = sample.mapInArrow(places, "id long, places array<int>, " + ", ".join(f"y{i} int" for i in range(len(categories)))).orderBy("id").toArrow().combine_chunks()
+    # At most ``rows`` of them, each the places of its words in the vocabulary.
+    placed = sample.mapInArrow(places, "id long, places array<int>").join(F.broadcast(chosen), "id").orderBy("id").toArrow().combine_chunks()
     lists = placed.column("places").combine_chunks()
-    held = np.split(lists.flatten().to_numpy(), lists.offsets.to_numpy()[1:-1] - lists.offsets.to_numpy()[0]) if placed.num_rows else []
-    fold = np.random.default_rng(0).permutation(len(held)) % folds  # ids may be periodic
-    before = np.zeros((len(held), 0))
-    for i in range(len(categories)):
-        y = np.array([np.nan if v is None else float(v > 0) for v in placed.column(f"y{i}").to_pylist()])
-        given = ~np.isnan(y)
-
-        def fit_on(mask: np.ndarray) -> Logistic:
-            return fit_logistic([held[j] for j in np.flatnonzero(mask)], before[mask], y[mask], len(known))
-
-        out_of_fold = np.zeros(len(held))
+    values, ends = (lists.flatten().to_numpy(), lists.offsets.to_numpy()) if placed.num_rows else (np.empty(0, np.int32), np.zeros(1, np.int32))
+    marks = np.array([[np.nan if v is None else float(v > 0) for v in placed.column(y).to_pylist()] for y in names]).reshape(len(names), placed.num_rows)
+    return fit_chain(spark, list(categories), known, values, ends - ends[0], marks, folds)
+
+
+def fit_chain(spark: SparkSession, categories: list[str], known: dict[str, int], values: np.ndarray, ends: np.ndarray, marks: np.ndarray, folds: int) -> Chain:
+    """Fit the models in order on rows given by ``values`` and ``ends`` (places of words)
+    and ``marks`` (a row of labels a category, nan for none); one task a fold."""
+    chain, n = Chain(categories, known), marks.shape[1]
+    fold = np.random.default_rng(0).permutation(n) % folds  # ids may be periodic
+    data = spark.sparkContext.broadcast((values, ends, fold))
+    before, size = np.zeros((n, 0)), len(known)
+    for i, category in enumerate(categories):
+        now = spark.sparkContext.broadcast((before, marks[i]))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            values, ends, fold = data.value
+            before, y = now.value
+            held = np.split(values, ends[1:-1]) if len(y) else []
+            for batch in batches:
+                for f in batch.column(0).to_pylist():  # a fold to leave out, or none for the model of all rows
+                    use = np.flatnonzero(~np.isnan(y) & (fold != f))
+                    model = fit_logistic([held[j] for j in use], before[use], y[use], size)
+                    rest = np.flatnonzero(fold == f)
+                    p = probability(model.odds([held[j] for j in rest], before[rest]))
+                    weights = np.concatenate((model.words, model.before, [model.bias])) if f < 0 else p
+                    yield pa.record_batch([pa.array([f]), pa.array([weights.tobytes()], pa.binary())], names=["fold", "numbers"])
+
+        tasks = spark.range(-1, folds, 1, folds + 1).mapInArrow(run, "fold long, numbers binary")
+        found = {r.fold: np.frombuffer(r.numbers) for r in tasks.collect()}
+        out_of_fold = np.zeros(n)
         for f in range(folds):
-            model, rest = fit_on(given & (fold != f)), fold == f
-            out_of_fold[rest] = probability(model.odds([held[j] for j in np.flatnonzero(rest)], before[rest]))
-        chain.thresholds[categories[i]] = best_threshold(out_of_fold[given], y[given])
-        chain.models.append(fit_on(given))
+            out_of_fold[fold == f] = found[f]
+        given = ~np.isnan(marks[i])
+        chain.thresholds[category] = best_threshold(out_of_fold[given], marks[i][given])
+        chain.models.append(Logistic(found[-1][:size], found[-1][size:-1], float(found[-1][-1])))
         before = np.column_stack((before, log_odds(out_of_fold)))
     return chain
 
@@ -190,10 +245,12 @@ def score(docs: DataFrame, chain: Chain, text: str = "text", prefix: str = "p_",
     schema = T.StructType(fields + [T.StructField(c, T.DoubleType()) for c in new])
     shared = docs.sparkSession.sparkContext.broadcast(chain)
 
+    at, kept = docs.columns.index(text), [docs.columns.index(f.name) for f in fields]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            p = model.predict([model.places(t.as_py()) for t in batch.column(text)])
-            yield pa.record_batch([batch.column(f.name) for f in fields] + [pa.array(p[:, i]) for i in range(len(new))], names=[f.name for f in fields] + new)
+            p = model.predict([model.places(t.as_py()) for t in batch.column(at)])
+            yield pa.record_batch([batch.column(i) for i in kept] + [pa.array(p[:, i]) for i in range(len(new))], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return numbered(docs).mapInArrow(run, schema)

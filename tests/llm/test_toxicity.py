@@ -66,3 +66,71 @@ def test_edge_cases(spark):
     assert all(r.p_toxic < 0.5 for r in toxicity.score(docs, toxicity.fit(docs, one)).collect())
     empty = spark.createDataFrame([], DOC)
     assert toxicity.score(empty, toxicity.fit(empty, none)).count() == 0
+
+
+def dense_logistic(x, y, prior):
+    """Newton's method with the whole Hessian, the last column of ``x`` without prior."""
+    theta, penalty = np.zeros(x.shape[1]), np.array([prior] * (x.shape[1] - 1) + [0.0])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-x @ theta))
+        theta = theta - np.linalg.solve((x.T * (p * (1 - p))) @ x + np.diag(penalty), x.T @ (p - y) + penalty * theta)
+    return theta
+
+
+def test_chain_equals_brute_force(spark):
+    rows, labels = corpus(240, seed=3)
+    labels[5] = (5, None, 1)
+    labels[7] = (7, 1, None)
+    docs, known = spark.createDataFrame(rows, DOC), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    chain = toxicity.fit(docs, known, min_docs=30, vocabulary=60)
+    own = {}
+    for _, text, _, _ in rows:
+        words = set(text.lower().split())
+        for w in words | {"^" + w[:k] for w in words for k in (4, 5) if len(w) > k}:
+            own[w] = own.get(w, 0) + 1
+    vocabulary = [w for w, n in sorted(own.items(), key=lambda p: (-p[1], p[0])) if n >= 30][:60]
+    assert sorted(chain.vocabulary, key=chain.vocabulary.get) == vocabulary
+    held = np.array([[float(w in text.split() or w[0] == "^" and any(v.startswith(w[1:]) and len(v) > len(w) - 1 for v in text.split())) for w in vocabulary] for _, text, _, _ in rows])
+    fold = np.random.default_rng(0).permutation(240) % 3
+    before = np.zeros((240, 0))
+    for c, model in zip((1, 2), chain.models):
+        y = np.array([np.nan if l[c] is None else l[c] for l in labels], float)
+        x = np.column_stack((held, before, np.ones(240)))
+        fits = lambda use: dense_logistic(x[use], y[use], toxicity.PRIOR)  # noqa: B023, E731
+        theta = fits(~np.isnan(y))
+        assert np.abs(np.concatenate((model.words, model.before, [model.bias])) - theta).max() < 1e-3
+        p = np.zeros(240)
+        for f in range(3):
+            p[fold == f] = 1 / (1 + np.exp(-x[fold == f] @ fits(~np.isnan(y) & (fold != f))))
+        ok = ~np.isnan(y)
+        cuts = sorted(set(p[ok]), reverse=True)
+        f1 = [2 * ((p[ok] >= t) & (y[ok] == 1)).sum() / ((p[ok] >= t).sum() + y[ok].sum()) for t in cuts]
+        assert (2 * ((p[ok] >= chain.thresholds[("quality", "toxic")[c - 1]]) & (y[ok] == 1)).sum() / ((p[ok] >= chain.thresholds[("quality", "toxic")[c - 1]]).sum() + y[ok].sum())) >= max(f1) - 1e-6
+        odds = np.log(np.clip(p, 1e-4, 1 - 1e-4) / (1 - np.clip(p, 1e-4, 1 - 1e-4)))
+        before = np.column_stack((before, odds))
+    scored = {r.doc_id: r for r in toxicity.score(docs, chain).collect()}
+    for i, (doc_id, *_) in enumerate(rows[:40]):
+        odds = held[i] @ chain.models[0].words + chain.models[0].bias
+        assert abs(scored[doc_id].p_quality - 1 / (1 + np.exp(-odds))) < 1e-9
+
+
+def test_best_threshold_with_ties():
+    p, y = np.array([0.9, 0.5, 0.5, 0.5, 0.1]), np.array([1.0, 1.0, 0.0, 1.0, 0.0])
+    assert toxicity.best_threshold(p, y) == 0.3  # the three of one half stand together
+    assert toxicity.best_threshold(np.array([0.4, 0.4]), np.array([1.0, 0.0])) == 0.2
+    assert toxicity.best_threshold(np.zeros(3), np.zeros(3)) == 0.5
+
+
+def test_rows_that_repeat_a_labelled_id_count_once(spark):
+    rows, labels = corpus(60)
+    docs = spark.createDataFrame(rows + [(0, f"other {k}", None, 1) for k in range(500)], DOC)
+    chain = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert "other" not in chain.vocabulary
+
+
+def test_clashing_names(spark):
+    rows, labels = corpus(60)
+    names = ["id", "words", "y0", "p_quality", "count", "a.b"]
+    docs = spark.createDataFrame([(i, t, *"uvwxyz") for i, t, _, _ in rows], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    out = toxicity.score(docs, toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")))
+    assert out.columns == ["doc_id", "text", "id", "words", "y0", "count", "a.b", "p_quality", "p_toxic"] and out.count() == 60

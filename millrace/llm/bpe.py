@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .chunks import LONGEST_KEPT, Recent, encode_text
+from .chunks import LONGEST_KEPT, PATTERN, Recent, encode_text
+from .storage import numbered
 
 
 #: Ranks to a word of the lower bitmap; Python's integers make words this wide as quick as narrow ones.
@@ -139,7 +140,9 @@ class Codec:
         self.single = [self.ranks[bytes((b,))] for b in range(256)]
         self.twos = [self.ranks.get(bytes(divmod(x, 256)), -1) for x in range(1 << 16)]
         self.words = [0] * ((size >> _BITS) + 1)
-        self.findall = regex.compile(pattern).findall
+        split = regex.compile(pattern)
+        self.findall = (lambda text: [m[0] for m in split.finditer(text)]) if split.groups else split.findall
+        self.cuts = pattern == PATTERN  # only this one is known to cut at every single space
         self.recent = Recent(self._piece, self._text, KEPT)
 
     def _piece(self, piece: str) -> bytes:
@@ -149,11 +152,11 @@ class Codec:
 
     def _text(self, text: str) -> bytes:
         recent = self.recent
-        return b"".join([recent.spaced(p[1:]) if p[0] == " " and 1 < len(p) <= LONGEST_KEPT else recent.short(p) for p in self.findall(text)])
+        return b"".join([recent.spaced(p[1:]) if p[0] == " " and 1 < len(p) <= LONGEST_KEPT else recent.short(p) for p in self.findall(text) if p])
 
     def encode(self, text: str | None) -> bytes:
         """The ids as 32-bit integers in this machine's byte order."""
-        return encode_text(text or "", self.recent)
+        return encode_text(text or "", self.recent) if self.cuts else self._text(text or "")
 
     def decode(self, ids: list[int]) -> bytes | None:
         """The bytes; None if an id is not of the vocabulary."""
@@ -191,31 +194,31 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
     """
     new = [T.StructField(ids, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded, T.BinaryType())] if decoded else [])
     schema = _schema(docs, {f.name for f in new} | (set() if keep_text else {text}), new)
-    kept = [f.name for f in schema if f.name not in {x.name for x in new}]
+    at, kept = docs.columns.index(text), [docs.columns.index(f.name) for f in schema if f.name not in {x.name for x in new}]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks_path, pattern)
-        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
-            encoded = [c.encode(t.as_py()) for t in batch.column(text)]
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
+            encoded = [c.encode(t.as_py()) for t in batch.column(at)]
             columns = [batch.column(k) for k in kept] + [_id_lists(encoded)]
             if decoded:
                 columns.append(pa.array([c.decode(np.frombuffer(x, np.int32).tolist()) for x in encoded], pa.binary()))
-            yield pa.record_batch(columns, names=kept + [f.name for f in new])
+            yield pa.record_batch(columns, names=schema.names)
         c.recent.old = {}
 
-    return docs.mapInArrow(run, schema)
+    return numbered(docs).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "token_ids", decoded: str = "decoded") -> DataFrame:
     """``df`` with the binary column ``decoded``: null for a null list and for a
     list that holds a null or an id outside the vocabulary."""
     schema = _schema(df, {decoded}, [T.StructField(decoded, T.BinaryType())])
-    kept = [f.name for f in schema if f.name != decoded]
+    at, kept = df.columns.index(ids), [df.columns.index(f.name) for f in schema if f.name != decoded]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks_path, pattern)
         for batch in batches:
-            out = [None if x is None else c.decode(x) for x in (row.as_py() for row in batch.column(ids))]
-            yield pa.record_batch([batch.column(k) for k in kept] + [pa.array(out, pa.binary())], names=[*kept, decoded])
+            out = [None if x is None else c.decode(x) for x in (row.as_py() for row in batch.column(at))]
+            yield pa.record_batch([batch.column(k) for k in kept] + [pa.array(out, pa.binary())], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return numbered(df).mapInArrow(run, schema)

@@ -10,6 +10,8 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+#: Fixed pattern: the split of byte-level BPE that these cuts hold for.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: White space but the space and the line feed.
 _OTHER_SPACE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")

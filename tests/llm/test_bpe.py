@@ -3,11 +3,12 @@ import hashlib
 import random
 
 import public_tokenizers
+import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from millrace.llm import bpe
+from millrace.llm import bpe, chunks
 from millrace.llm.queries import op6_byte_bpe
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -71,3 +72,20 @@ def test_edge_cases(spark):
     odd = spark.createDataFrame([(None,), ([1, None],), ([10**6],), ([],)], "token_ids array<int>")
     assert [None if r.decoded is None else bytes(r.decoded) for r in bpe.decode(odd, PATH, PATTERN).collect()] == [None, None, None, b""]
     assert bpe.encode(spark.createDataFrame([], docs.schema), PATH, PATTERN).count() == 0
+
+
+@pytest.mark.parametrize("pattern", [r"\p{L}+|\P{L}+", r"(\p{N})|(\P{N}+)"])
+def test_other_patterns(spark, pattern):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    texts = ["Plain words, and 42 more of them.", "  two  blanks\n\nlines ", "été ça 12,5", ""]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, `a.b` string")
+    out = bpe.encode(docs, path, pattern)
+    assert out.columns == ["doc_id", "text", "a.b", "token_ids"]
+    assert {r.doc_id: r.token_ids for r in out.collect()} == {i: library.encode_ordinary(t) for i, t in enumerate(texts)}
+
+
+def test_the_given_pattern_is_the_one_that_texts_are_cut_for():
+    assert chunks.PATTERN == public_tokenizers.PATTERN

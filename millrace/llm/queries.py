@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, mixing, simhash, substring, tokenbin, tokencounts, topk, toxicity, vectorgraph, warc
-from .storage import scratch_path
+from .storage import scratch_path, settle
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,8 +33,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, files = warc.archive(_table(spark, sf_dir, "pages"))
-    records = warc.read_records(warc.read_index(files), keep_payload=False)
+    pages = _table(spark, sf_dir, "pages")
+    _, files = warc.archive(pages)
+    asked = pages.groupBy(warc.url_key(F.col("url")).alias("key")).agg(F.min("url").alias("url"))
+    captures = warc.lookup(asked, files)  # every key, by binary search
+    records = warc.read_records(captures, keep_payload=False)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
@@ -49,7 +52,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     split = tokencounts.matches("text", r"[^\x20\x09-\x0D']+")
     counts.commit("recount-fr", tokencounts.counted(docs.where("lang = 'fr'"), split, "words-1"))
     named = docs.select("doc_id", F.sha2("text", 256).alias("sha")).where("sha IS NOT NULL")
-    first = named.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = settle(named.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "copied-texts")
     counts.commit("drop-copies", deletes=named.join(first, "sha").where("doc_id > first").select("doc_id"))
     return counts.totals()
 

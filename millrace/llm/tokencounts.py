@@ -4,14 +4,21 @@ Each batch of inserts, deletes and revised counts becomes signed rows, which are
 kept by document (the ledger) and summed by source, language and tokenizer
 version (the rollup). Totals are sums over committed batches, so no batch
 rewrites another. A batch counts once its marker is written, last; committing a
-batch again, or one that failed half-way, changes nothing twice.
+batch again, or one that failed half-way, changes nothing twice. A batch reads
+the ledger rows of the documents that it names only, and ``compact`` sums many
+batches into one. Of two writers at a time one fails: both claim the place after
+the last batch.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .storage import settle
+
 _LEDGER = "doc_id long, version string, source string, lang string, docs long, tokens long"
 _ROLLUP = "source string, lang string, version string, docs long, tokens long"
 _KEYS = ["source", "lang", "version"]
@@ -23,21 +30,59 @@ class TokenCounts:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
 
+    def _path(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _log(self) -> list[str]:
+        """Names in the folder of markers, in the order of their places."""
+        fs, path = self._path("commits")
+        return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+
     def batches(self) -> list[str]:
-        """Ids of the committed batches, one small marker file each."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/commits")
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return []
-        return sorted(s.getPath().getName() for s in fs.listStatus(path) if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
+        """Ids of all committed batches, those in compacted ones included."""
+        names: list[str] = []
+        for marker in self._log():
+            fs, path = self._path(f"commits/{marker}")
+            stream = fs.open(path)
+            try:
+                names += json.loads(bytes(stream.readAllBytes()).decode())["batches"]
+            finally:
+                stream.close()
+        return names
+
+    def _live(self) -> list[str]:
+        """Folders that count: the last compacted one and those after it."""
+        log = [marker.split("-", 2) for marker in self._log()]
+        start = max((i for i, (_, kind, _) in enumerate(log) if kind == "all"), default=0)
+        return [f"{place}-{name}" for place, _, name in log[start:]]
+
+    def _claim(self, place: int, kind: str, name: str, batches: list[str]) -> None:
+        """Write a marker that must not exist: the file system lets one writer create it."""
+        fs, path = self._path(f"places/{place:09d}")
+        fs.create(path, False).close()
+        fs, path = self._path(f"commits/{place:09d}-{kind}-{name}")
+        stream = fs.create(path, False)
+        stream.write(bytearray(json.dumps({"batches": batches}).encode()))
+        stream.close()
+
+    def _place(self) -> int:
+        """The place after the last one claimed, whether its batch was committed or not."""
+        fs, path = self._path("places")
+        claimed = [int(s.getPath().getName()) for s in fs.listStatus(path)] if fs.exists(path) else []
+        return 1 + max(claimed, default=-1)
 
     def _read(self, kind: str, schema: str) -> DataFrame:
-        paths = [f"{self.folder}/{kind}/{b}" for b in self.batches()]
+        paths = [f"{self.folder}/{kind}/{b}" for b in self._live()]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def ledger(self) -> DataFrame:
-        """(doc_id, version, source, lang, docs, tokens): what now stands for each document."""
-        sums = self._read("ledger", _LEDGER).groupBy("doc_id", "version", "source", "lang").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+    def ledger(self, named: DataFrame | None = None) -> DataFrame:
+        """(doc_id, version, source, lang, docs, tokens): what now stands for each document,
+        with ``named`` (doc_id) of those only."""
+        rows = self._read("ledger", _LEDGER)
+        if named is not None:
+            rows = rows.join(named.select(F.col("doc_id").alias("wanted")), rows.doc_id.eqNullSafe(F.col("wanted")), "left_semi")
+        sums = rows.groupBy("doc_id", "version", "source", "lang").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         return sums.where("docs <> 0 OR tokens <> 0")
 
     def totals(self) -> DataFrame:
@@ -53,7 +98,9 @@ class TokenCounts:
         document. Several upserts of one key in a batch all count, as rows of a
         repeated document do; a document both deleted and upserted ends as
         upserted. Ids, sources, languages and counts may be null: null ids match
-        each other, and a null count adds a document without tokens.
+        each other, and a null count adds a document without tokens. Empty tables
+        commit a batch that changes nothing; texts are counted before, whatever
+        their length. Another writer's commit meanwhile makes this one fail.
         """
         if not batch or any(c in batch for c in "/\\"):
             raise ValueError("a batch id is a plain name")
@@ -62,22 +109,36 @@ class TokenCounts:
         empty_up = self.spark.createDataFrame([], "doc_id long, source string, lang string, version string, n_tokens long")
         upserts = empty_up if upserts is None else upserts
         added = upserts.select(F.col("doc_id").cast("long").alias("doc_id"), "version", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.lit(1).cast("long").alias("docs"), F.coalesce(F.col("n_tokens").cast("long"), F.lit(0)).alias("tokens"))
-        target = f"{self.folder}/ledger/{batch}"
+        place = self._place()
         signed = added
-        if self.batches():
-            standing = self.ledger()
+        if self._live():
+            touched = added.select("doc_id")
+            if deletes is not None:
+                gone = settle(deletes.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "deleted-ids")
+                touched = touched.union(gone)
+            standing = self.ledger(touched.distinct())
             named = added.select(F.col("doc_id").alias("u_doc"), F.col("version").alias("u_version")).distinct()
             replaced = standing.join(named, standing.doc_id.eqNullSafe(F.col("u_doc")) & standing.version.eqNullSafe(F.col("u_version")), "left_semi")
             if deletes is not None:
-                gone = deletes.select(F.col("doc_id").cast("long").alias("d_doc")).distinct()
+                gone = gone.select(F.col("doc_id").alias("d_doc"))
                 replaced = replaced.union(standing.join(gone, standing.doc_id.eqNullSafe(F.col("d_doc")), "left_semi")).distinct()
             signed = added.union(replaced.select("doc_id", "version", "source", "lang", (-F.col("docs")).alias("docs"), (-F.col("tokens")).alias("tokens")))
+        return self._write(place, "one", batch, signed, [batch])
+
+    def _write(self, place: int, kind: str, name: str, signed: DataFrame, batches: list[str]) -> bool:
+        target = f"{self.folder}/ledger/{place:09d}-{name}"
         signed.write.mode("overwrite").parquet(target)
         written = self.spark.read.schema(_LEDGER).parquet(target)
-        written.groupBy(*_KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).write.mode("overwrite").parquet(f"{self.folder}/rollup/{batch}")
-        self.spark.range(1).write.mode("overwrite").parquet(f"{self.folder}/commits/{batch}")
+        written.groupBy(*_KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).write.mode("overwrite").parquet(f"{self.folder}/rollup/{place:09d}-{name}")
+        self._claim(place, kind, name, batches)
         return True
 
+    def compact(self) -> bool:
+        """Sum all batches into one, which then counts instead of them; False if there is none."""
+        if not self._live():
+            return False
+        return self._write(self._place(), "all", "compacted", self.ledger(), [])
+
 
 def counted(docs: DataFrame, count: Column, version: str) -> DataFrame:
     """Upserts of ``docs`` (doc_id, source, lang and what ``count`` reads)."""

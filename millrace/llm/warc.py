@@ -18,7 +18,7 @@ import json
 import struct
 import uuid
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -180,14 +180,20 @@ class IndexFile:
         at, n = _TAIL.unpack(self._range(self.stream.size() - _TAIL.size, _TAIL.size))
         self.directory = json.loads(zlib.decompress(self._range(at, n)))
         self.keys = [d[0] for d in self.directory]
+        self.opened: tuple[int, list[dict]] = (-1, [])
 
     def _range(self, at: int, n: int) -> bytes:
         self.stream.seek(at)
         return self.stream.read(n)
 
     def block(self, b: int) -> list[dict]:
-        _, at, n, _ = self.directory[b]
-        return [json.loads(x) for x in zlib.decompress(self._range(at, n)).decode().split("\n")]
+        if self.opened[0] != b:  # neighbouring keys are often in the block read last
+            _, at, n, _ = self.directory[b]
+            self.opened = (b, [json.loads(x) for x in zlib.decompress(self._range(at, n)).decode().split("\n")])
+        return self.opened[1]
+
+    def close(self) -> None:
+        self.stream.close()
 
     def find(self, key: str) -> Iterator[dict]:
         """Captures of ``key``: the block before its place among the first keys, and
@@ -196,7 +202,11 @@ class IndexFile:
         while b > 0 and self.keys[b] == key:
             b -= 1
         while b < len(self.keys) and self.keys[b] <= key:
-            yield from (c for c in self.block(b) if c["key"] == key)
+            lines = self.block(b)
+            at = bisect_left(lines, key, key=lambda c: c["key"])
+            while at < len(lines) and lines[at]["key"] == key:
+                yield lines[at]
+                at += 1
             b += 1
 
 
@@ -207,34 +217,63 @@ def read_index(files: DataFrame) -> DataFrame:
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 index = IndexFile(path)
-                for b in range(len(index.directory)):
+                for b in range(len(index.directory)):  # the whole index in one pass
                     rows = index.block(b)
                     kinds = {"page_id": pa.int64(), "refers_to": pa.int64(), "offset": pa.int64(), "length": pa.int64()}
                     yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([(n, kinds.get(n, pa.string())) for n in (p.split()[0] for p in _CAPTURE.split(", "))]))
+                index.close()
 
     return files.select("path").repartition(max(1, files.count())).mapInArrow(run, _CAPTURE)
 
 
 def lookup(urls: DataFrame, files: DataFrame, url: str = "url") -> DataFrame:
-    """The captures of each URL of ``urls`` (with the column ``asked``). The table
-    of files, one row for each index partition, goes to all tasks."""
+    """The captures of each row of ``urls`` (with the column ``asked``).
+
+    The table of files, one row for each index partition, goes to all tasks, which
+    find the files of a key in it by binary search; captures of a very common key
+    fill several. Then each file is opened by one task, its directory searched and
+    the blocks read that hold what is asked.
+    """
     table = sorted((r.first_key, r.last_key, r.path) for r in files.select("first_key", "last_key", "path").collect())
-    asked = urls.select(F.col(url).cast("string").alias("asked"), url_key(F.col(url).cast("string")).alias("wanted"))
+    lasts = [last for _, last, _ in table]
+    asked = urls.select(F.col(f"`{url}`").cast("string").alias("asked"), url_key(F.col(f"`{url}`").cast("string")).alias("wanted"))
+    names = ["asked"] + [p.split()[0] for p in _CAPTURE.split(", ")]
+    kinds = {"page_id": pa.int64(), "refers_to": pa.int64(), "offset": pa.int64(), "length": pa.int64()}
+    schema = pa.schema([(n, kinds.get(n, pa.string())) for n in names])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, open_ = ["asked"] + [p.split()[0] for p in _CAPTURE.split(", ")], {}
-        kinds = {"page_id": pa.int64(), "refers_to": pa.int64(), "offset": pa.int64(), "length": pa.int64()}
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for address, key in zip(*(c.to_pylist() for c in batch.columns)):
-                for first, last, path in table:
-                    if first <= key <= last:
-                        index = open_.setdefault(path, None) or IndexFile(path)
-                        open_[path] = index
-                        out += [c | {"asked": address} for c in index.find(key)]
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([(n, kinds.get(n, pa.string())) for n in names]))
-
-    return asked.mapInArrow(run, "asked string, " + _CAPTURE)
+            rows, paths = [], []
+            for i, key in enumerate(batch.column(1).to_pylist()):
+                at = bisect_left(lasts, key)  # the first file that does not end before the key
+                while at < len(table) and table[at][0] <= key:
+                    rows.append(i)
+                    paths.append(table[at][2])
+                    at += 1
+            there = pa.array(rows, pa.int64())
+            yield pa.record_batch([batch.column(0).take(there), batch.column(1).take(there), pa.array(paths, pa.string())], names=["asked", "wanted", "path"])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, open_, out = None, "", []
+        for batch in batches:
+            for address, key, path in zip(*(c.to_pylist() for c in batch.columns)):
+                if path != open_:
+                    if index is not None:
+                        index.close()
+                    index, open_ = IndexFile(path), path
+                for capture in index.find(key):
+                    out.append(capture | {"asked": address})
+                    if len(out) == 10_000:
+                        yield pa.RecordBatch.from_pylist(out, schema=schema)
+                        out = []
+        if index is not None:
+            index.close()
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    routed = asked.mapInArrow(route, "asked string, wanted string, path string")
+    placed = routed.repartition(max(1, len(table)), "path").sortWithinPartitions("path", "wanted")
+    return placed.mapInArrow(find, "asked string, " + _CAPTURE)
 
 
 def read_records(captures: DataFrame, keep_payload: bool = True) -> DataFrame:
@@ -249,6 +288,8 @@ def read_records(captures: DataFrame, keep_payload: bool = True) -> DataFrame:
             out, held = [], 0
             for file, offset, length in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if file != name:
+                    if stream is not None:
+                        stream.close()
                     fs, inner = filesystem(file)
                     name, stream = file, fs.open_input_file(inner)
                 stream.seek(offset)
@@ -263,6 +304,8 @@ def read_records(captures: DataFrame, keep_payload: bool = True) -> DataFrame:
                     out, held = [], 0
             if out:
                 yield pa.record_batch([pa.array(x, k) for x, (_, k) in zip(zip(*out), fields)], names=[n for n, _ in fields])
+        if stream is not None:
+            stream.close()
 
     files = max(1, captures.select("file").distinct().count())
     placed = captures.select("file", "offset", "length").repartition(files, "file").sortWithinPartitions("file", "offset")

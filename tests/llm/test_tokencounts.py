@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import tokencounts
@@ -27,7 +28,7 @@ def test_a_batch_that_failed_half_way_counts_once(spark):
     folder = scratch_path(spark, "counts")
     counts = tokencounts.TokenCounts(spark, folder)
     rows = spark.createDataFrame([(1, "a", "en", "v1", 10)], UP)
-    rows.write.parquet(f"{folder}/ledger/one")  # what a lost driver may leave: no marker
+    rows.write.parquet(f"{folder}/ledger/000000000-one")  # what a lost driver may leave: no marker
     assert counts.totals().count() == 0
     assert counts.commit("one", rows)
     assert [tuple(r) for r in counts.totals().collect()] == [("a", "en", "v1", 1, 10)]
@@ -57,3 +58,39 @@ def test_random_batches_equal_a_dictionary(spark):
             docs, total = want.get((s, lang, v), (0, 0))
             want[s, lang, v] = (docs + 1, total + n)
         assert {(r.source, r.lang, r.version): (r.docs, r.tokens) for r in counts.totals().collect()} == want
+
+
+def test_compacted_batches_count_once(spark):
+    counts = tokencounts.TokenCounts(spark, scratch_path(spark, "counts"))
+    up = lambda *rows: spark.createDataFrame(rows, UP)
+    assert not counts.compact()
+    one = up((1, "a", "en", "v1", 10), (2, "a", "en", "v1", 20))
+    counts.commit("one", one)
+    counts.commit("two", up((2, "b", "en", "v1", 5)))
+    before = sorted(map(tuple, counts.totals().collect()))
+    assert counts.compact() and sorted(map(tuple, counts.totals().collect())) == before == [("a", "en", "v1", 1, 10), ("b", "en", "v1", 1, 5)]
+    assert counts.batches() == ["one", "two"] and not counts.commit("one", one)
+    counts.commit("three", deletes=spark.createDataFrame([(1,)], "doc_id long"))
+    assert [tuple(r) for r in counts.totals().collect()] == [("b", "en", "v1", 1, 5)]
+
+
+def test_of_two_writers_one_fails(spark, monkeypatch):
+    folder = scratch_path(spark, "counts")
+    a, b = tokencounts.TokenCounts(spark, folder), tokencounts.TokenCounts(spark, folder)
+    rows = spark.createDataFrame([(1, "a", "en", "v1", 10)], UP)
+    write = b._write
+    monkeypatch.setattr(b, "_write", lambda *args: a.commit("first", rows) and write(*args))
+    with pytest.raises(Exception, match="(?i)exist"):
+        b.commit("second", rows)
+    assert a.batches() == ["first"] and [tuple(r) for r in a.totals().collect()] == [("a", "en", "v1", 1, 10)]
+    assert tokencounts.TokenCounts(spark, folder).commit("second", rows)
+
+
+def test_empty_tables_and_very_long_texts(spark):
+    counts = tokencounts.TokenCounts(spark, scratch_path(spark, "counts"))
+    docs = spark.createDataFrame([], "doc_id long, source string, lang string, text string")
+    assert counts.commit("none", tokencounts.counted(docs, tokencounts.matches("text", "[^ ]+"), "w"), docs.select("doc_id"))
+    assert counts.totals().count() == 0
+    long = spark.createDataFrame([(1, "s", "en", "word " * 400_000)], docs.schema)
+    counts.commit("long", tokencounts.counted(long, tokencounts.matches("text", "[^ ]+"), "w"))
+    assert [tuple(r) for r in counts.totals().collect()] == [("s", "en", "w", 1, 400_000)]

@@ -1,7 +1,8 @@
 """Tables in the folder that all machines share: they cut lineage and survive lost executors.
 
-The folder is the session's ``spark.checkpoint.dir``; the warehouse is used
-only where that setting is absent, as in bare tests.
+The folder is the session's ``spark.checkpoint.dir``. Only a local master may do
+without: it has the warehouse instead. On a cluster the setting must be there, as
+the machines' own folders are no place that all can read.
 """
 
 from __future__ import annotations
@@ -11,12 +12,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme of its file system: the session's default one if it names none."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(there).toString()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unused path in the shared folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return qualified(spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
@@ -24,4 +33,14 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._settled = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Remove the files of a settled table that nothing reads any more."""
+    spark, path = table.sparkSession, getattr(table, "_settled", None)
+    if path:
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)

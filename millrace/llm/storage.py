@@ -2,24 +2,24 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame
 
-from ..sources.scratch import scratch_path, settle
+from ..sources.scratch import discard, qualified, scratch_path, settle
 
-__all__ = ["filesystem", "new_file_name", "numbered", "scratch_path", "settle", "unused_name"]
+__all__ = ["discard", "filesystem", "new_file_name", "numbered", "qualified", "scratch_path", "settle", "unused_name"]
 
 
 def filesystem(uri: str):
-    """(pyarrow filesystem, path inside it) of a local, HDFS or object-store URI."""
+    """(pyarrow filesystem, path inside it) of a local, HDFS or object-store URI, as
+    ``qualified`` gives it on the driver; tasks do not guess a scheme."""
     from pyarrow import fs
 
     if not urlparse(uri).scheme:
-        uri = "file://" + os.path.abspath(uri)
-    elif uri.startswith("file:/") and not uri.startswith("file://"):
+        raise ValueError(f"no scheme in {uri}")
+    if uri.startswith("file:/") and not uri.startswith("file://"):
         uri = "file://" + uri[len("file:"):]
     return fs.FileSystem.from_uri(uri)
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunks import Recent, encode_text
-from .storage import filesystem, new_file_name, scratch_path, settle
+from .storage import filesystem, new_file_name, qualified, scratch_path, settle
 
 MAGIC = b"IDBITS01"
 BLOCK = 1 << 16
@@ -191,7 +191,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int | None = 0, folder:
     A null text is empty and gives ``end_id`` alone; rows that repeat a doc_id
     are each written; an empty table gives no file.
     """
-    folder = folder or scratch_path(docs.sparkSession, "packed-ids")
+    folder = qualified(docs.sparkSession, folder) if folder else scratch_path(docs.sparkSession, "packed-ids")
     bits = bits_for(vocabulary_size(tokenizer_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

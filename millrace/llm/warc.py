@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import filesystem, new_file_name, scratch_path, settle
+from .storage import filesystem, new_file_name, qualified, scratch_path, settle
 
 VERSION = "WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"
@@ -94,6 +94,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, page_id:
     null page_id is the smallest. A null payload is an empty one, a null URL an
     empty one. An empty table gives no record.
     """
+    folder = qualified(pages.sparkSession, folder)
     page, payload = F.col(page_id).cast("long"), F.coalesce(F.col(html).cast("string"), F.lit(""))
     rows = pages.select(page.alias("page"), F.col(url).cast("string").alias("address"), payload.alias("body")).withColumn("sha", F.sha1("body"))
     equal = pages.select(F.sha1(payload).alias("same"), page.alias("page"), F.octet_length(payload).alias("n")).where(F.col("n") >= least_bytes)
@@ -134,7 +135,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, page_id:
 def write_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES) -> DataFrame:
     """Write the two-level index of ``captures`` and return its settled table of
     files: (part, path, first_key, last_key, blocks, lines), one row a file."""
-    order = ["key", "page_id"]
+    folder, order = qualified(captures.sparkSession, folder), ["key", "page_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, lines, directory, stream, at, total, path, last = TaskContext.get().partitionId(), [], [], None, 0, 0, "", ""
@@ -314,6 +315,6 @@ def read_records(captures: DataFrame, keep_payload: bool = True) -> DataFrame:
 
 def archive(pages: DataFrame, folder: str | None = None, least_bytes: int = 0, **columns) -> tuple[DataFrame, DataFrame]:
     """Write archives and index of ``pages``: (captures, table of index files)."""
-    folder = folder or scratch_path(pages.sparkSession, "warc")
+    folder = qualified(pages.sparkSession, folder) if folder else scratch_path(pages.sparkSession, "warc")
     captures = write_archives(pages, folder, least_bytes, **columns)
     return captures, write_index(captures, folder + "-index")

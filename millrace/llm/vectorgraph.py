@@ -28,10 +28,14 @@ from .topk import finite
 
 THRESHOLD = 0.9
 SHARD_ROWS, OVERLAP = 2048, 3
+#: A cell is cut once it would fill more blocks of SHARD_ROWS than this.
+BLOCKS = 4
 #: Sample rows that the centroids of a cell are fitted on (about), cells that one is cut into at most, levels.
 FIT_ROWS, BRANCH, LEVELS = 16_384, 256, 4
 AUDIT_ROWS, AUDIT_RECALL = 256, 0.97
 NEAREST_KEPT, DEGREE, CANDIDATES, ALPHA, BEAM = 8, 20, 48, 1.2, 16
+#: Of a vector's united and reverse edges, the nearest this many are walked in a block.
+WALKED = 64
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
@@ -204,10 +208,12 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _cut(members: DataFrame, level: int, threshold: float, shard_rows: int, overlap: int, fit_rows: int) -> DataFrame | None:
-    """``members`` (cell, cls, v) with each cell of over ``shard_rows`` dealt to smaller,
-    overlapping ones by centroids of a sample; None if there is none to deal. A cell
-    in which nearly all link with each other stays whole: links have to be counted there."""
-    large = settle(members.groupBy("cell").agg(F.count("*").alias("size")).where(F.col("size") > shard_rows), "large-cells")
+    """``members`` (cell, cls, v) with each cell of over BLOCKS * ``shard_rows`` (all of
+    ``shard_rows`` at first) dealt to overlapping ones of about ``shard_rows`` by centroids
+    of a sample; None if there is none to deal. A cell in which nearly all link with each
+    other stays whole: links have to be counted there."""
+    overlap = overlap if level == 0 else 2
+    large = settle(members.groupBy("cell").agg(F.count("*").alias("size")).where(F.col("size") > shard_rows * (BLOCKS if level else 1)), "large-cells")
     if not large.take(1):
         return None
     span = 1 << 30
@@ -218,7 +224,7 @@ def _cut(members: DataFrame, level: int, threshold: float, shard_rows: int, over
         cell, size = table.column("cell")[0].as_py(), table.column("size")[0].as_py()
         mean = x.mean(axis=0)
         dense = np.quantile(x @ (mean / max(np.linalg.norm(mean), 1e-300)), 0.1) >= np.sqrt((1 + threshold) / 2)
-        c = centroids(x, int(min(BRANCH, len(x), -(-size // shard_rows))))
+        c = centroids(x, int(min(BRANCH, len(x), -(-overlap * size // shard_rows))))
         rows = [] if dense or len(c) < 2 else [{"cell": cell, "parts": -(-size // fit_rows), "k": len(c), "middle": c.tobytes()}]
         return pa.Table.from_pylist(rows, schema=pa.schema([("cell", pa.int64()), ("parts", pa.int64()), ("k", pa.int32()), ("middle", pa.binary())]))
 
@@ -231,7 +237,7 @@ def _cut(members: DataFrame, level: int, threshold: float, shard_rows: int, over
         if not left.num_rows:
             return kinds.empty_table()
         c = np.frombuffer(right.column("middle")[0].as_py(), np.float64).reshape(right.column("k")[0].as_py(), -1)
-        o = min(overlap if level == 0 else 2, len(c))
+        o = min(overlap, len(c))
         near = np.argpartition(-(unit_rows(matrix(left.column("v"))) @ c.T), o - 1, axis=1)[:, :o].ravel()
         rows = pa.array(np.repeat(np.arange(left.num_rows), o))
         cell = left.column("cell")[0].as_py() * (BRANCH + 1) + 1 + near.astype(np.int64)
@@ -260,10 +266,15 @@ def _blocks(members: DataFrame, nodes: DataFrame, shard_rows: int, threshold: fl
         place = np.searchsorted(ids, target)
         here = ids[np.minimum(place, len(ids) - 1)] == target
         owner, place = owner[here], place[here]
+        unit = unit_rows(x)
+        order = np.lexsort((-np.einsum("ij,ij->i", unit[owner], unit[place]), owner))
+        owner, place = owner[order], place[order]
+        nearest = np.arange(len(owner)) - np.searchsorted(owner, owner) < WALKED
+        owner, place = owner[nearest], place[nearest]
         counts = np.bincount(owner, minlength=len(ids))
         grid = np.full((len(ids), max(1, int(counts.max(initial=0)))), -1, np.int32)
         grid[owner, np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)] = place
-        starts = np.empty(0, np.int64) if exact else entries(unit_rows(x), grid, threshold)
+        starts = np.empty(0, np.int64) if exact else entries(unit, grid, threshold)
         cells = table.column("cells").combine_chunks()
         row = {c: table.column(c)[0].as_py() for c in ("cell", "part", "parts")}
         row |= {"n": len(ids), "width": grid.shape[1], "ids": ids.tobytes(), "x": x.tobytes(), "grid": grid.tobytes(), "starts": starts.tobytes(), "copies": table.column("copies").to_numpy().tobytes()}

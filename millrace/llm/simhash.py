@@ -334,7 +334,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     sized = named.join(fps.select(F.col("uid").alias("cls"), "size"), "cls")
     parts = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_SHINGLES), F.lit(1))
     apart_still = sized.groupBy("point").agg(parts.cast("long").alias("parts"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("point", "parts")
-    apart_still = settle(named.join(apart_still, "point"), "open-buckets")
+    apart_still = settle(named.join(settle(apart_still, "bucket-labels"), "point"), "open-buckets")
     if apart_still.take(1):
         full = apart_still.join(fps.select(F.col("uid").alias("cls"), "size", *_VERIFY, "shingles"), "cls")
         near = near.union(settle(_block_links(full, similarity, most), "block-links"))

@@ -117,7 +117,7 @@ def fit_logistic(held: list[np.ndarray], before: np.ndarray, y: np.ndarray, word
         g = back(p - y) + prior * theta
         size = float(np.sqrt(g @ g))
         start = size if start is None else start
-        if size <= 1e-6 * max(1.0, start):
+        if size <= 1e-5 * max(1.0, start):
             break
         w = np.maximum(p * (1 - p), 1e-10)
         scale = np.concatenate((np.bincount(at, w[rows], minlength=words), (before * before).T @ w, [w.sum()])) + prior

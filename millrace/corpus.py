@@ -6,7 +6,7 @@ in Spark and, under the same name, as a DuckDB common table expression.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.text import strings
@@ -14,8 +14,6 @@ from .functions.text import strings
 BUCKETS = ["src", "app", "lib", "tests", "docs", "db", ".cfg"]
 SYMBOL_TYPES = ["class", "function", "method", "variable", "interface", "enum", "namespace"]
 EDGE_TYPES = ["depends_on", "calls", "imports", "extends", "implements", "belongs_to"]
-#: Symbols are dealt to this many files.
-SYMBOL_FILES = 200
 QUESTIONS = [
     "Where is the session token validated in", "Who calls the parser for", "What breaks if I change the schema of", "Which tests cover",
     "How is configuration loaded for", "Is there an injection risk in", "Which database tables store", "Why does the exception occur in",
@@ -27,6 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def file_of(spark: SparkSession, sf_dir: str, id_: Column) -> Column:
+    """The file that what has this id is dealt to: all files in turn, as ids of documents run from zero."""
+    n = table(spark, sf_dir, "documents").agg(F.count("*").alias("n")).scalar()
+    return F.try_mod(id_, n)
+
+
+#: The same in SQL.
+FILE_OF = "{} % (SELECT count(*) FROM documents)"
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file_id, repository_id, path, size_bytes, content_hash, text): one file a document."""
     docs = table(spark, sf_dir, "documents")
@@ -56,7 +64,7 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     name = F.replace("p_name", F.lit(" "), F.lit("_"))
     return part.select(
-        F.col("p_partkey").alias("symbol_id"), (F.col("p_partkey") % SYMBOL_FILES).alias("file_id"), name.alias("name"), F.col("p_brand").alias("scope"),
+        F.col("p_partkey").alias("symbol_id"), file_of(spark, sf_dir, F.col("p_partkey")).alias("file_id"), name.alias("name"), F.col("p_brand").alias("scope"),
         F.concat_ws(".", "p_brand", "p_type", F.concat_ws("_", name, F.col("p_partkey").cast("string"))).alias("qualified_name"),
         F.element_at(strings(SYMBOL_TYPES), (F.col("p_size") % 7 + 1).cast("int")).alias("symbol_type"),
         F.col("p_size").cast("long").alias("start_line"), (F.col("p_size") + F.col("p_partkey") % 10).cast("long").alias("end_line"),
@@ -147,7 +155,7 @@ SQL = {
   SELECT doc_id AS file_id, unnest(range(1, len(l) + 1)) AS line_no, unnest(l) AS line
   FROM (SELECT doc_id, CASE WHEN p[-1] = '' THEN p[1:-2] ELSE p END AS l FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)))""",
     "symbols": """symbols AS (
-  SELECT p_partkey AS symbol_id, p_partkey % 200 AS file_id, replace(p_name, ' ', '_') AS name, p_brand AS scope,
+  SELECT p_partkey AS symbol_id, p_partkey % (SELECT count(*) FROM documents) AS file_id, replace(p_name, ' ', '_') AS name, p_brand AS scope,
          p_brand || '.' || p_type || '.' || replace(p_name, ' ', '_') || '_' || p_partkey AS qualified_name,
          (['class','function','method','variable','interface','enum','namespace'])[(p_size % 7 + 1)::INTEGER] AS symbol_type,
          p_size::BIGINT AS start_line, p_size + p_partkey % 10 AS end_line FROM part)""",

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import settle
+from ..sources.scratch import discard, settle
 
 
 def degrees(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -30,15 +32,19 @@ def restricted(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(nodes.select(F.col("node").alias("source")), "source", "left_semi").join(nodes.select(F.col("node").alias("target")), "target", "left_semi")
 
 
-def _spread(colour: DataFrame, edges: DataFrame, name: str) -> DataFrame:
-    """Give every node the least colour that reaches it along the edges."""
+def _spread(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
+    """(node, colour): the least node that reaches each along the edges. Who reaches the
+    least node known to reach a node reaches it too, so a round doubles the distance."""
+    colour = settle(nodes.select("node", F.col("node").alias("colour")), name)
     while True:
         came = edges.join(colour, edges.source == colour.node).groupBy(F.col("target").alias("node")).agg(F.min("colour").alias("came"))
-        step = colour.join(came, "node", "left").select("node", F.least("colour", "came").alias("colour"), F.coalesce(F.col("came") < F.col("colour"), F.lit(False)).alias("moved"))
-        step = settle(step, name)
-        colour = step.drop("moved")
-        if step.where("moved").isEmpty():
-            return colour
+        step = colour.join(came, "node", "left").select("node", F.col("colour").alias("old"), F.least("colour", "came").alias("step"))
+        onward = colour.select(F.col("node").alias("step"), F.col("colour").alias("jump"))
+        new = settle(step.join(onward, "step").select("node", F.least("step", "jump").alias("colour"), (F.least("step", "jump") < F.col("old")).alias("moved")), name)
+        discard(colour)
+        colour = new
+        if not new.where("moved").take(1):
+            return new
 
 
 def tangles(edges: DataFrame) -> DataFrame:
@@ -48,36 +54,54 @@ def tangles(edges: DataFrame) -> DataFrame:
     Nodes with no way in or no way out are trimmed; then every node takes the least
     node that reaches it, and what reaches that node back within its colour is its
     component. Components leave and the rest goes on. Rounds are written to the
-    shared folder; nothing but emptiness is asked by the driver.
+    shared folder, each in place of the one before; the driver asks for sizes only.
     """
     spark = edges.sparkSession
     left = settle(edges.where("source <> target").select("source", "target").distinct(), "graph")
-    found: DataFrame | None = None
-    while True:
-        while True:
-            out, into = left.select(F.col("source").alias("n")).distinct(), left.select(F.col("target").alias("n")).distinct()
-            live = out.join(into, "n").withColumnRenamed("n", "node")
-            kept = settle(restricted(left, live), "graph")
-            same = kept.count() == left.count()
-            left = kept
-            if same:
-                break
-        if left.isEmpty():
-            break
+    size, found = left.count(), []
+    while size:
+        trimmed = left
+        for _ in range(2):  # more than once before a write
+            out, into = trimmed.select(F.col("source").alias("n")).distinct(), trimmed.select(F.col("target").alias("n")).distinct()
+            trimmed = restricted(trimmed, out.join(into, "n").withColumnRenamed("n", "node"))
+        trimmed = settle(trimmed, "graph")
+        discard(left)
+        left, before, size = trimmed, size, trimmed.count()
+        if size < before or not size:
+            continue
         nodes = left.select(F.col("source").alias("node")).union(left.select("target")).distinct()
-        colour = _spread(nodes.select("node", F.col("node").alias("colour")), left, "colours")
+        colour = _spread(nodes, left, "colours")
         a, b = colour.select(F.col("node").alias("source"), F.col("colour").alias("ca")), colour.select(F.col("node").alias("target"), F.col("colour").alias("cb"))
         inner = settle(left.join(a, "source").join(b, "target").where("ca = cb").select(F.col("target").alias("source"), F.col("source").alias("target")), "inner")
-        # Backwards from each root within its colour: a mark of zero spreads, one does not.
-        marks = colour.select("node", F.when(F.col("node") == F.col("colour"), 0).otherwise(1).alias("colour"))
-        reached = _spread(marks, inner, "marks").where("colour = 0").select("node")
-        component = settle(colour.join(reached, "node").select("node", F.col("colour").alias("tangle")), "components")
-        found = component if found is None else found.union(component)
-        left = settle(left.join(reached.select(F.col("node").alias("source")), "source", "left_anti").join(reached.select(F.col("node").alias("target")), "target", "left_anti").select("source", "target"), "graph")
-    if found is None:
+        # A colour's least node is its root: who has it backwards too reaches it and is reached.
+        back = _spread(nodes, inner, "marks").select("node", F.col("colour").alias("back"))
+        component = settle(colour.join(back, "node").where("colour = back").select("node", F.col("colour").alias("tangle")), "components")
+        found.append(component)
+        rest = settle(left.join(component.select(F.col("node").alias("source")), "source", "left_anti").join(component.select(F.col("node").alias("target")), "target", "left_anti").select("source", "target"), "graph")
+        for table in (left, inner, colour):
+            discard(table)
+        left, size = rest, rest.count()
+    if not found:
         return spark.createDataFrame([], edges.select(F.col("source").alias("node"), F.col("source").alias("tangle")).schema)
-    large = found.groupBy("tangle").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    return found.join(large, "tangle").select("node", "tangle")
+    every = reduce(DataFrame.union, found)
+    large = every.groupBy("tangle").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    return every.join(large, "tangle").select("node", "tangle")
+
+
+def on_cycles(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of ``nodes`` (node), a bounded few, that a walk along the edges leads back to.
+    Each round goes one edge further from all that have not come back."""
+    left = settle(edges.where("source <> target").select("source", "target").distinct(), "graph")
+    seen = settle(nodes.select(F.col("node").alias("start"), "node").distinct(), "reached")
+    front, done = seen, seen.where("false").select("start")
+    while True:
+        step = front.join(left, front.node == left.source).select("start", F.col("target").alias("node")).distinct()
+        back = settle(step.where("start = node").select("start").union(done).distinct(), "back")
+        front = settle(step.join(seen, ["start", "node"], "left_anti").join(back, "start", "left_anti"), "front")
+        done = back
+        if not front.take(1):
+            return done.withColumnRenamed("start", "node")
+        seen = settle(seen.join(back, "start", "left_anti").select("start", "node").union(front), "reached")
 
 
 def short_cycles(edges: DataFrame) -> DataFrame:

@@ -42,22 +42,68 @@ def similar(tokens: DataFrame, strings: DataFrame) -> DataFrame:
     return met.select("token", "string", (F.col("shared") / (F.col("token_n") + F.col("string_n") - F.col("shared"))).alias("similarity"))
 
 
+#: Tokens that a block of a comparison with all names holds.
+BLOCK = 2000
+
+
+def matching(tokens: DataFrame, strings: DataFrame) -> DataFrame:
+    """(token, string, similarity) of the pairs in which the string holds the token
+    (``_`` matches any character) or is at least LEAST_SIMILARITY similar.
+
+    A string that holds a run of three letters or digits shares a trigram with it, so
+    trigrams find nearly all. Tokens without such a run are compared with all strings
+    in blocks of BLOCK tokens.
+    """
+    like = F.expr("string ILIKE concat('%', token, '%')")
+    shared = similar(tokens, strings).where(like | (F.col("similarity") >= LEAST_SIMILARITY))
+    short = tokens.select("token").distinct().where(~F.col("token").rlike(r"[\p{L}\p{N}]{3}"))
+    blocks = -(-short.count() // BLOCK)
+    out, names = shared, strings.select("string").distinct()
+    for b in range(blocks):
+        block = short.where(F.pmod(F.xxhash64("token"), F.lit(blocks)) == b)
+        held = names.join(F.broadcast(block), like).withColumn("similarity", text.trigram_similarity(F.col("token"), F.col("string")))
+        out = out.union(held.select("token", "string", "similarity"))
+    return out.groupBy("token", "string").agg(F.max("similarity").alias("similarity")) if blocks else out
+
+
+def _first(scored: DataFrame, order: list[str], k: int) -> DataFrame:
+    window = Window.partitionBy("query_id", "token").orderBy(F.desc("score"), *order)
+    return scored.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
+
+
+def _scoped(tokens: DataFrame, found: DataFrame) -> DataFrame:
+    """Tokens with what was found, in the same repository where both tell it."""
+    both = "repository_id" in tokens.columns and "repository_id" in found.columns
+    return tokens.join(found, ["token", "repository_id"] if both else "token")
+
+
 def lexical(tokens: DataFrame, symbols: DataFrame, k: int = 25) -> DataFrame:
     """(query_id, token, symbol_id, qualified_name, score, rank): symbols by token, at most ``k`` each.
 
-    Admitted are names that contain the token (``_`` matches any character) or are
-    at least LEAST_SIMILARITY similar, among those that share a trigram with it;
-    an equal name scores one. Ties go by qualified name, then id.
+    Admitted are names that contain the token or are similar, see ``matching``; an
+    equal name scores one. Ties go by qualified name, then id. With a ``repository_id``
+    in both tables, a question finds symbols of its repository only.
     """
     names = symbols.select(F.col("name").alias("string")).union(symbols.select("qualified_name"))
-    pairs = similar(tokens, names)
-    found = pairs.join(symbols, pairs.string == symbols.name).select("token", "symbol_id", "similarity").union(pairs.join(symbols, pairs.string == symbols.qualified_name).select("token", "symbol_id", "similarity"))
-    best = found.groupBy("token", "symbol_id").agg(F.max("similarity").alias("similarity")).join(symbols.select("symbol_id", "name", "qualified_name"), "symbol_id")
-    admitted = best.where(F.expr(f"name ILIKE concat('%', token, '%') OR qualified_name ILIKE concat('%', token, '%') OR similarity >= {LEAST_SIMILARITY}"))
+    pairs = matching(tokens, names)
+    columns = [c for c in ("repository_id", "symbol_id", "name", "qualified_name") if c in symbols.columns]
+    kept = symbols.select(*columns)
+    found = pairs.join(kept, pairs.string == kept.name).select("token", *columns, "similarity").union(pairs.join(kept, pairs.string == kept.qualified_name).select("token", *columns, "similarity"))
+    best = found.groupBy("token", *columns).agg(F.max("similarity").alias("similarity"))
+    # The similarity of a symbol is that of the nearer of its two names, whichever is admitted.
     equal = (F.lower("name") == F.lower("token")) | (F.lower("qualified_name") == F.lower("token"))
-    scored = tokens.join(admitted, "token").select("query_id", "token", "symbol_id", "qualified_name", F.when(equal, 1.0).otherwise(F.col("similarity")).alias("score"))
-    order = Window.partitionBy("query_id", "token").orderBy(F.desc("score"), "qualified_name", "symbol_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    score = F.when(equal, 1.0).otherwise(F.greatest("similarity", text.trigram_similarity(F.col("name"), F.col("token")), text.trigram_similarity(F.col("qualified_name"), F.col("token"))))
+    scored = _scoped(tokens, best.withColumn("score", score)).select("query_id", "token", "symbol_id", "qualified_name", "score")
+    return _first(scored, ["qualified_name", "symbol_id"], k)
+
+
+def file_search(tokens: DataFrame, files: DataFrame, k: int = 25) -> DataFrame:
+    """(query_id, token, file_id, path, score, rank): files by token, admitted and scored
+    by their paths as symbols are by their names. ``files`` (file_id, path[, repository_id])."""
+    pairs = matching(tokens, files.select(F.col("path").alias("string"))).withColumnRenamed("string", "path")
+    found = pairs.join(files, "path")
+    scored = _scoped(tokens, found).withColumn("score", F.when(F.lower("path") == F.lower("token"), 1.0).otherwise(F.col("similarity")))
+    return _first(scored.select("query_id", "token", "file_id", "path", "score"), ["path", "file_id"], k)
 
 
 def type_score(kind: Column) -> Column:
@@ -87,13 +133,13 @@ def merge(candidates: DataFrame) -> DataFrame:
     """One row for each (query_id, key): the best score of each source, sources and
     reasons in first-seen order, path and symbol from the first that names one.
 
-    ``candidates`` (query_id, key, source, score, reason, path, symbol_id, ordinal).
+    ``candidates`` (query_id, key, source, score, reason, path, symbol_id, start_line, ordinal).
     """
     score = lambda s: F.max(F.when(F.col("source") == s, F.col("score"))).alias(s)
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("ordinal"))).alias(c)
-    reasons = candidates.groupBy("query_id", "key", "source", "reason").agg(F.max("score").alias("score"), F.min("ordinal").alias("ordinal"), first("path"), first("symbol_id"))
+    reasons = candidates.groupBy("query_id", "key", "source", "reason").agg(F.max("score").alias("score"), F.min("ordinal").alias("ordinal"), first("path"), first("symbol_id"), first("start_line"))
     merged = reasons.groupBy("query_id", "key").agg(
-        score("semantic"), score("lexical"), score("structural"), first("path"), first("symbol_id"), F.min("ordinal").alias("ordinal"),
+        score("semantic"), score("lexical"), score("structural"), first("path"), first("symbol_id"), first("start_line"), F.min("ordinal").alias("ordinal"),
         F.array_join(F.array_sort(F.collect_set("source")), "+").alias("sources"),
         F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "reason"))), lambda r: r.reason).alias("reasons"),
     )
@@ -109,8 +155,8 @@ def fuse(merged: DataFrame, entry: Column, hotspot: Column, tests: Column) -> Da
 
 
 def ranked(fused: DataFrame, k: int = 10) -> DataFrame:
-    """The ``k`` best of each query, by score, path, and key."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("final_score"), "path", "key")
+    """The ``k`` best of each query, by score, path, first line (zero if unknown) and key."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("final_score"), "path", F.coalesce("start_line", F.lit(0)), "key")
     return fused.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 

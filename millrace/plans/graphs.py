@@ -175,7 +175,8 @@ def hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(corpus.sql("/*RECURSIVE*/" + _REACH + _HOT + """SELECT module, incoming, CASE WHEN module IN (SELECT node FROM mutual) AND incoming >= 5 THEN 'high' WHEN module IN (SELECT node FROM mutual) OR incoming >= 5 THEN 'medium' ELSE 'low' END AS risk FROM hot""", "module_edges"))
 def risk_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = corpus.module_edges(spark, sf_dir)
-    return reports.risk(reports.hotspots(edges), graph.tangles(edges))
+    hot = reports.hotspots(edges)
+    return reports.risk(hot, graph.on_cycles(edges, hot.select(F.col("module").alias("node"))))
 
 
 _DRAWN = _NAMED + f""", ae AS (SELECT {_AREA.format('source')} AS source, {_AREA.format('target')} AS target, count(*) AS weight FROM named WHERE {_AREA.format('source')} <> {_AREA.format('target')} GROUP BY ALL),

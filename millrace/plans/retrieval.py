@@ -42,8 +42,8 @@ def _lexical_sql(tokens: str) -> str:
     return f"""{tokens},
 strings AS (SELECT name AS string FROM symbols UNION SELECT qualified_name FROM symbols),
 tg AS (SELECT DISTINCT token, {s.trigrams('token')} AS g FROM tokens), sg AS (SELECT string, {s.trigrams('string')} AS g FROM strings),
-sims AS (SELECT token, string, len(list_intersect(tg.g, sg.g))::DOUBLE / (len(tg.g) + len(sg.g) - len(list_intersect(tg.g, sg.g))) AS similarity FROM tg, sg WHERE len(list_intersect(tg.g, sg.g)) > 0),
-best AS (SELECT token, symbol_id, name, qualified_name, max(similarity) AS similarity FROM sims JOIN symbols ON string = name OR string = qualified_name GROUP BY ALL),
+sims AS (SELECT token, string, len(list_intersect(tg.g, sg.g))::DOUBLE / (len(tg.g) + len(sg.g) - len(list_intersect(tg.g, sg.g))) AS similarity FROM tg, sg WHERE len(list_intersect(tg.g, sg.g)) > 0 OR string ILIKE '%' || token || '%'),
+best AS (SELECT token, symbol_id, name, qualified_name, max(coalesce(similarity, 0)) AS similarity FROM sims JOIN symbols ON string = name OR string = qualified_name GROUP BY ALL),
 lexical AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, token ORDER BY score DESC, qualified_name, symbol_id) AS rank FROM (
   SELECT t.query_id, t.token, symbol_id, qualified_name, CASE WHEN lower(name) = lower(t.token) OR lower(qualified_name) = lower(t.token) THEN 1.0 ELSE similarity END AS score
   FROM tokens t JOIN best b ON t.token = b.token
@@ -57,6 +57,23 @@ def trigram_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.lexical(tokens, symbols).select("query_id", "token", "symbol_id", "rank", F.round("score", 4).alias("score"))
 
 
+_FILE_TOKENS = f"""tokens AS (SELECT DISTINCT vec_id AS query_id, token FROM (SELECT vec_id, unnest(['doc_' || vec_id, 'm' || vec_id, 'main']) AS token FROM embeddings WHERE vec_id % {ASKS} = 0))"""
+
+
+@query(corpus.sql(f""", {_FILE_TOKENS},
+grams AS (SELECT *, {s.trigrams('path')} AS g FROM files), wanted AS (SELECT *, {s.trigrams('token')} AS w FROM tokens),
+scored AS (SELECT query_id, token, file_id, path, CASE WHEN lower(path) = lower(token) THEN 1.0 ELSE len(list_intersect(w, g))::DOUBLE / (len(w) + len(g) - len(list_intersect(w, g))) END AS score FROM wanted, grams)
+SELECT query_id, token, file_id, rank, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, token ORDER BY score DESC, path, file_id) AS rank FROM scored
+  WHERE path ILIKE '%' || token || '%' OR score >= {retrieval.LEAST_SIMILARITY}) WHERE rank <= 25""", "files"))
+def file_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files by parts of their paths, for every chunk whose id is divisible by ASKS."""
+    id_ = F.col("chunk_id")
+    names = F.array(F.concat(F.lit("doc_"), id_.cast("string")), F.concat(F.lit("m"), id_.cast("string")), F.lit("main"))
+    tokens = _chunks(spark, sf_dir).where(id_ % ASKS == 0).select(id_.alias("query_id"), F.explode(names).alias("token"))
+    found = retrieval.file_search(tokens, corpus.files(spark, sf_dir).select("file_id", "path"))
+    return found.select("query_id", "token", "file_id", "rank", F.round("score", 4).alias("score"))
+
+
 @query(corpus.sql(f"SELECT question_id, array_to_string({s.tokens('question')}, ' ') AS tokens, {s.normalized('question')} AS normalized FROM questions", "questions"))
 def query_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("question")
@@ -78,10 +95,10 @@ reached AS (SELECT query_id, CASE ends WHEN 1 THEN target ELSE source END AS nod
 hops AS (SELECT query_id, node, max({_TYPE_SCORE}) AS score, string_agg(DISTINCT relationship_type, ',' ORDER BY relationship_type) AS types FROM reached GROUP BY ALL)"""
 
 
-@query(corpus.sql(f", seeds AS (SELECT symbol_id % {ASKS} AS query_id, symbol_id AS node FROM symbols WHERE symbol_id < 10 * {ASKS})," + _ONE_HOP + " SELECT query_id, node, score, types FROM hops", "symbols", "relations"))
+@query(corpus.sql(f", seeds AS (SELECT symbol_id // 200 AS query_id, symbol_id AS node FROM symbols WHERE symbol_id % {ASKS} = 0)," + _ONE_HOP + " SELECT query_id, node, score, types FROM hops", "symbols", "relations"))
 def one_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten seeds for each of twenty questions, against all relations."""
-    seeds = corpus.symbols(spark, sf_dir).where(F.col("symbol_id") < 10 * ASKS).select((F.col("symbol_id") % ASKS).alias("query_id"), F.col("symbol_id").alias("node"))
+    """Every symbol whose id is divisible by ASKS is a seed, ten to a question, against all relations."""
+    seeds = corpus.symbols(spark, sf_dir).where(F.col("symbol_id") % ASKS == 0).select(F.floor(F.col("symbol_id") / 200).alias("query_id"), F.col("symbol_id").alias("node"))
     return retrieval.one_hop(seeds, corpus.relations(spark, sf_dir))
 
 
@@ -92,22 +109,28 @@ tokens AS (SELECT query_id, unnest({s.tokens('question')}) AS token FROM asked),
 """ + _lexical_sql("").lstrip(",\n") + f""",
 seeds AS (SELECT query_id, symbol_id AS node FROM (SELECT query_id, symbol_id, row_number() OVER (PARTITION BY query_id ORDER BY max(score) DESC, qualified_name, symbol_id) AS spot FROM lexical GROUP BY query_id, symbol_id, qualified_name) WHERE spot <= 10),
 {_ONE_HOP},
-located AS (SELECT symbol_id, path FROM symbols JOIN files USING (file_id)),
+located AS (SELECT symbol_id, path, start_line FROM symbols JOIN files USING (file_id)),
+paths AS (SELECT DISTINCT path AS string, {s.trigrams('path')} AS g FROM files), wanted AS (SELECT DISTINCT token, {s.trigrams('token')} AS g FROM tokens),
+path_sims AS (SELECT token, string, len(list_intersect(w.g, p.g))::DOUBLE / (len(w.g) + len(p.g) - len(list_intersect(w.g, p.g))) AS similarity FROM wanted w, paths p WHERE len(list_intersect(w.g, p.g)) > 0 OR string ILIKE '%' || token || '%'),
+file_hits AS (SELECT * FROM (SELECT query_id, t.token, file_id, path, CASE WHEN lower(path) = lower(t.token) THEN 1.0 ELSE similarity END AS score,
+    row_number() OVER (PARTITION BY query_id, t.token ORDER BY CASE WHEN lower(path) = lower(t.token) THEN 1.0 ELSE similarity END DESC, path, file_id) AS rank
+  FROM tokens t JOIN path_sims p ON p.token = t.token JOIN files ON path = string WHERE string ILIKE '%' || t.token || '%' OR similarity >= {retrieval.LEAST_SIMILARITY}) WHERE rank <= 25),
 candidates AS (
-  SELECT query_id, 'chunk:' || chunk_id AS key, 'semantic' AS source, score, 'vector' AS reason, path, NULL::BIGINT AS symbol_id, rank AS ordinal FROM nearest JOIN files ON file_id = chunk_id % 200
-  UNION ALL SELECT query_id, 'symbol:' || l.symbol_id, 'lexical', score, 'name ' || token, path, l.symbol_id, 1000 + rank FROM lexical l JOIN located USING (symbol_id)
-  UNION ALL SELECT query_id, 'symbol:' || node, 'structural', score, types, path, node, 2000 FROM hops JOIN located ON symbol_id = node),
+  SELECT query_id, 'chunk:' || chunk_id AS key, 'semantic' AS source, score, 'vector' AS reason, path, NULL::BIGINT AS symbol_id, NULL::BIGINT AS start_line, rank AS ordinal FROM nearest JOIN files ON file_id = {corpus.FILE_OF.format('chunk_id')}
+  UNION ALL SELECT query_id, 'symbol:' || l.symbol_id, 'lexical', score, 'name ' || token, path, l.symbol_id, start_line, 1000 + rank FROM lexical l JOIN located USING (symbol_id)
+  UNION ALL SELECT query_id, 'file:' || file_id, 'lexical', score, 'path ' || token, path, NULL, NULL, 1500 + rank FROM file_hits
+  UNION ALL SELECT query_id, 'symbol:' || node, 'structural', score, types, path, node, start_line, 2000 FROM hops JOIN located ON symbol_id = node),
 merged AS (
   SELECT query_id, key, max(score) FILTER (source = 'semantic') AS semantic, max(score) FILTER (source = 'lexical') AS lexical, max(score) FILTER (source = 'structural') AS structural,
-         min(path) AS path, min(symbol_id) AS symbol_id, string_agg(DISTINCT source, '+' ORDER BY source) AS sources FROM candidates GROUP BY ALL),
+         min(path) AS path, min(symbol_id) AS symbol_id, min(start_line) AS start_line, string_agg(DISTINCT source, '+' ORDER BY source) AS sources FROM candidates GROUP BY ALL),
 hot AS (SELECT path FROM located WHERE symbol_id IN (SELECT target FROM (SELECT target, count(*) AS n FROM edges GROUP BY 1 ORDER BY n DESC, target LIMIT 10))),
 fused AS (
-  SELECT m.query_id, key, path, symbol_id, sources,
+  SELECT m.query_id, key, path, symbol_id, start_line, sources,
          round(0.50 * coalesce(semantic, 0) + 0.35 * coalesce(lexical, 0) + 0.15 * coalesce(structural, 0) + CASE WHEN {s.is_entry('path')} THEN 0.05 ELSE 0 END
                + CASE WHEN path IN (SELECT path FROM hot) THEN 0.05 ELSE 0 END
                + CASE WHEN {s.test_search('path')} AND len(list_intersect(list_transform(string_split({s.normalized('question')}, ' '), lambda w: lower(trim(w, '.,?!:;'))), {s.array(text.TEST_WORDS)})) > 0 THEN 0.12 ELSE 0 END, 6)::DOUBLE AS final_score
   FROM merged m JOIN asked USING (query_id)),
-ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, path, key) AS rank FROM fused) WHERE rank <= 10)
+ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, path, coalesce(start_line, 0), key) AS rank FROM fused) WHERE rank <= 10)
 """
 _HYBRID_VIEWS = ("files", "symbols", "relations", "edges")
 
@@ -117,20 +140,22 @@ def _candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     ids = _chunks(spark, sf_dir).where(F.col("chunk_id") % ASKS == 0).select(F.col("chunk_id").alias("symbol_id"))
     template = F.element_at(text.strings(corpus.QUESTIONS), (F.col("symbol_id") % 12 + 1).cast("int"))
     asked = symbols.join(ids, "symbol_id", "left_semi").select(F.col("symbol_id").alias("query_id"), F.concat_ws(" ", template, "name").alias("question"))
-    near = _nearest(spark, sf_dir).join(files, F.col("chunk_id") % 200 == F.col("file_id"))
+    near = _nearest(spark, sf_dir).withColumn("file_id", corpus.file_of(spark, sf_dir, F.col("chunk_id"))).join(files, "file_id")
     tokens = asked.select("query_id", F.explode(text.identifier_tokens(F.col("question"))).alias("token"))
     words = retrieval.lexical(tokens, symbols)
     order = Window.partitionBy("query_id").orderBy(F.desc("best"), "qualified_name", "symbol_id")
     seeds = words.groupBy("query_id", "symbol_id", "qualified_name").agg(F.max("score").alias("best")).withColumn("at", F.row_number().over(order)).where("at <= 10").select("query_id", F.col("symbol_id").alias("node"))
     hops = retrieval.one_hop(seeds, corpus.relations(spark, sf_dir))
-    located = symbols.join(files, "file_id").select("symbol_id", "path")
-    columns = ["query_id", "key", "source", "score", "reason", "path", "symbol_id", "ordinal"]
+    located = symbols.join(files, "file_id").select("symbol_id", "path", "start_line")
+    columns = ["query_id", "key", "source", "score", "reason", "path", "symbol_id", "start_line", "ordinal"]
     none = F.lit(None).cast("string")
-    semantic = near.select("query_id", keys.dedup_key(F.col("chunk_id").cast("string"), none, none).alias("key"), F.lit("semantic").alias("source"), "score", F.lit("vector").alias("reason"), "path", F.lit(None).cast("long").alias("symbol_id"), F.col("rank").alias("ordinal"))
+    semantic = near.select("query_id", keys.dedup_key(F.col("chunk_id").cast("string"), none, none).alias("key"), F.lit("semantic").alias("source"), "score", F.lit("vector").alias("reason"), "path", F.lit(None).cast("long").alias("symbol_id"), F.lit(None).cast("long").alias("start_line"), F.col("rank").alias("ordinal"))
+    by_file = keys.dedup_key(none, none, F.col("file_id").cast("string")).alias("key")
+    named = retrieval.file_search(tokens, files).select("query_id", by_file, F.lit("lexical").alias("source"), "score", F.concat(F.lit("path "), "token").alias("reason"), "path", F.lit(None).cast("long").alias("symbol_id"), F.lit(None).cast("long").alias("start_line"), (F.lit(1500) + F.col("rank")).alias("ordinal"))
     by_symbol = keys.dedup_key(none, F.col("symbol_id").cast("string"), none).alias("key")
-    lexical = words.join(located, "symbol_id").select("query_id", by_symbol, F.lit("lexical").alias("source"), "score", F.concat(F.lit("name "), "token").alias("reason"), "path", "symbol_id", (F.lit(1000) + F.col("rank")).alias("ordinal"))
-    structural = hops.withColumnRenamed("node", "symbol_id").join(located, "symbol_id").select("query_id", by_symbol, F.lit("structural").alias("source"), "score", F.col("types").alias("reason"), "path", "symbol_id", F.lit(2000).alias("ordinal"))
-    return asked, semantic.unionByName(lexical).unionByName(structural).select(columns)
+    lexical = words.join(located, "symbol_id").select("query_id", by_symbol, F.lit("lexical").alias("source"), "score", F.concat(F.lit("name "), "token").alias("reason"), "path", "symbol_id", "start_line", (F.lit(1000) + F.col("rank")).alias("ordinal"))
+    structural = hops.withColumnRenamed("node", "symbol_id").join(located, "symbol_id").select("query_id", by_symbol, F.lit("structural").alias("source"), "score", F.col("types").alias("reason"), "path", "symbol_id", "start_line", F.lit(2000).alias("ordinal"))
+    return asked, semantic.unionByName(lexical).unionByName(named).unionByName(structural).select(columns)
 
 
 def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,7 +59,7 @@ def symbol_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("symbol_id", "name", resolve.visibility(F.col("language"), F.col("name"), F.col("modifier")).alias("visibility"))
 
 
-_IMPORTS = f""", pairs AS (SELECT DISTINCT source % 200 AS a, target % 200 AS b FROM edges),
+_IMPORTS = f""", pairs AS (SELECT DISTINCT {corpus.FILE_OF.format('source')} AS a, {corpus.FILE_OF.format('target')} AS b FROM edges),
 imports AS (SELECT f.path, {s.language('f.path')} AS language, {s.module_path('g.path')} AS m, regexp_replace(g.path, '\\.[^./]*$', '') AS bare, a, b FROM pairs JOIN files f ON f.file_id = a JOIN files g ON g.file_id = b),
 named AS (SELECT path, language, CASE language WHEN 'Python' THEN CASE WHEN (a + b) % 2 = 0 THEN m ELSE '...' || regexp_replace(m, '^[^.]*\\.', '') END
   WHEN 'Java' THEN CASE WHEN (a + b) % 2 = 0 THEN m ELSE m || '.Inner' END ELSE '../../../' || bare END AS target FROM imports WHERE language IN ('Python', 'JavaScript', 'TypeScript', 'Java')),
@@ -76,7 +76,7 @@ resolved AS (SELECT DISTINCT path AS source, found AS target FROM (
 def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, language, target): import statements between files, spelled by language."""
     files = corpus.files(spark, sf_dir).select("file_id", "path")
-    pairs = corpus.edges(spark, sf_dir).select((F.col("source") % 200).alias("a"), (F.col("target") % 200).alias("b")).distinct()
+    pairs = corpus.edges(spark, sf_dir).select(corpus.file_of(spark, sf_dir, F.col("source")).alias("a"), corpus.file_of(spark, sf_dir, F.col("target")).alias("b")).distinct()
     both = pairs.join(files.withColumnRenamed("file_id", "a"), "a").join(files.select(F.col("file_id").alias("b"), F.col("path").alias("other")), "b")
     language, module, even = paths.language(F.col("path")), paths.module_path(F.col("other")), (F.col("a") + F.col("b")) % 2 == 0
     target = F.when(language == "Python", F.when(even, module).otherwise(F.concat(F.lit("..."), F.regexp_replace(module, r"^[^.]*\.", "")))).when(language == "Java", F.when(even, module).otherwise(F.concat(module, F.lit(".Inner")))).otherwise(F.concat(F.lit("../../../"), F.regexp_replace("other", r"\.[^./]*$", "")))

@@ -9,16 +9,27 @@ from millrace.operators import answers, chunking, graph, jobs, reports, resolve,
 
 
 def test_merge_keeps_the_best_of_each_source_and_first_seen_order(spark):
-    rows = [("q", "k", "lexical", 0.4, "b", None, 1, 2), ("q", "k", "semantic", 0.9, "a", "p", None, 1), ("q", "k", "lexical", 0.7, "c", "late", 1, 3)]
-    df = spark.createDataFrame(rows, "query_id string, key string, source string, score double, reason string, path string, symbol_id long, ordinal int")
+    rows = [("q", "k", "lexical", 0.4, "b", None, 1, 7, 2), ("q", "k", "semantic", 0.9, "a", "p", None, None, 1), ("q", "k", "lexical", 0.7, "c", "late", 1, 9, 3)]
+    df = spark.createDataFrame(rows, "query_id string, key string, source string, score double, reason string, path string, symbol_id long, start_line long, ordinal int")
     row = retrieval.merge(df).first()
     assert (row.semantic, row.lexical, row.structural, row.path, row.symbol_id, row.reasons, row.sources) == (0.9, 0.7, None, "p", 1, "a; b; c", "lexical+semantic")
 
 
 def test_fusion_weights_boosts_and_ties(spark):
-    df = spark.createDataFrame([("q", "a", 1.0, None, None, "z"), ("q", "b", 1.0, None, None, "y"), ("q", "c", 0.0, 1.0, 1.0, "x")], "query_id string, key string, semantic double, lexical double, structural double, path string")
+    df = spark.createDataFrame([("q", "a", 1.0, None, None, "z", 9), ("q", "b", 1.0, None, None, "y", 1), ("q", "c", 0.0, 1.0, 1.0, "x", 1), ("q", "d", 1.0, None, None, "z", 2), ("q", "e", 1.0, None, None, "z", None)], "query_id string, key string, semantic double, lexical double, structural double, path string, start_line long")
     fused = retrieval.ranked(retrieval.fuse(df, F.col("key") == "c", F.lit(False), F.lit(False)))
-    assert [(r.key, r.final_score) for r in fused.orderBy("rank").collect()] == [("c", 0.55), ("b", 0.5), ("a", 0.5)]
+    assert [(r.key, r.final_score) for r in fused.orderBy("rank").collect()] == [("c", 0.55), ("b", 0.5), ("e", 0.5), ("d", 0.5), ("a", 0.5)]
+
+
+def test_lexical_search_admits_by_pattern_and_stays_in_its_repository(spark):
+    symbols = spark.createDataFrame([(1, "r", "xaqbz", "m.xaqbz"), (2, "s", "xaqbz", "m.xaqbz"), (3, "r", "getUserById", "auth.getUserById"), (4, "r", "other", "auth.other")], "symbol_id long, repository_id string, name string, qualified_name string")
+    tokens = spark.createDataFrame([("q", "a_b", "r"), ("q", "getUser", "r"), ("q", "zzz", "r")], "query_id string, token string, repository_id string")
+    assert sorted((r.token, r.symbol_id) for r in retrieval.lexical(tokens, symbols).collect()) == [("a_b", 1), ("getUser", 3)]
+    assert sorted((r.token, r.symbol_id) for r in retrieval.lexical(tokens.drop("repository_id"), symbols).collect()) == [("a_b", 1), ("a_b", 2), ("getUser", 3)]
+    files = spark.createDataFrame([(1, "src/session.py", "r"), (2, "src/session.py", "s"), (3, "a_b", "r")], "file_id long, path string, repository_id string")
+    asked = spark.createDataFrame([("q", "session", "r"), ("q", "A_B", "r")], "query_id string, token string, repository_id string")
+    got = {(r.token, r.file_id): r.score for r in retrieval.file_search(asked, files).collect()}
+    assert set(got) == {("session", 1), ("A_B", 3)} and got["A_B", 3] == 1.0 and 0 < got["session", 1] < 1
 
 
 def test_one_hop_needs_exactly_one_end_among_the_seeds(spark):

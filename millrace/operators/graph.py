@@ -114,6 +114,14 @@ def short_cycles(edges: DataFrame) -> DataFrame:
     return two.union(three)
 
 
+def cycle_edges(cycles: DataFrame) -> DataFrame:
+    """(source, target): the edges of cycles given as arrays (nodes), that from the last node
+    back to the first included."""
+    nodes = F.col("nodes")
+    pairs = F.zip_with(nodes, F.concat(F.slice(nodes, F.lit(2), F.size(nodes)), F.slice(nodes, 1, 1)), lambda a, b: F.struct(a.alias("source"), b.alias("target")))
+    return cycles.where(F.size("nodes") > 0).select(F.explode(pairs).alias("e")).select("e.*").distinct()
+
+
 def top_per_group(rows: DataFrame, group: str, order: list, most: int) -> DataFrame:
     """``rows`` with ``place`` in the group, the first ``most`` of each."""
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("place") <= most)

@@ -80,6 +80,32 @@ def hotspot_nodes(edges: DataFrame, hot: int = 15, most: int = 25) -> DataFrame:
     return top.unionByName(near.withColumn("incoming", F.lit(None).cast("long")))
 
 
+def hotspot_diagram(edges: DataFrame, most: int = 15) -> DataFrame:
+    """(diagram): one text of the hotspots with their numbers of incoming edges, their
+    neighbours as far as ``most`` nodes allow, and the edges among these that touch a hotspot."""
+    top = hotspots(edges, most)
+    shown = node_ids(hotspot_nodes(edges, most, most))
+    ids = shown.select("node", "id", F.col("incoming").isNotNull().alias("hot"))
+    a, b = (ids.select(F.col("node").alias(end), F.col("id").alias(end + "_id"), F.col("hot").alias(end + "_hot")) for end in ("source", "target"))
+    drawn = edges.select("source", "target").distinct().join(F.broadcast(a), "source").join(F.broadcast(b), "target").where("source_hot OR target_hot")
+    text = F.concat(label(F.col("node")), F.coalesce(F.concat(F.lit(" ("), F.col("incoming").cast("string"), F.lit(" deps)")), F.lit("")))
+    boxes = shown.select(F.lit(1).alias("part"), F.col("node").alias("x"), F.lit("").alias("y"), F.concat(F.lit("    "), "id", F.lit('["'), text, F.lit('"]')).alias("line"))
+    arrows = drawn.select(F.lit(2), "source", "target", F.concat(F.lit("    "), "source_id", F.lit(" --> "), "target_id"))
+    empty = top.agg(F.count("*").alias("n")).where("n = 0").select(F.lit(1), F.lit(""), F.lit(""), F.lit("    %% no dependency hotspots available"))
+    body = boxes.union(arrows).union(empty).agg(F.array_sort(F.collect_list(F.struct("part", "x", "y", "line"))).alias("l"))
+    return body.select(F.concat(F.lit("flowchart TD\n"), F.array_join(F.transform("l", lambda r: r.line), "\n")).alias("diagram"))
+
+
+def rendered(sections: DataFrame) -> DataFrame:
+    """(report_id, content): a report's title, summary and sections as one text. ``sections``
+    (report_id, title, summary, ordinal, heading, content, findings), a few for each report."""
+    findings = F.when(F.size("findings") > 0, F.array_join(F.transform("findings", lambda f: F.concat(F.lit("- "), f)), "\n"))
+    block = F.concat_ws("\n\n", F.concat(F.lit("## "), "heading", F.lit("\n\n"), "content"), findings)
+    head = F.concat_ws("\n\n", F.concat(F.lit("# "), F.first("title")), F.nullif(F.first("summary"), F.lit("")))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", block.alias("block")))), lambda s: s.block)
+    return sections.groupBy("report_id").agg(F.concat_ws("\n\n", head, F.array_join(listed, "\n\n")).alias("content"))
+
+
 def latest(reports: DataFrame) -> DataFrame:
     """The newest report of each repository and type, ties to the higher id."""
     order = Window.partitionBy("repository_id", "report_type").orderBy(F.desc("created_at"), F.desc("report_id"))

@@ -2,15 +2,29 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
 def build_session(app: str = "millrace", master: str | None = None, **conf: str) -> SparkSession:
-    """Adaptive execution with skew splitting, UTC, and Arrow for Python operators."""
+    """Adaptive execution with skew splitting, UTC, and Arrow for Python operators. The
+    package goes to the workers, which need not have it installed."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
     settings = {"spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.session.timeZone": "UTC", "spark.sql.execution.arrow.pyspark.enabled": "true"}
     for key, value in (settings | conf).items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Add this package to what the workers can import."""
+    package = Path(__file__).resolve().parent
+    archive = shutil.make_archive(f"{tempfile.mkdtemp()}/{package.name}", "zip", package.parent, package.name)
+    spark.sparkContext.addPyFile(archive)

@@ -8,7 +8,7 @@ import pytest
 import tiktoken
 from test_substring import brute as brute_repeats
 
-from millrace.llm import mixing, substring, toxicity
+from millrace.llm import mixing, toxicity
 from millrace.llm.storage import settle
 
 STAGES = dict(corpus_pipeline.STAGES)
@@ -19,6 +19,14 @@ def shingles(text, size=5):
     return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
 
 
+def without(text, spans):
+    """``text`` less its spans: what is left, a line for each piece."""
+    if not spans:
+        return text
+    ends = [0, *(x for s in spans for x in s), len(text)]
+    return "\n".join(p for p in (text[a:b].strip() if a and b < len(text) else text[a:b].lstrip() if a else text[a:b].rstrip() for a, b in zip(ends[::2], ends[1::2])) if p)
+
+
 def jaccard(a, b):
     return len(a & b) / len(a | b) if a | b else 1.0
 
@@ -39,19 +47,17 @@ def test_order_and_run(spark, sf):
     after = {r.doc_id for r in kept.collect()}
     for d, s in before.items():
         near = [jaccard(s, t) for e, t in before.items() if e != d]
-        if max(near) < 0.6:
+        if max(near) < 0.8:
             assert d in after
-        if d not in after:
-            assert max(jaccard(s, before[e]) for e in before if e < d) >= 0.6
     for a in after:
-        assert all(jaccard(before[a], before[b]) < 0.88 for b in after if b != a)
+        assert all(jaccard(before[a], before[b]) < 0.8 for b in after if b != a)
 
     cut = settle(STAGES["substring_dedup"](spark, kept, sf), "t3")
     text = {r.doc_id: r.text for r in kept.collect()}
     spans = brute_repeats(list(text.items()))
     assert cut.columns == columns
     for r in cut.collect():
-        assert r.text == substring._without(text[r.doc_id] or "", spans[r.doc_id]) and r.n_chars == len(r.text)
+        assert r.text == without(text[r.doc_id] or "", spans[r.doc_id]) and r.n_chars == len(r.text)
 
     mixed = settle(STAGES["mix_sources"](spark, cut, sf), "t4")
     assert mixed.columns == columns

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .storage import settle, unused_name
+from .storage import discard, settle, unused_name
 from .words import shingle_blocks, word_blocks
 
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -158,6 +158,8 @@ BANDS, BAND_ROWS = 32, 6
 VERIFY_BITS, SLACK, ENOUGH = 512, 5.0, 64
 #: Buckets of up to this many texts are joined pair by pair, larger ones in blocks of bounded rows and shingles.
 SMALL_BUCKET, BLOCK_ROWS, BLOCK_SHINGLES = 16, 512, 1 << 19
+#: Ids of eight bytes that go to all tasks at most.
+FEW_IDS = 1 << 20
 _SALTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 _TURNS = _SALTS * np.arange(1, len(_SALTS) + 1, dtype=np.uint64)
 _VERIFY = [f"s{k}" for k in range(VERIFY_BITS // 64)]
@@ -240,6 +242,13 @@ def _wide(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, d1 long, d2 long, size long, bands array<long>, " + ", ".join(f"{n} long" for n in _VERIFY) + ", shingles binary")
 
 
+def _among(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose ``key`` is in the written table ``ids``: this goes to all tasks up to
+    FEW_IDS, so that wide rows stay where they are, else both are dealt out by the key."""
+    few = ids.count() <= FEW_IDS
+    return rows.join(F.broadcast(ids) if few else ids, key, "left_semi")
+
+
 def _exact(pairs: DataFrame, similarity: float) -> DataFrame:
     """(a, b) of the rows (a, b, a_set, b_set) whose sets are similar enough."""
 
@@ -327,7 +336,9 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     apart = sum((F.bit_count(F.col("a" + c).bitwiseXOR(F.col("b" + c))) for c in _VERIFY), F.lit(0))
     less, more = F.least("asize", "bsize"), F.greatest("asize", "bsize")
     maybe = settle(pairs.join(left, "a").join(right, "b").where((less >= similarity * more - 1e-9) & ((apart <= most) | (less < ENOUGH))).select("a", "b"), "maybe-links")
-    a_sets, b_sets = (fps.select(F.col("uid").alias(c), F.col("shingles").alias(c + "_set")) for c in "ab")
+    asked = settle(maybe.select(F.explode(F.array("a", "b")).alias("uid")).distinct(), "asked-sets")
+    sets = settle(_among(fps.select("uid", "shingles"), asked, "uid"), "shingle-sets")
+    a_sets, b_sets = (sets.select(F.col("uid").alias(c), F.col("shingles").alias(c + "_set")) for c in "ab")
     near = settle(_exact(maybe.join(a_sets, "a").join(b_sets, "b"), similarity), "near-links")
     joined = components(near)
     named = large.join(joined, large.cls == joined.node, "left").select("point", "cls", F.coalesce("component", "cls").alias("label"))
@@ -336,13 +347,17 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     apart_still = sized.groupBy("point").agg(parts.cast("long").alias("parts"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("point", "parts")
     apart_still = settle(named.join(settle(apart_still, "bucket-labels"), "point"), "open-buckets")
     if apart_still.take(1):
-        full = apart_still.join(fps.select(F.col("uid").alias("cls"), "size", *_VERIFY, "shingles"), "cls")
+        wanted = settle(apart_still.select("cls").distinct(), "open-members")
+        full = apart_still.join(_among(fps.select(F.col("uid").alias("cls"), "size", *_VERIFY, "shingles"), wanted, "cls"), "cls")
         near = near.union(settle(_block_links(full, similarity, most), "block-links"))
         joined = components(near.distinct())
     linked = classes.join(joined, F.col("cls") == F.col("node")).select("cls", "first", "component")
     named = classes.join(_least(linked, "cls"), "cls", "left").select("d1", "d2", F.coalesce("component_id", "first").alias("component_id"))
     named = settle(named, "named-classes")
-    return fps.select("doc_id", "d1", "d2").join(named, ["d1", "d2"]).select("doc_id", "component_id")
+    groups = settle(fps.select("doc_id", "d1", "d2").join(named, ["d1", "d2"]).select("doc_id", "component_id"), "similar-documents")
+    for table in (fps, members, sets):  # the largest; nothing reads them any more
+        discard(table)
+    return groups
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -224,7 +224,7 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
 
 def _wide(docs: DataFrame, shingle: int) -> DataFrame:
     """(doc_id, d1, d2, size, bands, s0.., shingles): digest, size, index keys, fingerprint and hashes of each row's set."""
-    kinds = {"doc_id": pa.int64(), "d1": pa.int64(), "d2": pa.int64(), "size": pa.int64(), "bands": pa.list_(pa.int64()), **dict.fromkeys(_VERIFY, pa.int64()), "shingles": pa.binary()}
+    kinds = {"doc_id": pa.int64(), "d1": pa.int64(), "d2": pa.int64(), "size": pa.int64(), "bands": pa.list_(pa.int64()), **dict.fromkeys(_VERIFY, pa.int64()), "shingles": pa.list_(pa.int64())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,13 +233,12 @@ def _wide(docs: DataFrame, shingle: int) -> DataFrame:
                 rows = []
                 for t in part.column(1):
                     features = shingle_set(t.as_py(), shingle)
-                    data = features.tobytes()
-                    digest = np.frombuffer(blake2b(data, digest_size=16).digest(), np.int64).tolist()
-                    rows.append((*digest, len(features), band_keys(features), *wide_fingerprint(features), data))
+                    digest = np.frombuffer(blake2b(features.tobytes(), digest_size=16).digest(), np.int64).tolist()
+                    rows.append((*digest, len(features), band_keys(features), *wide_fingerprint(features), features.view(np.int64)))
                 columns = zip(*rows) if rows else [[]] * (len(kinds) - 1)
                 yield pa.record_batch([part.column(0), *(pa.array(c, k) for c, k in zip(columns, list(kinds.values())[1:]))], names=list(kinds))
 
-    return docs.mapInArrow(run, "doc_id long, d1 long, d2 long, size long, bands array<long>, " + ", ".join(f"{n} long" for n in _VERIFY) + ", shingles binary")
+    return docs.mapInArrow(run, "doc_id long, d1 long, d2 long, size long, bands array<long>, " + ", ".join(f"{n} long" for n in _VERIFY) + ", shingles array<long>")
 
 
 def _among(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -251,14 +250,9 @@ def _among(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
 def _exact(pairs: DataFrame, similarity: float) -> DataFrame:
     """(a, b) of the rows (a, b, a_set, b_set) whose sets are similar enough."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = zip(batch.column(2), batch.column(3))
-            ok = [alike(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), similarity) for x, y in sets]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    return pairs.select("a", "b", "a_set", "b_set").mapInArrow(run, "a long, b long")
+    both = F.size(F.array_intersect("a_set", "b_set"))
+    either = F.size("a_set") + F.size("b_set") - both
+    return pairs.where(both >= similarity * either - 1e-9).select("a", "b")
 
 
 def _block_links(found: DataFrame, similarity: float, most: int) -> DataFrame:
@@ -272,7 +266,7 @@ def _block_links(found: DataFrame, similarity: float, most: int) -> DataFrame:
         bits = np.stack([table.column(c).to_numpy() for c in _VERIFY], axis=1)
         row = {c: table.column(c)[0].as_py() for c in ("point", "part", "parts")}
         row |= {k: table.column(c).to_numpy().tobytes() for k, c in (("ids", "cls"), ("labels", "label"), ("sizes", "size"))}
-        return pa.Table.from_pylist([row | {"bits": bits.tobytes(), "sets": b"".join(table.column("shingles").to_pylist())}], schema=kinds)
+        return pa.Table.from_pylist([row | {"bits": bits.tobytes(), "sets": table.column("shingles").combine_chunks().flatten().to_numpy().tobytes()}], schema=kinds)
 
     placed = found.withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")))
     blocks = settle(placed.groupBy("point", "part").applyInArrow(pack, "point long, part long, parts long, " + ", ".join(f"{c} binary" for c in names)), "shingle-blocks")

@@ -25,6 +25,8 @@ from .storage import numbered, settle
 #: Bounds of the fit: labelled rows (those of least id hash) and words (most frequent first).
 SAMPLE_ROWS, VOCABULARY, MIN_DOCS = 10_000, 30_000, 5
 FOLDS = 3
+#: Rows whose words a task holds at a time.
+ROWS = 256
 #: Weight of the Gaussian prior against one row.
 PRIOR = 10.0
 #: Beginnings of words of these lengths are features as well: they tell forms and compounds of a word.
@@ -48,6 +50,11 @@ def word_set(text: str | None) -> set[str]:
     return found
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut to ROWS rows, as words as Python strings take many times a text's size."""
+    return (batch.slice(at, ROWS) for batch in batches for at in range(0, batch.num_rows, ROWS))
+
+
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     """The probability from which to say yes: that of the best F1 on out-of-fold
     predictions, half-way to the next lower one; one half where one class is missing."""
@@ -178,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("qual
     texts = said.groupBy("id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             sets = pa.array([sorted(word_set(t.as_py())) for t in batch.column(1)], pa.list_(pa.string()))
             yield pa.record_batch([batch.column(0), sets], names=["id", "words"])
 
@@ -189,7 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("qual
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = shared.value.get
-        for batch in batches:
+        for batch in _slices(batches):
             found = [[i for w in ws if (i := get(w)) is not None] for ws in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["id", "places"])
 
@@ -249,7 +256,7 @@ def score(docs: DataFrame, chain: Chain, text: str = "text", prefix: str = "p_",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in _slices(batches):
             p = model.predict([model.places(t.as_py()) for t in batch.column(at)])
             yield pa.record_batch([batch.column(i) for i in kept] + [pa.array(p[:, i]) for i in range(len(new))], names=schema.names)
 

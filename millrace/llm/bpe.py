@@ -183,12 +183,13 @@ def _schema(df: DataFrame, without: set[str], new: list[T.StructField]) -> T.Str
     return T.StructType([f for f in df.schema if f.name not in without] + new)
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "token_ids", decoded: str | None = None, keep_text: bool = True) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "token_ids", decoded: str | None = None, keep_text: bool = True, forget: bool = False) -> DataFrame:
     """``docs`` with the column ``ids`` (array of int): each match of ``pattern``
     is encoded by the ranks, without special tokens.
 
     A null or empty text has no ids; its list is empty. ``decoded`` names a
-    binary column to which the ids are decoded again in the same pass. A column
+    binary column to which the ids are decoded again in the same pass. With ``forget``
+    a worker keeps no encodings from one task to the next. A column
     of the same name as a new one is replaced; every row, repeats included, and
     every other column stays as it is. An empty table gives an empty table.
     """
@@ -205,6 +206,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
                 columns.append(pa.array([c.decode(np.frombuffer(x, np.int32).tolist()) for x in encoded], pa.binary()))
             yield pa.record_batch(columns, names=schema.names)
         c.recent.old = {}
+        if forget:
+            c.recent.clear()
+            c.recent.marks.clear()
 
     return numbered(docs).mapInArrow(run, schema)
 

@@ -101,7 +101,7 @@ def suffixes(path: Column) -> Column:
 def path_citations(answers: DataFrame, known: DataFrame) -> DataFrame:
     """(answer_id, kind, claim, valid): file paths that answers name, valid if equal to a
     known path or one ends with the other at a slash. ``known`` (path)."""
-    cited = answers.select("answer_id", F.explode(F.array_distinct(F.regexp_extract_all("answer", F.lit(text.FILE_PATH), 0))).alias("claim"))
+    cited = answers.select("answer_id", F.explode(F.array_distinct(F.regexp_extract_all("answer", F.lit(text.UNICODE + text.FILE_PATH), 0))).alias("claim"))
     claims = cited.select("claim").distinct()
     longer = known.select(F.explode(suffixes(F.col("path"))).alias("claim")).distinct()
     shorter = claims.select("claim", F.explode(suffixes(F.col("claim"))).alias("path")).join(known.select("path").distinct(), "path", "left_semi").select("claim")

@@ -93,11 +93,11 @@ def test_imports_by_language(spark):
 
 
 def test_citation_statuses(spark):
-    said = spark.createDataFrame([(1, "See src/a.py."), (2, "See ghost.py."), (3, "src/a.py and ghost.py"), (4, "nothing"), (5, "insufficient evidence"), (6, "run go() at lines 2-4"), (7, "lines 2-9")], "answer_id long, answer string")
-    known = spark.createDataFrame([("repo/src/a.py",)], ["path"])
+    said = spark.createDataFrame([(1, "See src/a.py."), (2, "See ghost.py."), (3, "src/a.py and ghost.py"), (4, "nothing"), (5, "insufficient evidence"), (6, "run go() at lines 2-4"), (7, "lines 2-9"), (8, "see src/größe.py"), (9, "see café/α.py")], "answer_id long, answer string")
+    known = spark.createDataFrame([("repo/src/a.py",), ("repo/src/größe.py",)], ["path"])
     claims = answers.path_citations(said, known).union(answers.symbol_citations(said, spark.createDataFrame([("go",)], ["name"]))).union(answers.line_citations(said, spark.createDataFrame([(1, 5)], "start_line long, end_line long")))
     got = {r.answer_id: r.status for r in answers.statuses(said, claims).collect()}
-    assert got == {1: "supported", 2: "contradicted", 3: "partially_supported", 4: "supported", 5: "insufficient_evidence", 6: "supported", 7: "contradicted"}
+    assert got == {1: "supported", 2: "contradicted", 3: "partially_supported", 4: "supported", 5: "insufficient_evidence", 6: "supported", 7: "contradicted", 8: "supported", 9: "contradicted"}
 
 
 def test_context_stops_at_the_first_block_that_does_not_fit(spark):

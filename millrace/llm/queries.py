@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, simhash, substring, tokenbin, tokencounts, topk, toxicity, vectorgraph, warc
+from . import bpe, mixing, simhash, substring, tokenbin, tokencounts, topk, toxicity, vectorgraph, warc, wordbpe
 from .storage import scratch_path, settle
 
 
@@ -83,6 +83,13 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectorgraph.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = wordbpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), ids="ids", decoded="decoded", packed=True, keep_text=False)
+    n_tokens = F.octet_length("ids").cast("long") / 4
+    return coded.select("doc_id", n_tokens.cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 OP4_SQL = """
 WITH hashed AS (
   SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
@@ -150,6 +157,6 @@ FROM curve
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_simhash_near_dedup, op2_token_id_files, op3_toxicity, op4_warc_archive, op5_token_counts, op6_byte_bpe, op7_exact_top_k, op8_substring_dedup, op9_mix_sources, op10_embedding_near_dedup)
+    for f in (op1_simhash_near_dedup, op2_token_id_files, op3_toxicity, op4_warc_archive, op5_token_counts, op6_byte_bpe, op7_exact_top_k, op8_substring_dedup, op9_mix_sources, op10_embedding_near_dedup, op12_word_bpe)
 }
 ORACLE: dict[str, str] = {"op4_warc_archive": OP4_SQL, "op5_token_counts": OP5_SQL, "op7_exact_top_k": OP7_SQL, "op9_mix_sources": OP9_SQL}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, simhash, substring, tokenbin, tokencounts, topk, toxicity, vectorgraph, warc, wordbpe
+from . import bpe, convtrie, mixing, simhash, substring, tokenbin, tokencounts, topk, toxicity, vectorgraph, warc, wordbpe
 from .storage import scratch_path, settle
 
 
@@ -90,6 +90,21 @@ def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", n_tokens.cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = convtrie.turn_keys(_table(spark, sf_dir, "conversations"))
+    turns = settle(turns, "own-turns")
+    c = F.col("conv_id")
+    lengths = turns.groupBy("conv_id").agg(F.count("*").alias("length"))
+    convs = settle(lengths.select("conv_id", (c - c % 5).alias("base"), (F.crc32(c.cast("string").cast("binary")) % 9).alias("h")), "conversations")
+    sizes = lengths.select(F.col("conv_id").alias("base"), F.least("length", F.lit(8)).alias("lent"))
+    convs = settle(convs.join(sizes, "base", "left").withColumn("lent", F.least("h", F.coalesce("lent", F.lit(0)))), "conversations")
+    rest = ["k1", "k2", "check", "bytes"]
+    first = turns.where("pos <= 8").withColumnRenamed("conv_id", "base")
+    heads = convs.join(first, "base").where("pos <= h").select("conv_id", "pos", *rest)
+    own = turns.join(convs, "conv_id").where("pos > h").select("conv_id", (F.col("pos") - F.col("h") + F.col("lent")).alias("pos"), *rest)
+    return convtrie.trie(heads.union(own), convs)
+
+
 OP4_SQL = """
 WITH hashed AS (
   SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
@@ -155,8 +170,44 @@ SELECT doc_id, size, source_size, target,
 FROM curve
 """
 
+OP13_SQL = """
+WITH own AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn ASC NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT DISTINCT conv_id FROM own),
+crcs AS (
+  SELECT conv_id, xor(4294967295, list_reduce([4294967295] || list_transform(string_split(conv_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT),
+    lambda crc, byte: list_reduce([xor(crc, byte)] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, z: xor(x >> 1, 3988292384 * (x & 1))))) AS crc
+  FROM ids),
+convs AS (SELECT conv_id, conv_id - conv_id % 5 AS base, crc % 9 AS h FROM crcs),
+parts AS (
+  SELECT c.conv_id, 0 AS part, o.pos, o.role, o.text FROM convs c JOIN own o ON o.conv_id = c.base AND o.pos <= c.h
+  UNION ALL
+  SELECT c.conv_id, 1, o.pos, o.role, o.text FROM convs c JOIN own o ON o.conv_id = c.conv_id AND o.pos > c.h),
+turns AS (
+  SELECT conv_id, row_number() OVER w AS depth, octet_length(encode(text)) AS bytes,
+         list(sha256(role) || sha256(text)) OVER (PARTITION BY conv_id ORDER BY part, pos ROWS UNBOUNDED PRECEDING) AS path
+  FROM parts WINDOW w AS (PARTITION BY conv_id ORDER BY part, pos)),
+passed AS (
+  SELECT conv_id, depth, bytes, sha256(array_to_string(path, '')) AS node, CASE WHEN depth = 1 THEN 'root' ELSE sha256(array_to_string(path[1:len(path) - 1], '')) END AS parent FROM turns
+  UNION ALL SELECT conv_id, 0, 0, 'root', NULL FROM convs),
+lengths AS (SELECT conv_id, max(depth) AS length FROM passed GROUP BY conv_id),
+nodes AS (
+  SELECT p.node, min(p.conv_id) AS conv_id, any_value(p.depth) AS depth, any_value(p.parent) AS parent, count(*) AS n_convs, any_value(p.bytes) AS bytes,
+         sha256(coalesce(string_agg(p.conv_id::VARCHAR, ',' ORDER BY p.conv_id) FILTER (p.depth = l.length), '')) AS ends_sha256
+  FROM passed p JOIN lengths l USING (conv_id) GROUP BY p.node),
+children AS (SELECT parent AS node, count(*) AS n FROM nodes GROUP BY parent),
+below AS (
+  SELECT p.node, count(*) FILTER (c.n IS NULL) AS n_leaves, sum((v.n_convs - 1) * v.bytes) AS saved
+  FROM nodes v JOIN passed p ON p.conv_id = v.conv_id AND p.depth <= v.depth LEFT JOIN children c ON c.node = v.node GROUP BY p.node)
+SELECT n.conv_id, n.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs, coalesce(c.n, 0)::BIGINT AS n_children,
+       b.n_leaves::BIGINT AS n_leaves, b.saved::BIGINT AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN below b ON b.node = n.node LEFT JOIN nodes u ON u.node = n.parent LEFT JOIN children c ON c.node = n.node
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_simhash_near_dedup, op2_token_id_files, op3_toxicity, op4_warc_archive, op5_token_counts, op6_byte_bpe, op7_exact_top_k, op8_substring_dedup, op9_mix_sources, op10_embedding_near_dedup, op12_word_bpe)
+    for f in (op1_simhash_near_dedup, op2_token_id_files, op3_toxicity, op4_warc_archive, op5_token_counts, op6_byte_bpe, op7_exact_top_k, op8_substring_dedup, op9_mix_sources, op10_embedding_near_dedup, op12_word_bpe, op13_conversation_trie)
 }
-ORACLE: dict[str, str] = {"op4_warc_archive": OP4_SQL, "op5_token_counts": OP5_SQL, "op7_exact_top_k": OP7_SQL, "op9_mix_sources": OP9_SQL}
+ORACLE: dict[str, str] = {"op4_warc_archive": OP4_SQL, "op5_token_counts": OP5_SQL, "op7_exact_top_k": OP7_SQL, "op9_mix_sources": OP9_SQL, "op13_conversation_trie": OP13_SQL}

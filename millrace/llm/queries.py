@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, convtrie, mixing, simhash, substring, tokenbin, tokencounts, topk, toxicity, vectorgraph, warc, wordbpe
+from . import bpe, convtrie, mixing, phrases, simhash, substring, tokenbin, tokencounts, topk, toxicity, vectorgraph, warc, wordbpe
 from .storage import scratch_path, settle
 
 
@@ -83,6 +83,10 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectorgraph.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = wordbpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), ids="ids", decoded="decoded", packed=True, keep_text=False)
@@ -170,6 +174,30 @@ SELECT doc_id, size, source_size, target,
 FROM curve
 """
 
+OP11_SQL = r"""
+WITH pieces AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+starts AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM pieces),
+counted AS (
+  SELECT lang, k, array_to_string(words[i:i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM starts CROSS JOIN (VALUES (1), (2), (3), (4), (5)) AS sizes(k) WHERE i + k - 1 <= len(words) GROUP BY ALL),
+totals AS (SELECT lang, sum(f) AS n FROM counted WHERE k = 1 GROUP BY lang),
+frequent AS (SELECT *, string_split(phrase, ' ') AS words FROM counted WHERE f >= 100),
+candidates AS (SELECT * FROM frequent WHERE k > 1),
+kept AS (
+  SELECT * FROM candidates c WHERE NOT EXISTS (
+    SELECT 1 FROM candidates o WHERE o.lang = c.lang AND o.k > c.k AND o.f >= c.f AND contains(' ' || o.phrase || ' ', ' ' || c.phrase || ' '))),
+cuts AS (
+  SELECT c.lang, c.phrase, c.f AS a, cut, x.f AS l, y.f AS r, t.n, (1000::HUGEINT * c.f * t.n) // (x.f::HUGEINT * y.f) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM kept) c JOIN totals t USING (lang)
+  JOIN frequent x ON x.lang = c.lang AND x.phrase = array_to_string(c.words[1:cut], ' ')
+  JOIN frequent y ON y.lang = c.lang AND y.phrase = array_to_string(c.words[cut + 1:k], ' ')),
+weakest AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS nth FROM cuts),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM weakest WHERE nth = 1)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM ranked WHERE rank <= 2000
+"""
+
 OP13_SQL = """
 WITH own AS (
   SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
@@ -208,6 +236,6 @@ FROM nodes n JOIN below b ON b.node = n.node LEFT JOIN nodes u ON u.node = n.par
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_simhash_near_dedup, op2_token_id_files, op3_toxicity, op4_warc_archive, op5_token_counts, op6_byte_bpe, op7_exact_top_k, op8_substring_dedup, op9_mix_sources, op10_embedding_near_dedup, op12_word_bpe, op13_conversation_trie)
+    for f in (op1_simhash_near_dedup, op2_token_id_files, op3_toxicity, op4_warc_archive, op5_token_counts, op6_byte_bpe, op7_exact_top_k, op8_substring_dedup, op9_mix_sources, op10_embedding_near_dedup, op11_phrase_collocations, op12_word_bpe, op13_conversation_trie)
 }
-ORACLE: dict[str, str] = {"op4_warc_archive": OP4_SQL, "op5_token_counts": OP5_SQL, "op7_exact_top_k": OP7_SQL, "op9_mix_sources": OP9_SQL, "op13_conversation_trie": OP13_SQL}
+ORACLE: dict[str, str] = {"op4_warc_archive": OP4_SQL, "op5_token_counts": OP5_SQL, "op7_exact_top_k": OP7_SQL, "op9_mix_sources": OP9_SQL, "op11_phrase_collocations": OP11_SQL, "op13_conversation_trie": OP13_SQL}

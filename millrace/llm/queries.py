@@ -189,10 +189,10 @@ kept AS (
   SELECT * FROM candidates c WHERE NOT EXISTS (
     SELECT 1 FROM candidates o WHERE o.lang = c.lang AND o.k > c.k AND o.f >= c.f AND contains(' ' || o.phrase || ' ', ' ' || c.phrase || ' '))),
 cuts AS (
-  SELECT c.lang, c.phrase, c.f AS a, cut, x.f AS l, y.f AS r, t.n, (1000::HUGEINT * c.f * t.n) // (x.f::HUGEINT * y.f) AS score
+  SELECT c.lang, c.phrase, c.f AS a, c.cut, x.f AS l, y.f AS r, t.n, (1000::HUGEINT * c.f * t.n) // (x.f::HUGEINT * y.f) AS score
   FROM (SELECT *, unnest(range(1, k)) AS cut FROM kept) c JOIN totals t USING (lang)
-  JOIN frequent x ON x.lang = c.lang AND x.phrase = array_to_string(c.words[1:cut], ' ')
-  JOIN frequent y ON y.lang = c.lang AND y.phrase = array_to_string(c.words[cut + 1:k], ' ')),
+  JOIN frequent x ON x.lang = c.lang AND x.phrase = array_to_string(c.words[1:c.cut], ' ')
+  JOIN frequent y ON y.lang = c.lang AND y.phrase = array_to_string(c.words[c.cut + 1:c.k], ' ')),
 weakest AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS nth FROM cuts),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM weakest WHERE nth = 1)
 SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM ranked WHERE rank <= 2000

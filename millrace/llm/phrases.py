@@ -34,8 +34,9 @@ from .storage import settle
 LONGEST = 5
 #: log2 of the buckets that pairs and triples are counted in, and of the bits of a bitmap.
 BUCKETS, BITS = 40, 27
-#: Distinct words or grams that a task holds before it sends them on; bytes of text cut at a time; start words of an encoded row.
-HELD, BLOCK, ROW = 1_000_000, 4 << 20, 32_768
+#: Distinct words or grams that a task holds before it sends them on; bytes of text cut at a time; start words of an
+#: encoded row; words of a batch that are looked at together.
+HELD, BLOCK, ROW, SLICE = 500_000, 4 << 20, 32_768, 400_000
 #: A-Z to a-z, what ends a piece to a line feed, a tab to a space.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else 10 if b in b".,;:!?\x0a\x0b\x0c\x0d" else 32 if b == 9 else b for b in range(256))
 _WORDS = re.compile(rb"\n|[^\n ]+").findall
@@ -176,6 +177,17 @@ def _encoded(docs: DataFrame, seed: int, bits: Bitmap) -> DataFrame:
     return settle(docs.select(F.xxhash64("lang").alias("lang"), "text").mapInArrow(run, "lang long, own int, ids array<long>"), "encoded")
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches, in parts of about ``SLICE`` words."""
+    for batch in batches:
+        offsets = batch.column(2).offsets.to_numpy()
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE, side="right")) - 1)
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(language, word, whether a gram may start) of each place of a batch's rows, with
     ``LONGEST`` empty places after each."""
@@ -217,7 +229,7 @@ def _frequent(encoded: DataFrame, size: int, least: int, pairs: Bitmap | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
-        for batch in batches:
+        for batch in _slices(batches):
             lang, word, starts = _flat(batch)
             ahead, two, three = _links(lang, word, Bitmap(shared.value) if shared else None, None)
             at = np.flatnonzero(starts & (two if size == 2 else three))
@@ -262,7 +274,7 @@ def _edges(encoded: DataFrame, pairs: Bitmap, triples: Bitmap) -> DataFrame:
             rows, counts = _distinct(np.concatenate(held))
             return pa.record_batch([*(pa.array(np.ascontiguousarray(c)) for c in rows.T), pa.array(counts.astype(np.int64))], names=[*names, "n"])
 
-        for batch in batches:
+        for batch in _slices(batches):
             lang, word, starts = _flat(batch)
             ahead, two, three = _links(lang, word, *map(Bitmap, shared.value))
             at = np.flatnonzero(starts)

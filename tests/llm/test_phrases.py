@@ -108,3 +108,15 @@ def test_rows_of_one_hash_are_told_apart(monkeypatch):
     monkeypatch.setattr(phrases, "_mixed", lambda parts: np.zeros(len(parts[0]), np.uint64))
     found, counts = phrases._distinct(rows)
     assert dict(zip(map(tuple, found.tolist()), counts.tolist())) == {(1, 2): 2, (3, 4): 1, (5, 6): 1}
+
+
+def test_slices_keep_all_rows(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(phrases, "SLICE", 5)
+    lists = [[1, 2, 3], [], [4] * 9, [5], [6, 7], [8]]
+    batch = pa.record_batch([pa.array(range(6), pa.int64()), pa.array([len(x) for x in lists], pa.int32()), pa.array(lists, pa.list_(pa.int64()))], names=["lang", "own", "ids"]).slice(1)
+    parts = list(phrases._slices(iter([batch])))
+    assert [r for p in parts for r in p.column(2).to_pylist()] == lists[1:] and len(parts) > 2
+    lang, word, starts = phrases._flat(parts[0])
+    assert word[starts].tolist() == [w for r in parts[0].column(2).to_pylist() for w in r] and len(lang) == len(word)

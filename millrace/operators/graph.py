@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..sources.scratch import discard, settle
 
@@ -114,6 +117,87 @@ def short_cycles(edges: DataFrame) -> DataFrame:
     return two.union(three)
 
 
+#: Edges of one repository up to which its cycles are listed; the walk holds some 200 bytes for each.
+MOST_EDGES = 2_000_000
+
+
+def closed_walks(edges: Iterable[tuple[str, str]]) -> list[list[str]]:
+    """One path for each edge that leads back into the walk that is under way, from the
+    node it leads to and back to it. The walk starts at each node not yet seen and takes
+    what a node leads to, both in order of name."""
+    leads: dict[str, set[str]] = {}
+    for a, b in edges:
+        leads.setdefault(a, set()).add(b)
+        leads.setdefault(b, set())
+    found, place, left = [], {}, set()  # place: position in the walk of the nodes now on it; left: nodes done with
+    for start in sorted(leads):
+        if start in left:
+            continue
+        walk, todo = [start], [iter(sorted(leads[start]))]
+        place[start] = 0
+        while walk:
+            step = next(todo[-1], None)
+            if step is None:
+                todo.pop()
+                done = walk.pop()
+                del place[done]
+                left.add(done)
+            elif step in place:
+                found.append([*walk[place[step] :], step])
+            elif step not in left:
+                place[step] = len(walk)
+                walk.append(step)
+                todo.append(iter(sorted(leads[step])))
+    return found
+
+
+def cycle_listing(edges: DataFrame, most: int = MOST_EDGES) -> DataFrame:
+    """(repository_id, place, path, edges): the closed walks of each repository's graph,
+    ``edges`` (repository_id, source, target), in the order in which they are met.
+
+    The order makes the walk sequential, so one task has a repository's whole graph. Graphs
+    are counted first: one of more than ``most`` edges is not walked and has a single row
+    without a place and path (``tangles`` splits graphs of any size). Edges with a null end
+    are ignored, repeated ones count once, a loop is a path of its node twice.
+    """
+    plain = edges.where("source IS NOT NULL AND target IS NOT NULL").select("repository_id", F.col("source").cast("string"), F.col("target").cast("string")).distinct()
+    sizes = plain.groupBy("repository_id").agg(F.count("*").alias("edges"))
+    sized = plain.alias("e").join(sizes.alias("n"), F.col("e.repository_id").eqNullSafe(F.col("n.repository_id"))).select("e.*", "n.edges")
+    kind = plain.schema["repository_id"].dataType
+    schema = pa.schema([("repository_id", to_arrow_type(kind)), ("place", pa.int32()), ("path", pa.list_(pa.string())), ("edges", pa.int64())])
+
+    def walks(graph: pa.Table) -> pa.Table:
+        found = closed_walks(zip(graph.column("source").to_pylist(), graph.column("target").to_pylist()))
+        first, n = graph.column("repository_id")[0].as_py(), graph.num_rows
+        return pa.table({"repository_id": [first] * len(found), "place": range(1, len(found) + 1), "path": found, "edges": [n] * len(found)}, schema=schema)
+
+    columns = f"repository_id {kind.simpleString()}, place int, path array<string>, edges long"
+    listed = sized.where(F.col("edges") <= most).groupBy("repository_id").applyInArrow(walks, columns)
+    return listed.union(sizes.where(F.col("edges") > most).select("repository_id", F.lit(None).cast("int"), F.lit(None).cast("array<string>"), "edges"))
+
+
+def with_cycles(edges: DataFrame, most: int = MOST_EDGES) -> DataFrame:
+    """(repository_id) whose graph has a cycle: by the listing, or by ``tangles`` for graphs too large to list."""
+    listed = cycle_listing(edges, most)
+    large = edges.join(listed.where("path IS NULL").select("repository_id"), "repository_id", "left_semi")
+    found = listed.where("path IS NOT NULL").select("repository_id")
+    if large.take(1):
+        named = large.select("repository_id", *[F.struct("repository_id", end).alias(end) for end in ("source", "target")])
+        found = found.union(tangles(named).select("node.repository_id"))
+    return found.distinct()
+
+
+def within_cycles(edges: DataFrame, cycles: DataFrame) -> DataFrame:
+    """``edges`` (repository_id, source, target) with both ends in listed cycles (repository_id,
+    path) of their repository, and whether the edge is a step of one (``step``)."""
+    path = F.col("path")
+    pairs = F.zip_with(F.slice(path, F.lit(1), F.size(path) - 1), F.slice(path, F.lit(2), F.size(path) - 1), lambda a, b: F.struct(a.alias("source"), b.alias("target")))
+    steps = cycles.where("path IS NOT NULL").select("repository_id", F.explode(pairs).alias("e")).select("repository_id", "e.*").distinct()
+    nodes = steps.select("repository_id", F.col("source").alias("node")).distinct()  # each node of a closed walk begins a step
+    inside = edges.join(nodes.withColumnRenamed("node", "source"), ["repository_id", "source"], "left_semi").join(nodes.withColumnRenamed("node", "target"), ["repository_id", "target"], "left_semi")
+    return inside.join(steps.withColumn("step", F.lit(True)), ["repository_id", "source", "target"], "left").select("repository_id", "source", "target", F.coalesce("step", F.lit(False)).alias("step"))
+
+
 def cycle_edges(cycles: DataFrame) -> DataFrame:
     """(source, target): the edges of cycles given as arrays (nodes), that from the last node
     back to the first included."""

@@ -207,3 +207,17 @@ near AS (SELECT DISTINCT node FROM (SELECT source AS node FROM touching UNION SE
 def hotspot_diagram_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fifteen hotspots, and of their neighbours the first by name, up to 25 nodes."""
     return reports.hotspot_nodes(corpus.module_edges(spark, sf_dir), 15, 25)
+
+
+@query()
+def cycle_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cycles of each repository, one for each edge that closes one in a walk by name."""
+    found = graph.cycle_listing(corpus.module_edges(spark, sf_dir))
+    return found.select("repository_id", "place", (F.size("path") - 1).alias("length"), F.array_join("path", " > ").alias("path"), "edges")
+
+
+@query()
+def edges_within_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges between modules on listed cycles, steps of one marked."""
+    edges = corpus.module_edges(spark, sf_dir).distinct()
+    return graph.within_cycles(edges, graph.cycle_listing(edges))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .. import corpus
 from ..functions import paths
-from ..operators import resolve
+from ..operators import graph, resolve
+from ..sources.scratch import settle
 from . import fragments as s
 from .registry import query
 
@@ -138,14 +139,28 @@ def repo_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(related, "repository_id", "left").select("repository_id", "total_symbols", *[f"n_{t}" for t in _COUNTED], *[zero(c).alias(c) for c in ("imports", "calls", "inheritance")], zero("imports").alias("dependencies"))
 
 
-@query(corpus.sql(f"""SELECT repository_id, array_to_string(list_filter([CASE WHEN count(DISTINCT {s.language('path')}) > 1 THEN 'Multi-language repository' END, CASE WHEN bool_or({s.test_summary('path')}) THEN 'Contains a test suite' END,
+#: Fixed texts: what is said of a repository, in this order.
+HINTS = [
+    "Multi-language repository", "Contains a test suite", "Has circular dependencies between modules",
+    "Has one or more identifiable application entry points", "Containerized (Docker configuration present)",
+]
+
+
+@query(corpus.sql("/*RECURSIVE*/" + _IMPORTS + f""", inner_edges AS (SELECT f.repository_id, r.source, r.target FROM resolved r JOIN files f ON f.path = r.source JOIN files g ON g.path = r.target AND g.repository_id = f.repository_id),
+reach(repository_id, source, target) AS (SELECT * FROM inner_edges UNION SELECT r.repository_id, r.source, e.target FROM reach r JOIN inner_edges e ON r.target = e.source),
+circular AS (SELECT DISTINCT repository_id FROM reach WHERE source = target)
+SELECT repository_id, array_to_string(list_filter([CASE WHEN count(DISTINCT {s.language('path')}) > 1 THEN 'Multi-language repository' END, CASE WHEN bool_or({s.test_summary('path')}) THEN 'Contains a test suite' END,
+  CASE WHEN repository_id IN (SELECT * FROM circular) THEN 'Has circular dependencies between modules' END,
   CASE WHEN bool_or({s.is_entry('path')}) THEN 'Has one or more identifiable application entry points' END,
-  CASE WHEN bool_or(lower({s.file_name('path')}) IN ('dockerfile', 'docker-compose.yml', 'docker-compose.yaml')) THEN 'Containerized (Docker configuration present)' END], lambda h: h IS NOT NULL), '; ') AS hints FROM files GROUP BY 1""", "files"))
+  CASE WHEN bool_or(lower({s.file_name('path')}) IN ('dockerfile', 'docker-compose.yml', 'docker-compose.yaml')) THEN 'Containerized (Docker configuration present)' END], lambda h: h IS NOT NULL), '; ') AS hints FROM files GROUP BY 1""", "files", "edges"))
 def arch_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = corpus.files(spark, sf_dir).select("repository_id", "path")
+    resolved = resolve.resolve_imports(imports(spark, sf_dir), files.select("path"))
+    homes = files.select(F.col("path").alias("target"), F.col("repository_id").alias("other"))
+    within = resolved.join(files.withColumnRenamed("path", "source"), "source").join(homes, "target").where("repository_id = other").select("repository_id", "source", "target")
+    circular = graph.with_cycles(settle(within, "import-edges")).withColumn("circular", F.lit(True))
     path = F.col("path")
     docker = F.lower(paths.file_name(path)).isin("dockerfile", "docker-compose.yml", "docker-compose.yaml")
-    hints = F.array_compact(F.array(
-        F.when(F.count_distinct(paths.language(path)) > 1, "Multi-language repository"), F.when(F.bool_or(paths.is_test_for_summary(path)), "Contains a test suite"),
-        F.when(F.bool_or(paths.is_entry_point(path)), "Has one or more identifiable application entry points"), F.when(F.bool_or(docker), "Containerized (Docker configuration present)"),
-    ))
-    return corpus.files(spark, sf_dir).groupBy("repository_id").agg(F.array_join(hints, "; ").alias("hints"))
+    facts = files.groupBy("repository_id").agg((F.count_distinct(paths.language(path)) > 1).alias("many"), F.bool_or(paths.is_test_for_summary(path)).alias("tests"), F.bool_or(paths.is_entry_point(path)).alias("entries"), F.bool_or(docker).alias("docker"))
+    said = F.array_compact(F.array(*[F.when(F.col(fact), hint) for fact, hint in zip(("many", "tests", "circular", "entries", "docker"), HINTS)]))
+    return facts.join(circular, "repository_id", "left").select("repository_id", F.array_join(said, "; ").alias("hints"))

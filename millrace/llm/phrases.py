@@ -10,8 +10,9 @@ phrases that a longer phrase accounts for.
 
 What is rare is left out before the graph is built, and exactly: a phrase of at least
 ``least`` occurrences holds only words, pairs and triples that occur as often, so a run
-may end where one of them does not. They are counted in hash buckets and known to the
-tasks by bitmaps of fixed size, whose false hits only keep rare grams longer.
+may end where one of them does not. They are counted first, pairs among frequent words
+and triples among frequent pairs, and known to the tasks by bitmaps of fixed size, whose
+false hits only keep rare grams longer.
 
 Words are 64-bit hashes. No two words of a language share one if either is frequent:
 that is checked on the table of all words, and the next seed is taken if they do.
@@ -32,11 +33,11 @@ from .storage import settle
 
 #: Words of the longest phrase.
 LONGEST = 5
-#: log2 of the buckets that pairs and triples are counted in, and of the bits of a bitmap.
-BUCKETS, BITS = 40, 27
-#: Distinct words or grams that a task holds before it sends them on; bytes of text cut at a time; start words of an
+#: log2 of the bits of a bitmap.
+BITS = 27
+#: Distinct words and grams that a task holds before it sends them on; bytes of text cut at a time; start words of an
 #: encoded row; words of a batch that are looked at together.
-HELD, BLOCK, ROW, SLICE = 500_000, 4 << 20, 32_768, 400_000
+HELD, GRAMS, BLOCK, ROW, SLICE = 500_000, 300_000, 4 << 20, 32_768, 400_000
 #: A-Z to a-z, what ends a piece to a line feed, a tab to a space.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else 10 if b in b".,;:!?\x0a\x0b\x0c\x0d" else 32 if b == 9 else b for b in range(256))
 _WORDS = re.compile(rb"\n|[^\n ]+").findall
@@ -221,82 +222,71 @@ def _links(lang: np.ndarray, word: np.ndarray, pairs: Bitmap | None, triples: Bi
     return ahead, two, three
 
 
-def _frequent(encoded: DataFrame, size: int, least: int, pairs: Bitmap | None = None) -> Bitmap:
-    """Which runs of ``size`` words (2 or 3) may occur ``least`` times, by hash buckets."""
-    spark = encoded.sparkSession.sparkContext
-    shared = spark.broadcast(pairs.words) if pairs else None
-    most, buckets = 4 * HELD, np.uint64((1 << BUCKETS) - 1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count = [], 0
-        for batch in _slices(batches):
-            lang, word, starts = _flat(batch)
-            ahead, two, three = _links(lang, word, Bitmap(shared.value) if shared else None, None)
-            at = np.flatnonzero(starts & (two if size == 2 else three))
-            held.append((_mixed([lang[at], *(x[at] for x in ahead[:size])]) & buckets).astype(np.int64))
-            count += len(at)
-            if count > most:
-                yield _counted(held)
-                held, count = [], 0
-        if count:
-            yield _counted(held)
-
-    counts = encoded.mapInArrow(run, "key long, n int").groupBy("key").agg(F.sum("n").alias("n"))
-    return Bitmap.of(counts.where(F.col("n") >= least), "key")
-
-
-def _counted(held: list[np.ndarray]) -> pa.RecordBatch:
-    keys, counts = np.unique(np.concatenate(held), return_counts=True)
-    return pa.record_batch([pa.array(keys), pa.array(counts.astype(np.int32))], names=["key", "n"])
-
-
-def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct rows and how often they come; rows of one hash are compared."""
-    columns = list(np.ascontiguousarray(rows.T))
-    hashes = _mixed(columns)
-    _, first, inverse, counts = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+def _distinct(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows and the sums of their counts; rows of one hash are compared."""
+    hashes = _mixed(list(np.ascontiguousarray(rows.T)))
+    _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
     if (rows != rows[first[inverse]]).any():
-        return np.unique(rows, axis=0, return_counts=True)
-    return rows[first], counts
+        found, inverse = np.unique(rows, axis=0, return_inverse=True)
+        first = np.zeros(len(found), np.int64)
+        first[inverse.ravel()] = np.arange(len(rows))
+    sums = np.zeros(len(first), np.int64)
+    np.add.at(sums, inverse.ravel(), counts)
+    return rows[first], sums
 
 
-def _edges(encoded: DataFrame, pairs: Bitmap, triples: Bitmap) -> DataFrame:
-    """(lang, w1..w5, f): longest grams and how often they occur; 0 after the end of a run."""
-    spark = encoded.sparkSession.sparkContext
-    shared = spark.broadcast((pairs.words, triples.words))
-    names = ["lang", *(f"w{k}" for k in range(1, LONGEST + 1))]
-    most = HELD
+def _grams(encoded: DataFrame, size: int, pairs: Bitmap | None = None, triples: Bitmap | None = None) -> DataFrame:
+    """(lang, w1..w5, f): how often grams occur whose pairs and triples may be frequent; 0
+    after the last word. Grams of two and three words are counted where they are whole; the
+    longest ones at every word, also where the run ends before."""
+    shared = encoded.sparkSession.sparkContext.broadcast([b.words for b in (pairs, triples) if b])
+    names, most = ["lang", *(f"w{k}" for k in range(1, LONGEST + 1))], GRAMS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count = [], 0
+        held, count = [], 0  # (rows, counts); the first are those already added up
+        bitmaps = [*map(Bitmap, shared.value), None, None][:2]
 
-        def flush() -> pa.RecordBatch:
-            rows, counts = _distinct(np.concatenate(held))
-            return pa.record_batch([*(pa.array(np.ascontiguousarray(c)) for c in rows.T), pa.array(counts.astype(np.int64))], names=[*names, "n"])
+        def batch_of(rows: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+            none = np.zeros(len(rows), np.int64)
+            columns = [np.ascontiguousarray(c) for c in rows.T] + [none] * (LONGEST - size)
+            return pa.record_batch([*map(pa.array, columns), pa.array(counts)], names=[*names, "n"])
 
         for batch in _slices(batches):
             lang, word, starts = _flat(batch)
-            ahead, two, three = _links(lang, word, *map(Bitmap, shared.value))
-            at = np.flatnonzero(starts)
-            rows = np.zeros((len(at), LONGEST + 1), np.int64)
+            ahead, two, three = _links(lang, word, *bitmaps)
+            at = np.flatnonzero(starts if size == LONGEST else starts & (two if size == 2 else three))
+            rows = np.zeros((len(at), size + 1), np.int64)
             rows[:, 0], rows[:, 1] = lang[at], word[at]
             joined = np.ones(len(at), bool)
-            for k in range(1, LONGEST):
+            for k in range(1, size):
                 joined = joined & _shift(two, k - 1)[at]
                 if k > 1:
                     joined = joined & _shift(three, k - 2)[at]
                 rows[joined, k + 1] = ahead[k][at[joined]]
-            for part in range(0, len(rows), most):
-                held.append(rows[part : part + most])
-                count += len(held[-1])
+            held.append((rows, np.ones(len(rows), np.int64)))
+            count += len(rows)
+            if count > 2 * most:
+                held = [_distinct(*map(np.concatenate, zip(*held)))]
+                count = len(held[0][0])
                 if count > most:
-                    yield flush()
+                    yield batch_of(*held[0])
                     held, count = [], 0
         if count:
-            yield flush()
+            yield batch_of(*_distinct(*map(np.concatenate, zip(*held))))
+
+    found = encoded.mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "n"]))
+    return found.groupBy(*names).agg(F.sum("n").alias("f"))
+
+
+def _bitmap(grams: DataFrame, size: int, least: int) -> Bitmap:
+    """The grams of ``size`` words that occur ``least`` times or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([pa.array(_mixed([c.to_numpy() for c in batch.columns]).view(np.int64))], names=["key"])
 
-    grams = encoded.mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "n"]))
-    return settle(grams.groupBy(*names).agg(F.sum("n").alias("f")), "edges")
+    kept = grams.where(F.col("f") >= least).select("lang", *[f"w{k}" for k in range(1, size + 1)])
+    return Bitmap.of(kept.mapInArrow(run, "key long"), "key")
 
 
 def _phrases(edges: DataFrame, least: int) -> DataFrame:
@@ -361,9 +351,9 @@ def collocations(docs: DataFrame, least: int = 100, most: int | None = 2000, tex
         seed += 1
     frequent = words.where(F.col("f") >= least)
     encoded = _encoded(docs, seed, Bitmap.of(frequent.select(F.col("id").bitwiseXOR(F.xxhash64("lang")).alias("key")), "key"))
-    pairs = _frequent(encoded, 2, least)
-    triples = _frequent(encoded, 3, least, pairs)
-    found = _phrases(_edges(encoded, pairs, triples), least)
+    pairs = _bitmap(_grams(encoded, 2), 2, least)
+    triples = _bitmap(_grams(encoded, 3, pairs), 3, least)
+    found = _phrases(settle(_grams(encoded, LONGEST, pairs, triples), "edges"), least)
 
     langs = words.groupBy("lang").agg(F.sum("f").alias("n")).select(F.xxhash64("lang").alias("key"), F.col("lang").alias("name"), "n")
     size = F.size("words")

@@ -54,7 +54,7 @@ def made(seed, size, vocabulary=8):
     return rows + [("en", None), (None, ""), ("fr", ".,;"), ("en", "x " * 3000), ("en", "x " * 3000)]
 
 
-@pytest.mark.parametrize("least,limits", [(20, {}), (7, {"BITS": 6, "BUCKETS": 8}), (9, {"ROW": 16, "HELD": 40, "BLOCK": 30})])
+@pytest.mark.parametrize("least,limits", [(20, {}), (7, {"BITS": 6, "GRAMS": 30}), (9, {"ROW": 16, "HELD": 40, "BLOCK": 30})])
 def test_equals_brute_force(spark, monkeypatch, least, limits):
     for name, value in limits.items():
         monkeypatch.setattr(phrases, name, value)
@@ -106,8 +106,11 @@ def test_unary_paths(spark):
 def test_rows_of_one_hash_are_told_apart(monkeypatch):
     rows = np.array([[1, 2], [3, 4], [1, 2], [5, 6]])
     monkeypatch.setattr(phrases, "_mixed", lambda parts: np.zeros(len(parts[0]), np.uint64))
-    found, counts = phrases._distinct(rows)
+    found, counts = phrases._distinct(rows, np.array([1, 1, 1, 1]))
     assert dict(zip(map(tuple, found.tolist()), counts.tolist())) == {(1, 2): 2, (3, 4): 1, (5, 6): 1}
+    monkeypatch.undo()
+    found, counts = phrases._distinct(rows, np.array([5, 1, 7, 1]))
+    assert dict(zip(map(tuple, found.tolist()), counts.tolist())) == {(1, 2): 12, (3, 4): 1, (5, 6): 1}
 
 
 def test_slices_keep_all_rows(monkeypatch):

@@ -2,21 +2,32 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import corpus
-from ..operators import chunking
+from ..operators import chunking, indexing
+from ..sources.scratch import scratch_path
 from .registry import query
 
 _STRIP = "regexp_replace({}, '^[ \\t\\r\\n]+|[ \\t\\r\\n]+$', '', 'g')"
-_WINDOWS = """, split_files AS (SELECT file_id, repository_id, CASE WHEN p[-1] = '' THEN p[1:-2] ELSE p END AS l FROM (SELECT file_id, repository_id, string_split(text, chr(10)) AS p FROM files)),
-cut AS (SELECT file_id, repository_id, start, least(start + 39, len(l)) AS stop, """ + _STRIP.format("array_to_string(l[start:least(start + 39, len(l))], chr(10))") + """ AS text
-  FROM (SELECT *, unnest(generate_series(1, greatest(1, len(l) - 5), 35)) AS start FROM split_files WHERE len(l) > 0)),
-chunks AS (SELECT file_id, repository_id, (row_number() OVER (PARTITION BY file_id ORDER BY start) - 1)::INTEGER AS chunk_index, start::INTEGER AS start_line, stop::INTEGER AS end_line, text FROM cut WHERE text <> '')
+
+
+def _windows_of(files: str, name: str) -> str:
+    """SQL views that cut the texts of ``files`` into the chunks ``name``."""
+    stripped = _STRIP.format("array_to_string(l[start:least(start + 39, len(l))], chr(10))")
+    return f""", split_{name} AS (SELECT file_id, repository_id, CASE WHEN p[-1] = '' THEN p[1:-2] ELSE p END AS l FROM (SELECT file_id, repository_id, string_split(text, chr(10)) AS p FROM {files})),
+cut_{name} AS (SELECT file_id, repository_id, start, least(start + 39, len(l)) AS stop, {stripped} AS text
+  FROM (SELECT *, unnest(generate_series(1, greatest(1, len(l) - 5), 35)) AS start FROM split_{name} WHERE len(l) > 0)),
+{name} AS (SELECT file_id, repository_id, (row_number() OVER (PARTITION BY file_id ORDER BY start) - 1)::INTEGER AS chunk_index, start::INTEGER AS start_line, stop::INTEGER AS end_line, text FROM cut_{name} WHERE text <> '')
 """
 
 
+_WINDOWS = _windows_of("files", "chunks")
+
+
 def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.windows(corpus.files(spark, sf_dir).select("file_id", "text"))
 
@@ -78,3 +89,32 @@ SELECT file_id, place, round(n / sqrt((sum(n * n) OVER (PARTITION BY file_id))::
 def embed_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = corpus.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), "text")
     return chunking.hashed_words(texts).select("file_id", "place", F.round("weight", 6).alias("weight"))
+
+
+def word_counts(texts: list[str]) -> list[list[float]]:
+    """A vector a text: its words counted by hash, over the Euclidean length."""
+    out = []
+    for text in texts:
+        counts = [0.0] * 16
+        for word in text.lower().split():
+            counts[zlib.crc32(word.encode()) % 16] += 1
+        norm = sum(c * c for c in counts) ** 0.5 or 1.0
+        out.append([c / norm for c in counts])
+    return out
+
+
+_LATER = """, later AS (SELECT file_id, repository_id, CASE WHEN file_id % 3 = 1 THEN text || chr(10) || 'changed ' || file_id ELSE text END AS text FROM files WHERE file_id % 7 <> 2)
+"""
+
+
+@query(corpus.sql(_LATER + _windows_of("files", "first") + _windows_of("later", "chunks") + """SELECT file_id, chunk_index, start_line, end_line, sha256(text) AS content_hash, (CASE WHEN file_id % 3 = 1 THEN 2 ELSE 1 END)::INTEGER AS run,
+  file_id % 3 = 1 AND sha256(text) IN (SELECT sha256(text) FROM first) AS reused FROM chunks""", "files"))
+def incremental_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index after all files and then, a third of them changed and some gone, once more."""
+    files = corpus.files(spark, sf_dir).select("file_id", "text")
+    index = indexing.Index(spark, scratch_path(spark, "index"))
+    provider = indexing.Provider("word-counts", 16, word_counts)
+    index.run(files, provider, tag="first")
+    text = F.when(F.col("file_id") % 3 == 1, F.concat("text", F.lit("\nchanged "), F.col("file_id").cast("string"))).otherwise(F.col("text"))
+    index.run(files.where("file_id % 7 <> 2").withColumn("text", text), provider, tag="second")
+    return index.chunks().select("file_id", "chunk_index", "start_line", "end_line", "content_hash", "run", "reused")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import corpus
 from ..functions import text
 from ..operators import answers, graph, lifecycle, reports
-from ..sources import readers
+from ..sources import readers, store
 from ..sources.scratch import scratch_path
 from . import answering
 from . import fragments as s
@@ -215,21 +215,29 @@ def vector_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A store of vectors after an upsert of changed and new ones and the removal of others."""
     path = scratch_path(spark, "vector-store")
     vectors = corpus.table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
-    readers.create_store(vectors, path, "vec_id")
+    store.create_store(vectors, path, "vec_id", buckets=16)
     changed = vectors.where("vec_id % 7 = 1").withColumn("label", F.lit(-1))
     new = vectors.where("vec_id % 11 = 0").withColumn("vec_id", -1 - F.col("vec_id"))
-    readers.upsert(path, changed.union(new), "vec_id")
-    readers.delete(path, vectors.where("vec_id % 5 = 0"), "vec_id")
-    return spark.read.parquet(path).select("vec_id", "label")
+    store.upsert(path, changed.union(new), "vec_id")
+    store.delete(path, vectors.where("vec_id % 5 = 0"), "vec_id")
+    return store.read_store(spark, path).select("vec_id", "label")
 
 
 @query(corpus.sql(""", gone AS (SELECT DISTINCT repository_id FROM files WHERE file_id % 17 = 0), kept AS (SELECT file_id FROM files WHERE repository_id NOT IN (SELECT * FROM gone)),
 symbols_left AS (SELECT symbol_id FROM symbols WHERE file_id IN (SELECT * FROM kept))
 SELECT 'files' AS name, count(*) AS n FROM kept UNION ALL SELECT 'symbols', count(*) FROM symbols_left UNION ALL SELECT 'relations', count(*) FROM relations WHERE source IN (SELECT * FROM symbols_left)""", "files", "symbols", "relations"))
 def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many rows are left once repositories go with their files, symbols and relations."""
+    """What is left in the stores of relations, symbols and files once repositories go."""
     files = corpus.files(spark, sf_dir).select("file_id", "repository_id")
-    tables = {"files": files, "symbols": corpus.symbols(spark, sf_dir), "relations": corpus.relations(spark, sf_dir)}
-    left = readers.drop_repositories(tables, files.where("file_id % 17 = 0").select("repository_id").distinct(), {"symbols": ("files", "file_id", "file_id"), "relations": ("symbols", "source", "symbol_id")})
-    counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in left.items()]
+    relation = F.concat_ws("|", F.col("source").cast("string"), F.col("target").cast("string"), "relationship_type").alias("relation_id")
+    tables = {"files": (files, "file_id"), "symbols": (corpus.symbols(spark, sf_dir).select("symbol_id", "file_id"), "symbol_id"), "relations": (corpus.relations(spark, sf_dir).select(relation, "source"), "relation_id")}
+    folder = {name: scratch_path(spark, f"{name}-store") for name in tables}
+    for name, (rows, key) in tables.items():
+        store.create_store(rows, folder[name], key, buckets=8)
+    held = {name: store.read_store(spark, path) for name, path in folder.items()}
+    going = files.where("file_id % 17 = 0").select("repository_id").distinct()
+    left = readers.drop_repositories(held, going, {"symbols": ("files", "file_id", "file_id"), "relations": ("symbols", "source", "symbol_id")})
+    gone = {name: held[name].join(left[name].select(key), key, "left_anti") for name, (_, key) in tables.items()}
+    store.cascade([(folder[name], gone[name], tables[name][1]) for name in ("relations", "symbols", "files")])
+    counts = [store.read_store(spark, path).agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, path in folder.items()]
     return counts[0].union(counts[1]).union(counts[2])

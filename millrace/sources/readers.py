@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import settle
-
 
 def source_tree(spark: SparkSession, root: str, repository: str) -> DataFrame:
     """(repository_id, path, size_bytes, last_modified, text): all files below ``root``, binary
@@ -33,39 +31,6 @@ def append(df: DataFrame, path: str, *keys: str) -> None:
     (df.write.mode("append").partitionBy(*keys) if keys else df.write.mode("append")).parquet(path)
 
 
-def _bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
-    return df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-
-
-def create_store(df: DataFrame, path: str, key: str, buckets: int = 64) -> None:
-    """Write ``df`` as a table whose rows are kept by hash buckets of ``key``."""
-    _bucketed(df, key, buckets).write.mode("overwrite").partitionBy("bucket").parquet(path)
-
-
-def _rewrite(spark: SparkSession, path: str, touched: DataFrame, new: DataFrame | None, key: str) -> None:
-    """Replace the buckets that ``touched`` (bucket and ``key``) names by their other rows and ``new``."""
-    held = spark.read.parquet(path)
-    buckets = settle(touched.select("bucket").distinct(), "touched-buckets")
-    rest = held.join(buckets, "bucket", "left_semi").join(touched.select(key).distinct(), key, "left_anti").select(held.columns)
-    rows = settle(rest if new is None else rest.unionByName(new), "bucket-rows")
-    replace_partitions(rows, path, "bucket")
-    for row in buckets.join(rows.select("bucket").distinct(), "bucket", "left_anti").collect():  # a folder each, of a fixed number
-        there = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/bucket={row.bucket}")
-        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
-    spark.catalog.refreshByPath(path)
-
-
-def upsert(path: str, rows: DataFrame, key: str, buckets: int = 64) -> None:
-    """Insert ``rows`` or put them in place of those of the same ``key``; other buckets are not touched."""
-    new = _bucketed(rows, key, buckets)
-    _rewrite(rows.sparkSession, path, new.select("bucket", key), new, key)
-
-
-def delete(path: str, keys: DataFrame, key: str, buckets: int = 64) -> None:
-    """Remove the rows whose ``key`` is among ``keys``; other buckets are not touched."""
-    _rewrite(keys.sparkSession, path, _bucketed(keys.select(key), key, buckets), None, key)
-
-
 def drop_repositories(tables: dict[str, DataFrame], repositories: DataFrame, owned_by: dict[str, tuple[str, str, str]]) -> dict[str, DataFrame]:
     """What is left of ``tables`` once ``repositories`` (repository_id) go.
 

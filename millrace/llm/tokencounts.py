@@ -3,20 +3,21 @@
 Each batch of inserts, deletes and revised counts becomes signed rows, which are
 kept by document (the ledger) and summed by source, language and tokenizer
 version (the rollup). Totals are sums over committed batches, so no batch
-rewrites another. A batch counts once its marker is written, last; committing a
-batch again, or one that failed half-way, changes nothing twice. A batch reads
-the ledger rows of the documents that it names only, and ``compact`` sums many
-batches into one. Of two writers at a time one fails: both claim the place after
-the last batch.
+rewrites another. A batch counts once its entry stands in the commit log, last;
+committing a batch again, or one that failed half-way, changes nothing twice. A
+batch reads the ledger rows of the documents that it names only, and ``compact``
+sums many batches into one. Of two writers at a time one fails: an entry takes the
+place after those that its writer has read, and a place is taken once.
 """
 
 from __future__ import annotations
 
-import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.commits import CommitLog
 from .storage import settle
 
 _LEDGER = "doc_id long, version string, source string, lang string, docs long, tokens long"
@@ -29,48 +30,17 @@ class TokenCounts:
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
-
-    def _path(self, name: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
-
-    def _log(self) -> list[str]:
-        """Names in the folder of markers, in the order of their places."""
-        fs, path = self._path("commits")
-        return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+        self.log = CommitLog(spark, f"{self.folder}/commits")
 
     def batches(self) -> list[str]:
         """Ids of all committed batches, those in compacted ones included."""
-        names: list[str] = []
-        for marker in self._log():
-            fs, path = self._path(f"commits/{marker}")
-            stream = fs.open(path)
-            try:
-                names += json.loads(bytes(stream.readAllBytes()).decode())["batches"]
-            finally:
-                stream.close()
-        return names
+        return [b for e in self.log.entries() for b in e["batches"]]
 
     def _live(self) -> list[str]:
         """Folders that count: the last compacted one and those after it."""
-        log = [marker.split("-", 2) for marker in self._log()]
-        start = max((i for i, (_, kind, _) in enumerate(log) if kind == "all"), default=0)
-        return [f"{place}-{name}" for place, _, name in log[start:]]
-
-    def _claim(self, place: int, kind: str, name: str, batches: list[str]) -> None:
-        """Write a marker that must not exist: the file system lets one writer create it."""
-        fs, path = self._path(f"places/{place:09d}")
-        fs.create(path, False).close()
-        fs, path = self._path(f"commits/{place:09d}-{kind}-{name}")
-        stream = fs.create(path, False)
-        stream.write(bytearray(json.dumps({"batches": batches}).encode()))
-        stream.close()
-
-    def _place(self) -> int:
-        """The place after the last one claimed, whether its batch was committed or not."""
-        fs, path = self._path("places")
-        claimed = [int(s.getPath().getName()) for s in fs.listStatus(path)] if fs.exists(path) else []
-        return 1 + max(claimed, default=-1)
+        held = self.log.entries()
+        start = max((i for i, e in enumerate(held) if e["kind"] == "all"), default=0)
+        return [e["folder"] for e in held[start:]]
 
     def _read(self, kind: str, schema: str) -> DataFrame:
         paths = [f"{self.folder}/{kind}/{b}" for b in self._live()]
@@ -104,14 +74,14 @@ class TokenCounts:
         """
         if not batch or any(c in batch for c in "/\\"):
             raise ValueError("a batch id is a plain name")
-        if batch in self.batches():
+        held = self.log.entries()
+        if any(batch in e["batches"] for e in held):
             return False
         empty_up = self.spark.createDataFrame([], "doc_id long, source string, lang string, version string, n_tokens long")
         upserts = empty_up if upserts is None else upserts
         added = upserts.select(F.col("doc_id").cast("long").alias("doc_id"), "version", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.lit(1).cast("long").alias("docs"), F.coalesce(F.col("n_tokens").cast("long"), F.lit(0)).alias("tokens"))
-        place = self._place()
         signed = added
-        if self._live():
+        if held:
             touched = added.select("doc_id")
             if deletes is not None:
                 gone = settle(deletes.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "deleted-ids")
@@ -123,21 +93,24 @@ class TokenCounts:
                 gone = gone.select(F.col("doc_id").alias("d_doc"))
                 replaced = replaced.union(standing.join(gone, standing.doc_id.eqNullSafe(F.col("d_doc")), "left_semi")).distinct()
             signed = added.union(replaced.select("doc_id", "version", "source", "lang", (-F.col("docs")).alias("docs"), (-F.col("tokens")).alias("tokens")))
-        return self._write(place, "one", batch, signed, [batch])
+        return self._write(len(held), "one", batch, signed, [batch])
 
     def _write(self, place: int, kind: str, name: str, signed: DataFrame, batches: list[str]) -> bool:
-        target = f"{self.folder}/ledger/{place:09d}-{name}"
-        signed.write.mode("overwrite").parquet(target)
+        folder = f"{place:09d}-{name}-{uuid.uuid4().hex}"
+        target = f"{self.folder}/ledger/{folder}"
+        signed.write.parquet(target)
         written = self.spark.read.schema(_LEDGER).parquet(target)
-        written.groupBy(*_KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).write.mode("overwrite").parquet(f"{self.folder}/rollup/{place:09d}-{name}")
-        self._claim(place, kind, name, batches)
+        written.groupBy(*_KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).write.parquet(f"{self.folder}/rollup/{folder}")
+        if not self.log.append({"kind": kind, "folder": folder, "batches": batches}, place):
+            raise RuntimeError(f"place {place} exists: another writer committed meanwhile")
         return True
 
     def compact(self) -> bool:
         """Sum all batches into one, which then counts instead of them; False if there is none."""
-        if not self._live():
+        held = self.log.entries()
+        if not held:
             return False
-        return self._write(self._place(), "all", "compacted", self.ledger(), [])
+        return self._write(len(held), "all", "compacted", self.ledger(), [])
 
 
 def counted(docs: DataFrame, count: Column, version: str) -> DataFrame:

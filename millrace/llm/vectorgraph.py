@@ -33,6 +33,8 @@ BLOCKS = 4
 #: Sample rows that the centroids of a cell are fitted on (about), cells that one is cut into at most, levels.
 FIT_ROWS, BRANCH, LEVELS = 16_384, 256, 4
 AUDIT_ROWS, AUDIT_RECALL = 256, 0.97
+#: Vectors with links that the audit measures, and vectors that it draws at most to find them.
+AUDIT_LINKED, AUDIT_MOST = 64, 4096
 NEAREST_KEPT, DEGREE, CANDIDATES, ALPHA, BEAM = 8, 20, 48, 1.2, 16
 #: Of a vector's united and reverse edges, the nearest this many are walked in a block.
 WALKED = 64
@@ -392,11 +394,24 @@ def find_links(classes: DataFrame, threshold: float = THRESHOLD, shard_rows: int
     return links, counted.where("cls <> root").select(F.col("cls").alias("a"), F.col("root").alias("b")).distinct()
 
 
-def audit(classes: DataFrame, links: DataFrame, threshold: float = THRESHOLD, rows: int = AUDIT_ROWS) -> float:
-    """Mean share of their links found of ``rows`` vectors chosen by id hash (those with links), by a scan of all vectors."""
-    chosen = classes.orderBy(F.xxhash64("cls", F.lit(1)), "cls").limit(rows).select("cls", "v").collect()
-    if not chosen:
-        return 1.0
+def audit(classes: DataFrame, links: DataFrame, threshold: float = THRESHOLD, rows: int = AUDIT_ROWS, linked: int = AUDIT_LINKED, most: int = AUDIT_MOST) -> float | None:
+    """Mean share of their links found, of vectors chosen by id hash, by a scan of all
+    vectors. Vectors without links tell nothing: ``rows`` are drawn first, then more, until
+    ``linked`` with links were measured or ``most`` drawn. None if none was measured."""
+    shares: list[float] = []
+    drawn = 0
+    while len(shares) < linked and drawn < most:
+        upto = min(most, max(rows, 4 * drawn))
+        chosen = classes.orderBy(F.xxhash64("cls", F.lit(1)), "cls").limit(upto).select("cls", "v").collect()[drawn:]
+        if not chosen:
+            break
+        shares += _shares(classes, links, threshold, chosen)
+        drawn = upto
+    return sum(shares) / len(shares) if shares else None
+
+
+def _shares(classes: DataFrame, links: DataFrame, threshold: float, chosen: list) -> list[float]:
+    """Of each chosen vector with links, the share of them that was found."""
     shared = classes.sparkSession.sparkContext.broadcast([(r.cls, unit_rows(np.array([r.v]))[0]) for r in chosen])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -415,8 +430,8 @@ def audit(classes: DataFrame, links: DataFrame, threshold: float = THRESHOLD, ro
                 yield pa.record_batch([pa.array(ids[there > 0]), pa.array(there[there > 0])], names=["cls", "there"])
 
     there = classes.select("cls", "v", "copies").mapInArrow(scan, "cls long, there long").groupBy("cls").agg(F.sum("there").alias("there"))
-    shares = there.join(links, "cls", "left").select((F.coalesce("links", F.lit(0)) / F.col("there")).alias("share"))
-    return shares.agg(F.coalesce(F.avg(F.least("share", F.lit(1.0))), F.lit(1.0))).first()[0]
+    shares = there.join(links, "cls", "left").select(F.least(F.coalesce("links", F.lit(0)) / F.col("there"), F.lit(1.0)).alias("share"))
+    return [r.share for r in shares.collect()]  # one for each chosen vector at most
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: str = "vec_id", vector: str = "embedding", least_recall: float = AUDIT_RECALL, **options) -> DataFrame:
@@ -428,8 +443,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: st
     rows without vec_id (component_id null), and vectors of different dimensions
     with each other. If the audit finds less than ``least_recall`` of a vector's
     links in the mean, the shards overlap more and the beam is wider in a second
-    and third build, and if that is not enough, all blocks are compared whole. An
-    empty table gives no row.
+    and third build, and if that is not enough, all blocks are compared whole. The
+    audit is null where it met no vector with links. An empty table gives no row.
     """
     rows = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.col(f"`{vector}`").cast("array<double>").alias("v"))
     usable = finite(F.col("v")) & F.col("vec_id").isNotNull() & F.exists("v", lambda x: x != 0)
@@ -439,7 +454,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: st
     for _ in range(3):
         links, edges = find_links(classes, threshold, overlap=overlap, beam=beam, **options)
         recall = audit(classes, links, threshold)
-        if recall >= least_recall:
+        if recall is None or recall >= least_recall:
             break
         overlap, beam = 2 * overlap, 2 * beam
     else:
@@ -451,4 +466,4 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: st
     named = settle(named.select(F.col("v").alias("same"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("least", "first").alias("least")), "named-vectors")
     out = rows.withColumn("key", F.when(usable, F.col("v"))).join(named, F.col("key") == F.col("same"), "left")
     component = F.coalesce("least", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"), F.lit(recall).alias("audit_recall"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"), F.lit(recall).cast("double").alias("audit_recall"))

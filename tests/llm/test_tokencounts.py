@@ -86,6 +86,20 @@ def test_of_two_writers_one_fails(spark, monkeypatch):
     assert tokencounts.TokenCounts(spark, folder).commit("second", rows)
 
 
+def test_a_batch_that_two_writers_commit_counts_once(spark, monkeypatch):
+    folder = scratch_path(spark, "counts")
+    a, b, c = (tokencounts.TokenCounts(spark, folder) for _ in range(3))
+    rows = lambda n: spark.createDataFrame([(n, "a", "en", "v1", n)], UP)
+    a.commit("base", rows(5))
+    write = b._write
+    # b has read the log and written its rows when a commits the same batch, and c starts in between
+    monkeypatch.setattr(b, "_write", lambda *args: a.commit("load", rows(10)) and not c.commit("load", rows(10)) and write(*args))
+    with pytest.raises(RuntimeError, match="exists"):
+        b.commit("load", rows(10))
+    assert a.batches() == ["base", "load"] and [tuple(r) for r in a.totals().collect()] == [("a", "en", "v1", 2, 15)]
+    assert not tokencounts.TokenCounts(spark, folder).commit("load", rows(10))
+
+
 def test_empty_tables_and_very_long_texts(spark):
     counts = tokencounts.TokenCounts(spark, scratch_path(spark, "counts"))
     docs = spark.createDataFrame([], "doc_id long, source string, lang string, text string")

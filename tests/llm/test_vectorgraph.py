@@ -90,6 +90,18 @@ def test_audit_below_its_bound_ends_in_an_exact_search(spark, monkeypatch):
     assert run(spark, rows, shard_rows=100) == brute(rows)
 
 
+def test_rare_links_are_measured_and_a_search_that_misses_them_is_noticed(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(2000, 32)))]
+    assert {r.audit_recall for r in vectorgraph.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()} == {None}
+    rows[700] = (700, [x * 1.001 + 0.001 for x in rows[3][1]])
+    monkeypatch.setattr(vectorgraph, "search", lambda x, neighbours, starts, q, least, beam: (np.empty(0, int), np.empty(0, int)))
+    classes = spark.createDataFrame([(i, v, 1) for i, v in rows], "cls long, v array<double>, copies long")
+    nothing = spark.createDataFrame([], "cls long, links long")
+    assert vectorgraph.audit(classes, nothing) == 0.0 and vectorgraph.audit(classes, nothing, most=1) is None
+    assert run(spark, rows) == brute(rows)
+
+
 def test_doubles_are_compared_as_doubles(spark):
     # cosines that differ from the threshold by less than single precision tells
     angle = np.arccos(0.9)

@@ -11,8 +11,8 @@ phrases that a longer phrase accounts for.
 What is rare is left out before the graph is built, and exactly: a phrase of at least
 ``least`` occurrences holds only words, pairs and triples that occur as often, so a run
 may end where one of them does not. They are counted first, pairs among frequent words
-and triples among frequent pairs, and known to the tasks by bitmaps of fixed size, whose
-false hits only keep rare grams longer.
+and triples among frequent pairs, in hash buckets, and known to the tasks by bitmaps of
+fixed size; buckets and bits that several share only keep rare grams longer.
 
 Words are 64-bit hashes. No two words of a language share one if either is frequent:
 that is checked on the table of all words, and the next seed is taken if they do.
@@ -33,8 +33,8 @@ from .storage import settle
 
 #: Words of the longest phrase.
 LONGEST = 5
-#: log2 of the bits of a bitmap.
-BITS = 27
+#: log2 of the buckets that pairs and triples are counted in, and of the bits of a bitmap.
+BUCKETS, BITS = 40, 27
 #: Distinct words and grams that a task holds before it sends them on; bytes of text cut at a time; start words of an
 #: encoded row; words of a batch that are looked at together.
 HELD, GRAMS, BLOCK, ROW, SLICE = 500_000, 300_000, 4 << 20, 32_768, 400_000
@@ -236,11 +236,11 @@ def _distinct(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _grams(encoded: DataFrame, size: int, pairs: Bitmap | None = None, triples: Bitmap | None = None) -> DataFrame:
-    """(lang, w1..w5, f): how often grams occur whose pairs and triples may be frequent; 0
-    after the last word. Grams of two and three words are counted where they are whole; the
-    longest ones at every word, also where the run ends before."""
+    """(lang, w1..w5, f): how often the longest grams occur, one from every word, 0 after the
+    end of its run. For ``size`` 2 and 3 instead: how many whole grams of that many words,
+    whose pairs may be frequent, fall into each hash bucket ``w1``."""
     shared = encoded.sparkSession.sparkContext.broadcast([b.words for b in (pairs, triples) if b])
-    names, most = ["lang", *(f"w{k}" for k in range(1, LONGEST + 1))], GRAMS
+    names, most, buckets = ["lang", *(f"w{k}" for k in range(1, LONGEST + 1))], GRAMS, np.uint64((1 << BUCKETS) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0  # (rows, counts); the first are those already added up
@@ -248,21 +248,24 @@ def _grams(encoded: DataFrame, size: int, pairs: Bitmap | None = None, triples:
 
         def batch_of(rows: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
             none = np.zeros(len(rows), np.int64)
-            columns = [np.ascontiguousarray(c) for c in rows.T] + [none] * (LONGEST - size)
+            columns = [np.ascontiguousarray(c) for c in rows.T] if size == LONGEST else [none, rows[:, 0]] + [none] * (LONGEST - 1)
             return pa.record_batch([*map(pa.array, columns), pa.array(counts)], names=[*names, "n"])
 
         for batch in _slices(batches):
             lang, word, starts = _flat(batch)
             ahead, two, three = _links(lang, word, *bitmaps)
             at = np.flatnonzero(starts if size == LONGEST else starts & (two if size == 2 else three))
-            rows = np.zeros((len(at), size + 1), np.int64)
-            rows[:, 0], rows[:, 1] = lang[at], word[at]
-            joined = np.ones(len(at), bool)
-            for k in range(1, size):
-                joined = joined & _shift(two, k - 1)[at]
-                if k > 1:
-                    joined = joined & _shift(three, k - 2)[at]
-                rows[joined, k + 1] = ahead[k][at[joined]]
+            if size == LONGEST:
+                rows = np.zeros((len(at), size + 1), np.int64)
+                rows[:, 0], rows[:, 1] = lang[at], word[at]
+                joined = np.ones(len(at), bool)
+                for k in range(1, size):
+                    joined = joined & _shift(two, k - 1)[at]
+                    if k > 1:
+                        joined = joined & _shift(three, k - 2)[at]
+                    rows[joined, k + 1] = ahead[k][at[joined]]
+            else:
+                rows = (_mixed([lang[at], *(x[at] for x in ahead[:size])]) & buckets).astype(np.int64)[:, None]
             held.append((rows, np.ones(len(rows), np.int64)))
             count += len(rows)
             if count > 2 * most:
@@ -278,17 +281,6 @@ def _grams(encoded: DataFrame, size: int, pairs: Bitmap | None = None, triples:
     return found.groupBy(*names).agg(F.sum("n").alias("f"))
 
 
-def _bitmap(grams: DataFrame, size: int, least: int) -> Bitmap:
-    """The grams of ``size`` words that occur ``least`` times or more."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.record_batch([pa.array(_mixed([c.to_numpy() for c in batch.columns]).view(np.int64))], names=["key"])
-
-    kept = grams.where(F.col("f") >= least).select("lang", *[f"w{k}" for k in range(1, size + 1)])
-    return Bitmap.of(kept.mapInArrow(run, "key long"), "key")
-
-
 def _phrases(edges: DataFrame, least: int) -> DataFrame:
     """(lang, words, f) of phrases of 1 to 5 words that occur ``least`` times or more:
     the flow out of each node, the longest first, each from the table of the one before."""
@@ -351,8 +343,9 @@ def collocations(docs: DataFrame, least: int = 100, most: int | None = 2000, tex
         seed += 1
     frequent = words.where(F.col("f") >= least)
     encoded = _encoded(docs, seed, Bitmap.of(frequent.select(F.col("id").bitwiseXOR(F.xxhash64("lang")).alias("key")), "key"))
-    pairs = _bitmap(_grams(encoded, 2), 2, least)
-    triples = _bitmap(_grams(encoded, 3, pairs), 3, least)
+    often = F.col("f") >= least
+    pairs = Bitmap.of(_grams(encoded, 2).where(often), "w1")
+    triples = Bitmap.of(_grams(encoded, 3, pairs).where(often), "w1")
     found = _phrases(settle(_grams(encoded, LONGEST, pairs, triples), "edges"), least)
 
     langs = words.groupBy("lang").agg(F.sum("f").alias("n")).select(F.xxhash64("lang").alias("key"), F.col("lang").alias("name"), "n")

@@ -54,7 +54,7 @@ def made(seed, size, vocabulary=8):
     return rows + [("en", None), (None, ""), ("fr", ".,;"), ("en", "x " * 3000), ("en", "x " * 3000)]
 
 
-@pytest.mark.parametrize("least,limits", [(20, {}), (7, {"BITS": 6, "GRAMS": 30}), (9, {"ROW": 16, "HELD": 40, "BLOCK": 30})])
+@pytest.mark.parametrize("least,limits", [(20, {}), (7, {"BITS": 6, "BUCKETS": 8, "GRAMS": 30}), (9, {"ROW": 16, "HELD": 40, "BLOCK": 30})])
 def test_equals_brute_force(spark, monkeypatch, least, limits):
     for name, value in limits.items():
         monkeypatch.setattr(phrases, name, value)

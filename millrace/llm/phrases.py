@@ -36,8 +36,8 @@ LONGEST = 5
 #: log2 of the buckets that pairs and triples are counted in, and of the bits of a bitmap.
 BUCKETS, BITS = 40, 27
 #: Distinct words and grams that a task holds before it sends them on; bytes of text cut at a time; start words of an
-#: encoded row; words of a batch that are looked at together.
-HELD, GRAMS, BLOCK, ROW, SLICE = 500_000, 300_000, 4 << 20, 32_768, 400_000
+#: encoded row; words, and texts, of a batch that are looked at together.
+HELD, GRAMS, BLOCK, ROW, SLICE, TEXTS = 200_000, 200_000, 1 << 20, 32_768, 200_000, 256
 #: A-Z to a-z, what ends a piece to a line feed, a tab to a space.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else 10 if b in b".,;:!?\x0a\x0b\x0c\x0d" else 32 if b == 9 else b for b in range(256))
 _WORDS = re.compile(rb"\n|[^\n ]+").findall
@@ -154,7 +154,7 @@ def _encoded(docs: DataFrame, seed: int, bits: Bitmap) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, _Ids] = {}
-        for batch in batches:
+        for batch in (b.slice(i, TEXTS) for b in batches for i in range(0, b.num_rows, TEXTS)):
             langs, owns, rows = [], [], []
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if lang not in known:

@@ -134,3 +134,71 @@ def test_clashing_names(spark):
     docs = spark.createDataFrame([(i, t, *"uvwxyz") for i, t, _, _ in rows], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
     out = toxicity.score(docs, toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")))
     assert out.columns == ["doc_id", "text", "id", "words", "y0", "count", "a.b", "p_quality", "p_toxic"] and out.count() == 60
+
+
+def newton(x, y):
+    """As ``dense_logistic``, through the n by n system of the rows: weights are sums of rows."""
+    kernel, n = x[:, :-1] @ x[:, :-1].T / toxicity.PRIOR, len(y)
+    alpha, bias = np.zeros(n), np.log(y.mean() / (1 - y.mean()))
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-(kernel @ alpha + bias)))
+        w = np.maximum(p * (1 - p), 1e-12)
+        # the optimum has alpha = y - p and sum(alpha) = 0
+        system = np.block([[np.diag(1 / w) + kernel, np.ones((n, 1))], [np.ones((1, n)), np.zeros((1, 1))]])
+        target = np.concatenate((kernel @ alpha + bias + (y - p) / w, [0.0]))
+        found = np.linalg.solve(system, target)
+        moved = np.abs(found[:-1] - alpha).max() + abs(found[-1] - bias)
+        alpha, bias = found[:-1], found[-1]
+        if moved < 1e-10:
+            break
+    return np.concatenate((x[:, :-1].T @ alpha / toxicity.PRIOR, [bias]))
+
+
+def test_query_equals_brute_force(spark, sf):
+    import re
+
+    from millrace.llm.queries import op3_toxicity
+
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    labels = sorted(tuple(r) for r in spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality", "toxic").collect())
+    labels = [row for row in labels if row[0] in docs]
+
+    def held(text):
+        words = set(re.findall(r"\w+", text.lower()))
+        return words | {"^" + w[:k] for w in words for k in (4, 5) if len(w) > k}
+
+    counts = {}
+    for i, *_ in labels:
+        for w in held(docs[i]):
+            counts[w] = counts.get(w, 0) + 1
+    place = {w: i for i, w in enumerate(sorted(w for w, n in counts.items() if n >= toxicity.MIN_DOCS))}
+    assert len(place) < toxicity.VOCABULARY
+
+    def matrix(texts):
+        x = np.zeros((len(texts), len(place)))
+        for i, t in enumerate(texts):
+            x[i, [place[w] for w in held(t) if w in place]] = 1
+        return x
+
+    x, every = matrix([docs[i] for i, *_ in labels]), matrix(list(docs.values()))
+    fold = np.random.default_rng(0).permutation(len(labels)) % toxicity.FOLDS
+    before, later, cut = np.zeros((len(labels), 0)), np.zeros((len(docs), 0)), {}
+    sure = lambda z: 1 / (1 + np.exp(-z))
+    odds = lambda p: np.log(np.clip(p, 1e-4, 1 - 1e-4) / (1 - np.clip(p, 1e-4, 1 - 1e-4)))
+    for c, name in ((1, "quality"), (2, "toxic")):
+        y = np.array([row[c] for row in labels], float)
+        with_ones = np.column_stack((x, before, np.ones(len(y))))
+        p = np.zeros(len(y))
+        for f in range(toxicity.FOLDS):
+            p[fold == f] = sure(with_ones[fold == f] @ newton(with_ones[fold != f], y[fold != f]))
+        whole = sure(np.column_stack((every, later, np.ones(len(docs)))) @ newton(with_ones, y))
+        f1 = {t: 2 * ((p >= t) & (y == 1)).sum() / ((p >= t).sum() + y.sum()) for t in sorted(set(p), reverse=True)}
+        top = max(f1, key=f1.get)
+        cut[name] = ((top + max((t for t in f1 if t < top), default=0.0)) / 2, whole)
+        before, later = np.column_stack((before, odds(p))), np.column_stack((later, odds(whole)))
+    got = {r.doc_id: r for r in op3_toxicity(spark, sf).collect()}
+    assert set(got) == set(docs)
+    for k, i in enumerate(docs):
+        assert abs(got[i].p_quality - cut["quality"][1][k]) < 2e-3 and abs(got[i].p_toxic - cut["toxic"][1][k]) < 2e-3
+        if abs(cut["toxic"][1][k] - cut["toxic"][0]) > 5e-3:
+            assert got[i].rejected == (cut["toxic"][1][k] >= cut["toxic"][0])

@@ -117,28 +117,70 @@ def exclusion_reason(path: Column, size: Column, ignored: Column | None = None,
     return out.when(size > most, "max_file_size")
 
 
+def _class(p: str, at: int) -> tuple[str, int] | None:
+    """The character class that opens at ``at`` as a regular expression, and the place after it."""
+    end = at + 1 + (p[at + 1 : at + 2] in ("!", "^"))
+    negated, first = end > at + 1, end
+    parts = ""
+    while end < len(p) and (p[end] != "]" or end == first):
+        c = p[end]
+        if c == "\\" and end + 1 < len(p):
+            end += 1
+            c = p[end]
+        elif c == "-" and first < end and p[end + 1 : end + 2] not in ("", "]"):
+            parts, end = parts + "-", end + 1
+            continue
+        parts, end = parts + (c if c.isalnum() else "\\" + c), end + 1
+    return (f"(?!/)[{'^' if negated else ''}{parts}]", end + 1) if end < len(p) and parts else None
+
+
+def gitignore_rule(line: str) -> tuple[str, bool] | None:
+    """(regular expression, whether a match is ignored) of one line; None if it says nothing.
+
+    Blank lines and comments say nothing. ``!`` takes back, a backslash makes the next
+    character plain, trailing spaces fall away unless escaped. A slash before the end ties
+    the pattern to the root, one at the end asks for a folder. ``*``, ``?`` and ``[...]`` stay
+    within a name, ``**`` between slashes is any number of folders. What is in a folder that
+    matches matches too.
+    """
+    p = line.rstrip("\r\n")
+    while p.endswith(" ") and not p.endswith("\\ "):
+        p = p[:-1]
+    if not p or p.startswith("#"):
+        return None
+    keep = p.startswith("!")
+    p = p[1:] if keep else p
+    inside, p = p.endswith("/"), p.rstrip("/")
+    anchored, p = "/" in p, p.lstrip("/")
+    if not p:
+        return None
+    body, at = "", 0
+    while at < len(p):
+        c = p[at]
+        if p.startswith("**/", at) and (at == 0 or p[at - 1] == "/"):
+            body, at = body + "(?:[^/]+/)*", at + 3
+        elif p[at:] == "**" and at and p[at - 1] == "/":
+            body, at = body + ".+", at + 2
+        elif c == "*":
+            body, at = body + "[^/]*", at + 1
+        elif c == "?":
+            body, at = body + "[^/]", at + 1
+        elif c == "[" and (found := _class(p, at)):
+            body, at = body + found[0], found[1]
+        else:
+            if c == "\\" and at + 1 < len(p):
+                at += 1
+                c = p[at]
+            body, at = body + (c if c.isalnum() or c in "/_" else "\\" + c), at + 1
+    return ("^" if anchored else "^(?:.*/)?") + body + ("/" if inside else "(?:/.*)?$"), not keep
+
+
 def gitignore_verdict(path: Column, patterns: list[str]) -> Column:
     """Whether the last matching pattern of a root gitignore file ignores the path."""
     out = F.lit(False)
-    for line in patterns:
-        p = line.strip()
-        if not p or p.startswith("#"):
-            continue
-        keep, p = p.startswith("!"), p.lstrip("!")
-        inside, p = p.endswith("/"), p.rstrip("/")
-        anchored, p = "/" in p, p.lstrip("/")
-        body = ""
-        at = 0
-        while at < len(p):
-            if p.startswith("**/", at):
-                body, at = body + "(?:.*/)?", at + 3
-            elif p.startswith("**", at):
-                body, at = body + ".*", at + 2
-            else:
-                c = p[at]
-                body, at = body + ("[^/]*" if c == "*" else "[^/]" if c == "?" else "\\" + c if c in r".+()[]{}^$|\\" else c), at + 1
-        pattern = ("^" if anchored else "(^|/)") + body + ("/" if inside else "(/|$)")
-        out = F.when(path.rlike(pattern), F.lit(not keep)).otherwise(out)
+    for rule in map(gitignore_rule, patterns):
+        if rule:
+            out = F.when(path.rlike(rule[0]), F.lit(rule[1])).otherwise(out)
     return out
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..functions.paths import prefixes
 from ..sources.scratch import discard, settle
 
 
@@ -206,6 +207,32 @@ def cycle_edges(cycles: DataFrame) -> DataFrame:
     return cycles.where(F.size("nodes") > 0).select(F.explode(pairs).alias("e")).select("e.*").distinct()
 
 
+def group_tree(modules: DataFrame) -> DataFrame:
+    """(group_id, parent, label, modules, subgroups): the groups that dotted module ids are
+    in, without those that hold one subgroup and nothing else.
+
+    Such a group is folded into the label of the next one below it that stays, so a chain of
+    them becomes one label with dots. What stays does not change with the folding, as a
+    folded group hands its place to one other: the parent is the longest group above that
+    stays, the label what the id has beyond it. ``modules`` (module_id); repeated ids count
+    once, ids without a dot are in no group.
+    """
+    ids = modules.where("module_id IS NOT NULL").select("module_id").distinct()
+    own = ids.select(F.substring_index("module_id", ".", -1).alias("last"), "module_id").select(F.expr("substring(module_id, 1, length(module_id) - length(last) - 1)").alias("group_id")).where("group_id <> ''")
+    counts = own.groupBy("group_id").agg(F.count("*").alias("modules"))
+    named = counts.select(F.explode(F.concat(prefixes(F.col("group_id")), F.array("group_id"))).alias("group_id")).distinct()
+    above = named.where("instr(group_id, '.') > 0").select(F.expr("substring(group_id, 1, length(group_id) - length(substring_index(group_id, '.', -1)) - 1)").alias("group_id"))
+    below = above.groupBy("group_id").agg(F.count("*").alias("below"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    sized = named.join(counts, "group_id", "left").join(below, "group_id", "left").select("group_id", zero("modules").alias("modules"), zero("below").alias("below"))
+    stays = sized.where("modules > 0 OR below <> 1")
+    chains = stays.where("instr(group_id, '.') > 0").select("group_id", F.explode(prefixes(F.col("group_id"))).alias("parent"))
+    nearest = chains.join(stays.select(F.col("group_id").alias("parent")), "parent").groupBy("group_id").agg(F.max_by("parent", F.length("parent")).alias("parent"))
+    placed = stays.join(nearest, "group_id", "left")
+    label = F.when(F.col("parent").isNull(), F.col("group_id")).otherwise(F.expr("substring(group_id, length(parent) + 2)"))
+    return placed.select("group_id", "parent", label.alias("label"), "modules", F.col("below").alias("subgroups"))
+
+
 def top_per_group(rows: DataFrame, group: str, order: list, most: int) -> DataFrame:
     """``rows`` with ``place`` in the group, the first ``most`` of each."""
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("place") <= most)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, vectors
+from ..sources.scratch import settle
 
 #: Weights of the sources and boosts of the fused score.
 SEMANTIC, LEXICAL, STRUCTURAL = 0.50, 0.35, 0.15
@@ -31,38 +32,59 @@ def nearest(queries: DataFrame, chunks: DataFrame, k: int = 25, floor: float = 0
     return scored.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= k) & (F.col("score") >= floor))
 
 
-def similar(tokens: DataFrame, strings: DataFrame) -> DataFrame:
-    """(token, string, similarity) of all pairs that share a trigram, by an inverted
-    trigram join: |A n B| / (|A| + |B| - |A n B|)."""
-    def grams(df: DataFrame, name: str) -> DataFrame:
-        sets = df.select(name).distinct().withColumn("g", text.trigrams(F.col(name)))
-        return sets.select(name, F.size("g").alias(name + "_n"), F.explode("g").alias("gram"))
+def postings(names: DataFrame) -> DataFrame:
+    """(string, n, gram, holders, place): the trigram index of ``names`` (string). Of each
+    string's ``n`` trigrams the one that fewest strings hold has the first place. The index
+    is a table in the shared folder that any number of searches may use."""
+    sets = names.select("string").distinct().withColumn("g", text.trigrams(F.col("string")))
+    each = sets.select("string", F.size("g").alias("n"), F.explode("g").alias("gram"))
+    holders = each.groupBy("gram").agg(F.count("*").alias("holders"))
+    return settle(_from_rarest(each.join(holders, "gram"), "string"), "postings")
 
-    met = grams(tokens, "token").join(grams(strings, "string"), "gram").groupBy("token", "string", "token_n", "string_n").agg(F.count("*").alias("shared"))
-    return met.select("token", "string", (F.col("shared") / (F.col("token_n") + F.col("string_n") - F.col("shared"))).alias("similarity"))
 
+def _from_rarest(grams: DataFrame, of: str) -> DataFrame:
+    return grams.withColumn("place", F.row_number().over(Window.partitionBy(of).orderBy("holders", "gram")))
 
+
+#: Two sets are at least LEAST_SIMILARITY similar only if they share that part of either, so
+#: they share one of its rarest trigrams, up to this place of n; the commonest need no look.
+_PLACES = f"n - ceil({LEAST_SIMILARITY} * n - 1e-9) + 1"
 #: Tokens that a block of a comparison with all names holds.
 BLOCK = 2000
 
 
-def matching(tokens: DataFrame, strings: DataFrame) -> DataFrame:
+def matching(tokens: DataFrame, strings: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """(token, string, similarity) of the pairs in which the string holds the token
     (``_`` matches any character) or is at least LEAST_SIMILARITY similar.
 
-    A string that holds a run of three letters or digits shares a trigram with it, so
-    trigrams find nearly all. Tokens without such a run are compared with all strings
-    in blocks of BLOCK tokens.
+    ``index``: the ``postings`` of the strings, made here if there is none. Similar pairs
+    are looked for by the rarest trigrams of both and by sizes that allow it. A string that
+    holds the token holds its runs of three letters or digits; the rarest of them finds it.
+    Tokens without such a run are compared with all strings in blocks of BLOCK tokens.
     """
+    index = postings(strings) if index is None else index
+    holders = index.select("gram", "holders").distinct()
+    asked = tokens.select("token").distinct().withColumn("g", text.trigrams(F.col("token")))
+    each = asked.select("token", F.size("g").alias("n"), F.explode("g").alias("gram")).join(holders, "gram", "left").withColumn("holders", F.coalesce("holders", F.lit(0)))
+    rare = _from_rarest(each, "token").where(f"place <= {_PLACES} AND holders > 0").select("token", F.col("n").alias("m"), "gram")
+    near = rare.join(index.where(f"place <= {_PLACES}"), "gram").where(f"n >= {LEAST_SIMILARITY} * m - 1e-9 AND m >= {LEAST_SIMILARITY} * n - 1e-9").select("token", "string")
+
+    run = r"^[\p{L}\p{N}]{3}$"
+    windows = F.transform(F.sequence(F.lit(1), F.greatest(F.length("token") - 2, F.lit(1))), lambda i: F.substring(F.lower("token"), i, F.lit(3)))
+    runs = asked.select("token", F.explode(F.array_distinct(F.filter(windows, lambda w: w.rlike(run)))).alias("gram")).join(holders, "gram", "left")
+    probe = runs.groupBy("token").agg(F.min_by("gram", F.struct(F.coalesce("holders", F.lit(0)), "gram")).alias("gram"))
     like = F.expr("string ILIKE concat('%', token, '%')")
-    shared = similar(tokens, strings).where(like | (F.col("similarity") >= LEAST_SIMILARITY))
+    held = probe.join(index.select("gram", "string"), "gram").where(like).select("token", "string")
+
+    sets = strings.select("string").distinct().withColumn("h", text.trigrams(F.col("string")))
+    pairs = near.union(held).distinct().join(asked, "token").join(sets, "string")
+    out = pairs.select("token", "string", text.overlap(F.col("g"), F.col("h")).alias("similarity")).where(like | (F.col("similarity") >= LEAST_SIMILARITY))
     short = tokens.select("token").distinct().where(~F.col("token").rlike(r"[\p{L}\p{N}]{3}"))
-    blocks = -(-short.count() // BLOCK)
-    out, names = shared, strings.select("string").distinct()
+    blocks, names = -(-short.count() // BLOCK), strings.select("string").distinct()
     for b in range(blocks):
         block = short.where(F.pmod(F.xxhash64("token"), F.lit(blocks)) == b)
-        held = names.join(F.broadcast(block), like).withColumn("similarity", text.trigram_similarity(F.col("token"), F.col("string")))
-        out = out.union(held.select("token", "string", "similarity"))
+        found = names.join(F.broadcast(block), like).withColumn("similarity", text.trigram_similarity(F.col("token"), F.col("string")))
+        out = out.union(found.select("token", "string", "similarity"))
     return out.groupBy("token", "string").agg(F.max("similarity").alias("similarity")) if blocks else out
 
 

@@ -209,6 +209,21 @@ def hotspot_diagram_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.hotspot_nodes(corpus.module_edges(spark, sf_dir), 15, 25)
 
 
+_GROUPS = """, owned AS (SELECT array_to_string(string_split(m, '.')[1:-2], '.') AS g FROM (SELECT DISTINCT module_id AS m FROM modules UNION SELECT 'brand99.only.one.way.down.x' UNION SELECT 'brand99.only.one.way.up.x.y' UNION SELECT 'alone') WHERE contains(m, '.')),
+named AS (SELECT DISTINCT array_to_string(string_split(g, '.')[1:n], '.') AS g FROM (SELECT g, unnest(range(1, len(string_split(g, '.')) + 1)) AS n FROM owned)),
+sized AS (SELECT g, (SELECT count(*) FROM owned o WHERE o.g = named.g) AS modules, (SELECT count(*) FROM named k WHERE starts_with(k.g, named.g || '.') AND NOT contains(k.g[length(named.g) + 2:], '.')) AS subgroups FROM named),
+stays AS (SELECT * FROM sized WHERE modules > 0 OR subgroups <> 1)
+"""
+
+
+@query(corpus.sql(_GROUPS + """SELECT s.g AS group_id, p.g AS parent, CASE WHEN p.g IS NULL THEN s.g ELSE s.g[length(p.g) + 2:] END AS label, s.modules, s.subgroups
+FROM stays s LEFT JOIN (SELECT a.g AS below, max_by(b.g, length(b.g)) AS g FROM stays a JOIN stays b ON starts_with(a.g, b.g || '.') GROUP BY 1) p ON p.below = s.g""", "modules"))
+def group_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups of all modules, and of some below a chain of single folders."""
+    more = spark.createDataFrame([("brand99.only.one.way.down.x",), ("brand99.only.one.way.up.x.y",), ("alone",)], "module_id string")
+    return graph.group_tree(corpus.modules(spark, sf_dir).select("module_id").union(more))
+
+
 @query()
 def cycle_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cycles of each repository, one for each edge that closes one in a walk by name."""

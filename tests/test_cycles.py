@@ -67,3 +67,12 @@ def test_queries_equal_recursion(spark, sf):
     steps = {(repo, *s) for repo, _, p in want for s in zip(p.split(" > "), p.split(" > ")[1:])}
     inside = {(repo, a, b, (repo, a, b) in steps) for repo, e in edges.items() for a, b in e if (repo, a) in on and (repo, b) in on}
     assert {tuple(r) for r in QUERIES["edges_within_cycles"](spark, sf).collect()} == inside
+
+
+def test_chains_of_single_folders_are_folded(spark):
+    ids = ["com.acme.app.core.a", "com.acme.app.core.b", "com.acme.app.web.ui.x.c", "com.acme.app.web.ui.y.d", "main", "lib.one", "lib.deep.er.two", None, "lib.one"]
+    got = {r.group_id: (r.parent, r.label, r.modules, r.subgroups) for r in graph.group_tree(spark.createDataFrame([(i,) for i in ids], "module_id string")).collect()}
+    assert got == {
+        "com.acme.app": (None, "com.acme.app", 0, 2), "com.acme.app.core": ("com.acme.app", "core", 2, 0), "com.acme.app.web.ui": ("com.acme.app", "web.ui", 0, 2),
+        "com.acme.app.web.ui.x": ("com.acme.app.web.ui", "x", 1, 0), "com.acme.app.web.ui.y": ("com.acme.app.web.ui", "y", 1, 0), "lib": (None, "lib", 1, 1), "lib.deep.er": ("lib", "deep.er", 1, 0),
+    }

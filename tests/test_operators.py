@@ -32,6 +32,32 @@ def test_lexical_search_admits_by_pattern_and_stays_in_its_repository(spark):
     assert set(got) == {("session", 1), ("A_B", 3)} and got["A_B", 3] == 1.0 and 0 < got["session", 1] < 1
 
 
+def test_matching_equals_a_comparison_of_all_pairs(spark):
+    import random
+    import re
+
+    def grams(t):
+        words = [w for w in re.split(r"[^a-z0-9]+", t.lower()) if w]
+        return {f"  {w} "[i : i + 3] for w in words for i in range(len(w) + 1)}
+
+    rng = random.Random(6)
+    parts = ["src", "user", "User", "session", "get", "id", "a", "main.py", "x1", "zebra", "ses", "ion"]
+    made = lambda n: {rng.choice(["", "_", "/"]).join(rng.choice(parts) for _ in range(rng.randrange(1, 5))) for _ in range(n)}
+    strings, tokens = made(150), made(40) | {"", "_", "a_", "se_sion"}
+    want = {}
+    for t in tokens:
+        for s in strings:
+            a, b = grams(t), grams(s)
+            similarity = len(a & b) / len(a | b) if a | b else 0.0
+            if re.search(re.escape(t).replace("_", "."), s, re.I | re.S) or similarity >= 0.2:
+                want[t, s] = round(similarity, 9)
+    asked = spark.createDataFrame([(t,) for t in [*tokens, *tokens]], "token string")
+    names = spark.createDataFrame([(s,) for s in [*strings, *strings]], "string string")
+    got = retrieval.matching(asked, names).collect()
+    assert {(r.token, r.string): round(r.similarity, 9) for r in got} == want and len(got) == len(want)
+    assert retrieval.matching(asked, names.where("false")).count() == 0
+
+
 def test_one_hop_needs_exactly_one_end_among_the_seeds(spark):
     seeds = spark.createDataFrame([(1, 10), (1, 11)], "query_id long, node long")
     relations = spark.createDataFrame([(10, 11, "calls"), (10, 12, "imports"), (13, 10, "calls"), (12, 10, "depends_on"), (14, 15, "calls")], "source long, target long, relationship_type string")

@@ -11,7 +11,8 @@ of the subtrees.
 
 Rows without a conversation id belong to no conversation. Turns go by turn number,
 null first, ties by role and text; equal rows are turns of their own. Null roles and
-texts count as empty. An empty table has no nodes.
+texts count as empty; texts of any length are hashed whole, in the scan. An empty table
+has no nodes.
 """
 
 from __future__ import annotations

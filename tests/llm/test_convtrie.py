@@ -82,6 +82,11 @@ def test_query_rebuilds_small_cases(spark, tmp_path):
     assert rows_of(op13_conversation_trie(spark, str(tmp_path))) == brute(rebuilt(ordered(rows)))
 
 
+def test_very_long_texts(spark):
+    rows = [(1, 0, "user", "x" * 2_000_000), (2, 0, "user", "x" * 2_000_000), (3, 0, "user", "x" * 1_999_999 + "y"), (4, 0, "u" * 500_000, "")]
+    assert rows_of(convtrie.prefix_trie(spark.createDataFrame(rows, SCHEMA))) == brute(ordered(rows))
+
+
 def test_empty_and_extra_columns(spark):
     df = spark.createDataFrame(ROWS, SCHEMA)
     assert convtrie.prefix_trie(df.where("false")).count() == 0

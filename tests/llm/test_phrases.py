@@ -123,3 +123,9 @@ def test_slices_keep_all_rows(monkeypatch):
     assert [r for p in parts for r in p.column(2).to_pylist()] == lists[1:] and len(parts) > 2
     lang, word, starts = phrases._flat(parts[0])
     assert word[starts].tolist() == [w for r in parts[0].column(2).to_pylist() for w in r] and len(lang) == len(word)
+
+
+def test_very_long_and_clashing(spark):
+    text = "one two three four five six " * 60_000 + "seven" * 100_000
+    docs = spark.createDataFrame([(1, "en", text, "a", 2)], "doc_id long, lang string, text string, w1 string, f int")
+    assert rows_of(phrases.collocations(docs, 50_000)) == brute([("en", text)], 50_000)

@@ -15,7 +15,7 @@ def test_same_rows_as_sql(spark, sf, name):
 
 
 def test_every_query_has_sql_or_a_test_of_its_own():
-    assert set(QUERIES) - set(ORACLE) == {"chunk_split", "cycle_listing", "edges_within_cycles"}
+    assert set(QUERIES) - set(ORACLE) == {"chunk_split", "cycle_listing", "edges_within_cycles", "report_dependency_risk", "report_health"}
 
 
 def test_entry_gives_rows(spark):

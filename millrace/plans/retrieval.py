@@ -57,6 +57,20 @@ def trigram_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.lexical(tokens, symbols).select("query_id", "token", "symbol_id", "rank", F.round("score", 4).alias("score"))
 
 
+@query(corpus.sql(_lexical_sql(f", tokens AS (SELECT DISTINCT symbol_id AS query_id, substring(name, 1, length(name) - 1) AS token, repository_id FROM symbols JOIN files USING (file_id) WHERE symbol_id % {ASKS} = 0)") + f""",
+scoped AS (SELECT *, row_number() OVER (PARTITION BY query_id, token ORDER BY score DESC, qualified_name, symbol_id) AS rank FROM (
+  SELECT t.query_id, t.token, b.symbol_id, b.qualified_name, CASE WHEN lower(b.name) = lower(t.token) OR lower(b.qualified_name) = lower(t.token) THEN 1.0 ELSE similarity END AS score
+  FROM tokens t JOIN best b ON t.token = b.token JOIN symbols y ON y.symbol_id = b.symbol_id JOIN files f ON f.file_id = y.file_id AND f.repository_id = t.repository_id
+  WHERE b.name ILIKE '%' || b.token || '%' OR b.qualified_name ILIKE '%' || b.token || '%' OR similarity >= {retrieval.LEAST_SIMILARITY}))
+SELECT query_id, token, symbol_id, rank, round(score, 4) AS score FROM scoped WHERE rank <= 25""", "symbols", "files"))
+def repository_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names like those of every ASKS-th symbol, in the symbol's own repository."""
+    homes = corpus.files(spark, sf_dir).select("file_id", "repository_id")
+    symbols = corpus.symbols(spark, sf_dir).join(homes, "file_id")
+    tokens = symbols.where(F.col("symbol_id") % ASKS == 0).select(F.col("symbol_id").alias("query_id"), F.expr("substring(name, 1, length(name) - 1)").alias("token"), "repository_id")
+    return retrieval.lexical(tokens, symbols).select("query_id", "token", "symbol_id", "rank", F.round("score", 4).alias("score"))
+
+
 _FILE_TOKENS = f"""tokens AS (SELECT DISTINCT vec_id AS query_id, token FROM (SELECT vec_id, unnest(['doc_' || vec_id, 'm' || vec_id, 'main']) AS token FROM embeddings WHERE vec_id % {ASKS} = 0))"""
 
 

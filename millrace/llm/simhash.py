@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .storage import discard, settle, unused_name
+from .storage import discard, drop_shuffles, settle, unused_name
 from .words import shingle_blocks, word_blocks
 
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -320,6 +320,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     met = Window.partitionBy("point")
     probes = spread.select("cls", F.explode("bands").alias("point")).withColumn("n", F.count("*").over(met)).withColumn("least", F.min("cls").over(met))
     members = settle(probes.where("n > 1"), "bucket-members")
+    drop_shuffles(docs.sparkSession)  # those of the index, before sets are shuffled
     small, large = members.where(F.col("n") <= SMALL_BUCKET), members.where(F.col("n") > SMALL_BUCKET)
     pairs = small.select("point", F.col("cls").alias("a")).join(small.select("point", F.col("cls").alias("b")), "point").where("a < b").select("a", "b")
     pairs = pairs.union(large.where("cls <> least").select(F.col("least").alias("a"), F.col("cls").alias("b"))).distinct()
@@ -328,7 +329,9 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     less, more = F.least("asize", "bsize"), F.greatest("asize", "bsize")
     maybe = settle(pairs.join(left, "a").join(right, "b").where((less >= similarity * more - 1e-9) & ((apart <= most) | (less < ENOUGH))).select("a", "b"), "maybe-links")
     a_sets, b_sets = (fps.select(F.col("uid").alias(c), F.col("shingles").alias(c + "_set")) for c in "ab")
+    drop_shuffles(docs.sparkSession)
     near = settle(_exact(maybe.join(a_sets, "a").join(b_sets, "b"), similarity), "near-links")
+    drop_shuffles(docs.sparkSession)
     joined = components(near)
     named = large.join(joined, large.cls == joined.node, "left").select("point", "cls", F.coalesce("component", "cls").alias("label"))
     sized = named.join(fps.select(F.col("uid").alias("cls"), "size"), "cls")

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.scratch import discard, qualified, scratch_path, settle
 
-__all__ = ["discard", "filesystem", "new_file_name", "numbered", "qualified", "scratch_path", "settle", "unused_name"]
+__all__ = ["discard", "drop_shuffles", "filesystem", "new_file_name", "numbered", "qualified", "scratch_path", "settle", "unused_name"]
 
 
 def filesystem(uri: str):
@@ -24,6 +25,13 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans that nothing refers to any more. It does
+    so when the driver's heap is collected, which by itself may be long after."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def new_file_name(kind: str) -> str:
     """A name no other task or attempt uses. Readers only open files that a
     settled manifest names, so files of failed attempts are never read."""

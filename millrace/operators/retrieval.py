@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,21 +20,69 @@ OTHER_TYPE_SCORE = 0.40
 LEAST_SIMILARITY = 0.2
 
 
-def nearest(queries: DataFrame, chunks: DataFrame, k: int = 25, floor: float = 0.5, salts: int = 8) -> DataFrame:
+#: Most queries and chunks that meet in a block of ``nearest``, and queries compared at once.
+ASKED, HELD, SLICE = 4096, 8192, 256
+
+
+def nearest(queries: DataFrame, chunks: DataFrame, k: int = 25, floor: float = 0.5) -> DataFrame:
     """(query_id, chunk_id, score, rank): the ``k`` most similar chunks of the query's
     repository, those below ``floor`` dropped after the cut.
 
     ``queries`` (query_id, repository_id, vector), ``chunks`` (chunk_id,
-    repository_id, embedding). A repository's chunks are dealt to ``salts`` parts,
-    so that a large one is searched by several tasks.
+    repository_id, embedding). A repository's queries and chunks are dealt to parts of
+    about ASKED and HELD rows, which meet in blocks; a block gives the ``k`` best of each
+    of its queries. Vectors that are null or hold null, and zero ones, find nothing.
     """
-    asked = queries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    held = chunks.withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(salts)).cast("int"))
-    scored = asked.join(held, ["repository_id", "salt"]).select("query_id", "chunk_id", vectors.cosine(F.col("vector"), F.col("embedding")).alias("score"))
+    key = ["repository", "dims"]
+
+    def whole(df: DataFrame, id_: str, vector: str) -> DataFrame:
+        fit = df.where(F.col("repository_id").isNotNull() & ~F.exists(vector, lambda x: x.isNull()))
+        return fit.select(F.col(id_).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.col("repository_id").alias("repository"), F.size(vector).alias("dims"))
+
+    asked, held = whole(queries, "query_id", "vector"), whole(chunks, "chunk_id", "embedding")
+    parts = lambda df, most, name: df.groupBy(key).agg(F.ceil(F.count("*") / most).alias(name))
+    counts = settle(parts(asked, ASKED, "q_parts").join(parts(held, HELD, "c_parts"), key), "vector-parts")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    a = asked.join(counts, key).select(*key, dealt("q_parts").alias("q"), "id", "v", every("c_parts").alias("c"))
+    b = held.join(counts, key).select(*key, dealt("c_parts").alias("c"), "id", "v", every("q_parts").alias("q"))
+    kinds = {c: df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (chunks, "chunk_id"))}
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.take(pc.sort_indices(right.column("id"), null_placement="at_start"))
+        x, y = (np.array(t.column("v").combine_chunks().flatten(), np.float64).reshape(t.num_rows, -1) for t in (left, right))
+        nx, ny = (np.sqrt(_in_order(m, m)) for m in (x, y))
+        rows, columns, scores = [], [], []
+        for at in range(0, len(x), SLICE):
+            with np.errstate(all="ignore"):
+                scale = nx[at : at + SLICE, None] * ny
+                near = x[at : at + SLICE] @ y.T / scale
+            near = np.where(scale == 0, -np.inf, np.where(np.isnan(near), np.inf, near))
+            bar = np.full(len(near), floor) if len(y) <= k else np.maximum(floor, np.partition(near, len(y) - k, axis=1)[:, len(y) - k])
+            i, j = np.nonzero(near >= bar[:, None] - 1e-9)
+            # The products above choose; the scores are sums in index order, the same for equal vectors.
+            with np.errstate(all="ignore"):
+                score = _in_order(x[at + i], y[j]) / (nx[at + i] * ny[j])
+            order = np.lexsort((j, -np.where(np.isnan(score), np.inf, score), i))
+            first = np.arange(len(i)) - np.searchsorted(i, i) < k
+            rows.append(at + i[order][first]), columns.append(j[order][first]), scores.append(score[order][first])
+        rows, columns, scores = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (rows, columns, scores))
+        return pa.table({"query_id": left.column("id").take(pa.array(rows)), "chunk_id": right.column("id").take(pa.array(columns)), "score": pa.array(scores, pa.float64())})
+
+    group = [*key, "q", "c"]
+    scored = a.groupBy(group).cogroup(b.groupBy(group)).applyInArrow(compare, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= k) & (F.col("score") >= floor))
 
 
+def _in_order(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Inner products of rows, added from the first component to the last."""
+    total = np.zeros(len(x))
+    for d in range(x.shape[1]):
+        total += x[:, d] * y[:, d]
+    return total
+
+
 def postings(names: DataFrame) -> DataFrame:
     """(string, n, gram, holders, place): the trigram index of ``names`` (string). Of each
     string's ``n`` trigrams the one that fewest strings hold has the first place. The index

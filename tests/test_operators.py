@@ -58,6 +58,25 @@ def test_matching_equals_a_comparison_of_all_pairs(spark):
     assert retrieval.matching(asked, names.where("false")).count() == 0
 
 
+def test_nearest_equals_a_comparison_of_all_pairs(spark, monkeypatch):
+    from millrace.functions import vectors
+
+    monkeypatch.setattr(retrieval, "ASKED", 7)
+    monkeypatch.setattr(retrieval, "HELD", 10)
+    rng = random.Random(4)
+    pool = [[rng.gauss(0, 1) for _ in range(5)] for _ in range(30)]
+    rows = [(i, "ab"[i % 2] if i % 17 else None, rng.choice(pool)) for i in range(200)] + [(200, "a", None), (201, "a", [1.0, None, 1.0, 1.0, 1.0]), (202, "a", [0.0] * 5), (203, "a", [1.0] * 3), (204, "a", []), (205, "b", [float("nan")] * 5)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, repository_id string, embedding array<float>")
+    asked = chunks.where("chunk_id % 3 = 0 OR chunk_id >= 200").select(F.col("chunk_id").alias("query_id"), "repository_id", F.col("embedding").alias("vector"))
+    both = asked.join(chunks, "repository_id").select("query_id", "chunk_id", vectors.cosine(F.col("vector"), F.col("embedding")).alias("score")).collect()
+    want = set()
+    for q in {r.query_id for r in both}:
+        found = sorted((r for r in both if r.query_id == q and r.score is not None), key=lambda r: (-(float("inf") if r.score != r.score else r.score), r.chunk_id))
+        want |= {(q, r.chunk_id, n + 1, str(r.score)) for n, r in enumerate(found[:6]) if not r.score < 0.1}
+    got = [(r.query_id, r.chunk_id, r["rank"], str(r.score)) for r in retrieval.nearest(asked, chunks, 6, 0.1).collect()]
+    assert set(got) == want and len(got) == len(want) > 200
+
+
 def test_one_hop_needs_exactly_one_end_among_the_seeds(spark):
     seeds = spark.createDataFrame([(1, 10), (1, 11)], "query_id long, node long")
     relations = spark.createDataFrame([(10, 11, "calls"), (10, 12, "imports"), (13, 10, "calls"), (12, 10, "depends_on"), (14, 15, "calls")], "source long, target long, relationship_type string")

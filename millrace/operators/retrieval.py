@@ -83,100 +83,136 @@ def _in_order(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return total
 
 
-def postings(names: DataFrame) -> DataFrame:
-    """(string, n, gram, holders, place): the trigram index of ``names`` (string). Of each
-    string's ``n`` trigrams the one that fewest strings hold has the first place. The index
-    is a table in the shared folder that any number of searches may use."""
-    sets = names.select("string").distinct().withColumn("g", text.trigrams(F.col("string")))
-    each = sets.select("string", F.size("g").alias("n"), F.explode("g").alias("gram"))
-    holders = each.groupBy("gram").agg(F.count("*").alias("holders"))
-    return settle(_from_rarest(each.join(holders, "gram"), "string"), "postings")
+#: Tokens that a block of a comparison with all names holds.
+BLOCK = 2000
 
 
-def _from_rarest(grams: DataFrame, of: str) -> DataFrame:
-    return grams.withColumn("place", F.row_number().over(Window.partitionBy(of).orderBy("holders", "gram")))
+def _codes(grams: Column) -> Column:
+    """Trigrams as numbers, from the code points of their three characters."""
+    point = lambda g, i: F.ascii(F.substring(g, i, 1)).cast("long")
+    return F.transform(grams, lambda g: (point(g, 1) * (1 << 21) + point(g, 2)) * (1 << 21) + point(g, 3))
 
 
-#: Two sets are at least LEAST_SIMILARITY similar only if they share that part of either, so
-#: they share one of its rarest trigrams, up to this place of n; the commonest need no look.
-_PLACES = f"n - ceil({LEAST_SIMILARITY} * n - 1e-9) + 1"
-#: Tokens that a block of a comparison with all names holds.
-BLOCK = 2000
+def _marks(codes: Column, seed: int) -> Column:
+    """The bits of a word that the hashes of trigrams set."""
+    bit = lambda g: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.hash(g, F.lit(seed)), F.lit(64)))
+    return F.aggregate(codes, F.lit(0).cast("long"), lambda s, g: s.bitwiseOR(bit(g)))
+
+
+def _gram_sets(df: DataFrame, of: str) -> DataFrame:
+    """``df`` with the trigrams ``g`` of a column, their number and two words of bits that they set."""
+    sets = df.withColumn("g", _codes(text.trigrams(F.col(of))))
+    return sets.withColumn("n", F.size("g")).withColumn("low", _marks(F.col("g"), 0)).withColumn("high", _marks(F.col("g"), 1))
 
 
-def matching(tokens: DataFrame, strings: DataFrame, index: DataFrame | None = None) -> DataFrame:
-    """(token, string, similarity) of the pairs in which the string holds the token
-    (``_`` matches any character) or is at least LEAST_SIMILARITY similar.
+def _lacking(low: str, high: str) -> Column:
+    """How many bits of a word a string lacks: no more than the trigrams that it lacks."""
+    return F.greatest(F.bit_count(F.col(low).bitwiseAND(F.bitwise_not("low"))), F.bit_count(F.col(high).bitwiseAND(F.bitwise_not("high"))))
 
-    ``index``: the ``postings`` of the strings, made here if there is none. Similar pairs
-    are looked for by the rarest trigrams of both and by sizes that allow it. A string that
-    holds the token holds its runs of three letters or digits; the rarest of them finds it.
-    Tokens without such a run are compared with all strings in blocks of BLOCK tokens.
+
+def matching(tokens: DataFrame, strings: DataFrame) -> DataFrame:
+    """(token[, repository_id], string, similarity) of the pairs in which the string holds
+    the token (``_`` matches any character) or is at least LEAST_SIMILARITY similar. With a
+    ``repository_id`` in both tables, pairs are of one repository.
+
+    ``tokens`` may have a similarity ``least`` of their own and tell by ``held`` whether
+    strings that hold them are looked for. Two sets of m and n trigrams are t similar only
+    if they share c = t / (1 + t) * (m + n) of them: then the string has one of the token's
+    m - c + 1 rarest trigrams, and lacks m - c of its bits at most. A string that holds the
+    token holds its runs of three letters or digits; the rarest of them finds it. Tokens
+    without such a run are compared with all strings in blocks of BLOCK tokens.
     """
-    index = postings(strings) if index is None else index
-    holders = index.select("gram", "holders").distinct()
-    asked = tokens.select("token").distinct().withColumn("g", text.trigrams(F.col("token")))
-    each = asked.select("token", F.size("g").alias("n"), F.explode("g").alias("gram")).join(holders, "gram", "left").withColumn("holders", F.coalesce("holders", F.lit(0)))
-    rare = _from_rarest(each, "token").where(f"place <= {_PLACES} AND holders > 0").select("token", F.col("n").alias("m"), "gram")
-    near = rare.join(index.where(f"place <= {_PLACES}"), "gram").where(f"n >= {LEAST_SIMILARITY} * m - 1e-9 AND m >= {LEAST_SIMILARITY} * n - 1e-9").select("token", "string")
+    scope = ["repository_id"] if "repository_id" in tokens.columns and "repository_id" in strings.columns else []
+    least = F.col("least") if "least" in tokens.columns else F.lit(LEAST_SIMILARITY)
+    held = F.col("held") if "held" in tokens.columns else F.lit(True)
+    asked = settle(tokens.select("token", *scope, least.alias("least"), held.alias("held")).distinct(), "asked-tokens")
+    known = strings.select("string", *scope).where("string IS NOT NULL").distinct()
+    sets = settle(_gram_sets(known, "string"), "gram-sets")
+    grams = _gram_sets(asked.select("token").distinct(), "token").withColumnsRenamed({"g": "w", "n": "m", "low": "a", "high": "b"})
+    grams = settle(grams, "token-grams")
+    holders = sets.select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count("*").alias("holders"))
+    each = grams.select("token", "m", "a", "b", F.explode("w").alias("gram")).join(holders, "gram", "left").withColumn("holders", F.coalesce("holders", F.lit(0)))
+    placed = each.withColumn("place", F.row_number().over(Window.partitionBy("token").orderBy("holders", "gram")))
+    sizes = sets.select("n").distinct()
+    spare = F.col("m") - F.ceil(F.col("least") / (1 + F.col("least")) * (F.col("m") + F.col("n")) - 1e-9)
+    reach = (F.col("n") >= F.col("least") * F.col("m") - 1e-9) & (F.col("m") >= F.col("least") * F.col("n") - 1e-9) & (F.col("place") <= spare + 1)
+    rare = placed.where("holders > 0").join(asked.select("token", *scope, "least"), "token").join(F.broadcast(sizes), reach)
+    rare = settle(rare.select("token", *scope, "gram", "n", "a", "b", spare.alias("spare")), "rare-trigrams")
+    entries = sets.select("string", *scope, "n", "low", "high", F.explode("g").alias("gram"))
+    near = entries.join(rare, ["gram", "n", *scope]).where(_lacking("a", "b") <= F.col("spare")).select("token", *scope, "string")
 
     run = r"^[\p{L}\p{N}]{3}$"
     windows = F.transform(F.sequence(F.lit(1), F.greatest(F.length("token") - 2, F.lit(1))), lambda i: F.substring(F.lower("token"), i, F.lit(3)))
-    runs = asked.select("token", F.explode(F.array_distinct(F.filter(windows, lambda w: w.rlike(run)))).alias("gram")).join(holders, "gram", "left")
-    probe = runs.groupBy("token").agg(F.min_by("gram", F.struct(F.coalesce("holders", F.lit(0)), "gram")).alias("gram"))
+    holding = asked.where("held").select("token", *scope)
+    runs = holding.select("token").distinct().select("token", F.explode(F.array_distinct(_codes(F.filter(windows, lambda w: w.rlike(run))))).alias("gram")).join(holders, "gram", "left")
+    bits = runs.groupBy("token").agg(F.min_by("gram", F.struct(F.coalesce("holders", F.lit(0)), "gram")).alias("gram"), F.collect_set("gram").alias("g"))
+    probe = settle(bits.select("token", "gram", _marks(F.col("g"), 0).alias("a"), _marks(F.col("g"), 1).alias("b")).join(holding, "token"), "token-runs")
     like = F.expr("string ILIKE concat('%', token, '%')")
-    held = probe.join(index.select("gram", "string"), "gram").where(like).select("token", "string")
-
-    sets = strings.select("string").distinct().withColumn("h", text.trigrams(F.col("string")))
-    pairs = near.union(held).distinct().join(asked, "token").join(sets, "string")
-    out = pairs.select("token", "string", text.overlap(F.col("g"), F.col("h")).alias("similarity")).where(like | (F.col("similarity") >= LEAST_SIMILARITY))
-    short = tokens.select("token").distinct().where(~F.col("token").rlike(r"[\p{L}\p{N}]{3}"))
-    blocks, names = -(-short.count() // BLOCK), strings.select("string").distinct()
+    within = entries.join(probe, ["gram", *scope]).where(_lacking("a", "b") == 0).where(like).select("token", *scope, "string")
+
+    pairs = near.union(within).distinct().join(asked, ["token", *scope]).join(grams.select("token", "w", "m"), "token").join(sets.select("string", *scope, "g", "n"), ["string", *scope])
+    common = F.size(F.array_intersect("w", "g")).cast("double")
+    out = pairs.withColumn("similarity", F.coalesce(F.try_divide(common, F.col("m") + F.col("n") - common), F.lit(0.0)))
+    out = out.where((F.col("similarity") >= F.col("least") - 1e-9) | (F.col("held") & like)).select("token", *scope, "string", "similarity")
+    similarity = text.trigram_similarity(F.col("token"), F.col("string"))
+    short = holding.where(~F.col("token").rlike(r"[\p{L}\p{N}]{3}"))
+    blocks, columns = -(-short.count() // BLOCK), ["token", *scope, "string"]
     for b in range(blocks):
-        block = short.where(F.pmod(F.xxhash64("token"), F.lit(blocks)) == b)
-        found = names.join(F.broadcast(block), like).withColumn("similarity", text.trigram_similarity(F.col("token"), F.col("string")))
-        out = out.union(found.select("token", "string", "similarity"))
-    return out.groupBy("token", "string").agg(F.max("similarity").alias("similarity")) if blocks else out
+        block = F.broadcast(short.where(F.pmod(F.xxhash64("token"), F.lit(blocks)) == b))
+        met = known.join(block, scope).where(like) if scope else known.join(block, like)
+        out = out.union(met.withColumn("similarity", similarity).select(*columns, "similarity"))
+    return out.groupBy(*columns).agg(F.max("similarity").alias("similarity")) if blocks else out
 
 
-def _first(scored: DataFrame, order: list[str], k: int) -> DataFrame:
-    window = Window.partitionBy("query_id", "token").orderBy(F.desc("score"), *order)
+def _first(scored: DataFrame, by: list[str], order: list[str], k: int) -> DataFrame:
+    window = Window.partitionBy(*by).orderBy(F.desc("score"), *order)
     return scored.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
 
 
-def _scoped(tokens: DataFrame, found: DataFrame) -> DataFrame:
-    """Tokens with what was found, in the same repository where both tell it."""
-    both = "repository_id" in tokens.columns and "repository_id" in found.columns
-    return tokens.join(found, ["token", "repository_id"] if both else "token")
-
-
 def lexical(tokens: DataFrame, symbols: DataFrame, k: int = 25) -> DataFrame:
     """(query_id, token, symbol_id, qualified_name, score, rank): symbols by token, at most ``k`` each.
 
     Admitted are names that contain the token or are similar, see ``matching``; an
     equal name scores one. Ties go by qualified name, then id. With a ``repository_id``
     in both tables, a question finds symbols of its repository only.
+
+    Each token is answered once, however many questions ask for it. Symbols of one name
+    score alike by it, so the first ``k`` of a name stand for all. Where names alone give
+    ``k`` symbols, qualified names are looked for from the last one's score on.
     """
-    names = symbols.select(F.col("name").alias("string")).union(symbols.select("qualified_name"))
-    pairs = matching(tokens, names)
-    columns = [c for c in ("repository_id", "symbol_id", "name", "qualified_name") if c in symbols.columns]
+    scope = ["repository_id"] if "repository_id" in tokens.columns and "repository_id" in symbols.columns else []
+    by = ["token", *scope]
+    asked = settle(tokens.select(*by).distinct(), "tokens")
+    columns = [*scope, "symbol_id", "name", "qualified_name"]
     kept = symbols.select(*columns)
-    found = pairs.join(kept, pairs.string == kept.name).select("token", *columns, "similarity").union(pairs.join(kept, pairs.string == kept.qualified_name).select("token", *columns, "similarity"))
-    best = found.groupBy("token", *columns).agg(F.max("similarity").alias("similarity"))
+    named = settle(matching(asked, kept.select(F.col("name").alias("string"), *scope)).withColumnRenamed("string", "name"), "name-matches")
+    same = lambda c: F.coalesce(F.lower(c) == F.lower("token"), F.lit(False))
+    close = same("name") | (F.col("similarity") >= LEAST_SIMILARITY)
+    heads = kept.withColumn("at", F.dense_rank().over(Window.partitionBy("name", *scope).orderBy("qualified_name", "symbol_id"))).where(F.col("at") <= k).drop("at").distinct()
+    score = F.when(same("name"), 1.0).otherwise(F.col("similarity"))
+    best = settle(_first(named.where(close).join(heads, ["name", *scope]).withColumn("score", score), by, ["qualified_name", "symbol_id"], k), "best-by-name")
+    full = best.where(F.col("rank") == k).select(*by, F.col("score").alias("least"))
+    aims = settle(asked.join(full, by, "left").select(*by, F.coalesce("least", F.lit(LEAST_SIMILARITY)).alias("least"), (F.col("least").isNull() | (F.size(text.trigrams(F.col("token"))) == 0)).alias("held")), "token-aims")
+    others = settle(matching(aims, kept.select(F.col("qualified_name").alias("string"), *scope)).select(*by, F.col("string").alias("qualified_name")), "qualified-matches")
+    open_ = asked.join(full, by, "left_anti")
+    vague = named.where(~close).join(open_, by, "left_semi").select(*by, "name")
+    found = best.select("token", *columns).union(kept.join(others, ["qualified_name", *scope]).select("token", *columns)).union(kept.join(vague, ["name", *scope]).select("token", *columns)).distinct()
     # The similarity of a symbol is that of the nearer of its two names, whichever is admitted.
-    equal = (F.lower("name") == F.lower("token")) | (F.lower("qualified_name") == F.lower("token"))
-    score = F.when(equal, 1.0).otherwise(F.greatest("similarity", text.trigram_similarity(F.col("name"), F.col("token")), text.trigram_similarity(F.col("qualified_name"), F.col("token"))))
-    scored = _scoped(tokens, best.withColumn("score", score)).select("query_id", "token", "symbol_id", "qualified_name", "score")
-    return _first(scored, ["qualified_name", "symbol_id"], k)
+    nearer = F.greatest(text.trigram_similarity(F.col("name"), F.col("token")), text.trigram_similarity(F.col("qualified_name"), F.col("token")))
+    scored = found.withColumn("score", F.when(same("name") | same("qualified_name"), 1.0).otherwise(nearer))
+    first = _first(scored, by, ["qualified_name", "symbol_id"], k)
+    return tokens.join(first, by).select("query_id", "token", "symbol_id", "qualified_name", "score", "rank")
 
 
 def file_search(tokens: DataFrame, files: DataFrame, k: int = 25) -> DataFrame:
     """(query_id, token, file_id, path, score, rank): files by token, admitted and scored
     by their paths as symbols are by their names. ``files`` (file_id, path[, repository_id])."""
-    pairs = matching(tokens, files.select(F.col("path").alias("string"))).withColumnRenamed("string", "path")
-    found = pairs.join(files, "path")
-    scored = _scoped(tokens, found).withColumn("score", F.when(F.lower("path") == F.lower("token"), 1.0).otherwise(F.col("similarity")))
-    return _first(scored.select("query_id", "token", "file_id", "path", "score"), ["path", "file_id"], k)
+    scope = ["repository_id"] if "repository_id" in tokens.columns and "repository_id" in files.columns else []
+    by = ["token", *scope]
+    pairs = matching(tokens, files.select(F.col("path").alias("string"), *scope)).withColumnRenamed("string", "path")
+    scored = pairs.join(files, ["path", *scope]).withColumn("score", F.when(F.lower("path") == F.lower("token"), 1.0).otherwise(F.col("similarity")))
+    first = _first(scored.select(*by, "file_id", "path", "score"), by, ["path", "file_id"], k)
+    return tokens.join(first, by).select("query_id", "token", "file_id", "path", "score", "rank")
 
 
 def type_score(kind: Column) -> Column:

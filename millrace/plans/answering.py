@@ -47,7 +47,7 @@ def select_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(corpus.sql(retrieval._HYBRID + f"SELECT query_id, count(key) AS results, round(max(final_score), 4) AS best, coalesce(max(final_score), 0) >= {answers.LEAST_SCORE} AS sufficient FROM asked LEFT JOIN ranked USING (query_id) GROUP BY 1", *retrieval._HYBRID_VIEWS))
 def evidence_sufficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = retrieval._candidates(spark, sf_dir)[0].select("query_id")
+    asked = retrieval.asked(spark, sf_dir).select("query_id")
     best = retrieval.hybrid(spark, sf_dir).groupBy("query_id").agg(F.count("key").alias("n"), F.max("final_score").alias("top"))
     return asked.join(best, "query_id", "left").select("query_id", F.coalesce("n", F.lit(0)).alias("results"), F.round("top", 4).alias("best"), (F.coalesce("top", F.lit(0.0)) >= answers.LEAST_SCORE).alias("sufficient"))
 

@@ -149,13 +149,17 @@ ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORD
 _HYBRID_VIEWS = ("files", "symbols", "relations", "edges")
 
 
-def _candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    symbols, files = corpus.symbols(spark, sf_dir), corpus.files(spark, sf_dir).select("file_id", "path")
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, question): what the hybrid search is asked."""
     ids = _chunks(spark, sf_dir).where(F.col("chunk_id") % ASKS == 0).select(F.col("chunk_id").alias("symbol_id"))
     template = F.element_at(text.strings(corpus.QUESTIONS), (F.col("symbol_id") % 12 + 1).cast("int"))
-    asked = symbols.join(ids, "symbol_id", "left_semi").select(F.col("symbol_id").alias("query_id"), F.concat_ws(" ", template, "name").alias("question"))
+    return corpus.symbols(spark, sf_dir).join(ids, "symbol_id", "left_semi").select(F.col("symbol_id").alias("query_id"), F.concat_ws(" ", template, "name").alias("question"))
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    symbols, files = corpus.symbols(spark, sf_dir), corpus.files(spark, sf_dir).select("file_id", "path")
     near = _nearest(spark, sf_dir).withColumn("file_id", corpus.file_of(spark, sf_dir, F.col("chunk_id"))).join(files, "file_id")
-    tokens = asked.select("query_id", F.explode(text.identifier_tokens(F.col("question"))).alias("token"))
+    tokens = asked(spark, sf_dir).select("query_id", F.explode(text.identifier_tokens(F.col("question"))).alias("token"))
     words = retrieval.lexical(tokens, symbols)
     order = Window.partitionBy("query_id").orderBy(F.desc("best"), "qualified_name", "symbol_id")
     seeds = words.groupBy("query_id", "symbol_id", "qualified_name").agg(F.max("score").alias("best")).withColumn("at", F.row_number().over(order)).where("at <= 10").select("query_id", F.col("symbol_id").alias("node"))
@@ -169,17 +173,16 @@ def _candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     by_symbol = keys.dedup_key(none, F.col("symbol_id").cast("string"), none).alias("key")
     lexical = words.join(located, "symbol_id").select("query_id", by_symbol, F.lit("lexical").alias("source"), "score", F.concat(F.lit("name "), "token").alias("reason"), "path", "symbol_id", "start_line", (F.lit(1000) + F.col("rank")).alias("ordinal"))
     structural = hops.withColumnRenamed("node", "symbol_id").join(located, "symbol_id").select("query_id", by_symbol, F.lit("structural").alias("source"), "score", F.col("types").alias("reason"), "path", "symbol_id", "start_line", F.lit(2000).alias("ordinal"))
-    return asked, semantic.unionByName(lexical).unionByName(named).unionByName(structural).select(columns)
+    return semantic.unionByName(lexical).unionByName(named).unionByName(structural).select(columns)
 
 
 def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best results of each question: search, merge, fuse, rank."""
-    asked, candidates = _candidates(spark, sf_dir)
-    merged = retrieval.merge(candidates)
+    merged = retrieval.merge(_candidates(spark, sf_dir))
     located = corpus.symbols(spark, sf_dir).join(corpus.files(spark, sf_dir).select("file_id", "path"), "file_id")
     top = corpus.edges(spark, sf_dir).groupBy("target").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "target").limit(10)
     hot = located.join(top, located.symbol_id == top.target, "left_semi").select(F.col("path").alias("hot_path")).distinct()
-    joined = merged.join(asked, "query_id").join(hot, F.col("path") == F.col("hot_path"), "left")
+    joined = merged.join(asked(spark, sf_dir), "query_id").join(hot, F.col("path") == F.col("hot_path"), "left")
     tests = paths.is_test_for_search(F.col("path")) & text.has_test_intent(F.col("question"))
     return retrieval.ranked(retrieval.fuse(joined, paths.is_entry_point(F.col("path")), F.col("hot_path").isNotNull(), tests))
 
@@ -191,7 +194,7 @@ def hybrid_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(corpus.sql(_HYBRID + "SELECT query_id, key, path, symbol_id, sources, round(semantic, 4) AS semantic, round(lexical, 4) AS lexical, round(structural, 4) AS structural FROM merged", *_HYBRID_VIEWS))
 def dedup_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    merged = retrieval.merge(_candidates(spark, sf_dir)[1])
+    merged = retrieval.merge(_candidates(spark, sf_dir))
     return merged.select("query_id", "key", "path", "symbol_id", "sources", *[F.round(c, 4).alias(c) for c in ("semantic", "lexical", "structural")])
 
 

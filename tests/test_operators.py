@@ -77,6 +77,16 @@ def test_nearest_equals_a_comparison_of_all_pairs(spark, monkeypatch):
     assert set(got) == want and len(got) == len(want) > 200
 
 
+def test_questions_for_one_name_are_answered_once(spark):
+    tokens = spark.createDataFrame([(q, "getuser") for q in range(300)], "query_id long, token string")
+    symbols = spark.createDataFrame([(i, "getUser", f"m{i:04}.getUser") for i in range(300)] + [(900, "other", "z.getuser"), (901, "getuserx", "getuserx")], "symbol_id long, name string, qualified_name string")
+    got = retrieval.lexical(tokens, symbols, 5)
+    assert sorted((r.symbol_id, r["rank"], r.score) for r in got.where("query_id = 7").collect()) == [(i, i + 1, 1.0) for i in range(5)]
+    assert got.count() == 1500
+    few = symbols.where("symbol_id < 2 OR symbol_id >= 900")
+    assert [r.symbol_id for r in retrieval.lexical(tokens.limit(1), few, 5).orderBy("rank").collect()] == [0, 1, 900, 901]
+
+
 def test_one_hop_needs_exactly_one_end_among_the_seeds(spark):
     seeds = spark.createDataFrame([(1, 10), (1, 11)], "query_id long, node long")
     relations = spark.createDataFrame([(10, 11, "calls"), (10, 12, "imports"), (13, 10, "calls"), (12, 10, "depends_on"), (14, 15, "calls")], "source long, target long, relationship_type string")

@@ -99,9 +99,13 @@ def plan(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, share: float = S
     return here.select("doc_id", "source", "size", "source_size", "target", positions.alias("positions"), *(["row"] if carry else []))
 
 
+def in_order(taken: DataFrame) -> DataFrame:
+    """Rows (position, doc_id, copy, ...) range-sorted by training position."""
+    return taken.repartitionByRange("position", "doc_id", "copy").sortWithinPartitions("position", "doc_id", "copy")
+
+
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, with the same columns, as often as the mix takes them
     and range-sorted by training position."""
     taken = plan(docs, carry=True, **options).select("row", "doc_id", F.posexplode("positions").alias("copy", "position"))
-    placed = taken.repartitionByRange("position", "doc_id", "copy").sortWithinPartitions("position", "doc_id", "copy")
-    return placed.select([F.col("row").getField(c).alias(c) for c in docs.columns])
+    return in_order(taken).select([F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -74,9 +74,11 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    planned = mixing.plan(_table(spark, sf_dir, "documents"))
-    taken = F.col("size") * F.size("positions")
-    return planned.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.element_at("positions", F.when(F.size("positions") > 0, 1)).alias("first_position"))
+    planned = settle(mixing.plan(_table(spark, sf_dir, "documents")).withColumn("row", F.monotonically_increasing_id()), "mix-plan")
+    uses = planned.select("row", "doc_id", "size", F.posexplode("positions").alias("copy", "position"))
+    uses = settle(mixing.in_order(uses), "mix-order")
+    used = uses.groupBy("row").agg(F.sum("size").alias("taken"), F.min("position").alias("first_position"))
+    return planned.join(used, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "first_position")
 
 
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,3 +66,16 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], DOC)
     assert mixing.plan(empty).count() == 0 and mixing.mix(empty).count() == 0
     assert mixing.plan(spark.createDataFrame([(1, "", None, None, None)], DOC)).first().positions == []
+
+
+def test_query_takes_its_rows_from_the_sorted_mix(spark, sf, monkeypatch):
+    from millrace.llm import queries
+
+    seen = []
+    sort = mixing.in_order
+    monkeypatch.setattr(mixing, "in_order", lambda taken: seen.append(sort(taken)) or seen[-1])
+    got = queries.op9_mix_sources(spark, sf).collect()
+    uses = seen[0].withColumn("part", F.spark_partition_id()).collect()
+    assert [(r.part, r.position) for r in uses] == sorted((r.part, r.position) for r in uses)
+    assert [r.position for r in uses] == sorted(r.position for r in uses)
+    assert sum(r.taken for r in got) == sum(r.size for r in uses)

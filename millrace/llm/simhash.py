@@ -221,23 +221,35 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
 
 
 def _wide(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, d1, d2, size, bands, s0.., shingles): digest, size, index keys, fingerprint and hashes of each row's set."""
-    kinds = {"doc_id": pa.int64(), "d1": pa.int64(), "d2": pa.int64(), "size": pa.int64(), "bands": pa.list_(pa.int64()), **dict.fromkeys(_VERIFY, pa.int64()), "shingles": pa.binary()}
+    """(doc_id, key, d1, d2, size, bands, s0..): the text's hash, and digest, size, index keys and fingerprint of each row's
+    set. The sets themselves are longer than the texts; ``_sets`` makes those that are compared once more."""
+    kinds = {"doc_id": pa.int64(), "key": pa.int64(), "d1": pa.int64(), "d2": pa.int64(), "size": pa.int64(), "bands": pa.list_(pa.int64()), **dict.fromkeys(_VERIFY, pa.int64())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 rows = []
-                for t in part.column(1):
+                for t in part.column(2):
                     features = shingle_set(t.as_py(), shingle)
-                    data = features.tobytes()
-                    digest = np.frombuffer(blake2b(data, digest_size=16).digest(), np.int64).tolist()
-                    rows.append((*digest, len(features), band_keys(features), *wide_fingerprint(features), data))
-                columns = zip(*rows) if rows else [[]] * (len(kinds) - 1)
-                yield pa.record_batch([part.column(0), *(pa.array(c, k) for c, k in zip(columns, list(kinds.values())[1:]))], names=list(kinds))
+                    digest = np.frombuffer(blake2b(features.tobytes(), digest_size=16).digest(), np.int64).tolist()
+                    rows.append((*digest, len(features), band_keys(features), *wide_fingerprint(features)))
+                columns = zip(*rows) if rows else [[]] * (len(kinds) - 2)
+                yield pa.record_batch([part.column(0), part.column(1), *(pa.array(c, k) for c, k in zip(columns, list(kinds.values())[2:]))], names=list(kinds))
 
-    return docs.mapInArrow(run, "doc_id long, d1 long, d2 long, size long, bands array<long>, " + ", ".join(f"{n} long" for n in _VERIFY) + ", shingles binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, "doc_id long, key long, d1 long, d2 long, size long, bands array<long>, " + ", ".join(f"{n} long" for n in _VERIFY))
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(cls, shingles): hashes of the sets of the rows ``wanted`` (cls, key), each once, from the texts again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), shingle).tobytes() for t in batch.column(1)]
+            yield pa.record_batch([batch.column(0), pa.array(sets, pa.binary())], names=["cls", "shingles"])
+
+    texts = docs.select(F.xxhash64("text").alias("key"), "text").join(wanted, "key").select("cls", "text")
+    return settle(texts.dropDuplicates(["cls"]).mapInArrow(run, "cls long, shingles binary"), "shingle-sets")
 
 
 def _exact(pairs: DataFrame, similarity: float) -> DataFrame:
@@ -328,8 +340,11 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     apart = sum((F.bit_count(F.col("a" + c).bitwiseXOR(F.col("b" + c))) for c in _VERIFY), F.lit(0))
     less, more = F.least("asize", "bsize"), F.greatest("asize", "bsize")
     maybe = settle(pairs.join(left, "a").join(right, "b").where((less >= similarity * more - 1e-9) & ((apart <= most) | (less < ENOUGH))).select("a", "b"), "maybe-links")
-    a_sets, b_sets = (fps.select(F.col("uid").alias(c), F.col("shingles").alias(c + "_set")) for c in "ab")
     drop_shuffles(docs.sparkSession)
+    keys = fps.select(F.col("uid").alias("cls"), "key")
+    sets = _sets(rows, keys.join(maybe.select(F.col("a").alias("cls")).union(maybe.select("b")).distinct(), "cls"), shingle)
+    drop_shuffles(docs.sparkSession)
+    a_sets, b_sets = (sets.select(F.col("cls").alias(c), F.col("shingles").alias(c + "_set")) for c in "ab")
     near = settle(_exact(maybe.join(a_sets, "a").join(b_sets, "b"), similarity), "near-links")
     drop_shuffles(docs.sparkSession)
     joined = components(near)
@@ -339,7 +354,8 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     apart_still = sized.groupBy("point").agg(parts.cast("long").alias("parts"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("point", "parts")
     apart_still = settle(named.join(settle(apart_still, "bucket-labels"), "point"), "open-buckets")
     if apart_still.take(1):
-        full = apart_still.join(fps.select(F.col("uid").alias("cls"), "size", *_VERIFY, "shingles"), "cls")
+        open_sets = _sets(rows, keys.join(apart_still.select("cls").distinct(), "cls"), shingle)
+        full = apart_still.join(fps.select(F.col("uid").alias("cls"), "size", *_VERIFY), "cls").join(open_sets, "cls")
         near = near.union(settle(_block_links(full, similarity, most), "block-links"))
         joined = components(near.distinct())
     linked = classes.join(joined, F.col("cls") == F.col("node")).select("cls", "first", "component")

@@ -189,3 +189,22 @@ def test_large_buckets_equal_all_pairs(spark, monkeypatch):
             label[i] = label[label[i]]
     got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()}
     assert [got[i] for i in range(len(texts))] == label
+
+
+def test_sets_are_written_only_where_they_are_compared(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(400)) for _ in range(200)]
+    texts += [texts[0] + " more words at the end", texts[0]]
+    written = {}
+
+    def seen(df, name):
+        written[name] = settle(df, name)
+        return written[name]
+
+    settle = simhash.settle
+    monkeypatch.setattr(simhash, "settle", seen)
+    monkeypatch.setattr(simhash, "discard", lambda table: None)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [d for d, c in got.items() if d != c] == [200, 201] and got[200] == got[201] == 0
+    assert "shingles" not in written["wide-fingerprints"].columns
+    assert written["shingle-sets"].count() == 2

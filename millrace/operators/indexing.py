@@ -2,7 +2,7 @@
 
 A run reads the current snapshot, works on files whose text or model is new, takes the
 vectors of known texts over, embeds the rest batch by batch and commits a layer. A file's
-newest layer counts, so nothing of earlier layers is rewritten. A run that fails, or is
+newest layer counts, so nothing of earlier layers is rewritten. The files given are read more than once. A run that fails, or is
 killed at any point, commits nothing: the snapshot before it stays what readers see.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.commits import CommitLog
-from ..sources.scratch import discard, settle
+from ..sources.scratch import discard, remove, settle
 from .chunking import windows, work_list
 
 #: Files that are embedded, and fail, together.
@@ -44,45 +44,59 @@ class Provider:
         return f"{self.model}/{self.dimension}"
 
 
-def embedded(texts: DataFrame, provider: Provider) -> DataFrame:
-    """(batch, content_hash, vector, status, error): the vector of each text of each batch,
-    then one row with the batch's status: ok, failed or abort. ``texts`` (batch,
-    content_hash, text). A batch that does not end ok has no vectors; its error says why."""
-    schema = "batch long, content_hash string, vector array<float>, status string, error string"
-
-    def done(batch: int, rows: list[tuple[str, str]]) -> pa.RecordBatch:
-        vectors: list = []
-        status, error = "ok", None
+#: Files whose chunks one task embeds, about, and chunks that it hands on at a time.
+TASK_FILES, CHUNK_ROWS = 4_000, 1_024
+_PIECE = "file_id long, chunk_index int, start_line int, end_line int, text string, content_hash string"
+
+
+def embedded(pieces: DataFrame, provider: Provider, files: int) -> DataFrame:
+    """The chunks ``pieces`` (batch, _PIECE, known: a vector or null) of about so many ``files``
+    with their vectors, then one row without a file_id for each batch with its status: ok,
+    failed or abort. Each text of a batch is embedded once. A batch that does not end ok
+    has no chunks; its error says why. The texts cross the network once."""
+    schema = f"{_PIECE}, vector array<float>, reused boolean, batch long, status string, error string"
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.float32()), pa.bool_(), pa.int64(), pa.string(), pa.string()]
+
+    def vectors_of(rows: list[tuple]) -> dict[str, list[float]]:
+        todo = sorted({r[5]: r[4] for r in rows if r[6] is None}.items())
+        vectors: dict = {}
+        for at in range(0, len(todo), provider.batch_size):
+            asked = todo[at : at + provider.batch_size]
+            part = provider.embed([text for _, text in asked])
+            if len(part) != len(asked) or any(len(v) != provider.dimension for v in part):
+                raise ValueError(f"{provider.version} gave other vectors than asked for")
+            vectors.update(zip((key for key, _ in asked), part))
+        return vectors
+
+    def done(batch: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        vectors, status, error = {}, "ok", None
         try:
-            for at in range(0, len(rows), provider.batch_size):
-                part = provider.embed([text for _, text in rows[at : at + provider.batch_size]])
-                if len(part) != len(rows[at : at + provider.batch_size]) or any(len(v) != provider.dimension for v in part):
-                    raise ValueError(f"{provider.version} gave other vectors than asked for")
-                vectors += part
+            vectors = vectors_of(rows)
         except provider.aborts as e:
-            vectors, status, error = [], "abort", f"{type(e).__name__}: {e}"
+            rows, status, error = [], "abort", f"{type(e).__name__}: {e}"
         except Exception as e:  # whatever the provider raises fails this batch alone
-            vectors, status, error = [], "failed", f"{type(e).__name__}: {e}"
-        n = len(vectors)
-        return pa.record_batch(
-            [pa.array([batch] * (n + 1), pa.int64()), pa.array([h for h, _ in rows[:n]] + [None], pa.string()), pa.array([*vectors, None], pa.list_(pa.float32())), pa.array([None] * n + [status], pa.string()), pa.array([None] * n + [error], pa.string())],
-            names=["batch", "content_hash", "vector", "status", "error"],
-        )
+            rows, status, error = [], "failed", f"{type(e).__name__}: {e}"
+        out = [(*r[:6], vectors[r[5]] if r[6] is None else r[6], r[6] is not None, batch, None, None) for r in rows]
+        out.append((None,) * 8 + (batch, status, error))
+        for at in range(0, len(out), CHUNK_ROWS):
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out[at : at + CHUNK_ROWS]), kinds)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
         for b in batches:
-            for batch, key, text in zip(*(c.to_pylist() for c in b.columns)):
+            for batch, *row in zip(*(c.to_pylist() for c in b.columns)):
                 if batch != now:
                     if rows:
-                        yield done(now, rows)
+                        yield from done(now, rows)
                     now, rows = batch, []
-                rows.append((key, text))
+                rows.append(row)
         if rows:
-            yield done(now, rows)
+            yield from done(now, rows)
 
-    ordered = texts.select("batch", "content_hash", "text").repartition("batch").sortWithinPartitions("batch", "content_hash")
-    return ordered.mapInArrow(run, schema)
+    columns = [F.col(c.split()[0]).cast(c.split()[1]) for c in _PIECE.split(", ")]
+    tasks = max(pieces.sparkSession.sparkContext.defaultParallelism, -(-files // TASK_FILES))
+    return pieces.select("batch", *columns, "known").repartition(tasks, "batch").sortWithinPartitions("batch").mapInArrow(run, schema)
 
 
 class Index:
@@ -124,38 +138,42 @@ class Index:
             return again[0]
         number = len(held) + 1
         known, old = self._tables(None)
-        one = files.where("file_id IS NOT NULL").groupBy("file_id").agg(F.min("text").alias("text"))
-        now = settle(one.select(F.col("file_id").cast("long"), "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash")), "files-now")
+        named = files.where("file_id IS NOT NULL")
+        counted = settle(named.groupBy("file_id").agg(F.count("*").alias("n")), "file-ids")
+        repeated, one = counted.where("n > 1").select("file_id"), named.select("file_id", "text")
+        if repeated.take(1):  # else the texts need not meet by id
+            one = one.join(repeated, "file_id", "left_anti").union(one.join(repeated, "file_id", "left_semi").groupBy("file_id").agg(F.min("text")))
+        now = one.select(F.col("file_id").cast("long"), "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"))
         indexed = known.select("file_id", F.col("content_hash").alias("file_content_hash"), F.col("version").alias("embedding_model_version"))
-        work = settle(work_list(now, indexed, F.lit(provider.version)), "work")
-        considered, todo = now.count(), work.count()
+        left = work_list(now, indexed, F.lit(provider.version))
+        work = settle(left.select("file_id", "content_hash"), "work")  # without texts, which are cut as they are read again
+        considered, todo = counted.count(), work.count()
         batch = F.pmod(F.xxhash64("file_id"), F.lit(max(1, -(-todo // FILE_BATCH)))).alias("batch")
 
-        pieces = cut(work.select("file_id", "text")).withColumn("content_hash", F.sha2("text", 256)).select("*", batch)
+        pieces = cut(left.select("file_id", "text")).withColumn("content_hash", F.sha2("text", 256)).select("*", batch)
         vectors = old.join(known.where(F.col("version") == provider.version).select("file_id"), "file_id", "left_semi").groupBy("content_hash").agg(F.min_by("vector", "file_id").alias("known"))
-        pieces = settle(pieces.join(vectors, "content_hash", "left"), "pieces")
-        misses = pieces.where("known IS NULL").groupBy("batch", "content_hash").agg(F.min("text").alias("text"))
-        fresh = settle(embedded(misses, provider), "embedded")
-        ends = fresh.where("status <> 'ok'").select("batch", "status", "error")
+        layer = f"layer-{uuid.uuid4().hex}"
+        made = f"{self.folder}/{layer}/chunks"
+        # The status rows lie among the chunks; having no file, they belong to none and no reader meets them.
+        embedded(pieces.join(vectors, "content_hash", "left"), provider, todo).withColumn("run", F.lit(number)).write.parquet(made)
+        fresh = self.spark.read.schema("file_id long, reused boolean, batch long, status string, error string").parquet(made)
+        ends = fresh.where("file_id IS NULL AND status <> 'ok'").select("batch", "status", "error")
         stopped = ends.where("status = 'abort'").first()
         state = {"tag": tag, "version": provider.version, "files_considered": considered, "files_skipped": considered - todo}
         if stopped:
-            for table in (now, work, pieces, fresh):
+            for table in (counted, work):
                 discard(table)
+            remove(self.spark, f"{self.folder}/{layer}")
             return state | {"status": "failed", "error": stopped.error}
 
         good = work.select("file_id", "content_hash", batch).join(ends, "batch", "left_anti")
-        ready = pieces.join(ends, "batch", "left_anti").join(fresh.where("vector IS NOT NULL").select("batch", "content_hash", "vector"), ["batch", "content_hash"], "left")
-        layer = f"layer-{uuid.uuid4().hex}"
-        new = ready.select(F.col("file_id").cast("long"), F.col("chunk_index").cast("int"), F.col("start_line").cast("int"), F.col("end_line").cast("int"), "text", "content_hash", F.coalesce("known", "vector").alias("vector"), F.col("known").isNotNull().alias("reused"), F.lit(number).alias("run"))
-        new.write.parquet(f"{self.folder}/{layer}/chunks")
-        gone = known.join(now, "file_id", "left_anti").select("file_id", "content_hash", "version", F.lit(True).alias("removed"), F.lit(number).alias("run"))
+        gone = known.join(counted.select(F.col("file_id").cast("long")), "file_id", "left_anti").select("file_id", "content_hash", "version", F.lit(True).alias("removed"), F.lit(number).alias("run"))
         done = good.select("file_id", "content_hash", F.lit(provider.version).alias("version"), F.lit(False).alias("removed"), F.lit(number).alias("run"))
         done.union(gone).write.parquet(f"{self.folder}/{layer}/files")
-        written = self.spark.read.schema(_CHUNK).parquet(f"{self.folder}/{layer}/chunks").agg(F.count_if("reused").alias("hits"), F.count_if(~F.col("reused")).alias("fresh")).first()
+        written = fresh.where("file_id IS NOT NULL").agg(F.count_if("reused").alias("hits"), F.count_if(~F.col("reused")).alias("fresh")).first()
         state |= {"status": "ready", "error": None, "files_failed": todo - good.count(), "chunks_from_cache": written.hits, "chunks_embedded_fresh": written.fresh}
         state["layers"] = (held[-1]["layers"] if held else []) + [layer]
-        for table in (now, work, pieces, fresh):
+        for table in (counted, work):
             discard(table)
         if not self.log.append(state, len(held)):
             raise RuntimeError("another run committed meanwhile; its snapshot stands")

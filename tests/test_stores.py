@@ -114,3 +114,15 @@ def test_a_failing_provider_fails_its_batch_or_ends_the_run(spark, monkeypatch):
         index.run(spark.createDataFrame([(1, "late", 0)], FILES), PROVIDER)
     monkeypatch.undo()
     assert shown(index) == before
+
+
+def test_a_run_writes_texts_once(spark, monkeypatch):
+    written = []
+    settle = indexing.settle
+    monkeypatch.setattr(indexing, "settle", lambda df, name: written.append(df.columns) or settle(df, name))
+    index = indexing.Index(spark, scratch_path(spark, "index"))
+    provider = indexing.Provider("ones", 1, lambda texts: [[1.0] for _ in texts])
+    files = spark.createDataFrame([(1, "a"), (2, "b"), (2, "a"), (3, None), (None, "c")], "file_id long, text string")
+    index.run(files, provider)
+    assert sorted((r.file_id, r.text, r.reused, r.vector) for r in index.chunks().collect()) == [(1, "a", False, [1.0]), (2, "a", False, [1.0])]
+    assert written and not any("text" in columns for columns in written)

@@ -36,10 +36,22 @@ def python_candidates(module: Column, target: Column) -> Column:
     return F.when(absolute.isNotNull(), F.array(absolute, F.concat(absolute, F.lit(".__init__"))))
 
 
+def script_base(path: Column, target: Column) -> Column:
+    """Path that a relative script import names, without ending; null for a package import.
+    Steps up at its beginning are cut off the folder as text; whatever else there is, is normalized."""
+    folder, lead = F.regexp_replace(path, r"/?[^/]*$", ""), F.regexp_extract(target, r"^((?:\.\.?/)*)", 1)
+    rest = F.substr(target, F.length(lead) + 1)
+    depth = F.length(folder) - F.length(F.replace(folder, F.lit("/"), F.lit(""))) + 1
+    ups = F.regexp_count(lead, F.lit(r"\.\./"))
+    plain = (ups < depth) & ~F.concat(F.lit("/"), folder, F.lit("/"), rest, F.lit("/")).rlike(r"/\.{0,2}/")
+    cut = F.concat(F.call_function("substring_index", folder, F.lit("/"), (depth - ups).cast("int")), F.lit("/"), rest)
+    return F.when(target.startswith("."), F.when(plain, cut).otherwise(paths.normalized_path(F.concat_ws("/", folder, target))))
+
+
 def script_candidates(path: Column, target: Column) -> Column:
     """Paths a relative script import may name, best first; null for a package import."""
-    base = paths.normalized_path(F.concat_ws("/", F.regexp_replace(path, r"/?[^/]*$", ""), target))
-    return F.when(target.startswith("."), F.array(*[F.concat(base, F.lit(e)) for e in SCRIPT_ENDINGS]))
+    base = script_base(path, target)
+    return F.when(base.isNotNull(), F.array(*[F.concat(base, F.lit(e)) for e in SCRIPT_ENDINGS]))
 
 
 def java_candidates(target: Column) -> Column:
@@ -47,19 +59,38 @@ def java_candidates(target: Column) -> Column:
     return F.when(~target.endswith(".*"), F.array(target, F.regexp_replace(target, r"\.[^.]*$", "")))
 
 
+def _names(files: DataFrame) -> DataFrame:
+    """(by_path, name, hit): the best file (at, found) for each name that a single look-up may
+    ask for. A file is entered under its path less each ending that a script may leave out,
+    under its module, and as a package under its ``__init__`` module's."""
+    path, module = F.col("path"), paths.module_path(F.col("path"))
+    named = lambda by_path, name, at: F.struct(F.lit(by_path).alias("by_path"), name.alias("name"), F.lit(at).alias("at"))
+    scripts = [F.when(path.endswith(e), named(True, F.left(path, F.length(path) - len(e)), at)) for at, e in enumerate(SCRIPT_ENDINGS)]
+    package = F.when(module.endswith(".__init__"), named(False, F.left(module, F.length(module) - len(".__init__")), 1))
+    entries = files.select("path", F.explode(F.array_compact(F.array(*scripts, named(False, module, 0), package))).alias("e"))
+    return entries.groupBy("e.by_path", "e.name").agg(F.min(F.struct("e.at", F.col("path").alias("found"))).alias("hit"))
+
+
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     """(source, target): distinct paths of importing and imported files, self-imports left out.
 
-    ``imports`` (path, language, target), ``files`` (path). Each language's
-    candidates become rows with their order; one equi-join finds the known ones,
-    and the first of each import counts.
+    ``imports`` (path, language, target), ``files`` (path). Endings and packages are tried on
+    the side of the files, which are few, so an import is one row that asks for one name
+    (two in Java) and only what is found goes on.
     """
-    module = paths.module_path(F.col("path"))
-    candidates = F.when(F.col("language") == "Python", python_candidates(module, F.col("target"))).when(F.col("language").isin("JavaScript", "TypeScript"), script_candidates(F.col("path"), F.col("target"))).when(F.col("language") == "Java", java_candidates(F.col("target")))
-    tried = imports.select("path", "target", F.col("language").isin("JavaScript", "TypeScript").alias("by_path"), F.posexplode(candidates).alias("at", "candidate"))
-    known = files.select(F.col("path").alias("found"), F.col("path").alias("candidate"), F.lit(True).alias("by_path")).union(files.select("path", paths.module_path(F.col("path")), F.lit(False)))
-    hits = tried.join(known, ["candidate", "by_path"]).groupBy("path", "target").agg(F.min(F.struct("at", "found")).alias("hit"))
-    return hits.select(F.col("path").alias("source"), F.col("hit.found").alias("target")).where("source <> target").distinct()
+    path, target, language = F.col("path"), F.col("target"), F.col("language")
+    by_path = language.isin("JavaScript", "TypeScript")
+    python = F.transform(F.slice(python_candidates(paths.module_path(path), target), 1, 1), lambda c: F.struct(F.lit(0).alias("place"), c.alias("name")))
+    script = F.when(target.startswith("."), F.array(F.struct(F.lit(0).alias("place"), script_base(path, target).alias("name"))))
+    java = F.transform(java_candidates(target), lambda c, i: F.struct(i.alias("place"), c.alias("name")))
+    asked = F.when(language == "Python", python).when(by_path, script).when(language == "Java", java)
+    tried = imports.select("path", F.when(language == "Java", target).alias("target"), by_path.alias("by_path"), F.explode(asked).alias("a")).select("path", "target", "by_path", "a.*")
+    names = _names(files)
+    # Java takes modules as they are named, so a package's name finds nothing there.
+    found = tried.join(names, ["by_path", "name"]).where("target IS NULL OR hit.at = 0")
+    one = found.where("target IS NULL").select(F.col("path").alias("source"), F.col("hit.found").alias("target"))
+    java_hits = found.where("target IS NOT NULL").groupBy("path", "target").agg(F.min(F.struct("place", "hit.found")).alias("hit")).select("path", "hit.found")
+    return one.union(java_hits).where("source <> target").distinct()
 
 
 def resolve_calls(calls: DataFrame, symbols: DataFrame) -> DataFrame:

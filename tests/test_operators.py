@@ -178,3 +178,21 @@ def test_queue_claims_due_and_expired_jobs(spark):
     now = spark.sql("SELECT TIMESTAMP_NTZ'2024-01-02 00:00:00' AS now")
     assert sorted(r.job_id for r in jobs.claimable(df, now).collect()) == [1, 4]
     assert jobs.next_wake(df, now).first().seconds == 12 * 3600
+
+
+def test_an_import_asks_for_one_name(spark):
+    files = [("a/b.js",), ("a/b/index.js",), ("a/c/index.ts",), ("a/d",), ("a/d.tsx",), ("p/__init__.py",), ("q.py",), ("q/__init__.py",), ("r/__init__.java",), ("r/T.java",)]
+    asked = [
+        ("a/x.js", "JavaScript", "./b"), ("a/x.js", "JavaScript", "./c"), ("a/x.js", "JavaScript", ".//./d"), ("a/y/z.ts", "TypeScript", "../b/"), ("a/y/z.ts", "TypeScript", "../../../a/d"),
+        ("m.py", "Python", "p"), ("m.py", "Python", "q"), ("M.java", "Java", "r"), ("M.java", "Java", "r.T.Inner"), ("M.java", "Java", "r.*"), ("a/x.js", "JavaScript", "b"),
+    ]
+    found = resolve.resolve_imports(spark.createDataFrame(asked, "path string, language string, target string"), spark.createDataFrame(files, "path string"))
+    want = {("a/x.js", "a/b.js"), ("a/x.js", "a/c/index.ts"), ("a/x.js", "a/d"), ("a/y/z.ts", "a/b.js"), ("m.py", "p/__init__.py"), ("m.py", "q.py"), ("M.java", "r/T.java")}
+    assert {(r.source, r.target) for r in found.collect()} == want
+    assert "posexplode" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lines_are_counted_not_dealt_out(spark, sf):
+    from millrace.plans import QUERIES
+
+    assert "posexplode" not in QUERIES["symbol_at_line"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()

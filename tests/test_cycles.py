@@ -76,3 +76,22 @@ def test_chains_of_single_folders_are_folded(spark):
         "com.acme.app": (None, "com.acme.app", 0, 2), "com.acme.app.core": ("com.acme.app", "core", 2, 0), "com.acme.app.web.ui": ("com.acme.app", "web.ui", 0, 2),
         "com.acme.app.web.ui.x": ("com.acme.app.web.ui", "x", 1, 0), "com.acme.app.web.ui.y": ("com.acme.app.web.ui", "y", 1, 0), "lib": (None, "lib", 1, 1), "lib.deep.er": ("lib", "deep.er", 1, 0),
     }
+
+
+def test_walks_back_leave_one_table(spark):
+    import os
+
+    shared = spark.conf.get("spark.checkpoint.dir")
+    held = set(os.listdir(shared)) if os.path.isdir(shared) else set()
+    edges = spark.createDataFrame([(i, (i + 1) % 9) for i in range(9)] + [(20, 21), (21, 22), (3, 20)], "source long, target long")
+    got = graph.on_cycles(edges, spark.createDataFrame([(0,), (20,)], "node long"))
+    assert [r.node for r in got.collect()] == [0]
+    assert len([f for f in set(os.listdir(shared)) - held if f.split("-")[0] in ("graph", "reached", "back", "front", "step")]) == 1
+
+
+def test_rows_of_a_task_do_not_grow_with_the_table(spark, sf, monkeypatch):
+    from millrace import corpus
+
+    few = corpus.edges(spark, sf).rdd.getNumPartitions()
+    monkeypatch.setattr(corpus, "TASK_ROWS", 100)
+    assert corpus.edges(spark, sf).rdd.getNumPartitions() > 10 * few

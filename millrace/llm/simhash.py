@@ -14,6 +14,7 @@ the smallest keeps every connection.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
@@ -151,26 +152,43 @@ def _least(linked: DataFrame, key: str = "fp") -> DataFrame:
     return linked.join(least, "component").select(key, "component_id")
 
 
-#: Index: BANDS keys of BAND_ROWS least hashes each. Texts of Jaccard 0.8 share no key with chance (1 - 0.8 ** 6) ** 32, 6 in 100,000.
-BANDS, BAND_ROWS = 32, 6
-#: Fingerprints over shingles reject candidates before their sets are compared: above SLACK standard
-#: deviations of the distance that the similarity leads one to expect, and only from ENOUGH shingles on.
+#: Index: as many segments as leave a pair on the line without a common one with chance MISSED, each of
+#: WIDTH bits or more, so that a table has some eight fingerprints a value. ROUND tables are met at a time.
+MISSED, WIDTH, ROUND = 2e-5, 16, 50
+#: Sets of fewer shingles than SPARSE, whose bits may differ more often, are sought in balls of radius one, and so are
+#: those a quarter larger, which can be on the line with them: of two values one bit apart, the one with the bit asks.
+SPARSE = 16
+#: Fingerprints over shingles reject candidates before their sets are compared: above SLACK standard deviations of the
+#: distance that the similarity leads one to expect. Below ENOUGH shingles that distance is up to a quarter larger.
 VERIFY_BITS, SLACK, ENOUGH = 512, 5.0, 64
-#: Buckets of up to this many texts are joined pair by pair, larger ones in blocks of bounded rows and shingles.
-SMALL_BUCKET, BLOCK_ROWS, BLOCK_SHINGLES = 16, 512, 1 << 19
+#: Segment values of more than CROWD texts are met in blocks of bounded rows and shingles.
+BLOCK_ROWS, BLOCK_SHINGLES = 512, 1 << 19
 _SALTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
-_TURNS = _SALTS * np.arange(1, len(_SALTS) + 1, dtype=np.uint64)
 _VERIFY = [f"s{k}" for k in range(VERIFY_BITS // 64)]
 
 
-def most_bits(similarity: float, bits: int = VERIFY_BITS, slack: float = SLACK) -> int:
+def differing(similarity: float) -> float:
+    """Share of SimHash bits that differ between two sets of the given Jaccard
+    similarity: the angle between two sets of equal size."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def most_bits(similarity: float, bits: int = VERIFY_BITS, slack: float = SLACK, stretch: float = 1.0) -> int:
     """The Hamming distance up to which fingerprints of ``bits`` bits count as
-    having at least the given Jaccard similarity: that of the angle between two
-    sets of equal size, and ``slack`` standard deviations."""
-    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    having at least the given Jaccard similarity: that expected, ``stretch``
+    times, and ``slack`` standard deviations."""
+    share = min(0.5, differing(similarity) * stretch)
     return int(bits * share + slack * np.sqrt(bits * share * (1 - share)))
 
 
+def index_shape(rows: int, similarity: float) -> tuple[int, int]:
+    """(segments, width) of the index of so many rows: wider segments for more rows, so that
+    the texts that share a value by chance do not grow in number."""
+    width = min(max(WIDTH, (max(rows, 1) - 1).bit_length() - 3), 30)
+    alike = min((1 - differing(similarity)) ** width, 0.999)
+    return int(np.ceil(np.log(MISSED) / np.log1p(-alike))), width
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -186,10 +204,6 @@ def _shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return np.unique(_mixed(total))
 
 
-_MASKS, _FACTORS = (_mixed(np.arange(k, k + BANDS * BAND_ROWS, dtype=np.uint64)) for k in (1, 1 << 32))
-_FACTORS |= np.uint64(1)
-
-
 def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
     """Sorted hashes of the different shingles of a text."""
     from xxhash import xxh64_intdigest
@@ -200,18 +214,16 @@ def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
     return _shingle_hashes(np.array(hashes, np.uint64), shingle)
 
 
-def band_keys(features: np.ndarray) -> np.ndarray:
-    """One key a band: of the least values of the features under BAND_ROWS hashes."""
-    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(features), 512):
-        np.minimum(least, ((features[at : at + 512, None] ^ _MASKS) * _FACTORS).min(axis=0), out=least)
-    rows = _mixed(least).reshape(BANDS, BAND_ROWS) * _SALTS[:BAND_ROWS]
-    return _mixed(rows.sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
-
-
-def wide_fingerprint(features: np.ndarray) -> list[int]:
-    """VERIFY_BITS bits over the features, as 64-bit integers."""
-    return [majority(bit_counts(_mixed(features + _TURNS[i])), len(features)) for i in range(len(_VERIFY))]
+def wide_fingerprint(features: np.ndarray, bits: int) -> np.ndarray:
+    """SimHash of ``bits`` bits (0 or 1 each) over the features. A tie in a set below SPARSE
+    takes the first feature's bit: with zero, such sets would have many bits in common by chance."""
+    turns = _mixed(np.arange(1 << 33, (1 << 33) + -(-bits // 64), dtype=np.uint64))
+    twice = np.zeros(len(turns) * 64, np.int64)
+    for at in range(0, len(features), 255):  # sums of a byte
+        hashes = _mixed(features[at : at + 255, None] + turns).astype("<u8", copy=False)
+        on = np.unpackbits(hashes.view(np.uint8), axis=1, bitorder="little")
+        twice += 2 * on.sum(axis=0, dtype=np.uint8).astype(np.int64) + (on[0] if len(features) < SPARSE else 0)
+    return (twice > len(features))[:bits].astype(np.uint8)
 
 
 def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -220,10 +232,11 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(a) + len(b) - both) - 1e-9
 
 
-def _wide(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, key, d1, d2, size, bands, s0..): the text's hash, and digest, size, index keys and fingerprint of each row's
+def _wide(docs: DataFrame, shingle: int, segments: int, width: int) -> DataFrame:
+    """(doc_id, key, d1, d2, size, spots, s0..): the text's hash, and digest, size, segment values and first bits of each row's
     set. The sets themselves are longer than the texts; ``_sets`` makes those that are compared once more."""
-    kinds = {"doc_id": pa.int64(), "key": pa.int64(), "d1": pa.int64(), "d2": pa.int64(), "size": pa.int64(), "bands": pa.list_(pa.int64()), **dict.fromkeys(_VERIFY, pa.int64())}
+    kinds = {"doc_id": pa.int64(), "key": pa.int64(), "d1": pa.int64(), "d2": pa.int64(), "size": pa.int64(), "spots": pa.list_(pa.int32()), **dict.fromkeys(_VERIFY, pa.int64())}
+    places, bits = 1 << np.arange(width, dtype=np.int32), max(segments * width, VERIFY_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,11 +246,40 @@ def _wide(docs: DataFrame, shingle: int) -> DataFrame:
                 for t in part.column(2):
                     features = shingle_set(t.as_py(), shingle)
                     digest = np.frombuffer(blake2b(features.tobytes(), digest_size=16).digest(), np.int64).tolist()
-                    rows.append((*digest, len(features), band_keys(features), *wide_fingerprint(features)))
+                    wide = wide_fingerprint(features, bits)
+                    words = np.packbits(wide[:VERIFY_BITS], bitorder="little").view("<i8").tolist()
+                    rows.append((*digest, len(features), wide[: segments * width].reshape(segments, width) @ places, *words))
                 columns = zip(*rows) if rows else [[]] * (len(kinds) - 2)
                 yield pa.record_batch([part.column(0), part.column(1), *(pa.array(c, k) for c, k in zip(columns, list(kinds.values())[2:]))], names=list(kinds))
 
-    return docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, "doc_id long, key long, d1 long, d2 long, size long, bands array<long>, " + ", ".join(f"{n} long" for n in _VERIFY))
+    return docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, "doc_id long, key long, d1 long, d2 long, size long, spots array<int>, " + ", ".join(f"{n} long" for n in _VERIFY))
+
+
+def _near(similarity: float, names: list[str]) -> Column:
+    """Whether the sizes and fingerprint words (``names``, after a and b) allow the similarity."""
+    apart = sum((F.bit_count(F.col("a" + c).bitwiseXOR(F.col("b" + c))) for c in names), F.lit(0))
+    less, more = F.least("asize", "bsize"), F.greatest("asize", "bsize")
+    most = F.when(less < ENOUGH, most_bits(similarity, 64 * len(names), stretch=1.25)).otherwise(most_bits(similarity, 64 * len(names)))
+    return (less >= similarity * more - 1e-9) & (apart <= most)
+
+
+def _segment_meetings(index: DataFrame, low: int, width: int, similarity: float) -> DataFrame:
+    """(point, a, b, size, ..): candidates of the tables ``low`` and the ROUND - 1 after it, from
+    (cls, size, s0, s1, spots). Of a value of up to CROWD texts come the pairs (a, b) that the first
+    words allow, without point; of a larger one its members b, each with the least, a."""
+    own = ["cls", "size", "s0", "s1"]
+    spots = index.select(*own, F.posexplode(F.slice("spots", low + 1, ROUND)).alias("segment", "value")).select(*own, "segment", F.col("value").cast("long").alias("value"))
+    sparse = F.col("size") < SPARSE * 5 / 4
+    flips = spots.where(sparse).select(*own, F.explode(_ball(F.col("segment"), F.col("value"), width)).alias("k")).select(*own, "k.*")
+    keyed = spots.where(~sparse).union(flips)
+    keyed = keyed.select(*own, (F.call_function("shiftleft", F.col("segment").cast("long"), F.lit(32)) + F.col("value")).alias("point"))
+    met = Window.partitionBy("point")
+    probes = keyed.withColumn("n", F.count("*").over(met)).withColumn("least", F.min("cls").over(met))
+    few = probes.where(F.col("n").between(2, CROWD))
+    left, right = (few.select("point", F.col("cls").alias(c), *[F.col(x).alias(c + x) for x in own[1:]]) for c in "ab")
+    pairs = left.join(right, "point").where((F.col("a") < F.col("b")) & _near(similarity, ["s0", "s1"]))
+    # All columns go with members as well: both sides then read one shuffle.
+    return pairs.select(F.lit(None).cast("long").alias("point"), "a", "b", "asize", "as0", "as1").union(probes.where(F.col("n") > CROWD).select("point", "least", "cls", "size", "s0", "s1")).withColumnRenamed("asize", "size")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -264,23 +306,30 @@ def _exact(pairs: DataFrame, similarity: float) -> DataFrame:
     return pairs.select("a", "b", "a_set", "b_set").mapInArrow(run, "a long, b long")
 
 
-def _block_links(found: DataFrame, similarity: float, most: int) -> DataFrame:
-    """Links between the labels of large buckets: (point, parts, cls, label, size, s0.., shingles)
-    is cut into blocks, blocks meet in pairs, and each meeting returns links that
-    connect all it can: nearest fingerprints first, sets compared where not yet connected."""
-    names = ["ids", "labels", "sizes", "bits", "sets"]
-    kinds = pa.schema([("point", pa.int64()), ("part", pa.int64()), ("parts", pa.int64()), *((c, pa.binary()) for c in names)])
+def _block_links(found: DataFrame, similarity: float) -> DataFrame:
+    """(point, a, b): links between the labels of large buckets: (point, stray, cls, label, size, s0..)
+    is cut into blocks, those of strays meet all, and each meeting returns links that connect all
+    it can: nearest fingerprints first, sets (shingles) compared where not yet connected. Without
+    the column shingles, each member whose fingerprint allows a link comes as both a and b."""
+    names, exact = ["ids", "labels", "sizes", "bits", "sets"], "shingles" in found.columns
+    kinds = pa.schema([("point", pa.int64()), ("part", pa.int64()), *((c, pa.binary()) for c in names)])
+    most, most_small = most_bits(similarity), most_bits(similarity, stretch=1.25)
 
     def pack(table: pa.Table) -> pa.Table:
         bits = np.stack([table.column(c).to_numpy() for c in _VERIFY], axis=1)
-        row = {c: table.column(c)[0].as_py() for c in ("point", "part", "parts")}
+        row = {c: table.column(c)[0].as_py() for c in ("point", "part")}
         row |= {k: table.column(c).to_numpy().tobytes() for k, c in (("ids", "cls"), ("labels", "label"), ("sizes", "size"))}
-        return pa.Table.from_pylist([row | {"bits": bits.tobytes(), "sets": b"".join(table.column("shingles").to_pylist())}], schema=kinds)
+        return pa.Table.from_pylist([row | {"bits": bits.tobytes(), "sets": b"".join(table.column("shingles").to_pylist()) if exact else b""}], schema=kinds)
 
-    placed = found.withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")))
-    blocks = settle(placed.groupBy("point", "part").applyInArrow(pack, "point long, part long, parts long, " + ", ".join(f"{c} binary" for c in names)), "shingle-blocks")
-    right = blocks.select("point", F.col("part").alias("other"), *[F.col(c).alias("r_" + c) for c in names])
-    met = blocks.select("point", *names, F.explode(F.sequence("part", F.col("parts") - 1)).alias("other")).join(right, ["point", "other"])
+    parts = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_SHINGLES), F.lit(1))
+    counts = settle(found.groupBy("point").agg(parts.cast("long").alias("parts")), "bucket-parts")
+    placed = found.join(counts, "point").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")))
+    packed = [
+        settle(rows.groupBy("point", "part").applyInArrow(pack, "point long, part long, " + ", ".join(f"{c} binary" for c in names)), "shingle-blocks")
+        for rows in (placed.where("stray"), placed)
+    ]
+    left = packed[0].drop("part").join(counts, "point").select("point", *names, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    met = left.join(packed[1].select("point", "part", *[F.col(c).alias("r_" + c) for c in names]), ["point", "part"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -289,57 +338,59 @@ def _block_links(found: DataFrame, similarity: float, most: int) -> DataFrame:
                 a, b = (np.frombuffer(row[c], np.int64) for c in ("ids", "r_ids"))
                 n, m = (np.frombuffer(row[c], np.int64) for c in ("sizes", "r_sizes"))
                 x, y = (np.frombuffer(row[c], np.uint64).reshape(-1, len(_VERIFY)) for c in ("bits", "r_bits"))
-                s, t = (np.split(np.frombuffer(row[c], np.uint64), np.cumsum(k)[:-1]) for c, k in (("sets", n), ("r_sets", m)))
                 _, group = np.unique(np.concatenate([np.frombuffer(row[c], np.int64) for c in ("labels", "r_labels")]), return_inverse=True)
-                apart = np.zeros((len(a), len(b)), np.int64)
-                for k in range(len(_VERIFY)):
-                    apart += np.bitwise_count(x[:, k, None] ^ y[None, :, k])
                 less, more = np.minimum(n[:, None], m[None, :]), np.maximum(n[:, None], m[None, :])
-                u, v = np.nonzero((group[: len(a), None] != group[None, len(a) :]) & (less >= similarity * more - 1e-9) & ((apart <= most) | (less < ENOUGH)))
-                order = np.argsort(apart[u, v], kind="stable")
-                links: tuple[list, list] = ([], [])
-                for i_, j in zip(u[order].tolist(), v[order].tolist()):
-                    if group[i_] != group[len(a) + j] and alike(s[i_], t[j], similarity):
-                        links[0].append(int(a[i_]))
-                        links[1].append(int(b[j]))
-                        group[group == group[len(a) + j]] = group[i_]
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in links], names=["a", "b"])
-
-    return met.drop("point", "other").mapInArrow(compare, "a long, b long")
+                u, v = np.nonzero((group[: len(a), None] != group[None, len(a) :]) & (less >= similarity * more - 1e-9))
+                apart = np.zeros(len(u), np.int64)
+                for k in range(len(_VERIFY)):
+                    apart += np.bitwise_count(x[u, k] ^ y[v, k])
+                ok = apart <= np.where(less[u, v] < ENOUGH, most_small, most)
+                u, v, apart = u[ok], v[ok], apart[ok]
+                if exact:
+                    s, t = (np.split(np.frombuffer(row[c], np.uint64), np.cumsum(k)[:-1]) for c, k in (("sets", n), ("r_sets", m)))
+                    order = np.argsort(apart, kind="stable")
+                    links: tuple[list, list] = ([], [])
+                    for i_, j in zip(u[order].tolist(), v[order].tolist()):
+                        if group[i_] != group[len(a) + j] and alike(s[i_], t[j], similarity):
+                            links[0].append(int(a[i_]))
+                            links[1].append(int(b[j]))
+                            group[group == group[len(a) + j]] = group[i_]
+                else:
+                    some = np.unique(np.concatenate([a[u], b[v]])).tolist()
+                    links = (some, some)
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in ([row["point"]] * len(links[0]), *links)], names=["point", "a", "b"])
+
+    return met.drop("part").mapInArrow(compare, "point long, a long, b long")
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, component_id), one row for each row of ``docs``: groups whose members
     are linked by sets of ``shingle``-word shingles of Jaccard ``similarity`` or more.
 
-    A distance that far is about a seventh of a SimHash's bits, too far for balls
-    or segments. The index is therefore over bands of least hashes of the
-    shingles, whose chance to miss a pair depends on its similarity alone and not
-    on the kind of edit. What meets in a band is a candidate; SimHash distances
-    far beyond the line reject, and the sets themselves decide. Equal sets are
-    made one first. Large buckets first meet their smallest member; those that
-    this does not connect are compared in blocks.
+    A distance that far is about a seventh of a SimHash's bits. Fingerprints are
+    therefore thousands of bits wide, and the index has a table for each of their
+    segments (``index_shape``): a pair at the similarity shares no segment with
+    chance MISSED, whatever the edit. What meets in a table is a candidate; complete
+    distances far beyond the line reject, and the sets themselves decide. Equal sets
+    are made one first. Segment values of many texts first meet their smallest
+    member; those that this does not connect are compared in blocks.
     Null and empty texts are alike; nulls and repeats of doc_id as in
     ``near_duplicates``. An empty table gives no row.
     """
-    most = most_bits(similarity)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    fps = settle(_wide(rows, shingle).withColumn("uid", F.monotonically_increasing_id()), "wide-fingerprints")
+    segments, width = index_shape(rows.count(), similarity)
+    fps = settle(_wide(rows, shingle, segments, width).withColumn("uid", F.monotonically_increasing_id()), "wide-fingerprints")
     classes = settle(fps.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.min("uid").alias("cls")), "shingle-classes")
-    spread = _spread(fps.select(F.col("uid").alias("cls"), "bands").join(classes.select("cls"), "cls"), "cls")
-    # Nearly all points are met once, so a map-side count would only hold them in memory. A point
-    # has one row at most for each class, of the BANDS that each writes.
-    met = Window.partitionBy("point")
-    probes = spread.select("cls", F.explode("bands").alias("point")).withColumn("n", F.count("*").over(met)).withColumn("least", F.min("cls").over(met))
-    members = settle(probes.where("n > 1"), "bucket-members")
-    drop_shuffles(docs.sparkSession)  # those of the index, before sets are shuffled
-    small, large = members.where(F.col("n") <= SMALL_BUCKET), members.where(F.col("n") > SMALL_BUCKET)
-    pairs = small.select("point", F.col("cls").alias("a")).join(small.select("point", F.col("cls").alias("b")), "point").where("a < b").select("a", "b")
-    pairs = pairs.union(large.where("cls <> least").select(F.col("least").alias("a"), F.col("cls").alias("b"))).distinct()
+    index = settle(_spread(fps.select(F.col("uid").alias("cls"), "size", "s0", "s1", "spots").join(classes.select("cls"), "cls"), "cls"), "segment-index")
+    tables = []
+    for low in range(0, segments, ROUND):
+        tables.append(settle(_segment_meetings(index, low, width, similarity), "segment-meetings"))
+        drop_shuffles(docs.sparkSession)
+    met = reduce(DataFrame.union, tables)
+    large = met.where("point is not null").select("point", F.col("b").alias("cls"), "size")
+    pairs = met.where("point is null or a <> b").select("a", "b").distinct()
     left, right = (fps.select(F.col("uid").alias(c), *[F.col(x).alias(c + x) for x in ["size", *_VERIFY]]) for c in "ab")
-    apart = sum((F.bit_count(F.col("a" + c).bitwiseXOR(F.col("b" + c))) for c in _VERIFY), F.lit(0))
-    less, more = F.least("asize", "bsize"), F.greatest("asize", "bsize")
-    maybe = settle(pairs.join(left, "a").join(right, "b").where((less >= similarity * more - 1e-9) & ((apart <= most) | (less < ENOUGH))).select("a", "b"), "maybe-links")
+    maybe = settle(pairs.join(left, "a").join(right, "b").where(_near(similarity, _VERIFY)).select("a", "b"), "maybe-links")
     drop_shuffles(docs.sparkSession)
     keys = fps.select(F.col("uid").alias("cls"), "key")
     sets = _sets(rows, keys.join(maybe.select(F.col("a").alias("cls")).union(maybe.select("b")).distinct(), "cls"), shingle)
@@ -348,21 +399,22 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     near = settle(_exact(maybe.join(a_sets, "a").join(b_sets, "b"), similarity), "near-links")
     drop_shuffles(docs.sparkSession)
     joined = components(near)
-    named = large.join(joined, large.cls == joined.node, "left").select("point", "cls", F.coalesce("component", "cls").alias("label"))
-    sized = named.join(fps.select(F.col("uid").alias("cls"), "size"), "cls")
-    parts = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_SHINGLES), F.lit(1))
-    apart_still = sized.groupBy("point").agg(parts.cast("long").alias("parts"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("point", "parts")
-    apart_still = settle(named.join(settle(apart_still, "bucket-labels"), "point"), "open-buckets")
+    named = large.join(joined, large.cls == joined.node, "left").select("point", "cls", "size", F.coalesce("component", "cls").alias("label"))
+    apart_still = named.groupBy("point").agg(F.min_by("label", "cls").alias("main"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("point", "main")
+    apart_still = named.join(settle(apart_still, "bucket-labels"), "point").withColumn("stray", F.col("label") != F.col("main")).drop("main")
+    apart_still = settle(apart_still.join(fps.select(F.col("uid").alias("cls"), *_VERIFY), "cls"), "open-buckets")
     if apart_still.take(1):
-        open_sets = _sets(rows, keys.join(apart_still.select("cls").distinct(), "cls"), shingle)
-        full = apart_still.join(fps.select(F.col("uid").alias("cls"), "size", *_VERIFY), "cls").join(open_sets, "cls")
-        near = near.union(settle(_block_links(full, similarity, most), "block-links"))
-        joined = components(near.distinct())
+        members = settle(_block_links(apart_still, similarity).select("point", F.col("a").alias("cls")).distinct(), "open-members")
+        if members.take(1):
+            open_sets = _sets(rows, keys.join(members.select("cls").distinct(), "cls"), shingle)
+            full = apart_still.join(members, ["point", "cls"]).join(open_sets, "cls")
+            near = near.union(settle(_block_links(full, similarity).select("a", "b"), "block-links"))
+            joined = components(near.distinct())
     linked = classes.join(joined, F.col("cls") == F.col("node")).select("cls", "first", "component")
     named = classes.join(_least(linked, "cls"), "cls", "left").select("d1", "d2", F.coalesce("component_id", "first").alias("component_id"))
     named = settle(named, "named-classes")
     groups = settle(fps.select("doc_id", "d1", "d2").join(named, ["d1", "d2"]).select("doc_id", "component_id"), "similar-documents")
-    for table in (fps, members):  # the largest; nothing reads them any more
+    for table in (fps, index, *tables):  # the largest; nothing reads them any more
         discard(table)
     return groups
 

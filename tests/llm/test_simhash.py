@@ -208,3 +208,31 @@ def test_sets_are_written_only_where_they_are_compared(spark, monkeypatch):
     assert [d for d, c in got.items() if d != c] == [200, 201] and got[200] == got[201] == 0
     assert "shingles" not in written["wide-fingerprints"].columns
     assert written["shingle-sets"].count() == 2
+
+
+def test_candidates_come_from_segments_of_the_fingerprint(spark, monkeypatch):
+    rng = random.Random(9)
+    rows, written = [], {}
+    for i in range(150):
+        words = [f"w{i}x{rng.randrange(10**6)}" for _ in range(rng.choice((8, 14, 40, 300)))]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words + [f"v{i}x{k}" for k in range((len(words) - 4) // 4)]))]  # Jaccard 0.8 or just above
+
+    def seen(df, name):
+        written.setdefault(name, settle(df, name))
+        return written[name]
+
+    settle = simhash.settle
+    monkeypatch.setattr(simhash, "settle", seen)
+    monkeypatch.setattr(simhash, "ROUND", 1000)
+    monkeypatch.setattr(simhash, "discard", lambda table: None)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: d - d % 2 for d, _ in rows}
+    index = {r.cls: r for r in written["segment-index"].collect()}
+    for r in index.values():
+        assert r.spots[:8] == [w >> 16 * k & 0xFFFF for w in (r.s0, r.s1) for k in range(4)]
+    pairs = written["segment-meetings"].where("point is null").collect()
+    assert len(pairs) >= 150
+    for r in pairs:
+        a, b = index[r.a], index[r.b]
+        reach = 2 if max(a.size, b.size) < 20 else 0  # balls of radius one meet
+        assert min((x ^ y).bit_count() for x, y in zip(a.spots, b.spots)) <= reach

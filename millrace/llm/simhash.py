@@ -13,7 +13,7 @@ the smallest keeps every connection.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from hashlib import blake2b
 
@@ -161,7 +161,7 @@ SPARSE = 16
 #: Fingerprints over shingles reject candidates before their sets are compared: above SLACK standard deviations of the
 #: distance that the similarity leads one to expect. Below ENOUGH shingles that distance is up to a quarter larger.
 VERIFY_BITS, SLACK, ENOUGH = 512, 5.0, 64
-#: Segment values of more than CROWD texts are met in blocks of bounded rows and shingles.
+#: Segment values and families of more than CROWD texts are met in blocks of bounded rows and shingles.
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 1 << 19
 _SALTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 _VERIFY = [f"s{k}" for k in range(VERIFY_BITS // 64)]
@@ -263,23 +263,47 @@ def _near(similarity: float, names: list[str]) -> Column:
     return (less >= similarity * more - 1e-9) & (apart <= most)
 
 
-def _segment_meetings(index: DataFrame, low: int, width: int, similarity: float) -> DataFrame:
-    """(point, a, b, size, ..): candidates of the tables ``low`` and the ROUND - 1 after it, from
-    (cls, size, s0, s1, spots). Of a value of up to CROWD texts come the pairs (a, b) that the first
-    words allow, without point; of a larger one its members b, each with the least, a."""
-    own = ["cls", "size", "s0", "s1"]
+def _keyed(index: DataFrame, low: int, width: int) -> DataFrame:
+    """The rows of ``index`` (cls, size, s0, s1, ..) without spots, once for each ``point``: a value that they have,
+    or ask for, in the tables ``low`` and the ROUND - 1 after it."""
+    own = [c for c in index.columns if c != "spots"]
     spots = index.select(*own, F.posexplode(F.slice("spots", low + 1, ROUND)).alias("segment", "value")).select(*own, "segment", F.col("value").cast("long").alias("value"))
     sparse = F.col("size") < SPARSE * 5 / 4
     flips = spots.where(sparse).select(*own, F.explode(_ball(F.col("segment"), F.col("value"), width)).alias("k")).select(*own, "k.*")
     keyed = spots.where(~sparse).union(flips)
-    keyed = keyed.select(*own, (F.call_function("shiftleft", F.col("segment").cast("long"), F.lit(32)) + F.col("value")).alias("point"))
+    return keyed.select(*own, (F.call_function("shiftleft", F.col("segment").cast("long"), F.lit(32)) + F.col("value")).alias("point"))
+
+
+def _stars(index: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(a, b): each row b of the first ROUND tables with the least, a, of each of its values, where the first words allow it."""
+    own = ["cls", "size", "s0", "s1"]
+    least = F.min(F.struct(*own)).over(Window.partitionBy("point"))
+    met = _keyed(index.select(*own, "spots"), 0, width).select(*own, least.alias("least"))
+    met = met.select(*[F.col(c).alias("b" + c) for c in own], *[F.col("least." + c).alias("a" + c) for c in own])
+    return met.where((F.col("acls") < F.col("bcls")) & _near(similarity, ["s0", "s1"])).select(F.col("acls").alias("a"), F.col("bcls").alias("b")).distinct()
+
+
+def _families(linked: DataFrame) -> DataFrame:
+    """(cls, family): the texts that ``linked`` (a, b) connects with more than CROWD in all, by a negative name."""
+    joined = components(linked)
+    large = settle(joined.groupBy("component").count().where(F.col("count") > CROWD).select("component"), "large-families")
+    return settle(joined.join(large, "component").select(F.col("node").alias("cls"), (-1 - F.col("component")).alias("family")), "families")
+
+
+def _segment_meetings(index: DataFrame, low: int, width: int, similarity: float) -> DataFrame:
+    """(point, a, b, ..): candidates of the tables ``low`` and the ROUND - 1 after it, from
+    (cls, size, s0, s1, spots). Of a value of up to CROWD texts come the pairs (a, b) that the first
+    words allow, without point; of a larger one its members b, each with the least, a. With the column
+    family, pairs within a family are left out: it is compared as a whole."""
+    own = [c for c in index.columns if c != "spots"]
     met = Window.partitionBy("point")
-    probes = keyed.withColumn("n", F.count("*").over(met)).withColumn("least", F.min("cls").over(met))
+    probes = _keyed(index, low, width).withColumn("n", F.count("*").over(met)).withColumn("least", F.min("cls").over(met))
     few = probes.where(F.col("n").between(2, CROWD))
     left, right = (few.select("point", F.col("cls").alias(c), *[F.col(x).alias(c + x) for x in own[1:]]) for c in "ab")
-    pairs = left.join(right, "point").where((F.col("a") < F.col("b")) & _near(similarity, ["s0", "s1"]))
+    others = F.coalesce(F.col("afamily") != F.col("bfamily"), F.lit(True)) if "family" in own else F.lit(True)
+    pairs = left.join(right, "point").where((F.col("a") < F.col("b")) & others & _near(similarity, ["s0", "s1"]))
     # All columns go with members as well: both sides then read one shuffle.
-    return pairs.select(F.lit(None).cast("long").alias("point"), "a", "b", "asize", "as0", "as1").union(probes.where(F.col("n") > CROWD).select("point", "least", "cls", "size", "s0", "s1")).withColumnRenamed("asize", "size")
+    return pairs.select(F.lit(None).cast("long").alias("point"), "a", "b", *["a" + c for c in own[1:]]).union(probes.where(F.col("n") > CROWD).select("point", "least", *own))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -306,19 +330,37 @@ def _exact(pairs: DataFrame, similarity: float) -> DataFrame:
     return pairs.select("a", "b", "a_set", "b_set").mapInArrow(run, "a long, b long")
 
 
+def _overlaps(sets: bytes, sizes: np.ndarray, others: bytes, other_sizes: np.ndarray) -> Callable[[int], np.ndarray]:
+    """How many shingles the set of a given place among ``sets`` has in common with each of ``others``."""
+    left, right = (np.frombuffer(x, np.uint64) for x in (sets, others))
+    _, places = np.unique(np.concatenate([left, right]), return_inverse=True)
+    own, other = places[: len(left)], places[len(left) :]
+    ends, other_ends = np.cumsum(sizes), np.cumsum(other_sizes)
+    held = np.zeros(int(places.max(initial=-1)) + 1, bool)
+
+    def count(i: int) -> np.ndarray:
+        mine = own[ends[i] - sizes[i] : ends[i]]
+        held[mine] = True
+        total = np.concatenate(([0], np.cumsum(held[other])))
+        held[mine] = False
+        return total[other_ends] - total[other_ends - other_sizes]
+
+    return count
+
+
 def _block_links(found: DataFrame, similarity: float) -> DataFrame:
-    """(point, a, b): links between the labels of large buckets: (point, stray, cls, label, size, s0..)
+    """(point, a, b): links between the labels of large buckets: (point, stray, cls, label, unit, size, s0..)
     is cut into blocks, those of strays meet all, and each meeting returns links that connect all
-    it can: nearest fingerprints first, sets (shingles) compared where not yet connected. Without
-    the column shingles, each member whose fingerprint allows a link comes as both a and b."""
-    names, exact = ["ids", "labels", "sizes", "bits", "sets"], "shingles" in found.columns
+    it can between units: sets (shingles) are compared where not yet connected. Without the
+    column shingles, each member whose fingerprint allows a link comes as both a and b."""
+    names, exact = ["ids", "labels", "units", "sizes", "bits", "sets"], "shingles" in found.columns
     kinds = pa.schema([("point", pa.int64()), ("part", pa.int64()), *((c, pa.binary()) for c in names)])
     most, most_small = most_bits(similarity), most_bits(similarity, stretch=1.25)
 
     def pack(table: pa.Table) -> pa.Table:
         bits = np.stack([table.column(c).to_numpy() for c in _VERIFY], axis=1)
         row = {c: table.column(c)[0].as_py() for c in ("point", "part")}
-        row |= {k: table.column(c).to_numpy().tobytes() for k, c in (("ids", "cls"), ("labels", "label"), ("sizes", "size"))}
+        row |= {k: table.column(c).to_numpy().tobytes() for k, c in (("ids", "cls"), ("labels", "label"), ("units", "unit"), ("sizes", "size"))}
         return pa.Table.from_pylist([row | {"bits": bits.tobytes(), "sets": b"".join(table.column("shingles").to_pylist()) if exact else b""}], schema=kinds)
 
     parts = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_SHINGLES), F.lit(1))
@@ -337,24 +379,27 @@ def _block_links(found: DataFrame, similarity: float) -> DataFrame:
                 row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
                 a, b = (np.frombuffer(row[c], np.int64) for c in ("ids", "r_ids"))
                 n, m = (np.frombuffer(row[c], np.int64) for c in ("sizes", "r_sizes"))
+                unit, r_unit = (np.frombuffer(row[c], np.int64) for c in ("units", "r_units"))
                 x, y = (np.frombuffer(row[c], np.uint64).reshape(-1, len(_VERIFY)) for c in ("bits", "r_bits"))
                 _, group = np.unique(np.concatenate([np.frombuffer(row[c], np.int64) for c in ("labels", "r_labels")]), return_inverse=True)
                 less, more = np.minimum(n[:, None], m[None, :]), np.maximum(n[:, None], m[None, :])
-                u, v = np.nonzero((group[: len(a), None] != group[None, len(a) :]) & (less >= similarity * more - 1e-9))
+                u, v = np.nonzero((group[: len(a), None] != group[None, len(a) :]) & (unit[:, None] != r_unit[None, :]) & (less >= similarity * more - 1e-9))
                 apart = np.zeros(len(u), np.int64)
                 for k in range(len(_VERIFY)):
                     apart += np.bitwise_count(x[u, k] ^ y[v, k])
                 ok = apart <= np.where(less[u, v] < ENOUGH, most_small, most)
-                u, v, apart = u[ok], v[ok], apart[ok]
+                u, v = u[ok], v[ok]
                 if exact:
-                    s, t = (np.split(np.frombuffer(row[c], np.uint64), np.cumsum(k)[:-1]) for c, k in (("sets", n), ("r_sets", m)))
-                    order = np.argsort(apart, kind="stable")
                     links: tuple[list, list] = ([], [])
-                    for i_, j in zip(u[order].tolist(), v[order].tolist()):
-                        if group[i_] != group[len(a) + j] and alike(s[i_], t[j], similarity):
-                            links[0].append(int(a[i_]))
-                            links[1].append(int(b[j]))
-                            group[group == group[len(a) + j]] = group[i_]
+                    both, lefts = _overlaps(row["sets"], n, row["r_sets"], m), np.split(v, np.flatnonzero(np.diff(u)) + 1)
+                    for i_, js in zip(np.unique(u).tolist(), lefts):
+                        js = js[group[len(a) + js] != group[i_]]
+                        shared = both(i_)[js] if len(js) else js
+                        for j in js[shared >= similarity * (n[i_] + m[js] - shared) - 1e-9].tolist():
+                            if group[i_] != group[len(a) + j]:
+                                links[0].append(int(a[i_]))
+                                links[1].append(int(b[j]))
+                                group[group == group[len(a) + j]] = group[i_]
                 else:
                     some = np.unique(np.concatenate([a[u], b[v]])).tolist()
                     links = (some, some)
@@ -372,8 +417,10 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     segments (``index_shape``): a pair at the similarity shares no segment with
     chance MISSED, whatever the edit. What meets in a table is a candidate; complete
     distances far beyond the line reject, and the sets themselves decide. Equal sets
-    are made one first. Segment values of many texts first meet their smallest
-    member; those that this does not connect are compared in blocks.
+    are made one first. Texts that first meet the smallest of each of their values
+    show the families of many near copies: these are compared in blocks, once and
+    whole, and no pair within one is listed. Segment values of many texts meet their
+    smallest member; those that this does not connect are compared in blocks too.
     Null and empty texts are alike; nulls and repeats of doc_id as in
     ``near_duplicates``. An empty table gives no row.
     """
@@ -382,15 +429,23 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     fps = settle(_wide(rows, shingle, segments, width).withColumn("uid", F.monotonically_increasing_id()), "wide-fingerprints")
     classes = settle(fps.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.min("uid").alias("cls")), "shingle-classes")
     index = settle(_spread(fps.select(F.col("uid").alias("cls"), "size", "s0", "s1", "spots").join(classes.select("cls"), "cls"), "cls"), "segment-index")
+    left, right = (fps.select(F.col("uid").alias(c), *[F.col(x).alias(c + x) for x in ["size", *_VERIFY]]) for c in "ab")
+
+    def allowed(pairs: DataFrame) -> DataFrame:
+        return pairs.join(left, "a").join(right, "b").where(_near(similarity, _VERIFY)).select("a", "b")
+
+    stars = settle(allowed(settle(_stars(index, width, similarity), "segment-stars")), "maybe-stars")
+    families = _families(stars)
+    some = bool(families.take(1))
+    dealt = index.join(families, "cls", "left") if some else index
+    drop_shuffles(docs.sparkSession)
     tables = []
     for low in range(0, segments, ROUND):
-        tables.append(settle(_segment_meetings(index, low, width, similarity), "segment-meetings"))
+        tables.append(settle(_segment_meetings(dealt, low, width, similarity), "segment-meetings"))
         drop_shuffles(docs.sparkSession)
     met = reduce(DataFrame.union, tables)
-    large = met.where("point is not null").select("point", F.col("b").alias("cls"), "size")
-    pairs = met.where("point is null or a <> b").select("a", "b").distinct()
-    left, right = (fps.select(F.col("uid").alias(c), *[F.col(x).alias(c + x) for x in ["size", *_VERIFY]]) for c in "ab")
-    maybe = settle(pairs.join(left, "a").join(right, "b").where(_near(similarity, _VERIFY)).select("a", "b"), "maybe-links")
+    large = met.where("point is not null").select("point", F.col("b").alias("cls"))
+    maybe = settle(allowed(met.where("point is null or a <> b").select("a", "b").distinct()).union(stars).distinct(), "maybe-links")
     drop_shuffles(docs.sparkSession)
     keys = fps.select(F.col("uid").alias("cls"), "key")
     sets = _sets(rows, keys.join(maybe.select(F.col("a").alias("cls")).union(maybe.select("b")).distinct(), "cls"), shingle)
@@ -399,10 +454,15 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     near = settle(_exact(maybe.join(a_sets, "a").join(b_sets, "b"), similarity), "near-links")
     drop_shuffles(docs.sparkSession)
     joined = components(near)
-    named = large.join(joined, large.cls == joined.node, "left").select("point", "cls", "size", F.coalesce("component", "cls").alias("label"))
-    apart_still = named.groupBy("point").agg(F.min_by("label", "cls").alias("main"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("point", "main")
-    apart_still = named.join(settle(apart_still, "bucket-labels"), "point").withColumn("stray", F.col("label") != F.col("main")).drop("main")
-    apart_still = settle(apart_still.join(fps.select(F.col("uid").alias("cls"), *_VERIFY), "cls"), "open-buckets")
+    # Families are compared like the values of many texts; there, members of one family are not compared again.
+    named = large.union(families.select(F.col("family").alias("point"), "cls")).join(families, "cls", "left")
+    named = named.join(joined, named.cls == joined.node, "left").select("point", "cls", "family", F.coalesce("component", "cls").alias("label"))
+    named = named.select("point", "cls", "label", F.when(F.col("point") < 0, F.col("label")).otherwise(F.coalesce("family", "label")).alias("unit"))
+    units = named.groupBy("point", "unit").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    units = units.groupBy("point").agg(F.max_by("unit", "n").alias("main"), (F.count("*") > 1).alias("split"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    apart_still = settle(units.where("split and lo < hi").select("point", "main"), "bucket-units")
+    apart_still = named.join(apart_still, "point").withColumn("stray", F.col("unit") != F.col("main")).drop("main")
+    apart_still = settle(apart_still.join(fps.select(F.col("uid").alias("cls"), "size", *_VERIFY), "cls"), "open-buckets")
     if apart_still.take(1):
         members = settle(_block_links(apart_still, similarity).select("point", F.col("a").alias("cls")).distinct(), "open-members")
         if members.take(1):

@@ -236,3 +236,47 @@ def test_candidates_come_from_segments_of_the_fingerprint(spark, monkeypatch):
         a, b = index[r.a], index[r.b]
         reach = 2 if max(a.size, b.size) < 20 else 0  # balls of radius one meet
         assert min((x ^ y).bit_count() for x, y in zip(a.spots, b.spots)) <= reach
+
+
+def test_pairs_of_a_family_are_not_listed(spark, monkeypatch):
+    rng = random.Random(12)
+    base = [f"w{k}" for k in range(150)]
+    listed = {}
+    settle = simhash.settle
+
+    def seen(df, name):
+        written = settle(df, name)
+        listed[name] = listed.get(name, 0) + (written.where("point is null") if name == "segment-meetings" else written).count()
+        return written
+
+    monkeypatch.setattr(simhash, "settle", seen)
+    for size in (300, 900):
+        texts = []
+        for _ in range(size):
+            copy = list(base)
+            for at in rng.sample(range(150), rng.randint(1, 6)):
+                copy[at] = f"v{rng.random()}"
+            texts.append(copy)
+        sets = [{tuple(t[i : i + 5]) for i in range(146)} for t in texts]
+        label = list(range(size))
+        links = [(i, j) for i in range(size) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+        for _ in range(8):
+            for i, j in links:
+                label[i] = label[j] = min(label[i], label[j])
+        listed.clear()
+        docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+        got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
+        assert [got[i] for i in range(size)] == label
+        assert len(set(label)) > 1  # some are linked with none
+        assert listed["maybe-links"] <= 40 * size and listed["segment-meetings"] <= 40 * size, (size, listed)
+
+
+@pytest.mark.parametrize("sizes, others", [([3, 1, 4], [2, 5]), ([1], [1])])
+def test_overlaps(sizes, others):
+    import numpy as np
+
+    rng = random.Random(2)
+    left, right = ([sorted(rng.sample(range(8), n)) for n in ns] for ns in (sizes, others))
+    flat = lambda sets: np.array(sum(sets, []), np.uint64).tobytes()
+    both = simhash._overlaps(flat(left), np.array(sizes), flat(right), np.array(others))
+    assert [both(i).tolist() for i in range(len(left))] == [[len(set(a) & set(b)) for b in right] for a in left]

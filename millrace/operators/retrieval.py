@@ -204,14 +204,142 @@ def lexical(tokens: DataFrame, symbols: DataFrame, k: int = 25) -> DataFrame:
     return tokens.join(first, by).select("query_id", "token", "symbol_id", "qualified_name", "score", "rank")
 
 
+#: Most tokens and strings that meet in a block of ``likest``. Trigrams of more than one
+#: string in COMMON of a block are held as flags of all its strings, others as lists.
+#: MOST_BARS: how many rows of least numbers of shared trigrams a block holds.
+WORDS, NAMES, COMMON, MOST_BARS = 65_536, 65_536, 8, 128
+
+
+def likest(tokens: DataFrame, strings: DataFrame, k: int = 25) -> DataFrame:
+    """(token[, repository_id], string, score): of the strings that ``matching`` admits for a
+    token the ``k`` best by score, then string. An equal string, whatever its case, scores one.
+
+    Tokens and strings are dealt to parts of about WORDS and NAMES, which meet in blocks. A
+    block counts the trigrams that a token shares with each of its strings and gives the
+    ``k`` best of each token, so pairs are not listed, however many are admitted.
+    """
+    scope = ["repository_id"] if "repository_id" in tokens.columns and "repository_id" in strings.columns else []
+    repository = (F.col("repository_id") if scope else F.lit(0)).alias("repository")
+    asked = tokens.select("token", *scope).where(" AND ".join(f"{c} IS NOT NULL" for c in ("token", *scope))).distinct()
+    known = strings.select("string", *scope).where(" AND ".join(f"{c} IS NOT NULL" for c in ("string", *scope))).distinct()
+    asked = settle(asked.withColumn("word", F.monotonically_increasing_id()), "asked-tokens")
+    known = settle(known.orderBy("string").withColumn("at", F.monotonically_increasing_id()), "known-strings")  # in order of string
+    parts = lambda df, most, name: df.groupBy(repository).agg(F.ceil(F.count("*") / most).alias(name))
+    counts = settle(parts(asked, WORDS, "q_parts").join(parts(known, NAMES, "c_parts"), "repository"), "name-parts")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    dealt = lambda of, n: F.pmod(F.xxhash64(of), F.col(n))
+    windows = F.transform(F.sequence(F.lit(1), F.greatest(F.length("low") - 2, F.lit(1))), lambda i: F.substring("low", i, F.lit(3)))
+    runs = F.array_distinct(_codes(F.filter(windows, lambda w: w.rlike(r"^[\p{L}\p{N}]{3}$"))))
+    a = asked.select(repository, "word", F.lower("token").alias("low"), _codes(text.trigrams(F.col("token"))).alias("g")).withColumn("runs", runs)
+    a = a.join(counts, "repository").select("repository", dealt("word", "q_parts").alias("q"), "word", "low", "g", "runs", every("c_parts").alias("c"))
+    b = known.select(repository, "at", F.lower("string").alias("low"), _codes(text.trigrams(F.col("string"))).alias("g"))
+    b = b.join(counts, "repository").select("repository", dealt("at", "c_parts").alias("c"), "at", "low", "g", every("q_parts").alias("q"))
+    group = ["repository", "q", "c"]
+    compare = lambda left, right: _likest_of_block(left, right, k)
+    scored = a.groupBy(group).cogroup(b.groupBy(group)).applyInArrow(compare, "word long, at long, score double")
+    best = scored.withColumn("place", F.row_number().over(Window.partitionBy("word").orderBy(F.desc("score"), "at"))).where(F.col("place") <= k)
+    return best.join(asked, "word").join(known.select("string", "at"), "at").select("token", *scope, "string", "score")
+
+
+def _likest_of_block(words: pa.Table, names: pa.Table, k: int) -> pa.Table:
+    """(word, at, score): the ``k`` best ``names`` (at, low, g) of each of ``words`` (word, low, g, runs)."""
+    names = names.take(pc.sort_indices(names.column("at")))
+    low, size = names.column("low").combine_chunks(), pc.list_value_length(names.column("g")).to_numpy().astype(np.int32)
+    grams, n = names.column("g").combine_chunks().flatten().to_numpy(), names.num_rows
+    names = names.select(["at"])
+    order = np.argsort(grams, kind="stable")
+    grams, starts = np.unique(grams[order], return_index=True)
+    owners, ends = np.repeat(np.arange(n, dtype=np.int32), size)[order], np.append(starts[1:], len(order))
+    del order
+    flags, width = {}, -(-n // 8) * 8
+    for g in np.flatnonzero((ends - starts) * COMMON > n):
+        flags[g] = np.zeros(width, np.uint8)
+        flags[g][owners[starts[g] : ends[g]]] = 1
+
+    def places(column: str) -> tuple[np.ndarray, np.ndarray]:
+        """Where each word's part of a column of trigrams begins, and each one's place in ``grams`` or -1."""
+        lists = words.column(column).combine_chunks()
+        codes = lists.flatten().to_numpy()
+        at = np.minimum(np.searchsorted(grams, codes), max(len(grams) - 1, 0))
+        return np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy())), np.where(grams[at] == codes, at, -1) if len(grams) else np.full(len(codes), -1)
+
+    def bar(m: int, step: int, kind: type) -> np.ndarray:
+        """How many of ``m`` trigrams each string must share to be similar by LEAST_SIMILARITY, raised by a tenth a step."""
+        if (m, step) not in bars:
+            t = LEAST_SIMILARITY * 1.1**step
+            bars[m, step] = np.full(width, np.iinfo(kind).max, kind)
+            bars[m, step][:n] = np.clip(np.ceil(t / (1 + t) * (m + size) - 1e-9), 1, np.iinfo(kind).max)
+        return bars[m, step]
+
+    def holding(runs: np.ndarray) -> np.ndarray:
+        """The strings that have all of these trigrams: of no trigrams, all strings."""
+        if not len(runs):
+            return np.arange(n)
+        if runs.min() < 0:
+            return np.zeros(0, np.int64)
+        first, *others = sorted(runs, key=lambda g: ends[g] - starts[g])
+        found = owners[starts[first] : ends[first]]
+        for g in others:
+            found = found[flags[g][found] > 0] if g in flags else np.intersect1d(found, owners[starts[g] : ends[g]], assume_unique=True)
+        return found
+
+    def scores(shared: np.ndarray, m: int, at: np.ndarray) -> np.ndarray:
+        common = shared[at].astype(np.float64)
+        union = m + size[at] - common
+        return np.divide(common, union, out=np.zeros(len(at)), where=union > 0)
+
+    (w_begins, w_grams), (r_begins, r_grams) = places("g"), places("runs")
+    bars, step, out = {}, {}, ([], [], [])
+    for i, (word, token) in enumerate(zip(words.column("word").to_pylist(), words.column("low").to_pylist())):
+        own = w_grams[w_begins[i] : w_begins[i + 1]]
+        m, kind = len(own), np.uint8 if len(own) < 256 else np.int32
+        shared = np.zeros(width, kind)
+        for g in own[own >= 0]:
+            if g in flags:
+                shared += flags[g]
+            else:
+                shared[owners[starts[g] : ends[g]]] += 1
+        # The step is a guess that spares scores: it goes down until ``k`` strings are above the bar.
+        s = step.get(m, 0)
+        above = shared >= bar(m, s, kind)
+        while np.count_nonzero(above) < k and s:
+            s -= 1
+            above = shared >= bar(m, s, kind)
+        eights = np.flatnonzero(above.view(np.uint64))
+        at = (eights[:, None] * 8 + np.arange(8)).ravel()
+        at = at[above[at]]
+        step[m] = s + 1 if len(at) > 4 * k else s
+        if len(bars) > MOST_BARS:
+            bars.clear()
+        points = scores(shared, m, at)
+        near = points >= LEAST_SIMILARITY - 1e-9
+        at, points = at[near], points[near]
+        if len(at) < k:  # strings that hold the token but are less similar
+            held = holding(r_grams[r_begins[i] : r_begins[i + 1]])
+            held = held[pc.match_like(low.take(pa.array(held)), f"%{token}%").to_numpy(zero_copy_only=False)]
+            held = held[scores(shared, m, held) < LEAST_SIMILARITY - 1e-9]
+            less = scores(shared, m, held)
+            if not m:  # without trigrams, equal strings are not similar
+                less = np.where(pc.equal(low.take(pa.array(held)), token).to_numpy(zero_copy_only=False), 1.0, less)
+            at, points = np.append(at, held), np.append(points, less)
+        if len(at) > k:
+            last = np.partition(points, len(points) - k)[len(points) - k]
+            at, points = at[points >= last], points[points >= last]
+        first = np.lexsort((at, -points))[:k]
+        out[0].append(np.full(len(first), word)), out[1].append(at[first]), out[2].append(points[first])
+    word, at, points = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in out)
+    return pa.table({"word": pa.array(word, pa.int64()), "at": names.column("at").take(pa.array(at.astype(np.int64))), "score": pa.array(points, pa.float64())})
+
+
 def file_search(tokens: DataFrame, files: DataFrame, k: int = 25) -> DataFrame:
     """(query_id, token, file_id, path, score, rank): files by token, admitted and scored
-    by their paths as symbols are by their names. ``files`` (file_id, path[, repository_id])."""
+    by their paths as symbols are by their names. ``files`` (file_id, path[, repository_id]).
+    The first ``k`` files of a path stand for all."""
     scope = ["repository_id"] if "repository_id" in tokens.columns and "repository_id" in files.columns else []
     by = ["token", *scope]
-    pairs = matching(tokens, files.select(F.col("path").alias("string"), *scope)).withColumnRenamed("string", "path")
-    scored = pairs.join(files, ["path", *scope]).withColumn("score", F.when(F.lower("path") == F.lower("token"), 1.0).otherwise(F.col("similarity")))
-    first = _first(scored.select(*by, "file_id", "path", "score"), by, ["path", "file_id"], k)
+    best = likest(tokens, files.select(F.col("path").alias("string"), *scope), k).withColumnRenamed("string", "path")
+    heads = files.withColumn("nth", F.row_number().over(Window.partitionBy("path", *scope).orderBy("file_id"))).where(F.col("nth") <= k)
+    first = _first(best.join(heads, ["path", *scope]).select(*by, "file_id", "path", "score"), by, ["path", "file_id"], k)
     return tokens.join(first, by).select("query_id", "token", "file_id", "path", "score", "rank")
 
 

@@ -58,6 +58,56 @@ def test_matching_equals_a_comparison_of_all_pairs(spark):
     assert retrieval.matching(asked, names.where("false")).count() == 0
 
 
+def test_file_search_equals_a_comparison_of_all_pairs(spark, monkeypatch):
+    import re
+
+    monkeypatch.setattr(retrieval, "WORDS", 11)
+    monkeypatch.setattr(retrieval, "NAMES", 40)
+
+    def grams(t):
+        words = [w for w in re.split(r"[^a-z0-9äö]+", t.lower()) if w]
+        return {f"  {w} "[i : i + 3] for w in words for i in range(len(w) + 1)}
+
+    rng = random.Random(8)
+    parts = ["src", "user", "User", "session", "Ähre", "id", "a", "main.py", "x1", "zebra", "ses", "ion", "doc_", "17", "1", "71"]
+    made = lambda n: {rng.choice(["", "_", "/"]).join(rng.choice(parts) for _ in range(rng.randrange(1, 6))) for _ in range(n)}
+    paths, tokens = sorted(made(250) | {"__", "/_", ".", "a\nb", "+" * 300 + "".join(chr(97 + i % 26) + chr(97 + i // 26) for i in range(400))}), made(40) | {"", "_", "__", "a_", "se_sion", "m%n", "doc_1", "".join(chr(97 + i % 26) + chr(97 + i // 26) for i in range(400))}
+    files = [(i, p, "ab"[i % 2] if i % 13 else None) for i, p in enumerate([*paths, *paths[::3], *paths[::5], None])]
+
+    def score(token, path):
+        a, b = grams(token), grams(path)
+        similarity = len(a & b) / len(a | b) if a | b else 0.0
+        if re.search(re.escape(token).replace("_", ".").replace("%", ".*"), path, re.I | re.S) or similarity >= 0.2:
+            return 1.0 if token.lower() == path.lower() else similarity
+
+    scores = {(t, p): score(t, p) for t in tokens for p in paths}
+    for scoped in (False, True):
+        want = set()
+        for q, (t, home) in enumerate((t, home) for t in sorted(tokens) for home in "ab"):
+            found = sorted((-scores[t, p], p, i) for i, p, r in files if p is not None and scores[t, p] is not None and (r == home or not scoped))
+            want |= {(q, t, i, p, round(-x, 9), n + 1) for n, (x, p, i) in enumerate(found[:6])}
+        asked = spark.createDataFrame([(q, t, home) for q, (t, home) in enumerate((t, home) for t in sorted(tokens) for home in "ab")] + [(999, None, "a")], "query_id long, token string, repository_id string")
+        held = spark.createDataFrame(files, "file_id long, path string, repository_id string")
+        got = retrieval.file_search(asked if scoped else asked.drop("repository_id"), held, 6).collect()
+        assert {(r.query_id, r.token, r.file_id, r.path, round(r.score, 9), r["rank"]) for r in got} == want and len(got) == len(want)
+    assert retrieval.file_search(asked, held.where("false")).count() == 0
+
+
+def test_file_search_does_not_list_what_is_admitted(spark):
+    store = spark._jsc.sc().statusStore()
+
+    def shuffled():
+        spark._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(None, False, False, spark._sc._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    tokens = spark.range(300).selectExpr("id AS query_id", "concat('doc_', id) AS token")
+    files = spark.range(3000).selectExpr("id AS file_id", "concat('doc_', id, '.py') AS path")  # 900,000 pairs, most of them similar
+    before = shuffled()
+    assert retrieval.file_search(tokens, files).count() == 300 * 25
+    assert shuffled() - before < 100_000
+
+
 def test_nearest_equals_a_comparison_of_all_pairs(spark, monkeypatch):
     from millrace.functions import vectors
 

@@ -27,7 +27,7 @@ def facts(spark: SparkSession, sf_dir: str) -> assembled.Facts:
     calls = kinds.where("relationship_type = 'calls'").join(named.select(F.col("symbol_id").alias("target"), F.col("qualified_name").alias("callee")), "target")
     return assembled.Facts(
         repositories=files.select("repository_id", F.col("repository_id").alias("name"), F.lit(True).alias("computed")).distinct(), files=files, symbols=named.select("repository_id", "path"), edges=edges,
-        cycles=settle(graph.cycle_listing(edges).where("path IS NOT NULL").select("repository_id", "place", "path"), "report-cycles"), orphans=orphans,
+        cycles=settle(graph.cycle_listing(edges).select("repository_id", "place", "path"), "report-cycles"), orphans=orphans,
         calls=calls.select("repository_id", F.col("caller").alias("source"), F.col("callee").alias("target")), inheritance=kinds.where("relationship_type <> 'calls'").select("repository_id"),
     )
 

@@ -53,6 +53,24 @@ def test_listing_by_repository(spark):
     assert {tuple(r) for r in graph.within_cycles(edges, cycles).collect()} == {("r", "a", "b", True), ("r", "b", "a", False), ("q", "a", "a", True)}
 
 
+def test_listing_in_parts_equals_the_walk(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(graph, "NUMBERED", 5)
+    monkeypatch.setattr(graph, "HANDED", 7)
+    rng, rows, want = random.Random(3), [], []
+    for repo in [None, 1, 2, 3]:
+        edges = sorted({(f"é{rng.randrange(9)}", f"{rng.choice('éz')}{rng.randrange(9)}") for _ in range(25)} if repo != 3 else {("a", "b"), ("a", "c")})
+        rows += [(repo, a, None) for a in sorted({a for a, _ in edges})] + [(repo, a, b) for a, b in edges]
+        want += [(repo, i, p, len(edges)) for i, p in enumerate(walked(edges), 1)]
+    schema = pa.schema([("repository_id", pa.int64()), ("place", pa.int32()), ("path", pa.list_(pa.string())), ("edges", pa.int64())])
+    table = pa.table([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.string()))], names=["repository_id", "source", "target"])
+    for size in (1, 4, 1000):
+        batches = list(graph._listed(table.to_batches(max_chunksize=size), None, schema))
+        assert [tuple(r.values()) for b in batches for r in b.to_pylist()] == want and len(batches) > 4
+    assert list(graph._listed([], None, schema)) == []
+
+
 def test_queries_equal_recursion(spark, sf):
     from millrace import corpus
 

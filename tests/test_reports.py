@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from millrace.operators import assembled, graph
 from millrace.plans import QUERIES, assembling
 
@@ -103,3 +105,23 @@ def test_queries_equal_plain_python(spark, sf):
         for r in QUERIES[name](spark, sf).collect():
             got.setdefault(r.repository_id, {"summary": r.summary})[r.heading] = r.content
         assert got == want, name
+
+
+def of_a_large_graph(spark, sf, monkeypatch, name):
+    """A report of 2,100 files of which each imports all after it and the second the first: 2,203,951 edges, one cycle."""
+    from millrace import corpus
+    from millrace.operators import resolve
+
+    path = lambda c: f"concat('r/m', lpad({c}, 4, '0'), '.py')"
+    ids = lambda c: spark.range(2100).select(F.col("id").alias(c))
+    pairs = ids("a").crossJoin(ids("b")).where("a < b OR (a = 1 AND b = 0)").selectExpr(f"{path('a')} AS source", f"{path('b')} AS target")
+    monkeypatch.setattr(corpus, "files", lambda *_: spark.range(2100).selectExpr("id AS file_id", "'r' AS repository_id", f"{path('id')} AS path"))
+    monkeypatch.setattr(resolve, "resolve_imports", lambda *_: pairs)
+    return {r.heading: (r.content, r.findings, r.summary) for r in QUERIES[name](spark, sf).collect()}
+
+
+def test_risk_report_lists_the_cycles_of_a_large_graph(spark, sf, monkeypatch):
+    got = of_a_large_graph(spark, sf, monkeypatch, "report_dependency_risk")
+    chain = "r.m0000 -> r.m0001 -> r.m0000"
+    assert got["Circular Dependencies"][:2] == (f"1 circular dependency chain(s) detected: {chain}", chain)
+    assert got["Circular Dependencies"][2].startswith("r: 2203951 dependency edge(s), 1 circular dependency chain(s), ")

@@ -125,3 +125,9 @@ def test_risk_report_lists_the_cycles_of_a_large_graph(spark, sf, monkeypatch):
     chain = "r.m0000 -> r.m0001 -> r.m0000"
     assert got["Circular Dependencies"][:2] == (f"1 circular dependency chain(s) detected: {chain}", chain)
     assert got["Circular Dependencies"][2].startswith("r: 2203951 dependency edge(s), 1 circular dependency chain(s), ")
+
+
+def test_health_report_counts_the_cycles_of_a_large_graph(spark, sf, monkeypatch):
+    got = of_a_large_graph(spark, sf, monkeypatch, "report_health")
+    assert got["Structural Complexity Signals"][0].startswith("1 circular dependency chain(s); ")
+    assert got["Repository Size"][2].endswith(", 1 circular dependency chain(s).")
